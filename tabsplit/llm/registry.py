@@ -8,20 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import tokens
-from tabsplit.llm.common import documents, prepare
+from tabsplit.llm import media, tokens
+from tabsplit.llm.common import documents, new_path, prepare
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 512
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(prepare(spark), "media")
+    media.write_archive(documents(spark, sf_dir), folder)
+    return media.media_features(media.read_archive(spark, folder))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(documents(prepare(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts,)}
+    return {f.__name__: f for f in (op2_media_columns, op5_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
