@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import media, mixing, quality, tokens
+from tabsplit.llm import media, mixing, quality, tokens, toxicity
 from tabsplit.llm.common import documents, new_path, prepare
 
 #: Tokens above which a document is over the limit.
@@ -34,8 +34,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(prepare(spark), sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(prepare(spark), sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~toxicity.held_out())))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_source_mix, op5_token_counts, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_media_columns, op3_source_mix, op5_token_counts, op8_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
