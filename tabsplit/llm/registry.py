@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import media, mixing, quality, tokens, toxicity
+from tabsplit.llm import media, mixing, pieces, quality, tokens, toxicity
 from tabsplit.llm.common import documents, new_path, prepare
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 512
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(documents(prepare(spark), sf_dir).select("doc_id", "text"), path), path)
+    text = F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("restored"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(prepare(spark), "media")
     media.write_archive(documents(spark, sf_dir), folder)
@@ -42,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_source_mix, op5_token_counts, op8_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op5_token_counts, op8_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
