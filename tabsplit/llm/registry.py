@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import media, mixing, pieces, quality, tokens, toxicity
+from tabsplit.llm import media, mixing, pages, pieces, quality, tokens, toxicity
 from tabsplit.llm.common import documents, new_path, prepare
 
 #: Tokens above which a document is over the limit.
@@ -37,6 +37,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(prepare(spark), sf_dir))
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op5_token_counts, op8_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op5_token_counts, op7_html_extraction, op8_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
