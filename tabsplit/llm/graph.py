@@ -1,0 +1,50 @@
+"""Connected components of links between long identifiers, by alternating large and small stars, in DataFrame functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tabsplit.llm.common import written
+
+MOST_ROUNDS = 60
+
+
+def large_star(links: DataFrame) -> DataFrame:
+    """Each larger neighbour of a node is tied to the least of the node and its neighbours."""
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+
+def small_star(links: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are tied to the least of those."""
+    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def mark(links: DataFrame) -> tuple:
+    """A count and a sum that change with the links; one row reaches the driver."""
+    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], row["s"]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and component, its component's least node, for every node of the links (u, v); the least has its own row too.
+
+    Each round is written to the shared folder, so that plans stay short and lost executors cost one round.
+    """
+    stars = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    before = mark(stars)
+    for _ in range(MOST_ROUNDS):
+        stars = written(small_star(large_star(stars)), "stars")
+        now = mark(stars)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    members = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import media, mixing, pages, pieces, quality, tokens, toxicity
+from tabsplit.llm import media, mixing, neardup, pages, pieces, quality, tokens, toxicity
 from tabsplit.llm.common import documents, new_path, prepare
 
 #: Tokens above which a document is over the limit.
@@ -32,6 +32,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(prepare(spark), sf_dir))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(prepare(spark), sf_dir), width=3, percent=85)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(documents(prepare(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -53,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op5_token_counts, op7_html_extraction, op8_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op7_html_extraction, op8_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
