@@ -6,7 +6,7 @@ of terms, the inner product of their factors, so that it learns pairs that tell
 machine doesn't learn single texts by heart.
 
 Labelled rows are joined to their texts in Spark, and the `most` rows with the smallest hashes of their ids are fitted, a
-bound that doesn't grow with the corpus. Terms are hashed where the texts are; the fit gets lists of buckets. Scoring reads
+bound that doesn't grow with the corpus; so small a table is broadcast to the texts. Terms are hashed where the texts are; the fit gets lists of buckets. Scoring reads
 every whole text in Arrow batches, with the model (`2 ** BITS` rows of weights) as its only side input.
 
 Defined results: null and empty texts get the score of the bias; without any training row all scores are 0.5 less a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tabsplit.llm.common import slices
 
 #: Buckets of terms as a power of 2, factors of a term, rounds over the training rows, and rows that are fitted at most.
-BITS, FACTORS, ROUNDS, MOST_ROWS = 16, 4, 40, 30_000
+BITS, FACTORS, ROUNDS, MOST_ROWS = 16, 4, 40, 20_000
 #: Training texts that a term is in at least, and the least likelihood ratio (G squared) of its presence and the label.
 LEAST_DOCS, LEAST_RATIO = 5, 8.0
 BATCH, RATE, SHRINK, SHRINK_FACTORS = 256, 0.2, 2e-5, 1e-4
@@ -82,8 +82,9 @@ class Machine:
 
 def telling(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
     """Buckets whose likelihood ratio with the label is LEAST_RATIO or more."""
-    flat, label = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
-    with_it = np.stack([np.bincount(flat, 1 - label, minlength=size), np.bincount(flat, label, minlength=size)])
+    with_it = np.zeros((2, size))
+    for k, row in enumerate(rows):
+        with_it[int(labels[k]), row] += 1
     totals = np.array([[(1 - labels).sum()], [labels.sum()]])
     n = with_it.sum(axis=0)
     ratio = np.zeros(size)
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Machine:
     """A machine from labels (doc_id, label); `most` rows, those with the smallest hashes of their ids, reach the driver."""
     known = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     bounded = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    told = hashed(docs.select("doc_id", "text").join(bounded, "doc_id")).toPandas()
+    told = hashed(docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id")).toPandas()
     told = told.sort_values("doc_id", kind="stable")
     return fit([np.asarray(x, dtype=np.int32) for x in told["terms"]], told["label"].to_numpy(dtype=float))
 
