@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import media, mixing, neardup, pages, pieces, quality, tokens, toxicity
+from tabsplit.llm import media, mixing, neardup, pages, pieces, quality, repeats, tokens, toxicity
 from tabsplit.llm.common import documents, new_path, prepare
 
 #: Tokens above which a document is over the limit.
@@ -49,6 +49,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(prepare(spark), sf_dir))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(prepare(spark), sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(prepare(spark), sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op7_html_extraction, op8_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op7_html_extraction, op8_quality_rules, op9_suffix_repeats, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
