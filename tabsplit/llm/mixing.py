@@ -63,11 +63,11 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list, value: st
     return df.join(offsets, [*group, bucket]).withColumn(name, F.col("_offset") + F.sum(value).over(within) - F.col(value)).drop("_offset")
 
 
-def schedule(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = SEED) -> DataFrame:
+def schedule(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
     """Copies that the mix takes, from rows (doc_id, source, size): one row a copy with its place in the mix.
 
     epoch counts from 0; taken is below size only for the copy in service when the budget is spent; mix_offset is the
-    number of words that the mix holds before this copy. `start` tells rows with equal doc_id apart.
+    number of words that the mix holds before this copy. `start` tells rows with equal doc_id apart; `extra` columns stay.
     """
     targets = source_targets(sized, weights, share, most)
     same = sized["source"].eqNullSafe(targets["source"])
@@ -81,7 +81,7 @@ def schedule(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     time = F.least(F.floor(F.col("finish") / F.col("until") * RANGES), F.lit(RANGES - 1))
     copies = running(copies.withColumn("range", time), [], "range", ["finish", "rank", "epoch", "start"], "served", "mix_offset")
     taken = F.least("served", F.floor("budget") - F.col("mix_offset"))
-    return copies.withColumn("taken", taken).where("taken > 0").select("doc_id", "source", "size", "start", "epoch", "taken", "mix_offset")
+    return copies.withColumn("taken", taken).where("taken > 0").select("doc_id", "source", "size", "start", "epoch", "taken", "mix_offset", *extra)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -103,6 +103,19 @@ def mix_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows as often as the mix takes them; a copy that the budget cuts stays whole if at least half of it is taken.
+
+    Rows that are equal in doc_id, source and text share their number in `_same`, so that each meets its own copies.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("text")).withColumn("_same", F.row_number().over(Window.partitionBy("doc_id", "source", "_key").orderBy(F.lit(1))))
+    sized = written(keyed.select("doc_id", "source", F.struct("_key", "_same").alias("row"), word_count().alias("size")), "sizes")
+    copies = schedule(sized, extra=("row",)).where("2 * taken >= size").groupBy("doc_id", "source", "row").agg(F.count("*").cast("int").alias("_copies"))
+    copies = copies.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("row._key").alias("_row_key"), F.col("row._same").alias("_row_same"), "_copies")
+    same = (F.col("_key") == F.col("_row_key")) & (F.col("_same") == F.col("_row_same")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    return keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
 REPORT_SQL = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 ranked AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),

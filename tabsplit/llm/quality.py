@@ -62,17 +62,17 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), hashed))
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the five base counts and base_failed of every whole text."""
+def base_statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, lang, source, the five base counts, base_failed and further columns of every row, from its whole text."""
     text = text_of()
     found = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
     counts = docs.select(
-        "doc_id", "lang", "source", found.alias("found"),
+        "doc_id", "lang", "source", *more, found.alias("found"),
         F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-    ).select("doc_id", "lang", "source", "found.n_words", "word_chars", "n_symbols", "n_dup_lines", "found.n_repeat_words")
+    ).select("doc_id", "lang", "source", *more, "found.n_words", "word_chars", "n_symbols", "n_dup_lines", "found.n_repeat_words")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return counts.withColumn("base_failed", failed)
 
@@ -162,3 +162,16 @@ def judge(docs: DataFrame) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     failed = counts.where("base_failed").withColumn("kept", F.lit(False)).withColumn("distance", F.lit(None).cast("double"))
     return outlier.select(columns).unionByName(failed.select(columns))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    more = [c for c in docs.columns if c not in ("doc_id", "lang", "source")]
+    counts = vectors(base_statistics(docs, *more)).where("not base_failed")
+    passed = written(counts.select(*docs.columns, *VECTOR), "passed")
+    rows = written(grouped(passed.select("lang", "source", *VECTOR)), "vectors")
+    found = robust_estimates(rows.select("group", *VECTOR))
+    groups = rows.select("group", "lang", "source").distinct()
+    same = [passed[c].eqNullSafe(groups[c]) for c in ("lang", "source")]
+    near = distances(passed.join(groups, same).select(passed["*"], "group"), found.drop("scale")).join(found.select("group", "scale"), "group")
+    return near.where((F.col("n") < LEAST) | (F.col("distance") / F.col("scale") <= CUTOFF)).select(docs.columns)
