@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsplit.plans import billing
+from tabsplit.plans import billing, parsing, storing
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (billing,)
+MODULES = (billing, parsing, storing)
 
 
 def queries() -> dict[str, Query]:
