@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsplit.plans import billing, parsing, storing
+from tabsplit.plans import billing, measuring, parsing, storing
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (billing, parsing, storing)
+MODULES = (billing, parsing, storing, measuring)
 
 
 def queries() -> dict[str, Query]:
