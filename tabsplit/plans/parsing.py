@@ -56,15 +56,15 @@ line_query("clean_item_name", m.clean_item_name, f"trim({CLEAN_SQL})")
 line_query("currency_detect", lambda x: F.when(x.contains("₹"), "INR").when(x.contains("$"), "USD"), "CASE WHEN contains(line, '₹') THEN 'INR' WHEN contains(line, '$') THEN 'USD' END")
 
 # amounts as they come out of a camera: with currencies, thousands, look-alike digits, brackets and words
-NOISY = F.expr("""CASE bill_id % 7 WHEN 0 THEN x WHEN 1 THEN concat('Rs ', x) WHEN 2 THEN concat('$', substring(x, 1, length(x) - 3), ',', substring(x, -2)) WHEN 3 THEN translate(x, '01', 'Ol')
-  WHEN 4 THEN concat('(', x, ')') WHEN 5 THEN concat('Discount ', replace(x, '.', '')) ELSE concat(' 1,', lpad(x, 6, '0'), ' ') END""")
+NOISY = """CASE bill_id % 7 WHEN 0 THEN x WHEN 1 THEN concat('Rs ', x) WHEN 2 THEN concat('$', substring(x, 1, length(x) - 3), ',', substring(x, -2)) WHEN 3 THEN translate(x, '01', 'Ol')
+  WHEN 4 THEN concat('(', x, ')') WHEN 5 THEN concat('Discount ', replace(x, '.', '')) ELSE concat(' 1,', lpad(x, 6, '0'), ' ') END"""
 NOISY_SQL = """CASE bill_id % 7 WHEN 0 THEN x WHEN 1 THEN 'Rs ' || x WHEN 2 THEN '$' || x[1:-4] || ',' || x[-2:] WHEN 3 THEN translate(x, '01', 'Ol')
   WHEN 4 THEN '(' || x || ')' WHEN 5 THEN 'Discount ' || replace(x, '.', '') ELSE ' 1,' || lpad(x, 6, '0') || ' ' END"""
 AMOUNT_SQL = f"WITH tokens AS (SELECT bill_id, item_no, {NOISY_SQL} AS token FROM (SELECT bill_id, item_no, (total_cents // 100) || '.' || lpad((total_cents % 100)::VARCHAR, 2, '0') AS x FROM items))"
 
 
 def amount_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.items(spark, sf_dir).select("bill_id", "item_no", money("total_cents").alias("x")).select("bill_id", "item_no", NOISY.alias("token"))
+    return views.items(spark, sf_dir).select("bill_id", "item_no", money("total_cents").alias("x")).select("bill_id", "item_no", F.expr(NOISY).alias("token"))
 
 
 @query(AMOUNT_SQL + r""", a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(token), '([0-9.,])[Oo]', '\1' || chr(1), 'g'), '[Oo]([0-9.,])', chr(1) || '\1', 'g'), '([0-9.,])[Il]', '\1' || chr(2), 'g'), '[Il]([0-9.,])', chr(2) || '\1', 'g') AS y FROM tokens),
