@@ -36,7 +36,7 @@ from tabsplit.llm.neardup import grouped, mixed
 LENGTH, K = 200, 32
 #: Positions of a k-gram in a window; bytes before an anchor that a window holding it can begin at.
 PLACES, BEFORE = LENGTH - K + 1, LENGTH - K
-SLICE, RANGES, PAIRWISE = 2_000_000, 256, 6
+SLICE, RANGES, PAIRWISE, BLOCK = 2_000_000, 256, 6, 32
 ANCHORS = "key_a long, key_b long, pos long, gram long, context long"
 ENTRY = struct.Struct("<HHHqqq")
 
@@ -211,13 +211,21 @@ def shared_windows(group: list[tuple[bytes, bytes]]) -> list[list[tuple[int, int
         m[k, BEFORE : BEFORE + len(suffix)] = np.frombuffer(suffix, dtype=np.uint8)
     up, down, value = powers(1 << 21)
     good = np.zeros((len(group), BEFORE + 1), dtype=bool)
-    sums = np.zeros((len(group), m.shape[1] + 1), dtype=np.uint64)
-    np.cumsum(value[m] * up[: m.shape[1]], axis=1, out=sums[:, 1:])
-    for offset in range(BEFORE + 1):
-        rows = np.flatnonzero((left >= offset) & (right >= LENGTH - offset))
-        begin = BEFORE - offset
-        _, place, n = np.unique((sums[rows, begin + LENGTH] - sums[rows, begin]) * down[begin], return_inverse=True, return_counts=True)
-        good[rows, offset] = n[place] > 1
+    for low in range(0, BEFORE + 1, BLOCK):
+        # hashes of a block of offsets at a time, so that a large group takes few bytes a suffix
+        first = max(0, BEFORE - low - BLOCK + 1)
+        part = m[:, first : BEFORE - low + LENGTH]
+        hashes = np.empty((min(BLOCK, BEFORE + 1 - low), len(group)), dtype=np.uint64)
+        for rows in np.array_split(np.arange(len(group)), -(-len(group) // 4096)):
+            sums = np.zeros((len(rows), part.shape[1] + 1), dtype=np.uint64)
+            np.cumsum(value[part[rows]] * up[: part.shape[1]], axis=1, out=sums[:, 1:])
+            for k in range(len(hashes)):
+                begin = BEFORE - low - k - first
+                hashes[k, rows] = (sums[:, begin + LENGTH] - sums[:, begin]) * down[begin]
+        for k, found in enumerate(hashes):
+            rows = np.flatnonzero((left >= low + k) & (right >= LENGTH - low - k))
+            _, place, n = np.unique(found[rows], return_inverse=True, return_counts=True)
+            good[rows, low + k] = n[place] > 1
     edges = np.diff(np.pad(good.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     return [list(zip(np.flatnonzero(e == 1).tolist(), (np.flatnonzero(e == -1) - 1).tolist(), strict=True)) for e in edges]
 
@@ -264,7 +272,7 @@ def merged(runs: DataFrame) -> DataFrame:
             for k in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[k : k + 100_000], strict=True)], ["key_a", "key_b", "start", "end"])
 
-    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(run, "key_a long, key_b long, start long, end long")
+    return runs.repartition(RANGES, "range").sortWithinPartitions("range").mapInArrow(run, "key_a long, key_b long, start long, end long")
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
