@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +14,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (billing, parsing, storing, measuring)
 
 
+def importable(query: Query) -> Query:
+    """The query with Python workers able to import this package, wherever the driver was started."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        if root not in env.get("PYTHONPATH", "").split(":"):
+            env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    return {name: importable(q) for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -21,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return billing.settle_bill(spark, sf_dir)
+    return importable(billing.settle_bill)(spark, sf_dir)
