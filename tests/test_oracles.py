@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tabsplit.plans import registry
@@ -21,7 +22,7 @@ def oracle():
 
 def plain(value):
     value = value.item() if hasattr(value, "item") else value
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     return repr(float(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
