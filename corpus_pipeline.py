@@ -42,7 +42,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Ids of every text, and the text decoded from them."""
     common.prepare(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.decode(pieces.encode(docs.select(COLUMNS), path), path)
+    return pieces.round_trip(docs.select(COLUMNS), path)
 
 
 STAGES = [

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from tabsplit.llm.common import slices
 
 SPACE = "▁"
-SLICE, BATCH, REMEMBERED, LONGEST_REMEMBERED = 5_000_000, 800_000, 600_000, 48
+SLICE, BATCH, REMEMBERED, LONGEST_REMEMBERED = 4_000_000, 800_000, 400_000, 48
 NONE = np.int64(1) << 40
 
 
@@ -288,19 +288,37 @@ def appended(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
 
+def listed(found: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+
+
+def fields_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """The rows with the ids of their texts in a new column; `path` must be readable on executors."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model(path)
+        for batch in slices(batches, text_column, SLICE):
+            yield appended(batch, ids_column, listed(own.encode([x or "" for x in batch.column(text_column).to_pylist()])))
+
+    return docs.mapInArrow(run, f"{fields_of(docs)}, `{ids_column}` array<int>")
+
+
+def round_trip(docs: DataFrame, path: str, text_column: str = "text", ids_column: str = "ids", decoded_column: str = "decoded") -> DataFrame:
+    """The rows with the ids of their texts and the texts of those ids, in one pass of one Python worker a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in slices(batches, text_column, SLICE):
             found = own.encode([x or "" for x in batch.column(text_column).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
-            yield appended(batch, ids_column, ids)
+            decoded = pa.array([own.decode(np.frombuffer(x, dtype="<i4").tolist()) for x in found], pa.string())
+            yield appended(appended(batch, ids_column, listed(found)), decoded_column, decoded)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{ids_column}` array<int>")
+    return docs.mapInArrow(run, f"{fields_of(docs)}, `{ids_column}` array<int>, `{decoded_column}` string")
 
 
 def decode(encoded: DataFrame, path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
@@ -313,5 +331,4 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", text_column:
             flat, offsets = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy().tolist()
             yield appended(batch, text_column, pa.array([own.decode(flat[a:b]) for a, b in itertools.pairwise(offsets)], pa.string()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, `{text_column}` string")
+    return encoded.mapInArrow(run, f"{fields_of(encoded)}, `{text_column}` string")

@@ -17,7 +17,7 @@ TOKEN_LIMIT = 512
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(documents(prepare(spark), sf_dir).select("doc_id", "text"), path), path)
+    coded = pieces.round_trip(documents(prepare(spark), sf_dir).select("doc_id", "text"), path)
     text = F.coalesce("text", F.lit(""))
     return coded.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("restored"))
 
