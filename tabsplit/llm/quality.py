@@ -2,9 +2,10 @@
 
 Base statistics of each whole text are computed within its row by array functions; nothing of the text is shuffled. The
 statistics become a vector of rounded logarithms and shares. For each language and source a minimum-covariance-determinant
-estimate is fitted by concentration steps: from medians and absolute deviations, each step takes the `COVERED` share of
-documents with the smallest distances and estimates their mean and covariance anew. Documents whose Mahalanobis distance
-from the final estimate is beyond the cut-off are rejected.
+estimate is fitted by concentration steps: from each of several starts, a step takes the half of the documents with the
+smallest distances, (n + p + 1) / 2 of n with p statistics, and estimates their mean and covariance anew, until the
+determinant of the covariance falls no more. The estimate with the least determinant of all starts counts. Documents whose
+Mahalanobis distance from it is beyond the cut-off are rejected.
 
 The vectors are whole numbers, so sums over any number of partitions are exact and reruns agree. Every step is an
 aggregate with partial sums; a hot group never meets in one task. Groups below `LEAST` documents are judged with the
@@ -26,8 +27,9 @@ from tabsplit.llm.common import WORD, text_of, written
 
 SYMBOLS, WHITE, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Share of documents that an estimate rests on, concentration steps, and the smallest group with its own estimate.
-COVERED, STEPS, LEAST = 0.75, 3, 50
+#: Quantiles of the statistics that the starts are centred on, the fall of a determinant's logarithm that another step is taken
+#: for, and the smallest group with its own estimate.
+STARTS, FALL, LEAST = (0.5, 0.25, 0.75), 1e-3, 50
 #: Units of a vector entry: a thousandth. The deviation that an estimate has in each direction at least.
 UNIT, FLOOR = 1000, 250
 #: The median of a chi-squared variable of 2 degrees, which distances are scaled to, as length and word length are all that
@@ -108,17 +110,22 @@ def estimate(rows: DataFrame) -> DataFrame:
     for i, j in pairs():
         rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))  # noqa: B023
         found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}"))
-    return found.select("group", "n", *(f"m{i}" for i in range(len(VECTOR))), *(f"l{i}{j}" for i, j in pairs()))
+    spread = reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), range(len(VECTOR)), F.lit(0.0))
+    return found.withColumn("spread", spread).select("group", "n", "spread", *estimated())
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """The first estimate: medians, and absolute deviations from them on the diagonal."""
-    middle = rows.groupBy("group").agg(*(F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(VECTOR)))
+def estimated() -> list[str]:
+    return [*(f"m{i}" for i in range(len(VECTOR))), *(f"l{i}{j}" for i, j in pairs())]
+
+
+def start(rows: DataFrame, share: float) -> DataFrame:
+    """A first estimate: quantiles, and median absolute deviations from them on the diagonal; its determinant counts as endless."""
+    middle = rows.groupBy("group").agg(*(F.percentile(c, F.lit(share)).alias(f"m{i}") for i, c in enumerate(VECTOR)))
     off = rows.join(middle, "group").groupBy("group", *(f"m{i}" for i in range(len(VECTOR)))).agg(
         F.count("*").cast("double").alias("n"), *(F.percentile(F.abs(F.col(c) - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i, c in enumerate(VECTOR))
     )
     scale = [F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + float(FLOOR**2)).alias(f"l{i}{i}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i, j in pairs()]
-    return off.select("group", "n", *(f"m{i}" for i in range(len(VECTOR))), *scale)
+    return off.select("group", "n", F.lit(float("inf")).alias("spread"), *(f"m{i}" for i in range(len(VECTOR))), *scale)
 
 
 def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -130,22 +137,35 @@ def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return near.withColumn("distance", sum((F.col(f"y{i}") ** 2 for i in range(1, len(VECTOR))), F.col("y0") ** 2)).select(*rows.columns, "n", "distance")
 
 
-def share_below(near: DataFrame, share: float, name: str) -> DataFrame:
-    """Per group the upper edge of the fine logarithmic bin of distances below which the share of its rows lies."""
+def half_below(near: DataFrame, more: int, name: str) -> DataFrame:
+    """Per group the upper edge of the fine logarithmic bin of distances below which (n + more) / 2 of its n rows lie."""
     bins = near.withColumn("bin", F.ceil(F.log1p("distance") * 256)).groupBy("group", "bin").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("group").orderBy("bin")
     counted = bins.withColumn("upto", F.sum("rows").over(earlier)).withColumn("all", F.sum("rows").over(Window.partitionBy("group")))
-    return counted.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("group").agg(F.expm1(F.min("bin") / 256).alias(name))
+    return counted.where(F.col("upto") >= F.least(F.floor((F.col("all") + more) / 2), F.col("all"))).groupBy("group").agg(F.expm1(F.min("bin") / 256).alias(name))
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """The final estimate of each group with `scale`, the median of its squared distances over the expected one."""
-    found = written(start(rows), "estimates")
-    for _ in range(STEPS):
-        near = distances(rows, found)
-        kept = near.join(share_below(near, COVERED, "limit"), "group").where(F.ceil(F.log1p("distance") * 256) <= F.round(F.log1p("limit") * 256))
-        found = written(estimate(kept).drop("n").join(found.select("group", "n"), "group"), "estimates")
-    middle = share_below(distances(rows, found), 0.5, "middle")
+    """The final estimate of each group with `scale`, the median of its squared distances over the expected one.
+
+    All starts of all groups take their steps together, each under a name of its own; those whose determinant falls go on.
+    """
+    named = lambda k: F.concat("group", F.lit(f"\x02{k}"))
+    trials = rows.withColumn("group", F.explode(F.array(*(named(k) for k in range(len(STARTS))))))
+    moving = written(reduce(DataFrame.union, (start(rows, share).withColumn("group", named(k)) for k, share in enumerate(STARTS))), "estimates")
+    every = []
+    while not moving.isEmpty():
+        near = distances(trials, moving)
+        kept = near.join(half_below(near, len(VECTOR) + 1, "limit"), "group").where(F.ceil(F.log1p("distance") * 256) <= F.round(F.log1p("limit") * 256))
+        before = moving.select("group", F.col("n").alias("all"), F.col("spread").alias("before"))
+        every.append(written(estimate(kept).join(before, "group").withColumn("n", F.col("all")), "estimates"))
+        moving = every[-1].where(F.col("spread") < F.col("before") - FALL).select(moving.columns)
+    if not every:
+        return moving.withColumn("scale", F.lit(1.0))
+    tried = reduce(DataFrame.union, every).withColumn("trial", F.col("group")).withColumn("group", F.left("group", F.length("group") - 2))
+    least = tried.groupBy("group").agg(F.min(F.struct("spread", "trial", "n", *estimated())).alias("least"))
+    found = written(least.select("group", "least.n", "least.spread", *(f"least.{x}" for x in estimated())), "estimates")
+    middle = half_below(distances(rows, found), 1, "middle")
     return written(found.join(middle.select("group", F.greatest(F.col("middle") / MEDIAN, F.lit(1e-3)).alias("scale")), "group"), "estimates")
 
 

@@ -81,6 +81,16 @@ def test_outliers_go_and_clean_documents_stay(documents):
     assert again == {d: r.distance for d, r in found.items()}
 
 
+@pytest.mark.parametrize("percent", [30, 45])
+def test_groups_with_much_junk(documents, percent):
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    clean = [(k, " ".join(word() for _ in range(rng.randint(25, 200))), "p") for k in range(600)]
+    junk = [(1000 + k, " ".join(f"{word()}{'#' * rng.randint(2, 5)}" for _ in range(rng.randint(25, 200))), "p") for k in range(600 * percent // (100 - percent))]
+    found = {r.doc_id: r.kept for r in quality.judge(documents(clean + junk)).collect()}
+    assert all(found[d] for d, *_ in clean) and not any(found[d] for d, *_ in junk)
+
+
 def test_small_groups_and_no_rows_are_judged(documents):
     text = " ".join(f"w{k}" for k in range(40))
     assert [r.kept for r in quality.judge(documents([(1, text, "only"), (2, text, None)])).collect()] == [True, True]
