@@ -3,8 +3,8 @@
 Every page is parsed once to score its containers: a container's score is the text of its own paragraphs, less what its
 links hold. Containers are named by their generalised path of tags and classes (numbers in names become one sign), and each
 page votes for its best ones with their share of the page's text. Spark sums the votes by host and path and takes each
-host's winning path; then every page is extracted from the winning path's containers, or from its own best one where the
-page has none.
+host's winning path; then every page is extracted from the winning path's containers, or the articles these lie in. A page that has none of them is
+extracted from its articles, else its main elements, else its own best container.
 
 Blocks of the article are its block elements' texts: character references decoded, white space inside a block one space,
 trimmed, joined by a newline in page order. Navigation, headers and footers of the page, sidebars, notices, adverts, forms,
@@ -184,12 +184,25 @@ def scored(page: str) -> list[tuple[str, float]]:
     return [(path, value / total) for path, value in best if value >= LEAST_SHARE * total]
 
 
+def widened(root: Node, chosen: list[Node]) -> list[Node]:
+    """The chosen containers in page order, each as the article that it lies in, so that an article's other parts are not lost."""
+    wanted, found, todo = {id(x) for x in chosen}, [], [(root, None)]
+    while todo:
+        x, article = todo.pop()
+        if isinstance(x, Node):
+            article = x if x.tag == "article" else article
+            if id(x) in wanted:
+                found.append(article or x)
+            todo.extend((y, article) for y in reversed(x.parts))
+    return found
+
+
 def extract(page: str, path: str | None) -> str:
-    """The text of the article, main or winning container that holds most, with what lies in it."""
+    """The text of the winning path's containers, with what lies in them; articles and main elements stand in where there are none."""
     root = parse(page)
     found = containers(root)
-    marked = [x for x in found if x.tag == "article"] or [x for x in found if x.tag == "main"]
-    chosen = marked or [x for x in found if path and x.path == path]
+    chosen = widened(root, [x for x in found if path and x.path == path])
+    chosen = chosen or [x for x in found if x.tag == "article"] or [x for x in found if x.tag == "main"]
     if not chosen:
         own = scored(page)
         chosen = [x for x in found if own and x.path == own[0][0]] or [root]

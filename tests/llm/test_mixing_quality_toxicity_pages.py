@@ -156,6 +156,17 @@ def test_hosts_agree_on_a_path(spark):
     assert found[9] == "brief news"
 
 
+def test_teaser_articles_stay_out_where_the_host_has_a_path(spark):
+    teasers = "".join(f'<article class="card"><p>Teaser {k}</p></article>' for k in range(3))
+    body = lambda text: f'<body><article class="story"><p>{text}</p></article><div class="more">{teasers}</div></body>'
+    rows = [(k, f"http://v.example.com/{k}", body(f"story {k} " * 30)) for k in range(5)] + [(5, "http://v.example.com/5", f"<body>{teasers}</body>")]
+    found = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == (f"story {k} " * 30).strip() for k in range(5))
+    assert found[5] == "Teaser 0\nTeaser 1\nTeaser 2"
+    sections = "<article>Intro<section><p>One</section><section><p>Two</section></article><article>Teaser</article>"
+    assert pages.extract(sections, "/article/section") == "Intro\nOne\nTwo"
+
+
 def test_no_pages(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
