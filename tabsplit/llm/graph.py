@@ -1,11 +1,11 @@
-"""Connected components of links between long identifiers, by alternating large and small stars, in DataFrame functions."""
+"""Connected components of links between identifiers of any orderable type, by alternating large and small stars, in DataFrame functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsplit.llm.common import written
+from tabsplit.llm.common import dropped, written
 
 MOST_ROUNDS = 60
 
@@ -34,12 +34,14 @@ def mark(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """node and component, its component's least node, for every node of the links (u, v); the least has its own row too.
 
-    Each round is written to the shared folder, so that plans stay short and lost executors cost one round.
+    Each round is written to the shared folder, so that plans stay short and lost executors cost one round; the round before
+    is deleted then. Rows of a hub are two identifiers each, and AQE splits its join where they are too many.
     """
     stars = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     before = mark(stars)
     for _ in range(MOST_ROUNDS):
-        stars = written(small_star(large_star(stars)), "stars")
+        last, stars = stars, written(small_star(large_star(stars)), "stars")
+        dropped(last)
         now = mark(stars)
         if now == before:
             break
@@ -47,4 +49,6 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return members.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = written(members.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    dropped(stars)
+    return found

@@ -1,19 +1,25 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-A document is the set of its word shingles. Equal sets are one class, whose signature has coordinates, each the hash of some
-minimal shingle hashes. Two sets of at least the given similarity agree in `agree` of the coordinates but for a chance of
-1e-6, so one of the first (coordinates - agree + 1) is among them: classes are posted under those (coordinate, value) pairs
-only, postings with a single class are skipped, and the others tie their classes to the least one. The components of these
-ties are clusters, inside which every pair that can be linked lies.
-
-Clusters are cut into chunks of a bounded number of shingles, and each two chunks of a cluster meet in one task. There the
-collisions of coordinates are counted for each class against those before it, classes that are joined already are skipped,
-and pairs above the match threshold are confirmed on their full sets by merging postings. A chunk pair returns a spanning
-forest of the links, never the pairs of a group, so rows grow with classes.
+A document is the set of its word shingles; equal sets are one class. A class has COORDINATES coordinates, each the hash of
+ROWS minimal shingle hashes, and is posted under every (coordinate, value). Two sets of at least the given similarity share
+`threshold` of the postings but for a chance of MISSED.
+
+1. Postings of a single class are skipped, and with them classes that are left with fewer shared postings than the threshold.
+   The others are ordered from rare to common; of m shared postings a class enters the first m - threshold + 1 (its prefix),
+   as two classes above the threshold meet in one of those.
+2. Each prefix posting ties its classes to one of them, its pivot. Ties above the threshold are confirmed on full sets and
+   give first components, so that a family of near copies is joined without its pairs.
+3. In postings that still hold several components, collisions are counted by merging the postings of the classes that meet
+   there: the short lists are merged, and the longest, which alone cannot reach the threshold, are only probed for what the
+   short ones brought up. Classes of one component are skipped. A large posting is cut into blocks, and each two blocks are a
+   task's work of its own, but for those inside its pivot's component. Pairs above the threshold are confirmed on full sets.
+
+Components of all confirmed links are the groups. Rows grow with classes, and with pairs only where sets are alike above the
+threshold and yet in no common component.
 
 Defined results: with fewer words than a shingle takes, the whole sequence is the one shingle; null, empty and blank texts
 have no shingle and are linked with nothing; rows with a null doc_id get a null component; rows that share a doc_id are one
-node. Repeated rows share their result, extra columns are ignored, an empty table gives an empty table.
+node, whatever their texts. Repeated rows share their result, extra columns are ignored, an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,26 +34,26 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsplit.llm.common import slices, written
+from tabsplit.llm.common import dropped, slices, written
 from tabsplit.llm.graph import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-ROWS, AGREE, MISSED = 5, 2, 1e-6
-#: Shingles of a chunk, at most, besides a single longer document; words whose hashes a worker remembers.
-CHUNK, REMEMBERED = 1 << 19, 500_000
+COORDINATES, ROWS, MISSED = 48, 3, 1e-6
+#: Classes of a block, partners of a class in the first round, rows of a confirming task for one class, and words whose hashes a worker remembers.
+BLOCK, TIES, PART, REMEMBERED = 2048, 3, 10_000, 500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+NODE = "struct<a:long,b:long>"
 
 
-def coordinates(similarity: float, agree: int = AGREE, rows: int = ROWS) -> int:
-    """The fewest coordinates of which two sets that similar share fewer than `agree` with a chance of at most MISSED."""
+def threshold(similarity: float, count: int = COORDINATES, rows: int = ROWS) -> int:
+    """The most coordinates that two sets that similar share but for a chance of MISSED."""
     p = similarity**rows
-    for n in itertools.count(agree):
-        odds, chance = (1 - p) ** n, 0.0
-        for k in range(agree):
-            chance += odds
-            odds *= (n - k) / (k + 1) * p / (1 - p)
-        if chance <= MISSED:
-            return n
+    chance, odds = 0.0, (1 - p) ** count
+    for k in itertools.count():
+        chance += odds
+        if chance > MISSED:
+            return max(1, k)
+        odds *= (count - k) / (k + 1) * p / (1 - p)
     raise AssertionError
 
 
@@ -92,8 +98,8 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def signatures(sets: list[np.ndarray], count: int, rows: int = ROWS) -> np.ndarray:
-    """A row of `count` coordinates for each non-empty set."""
+def signatures(sets: list[np.ndarray], count: int = COORDINATES, rows: int = ROWS) -> np.ndarray:
+    """A row of `count` postings, one for each coordinate and its value, for each non-empty set."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(x) for x in sets[:-1]])
     factors, masks = permutations(count * rows)
@@ -111,141 +117,227 @@ def set_key(found: np.ndarray) -> tuple[int, int]:
     return tuple(int(mixed(found ^ m).sum(dtype=np.uint64).astype(np.int64)) for m in MIX[:2])
 
 
-def signed(docs: DataFrame, width: int, count: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's key, and the coordinates (null without shingles)."""
+def nodes_of(keys: list[tuple[int, int]]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def signed(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, node (the set's key) and postings (null without shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in slices(batches, "text"):
             sets = [shingler.of(x) for x in batch.column("text").to_pylist()]
-            keys = [set_key(x) for x in sets]
             full = [x for x in sets if len(x)]
-            rows = iter(signatures(full, count).astype(np.int64) if full else ())
-            listed = [next(rows) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(listed, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key_a", "key_b", "coordinates"],
-            )
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, coordinates array<long>")
-
-
-def clusters(classes: DataFrame, count: int, agree: int = AGREE) -> DataFrame:
-    """rep and cluster of the classes (rep, coordinates) that share a posting with another."""
-    posted = classes.select("rep", F.posexplode(F.slice("coordinates", 1, count - agree + 1)).alias("place", "value")).select("rep", F.xxhash64("place", "value").alias("posting"))
-    shared = posted.groupBy("posting").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("posting", "least")
-    ties = posted.join(shared, "posting").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
-    return components(ties).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-
-
-class Group:
-    """Classes that meet in one task: their sets, coordinates and labels of what is joined already."""
-
-    def __init__(self, rows: list[tuple]):
-        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
-        self.reps = [r[0] for r in rows]
-        self.sets = [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
-        self.signs = np.array([r[2] for r in rows], dtype=np.int64)
-        self.sizes = np.array([len(x) for x in self.sets])
-        self.labels = np.arange(len(rows))
-        self.index = None
-
-    def shared(self, k: int, others: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of set k with the others."""
-        if len(others) <= 4:
-            return np.array([len(np.intersect1d(self.sets[k], self.sets[j], assume_unique=True)) for j in others])
-        if self.index is None:
-            flat, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
-            order = np.argsort(flat, kind="stable")
-            values, starts = np.unique(flat[order], return_index=True)
-            self.index = values, np.append(starts, len(flat)), owner[order]
-        values, starts, owner = self.index
-        at = np.searchsorted(values, self.sets[k])
-        n = starts[at + 1] - starts[at]
-        held = owner[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return np.bincount(held, minlength=len(self.sets))[others]
-
-    def links(self, percent: int, agree: int) -> Iterator[tuple[int, int]]:
-        """A spanning forest of the links whose similarity is at least the given percentage."""
-        for k in range(1, len(self.reps)):
-            collisions = (self.signs[:k] == self.signs[k]).sum(axis=1)
-            low, high = np.minimum(self.sizes[:k], self.sizes[k]), np.maximum(self.sizes[:k], self.sizes[k])
-            others = np.flatnonzero((collisions >= agree) & (100 * low >= percent * high))
-            if len(others):
-                both = self.shared(k, others)
-                for j in others[100 * both >= percent * (self.sizes[others] + self.sizes[k] - both)]:
-                    if self.labels[j] != self.labels[k]:
-                        self.labels[self.labels == self.labels[k]] = self.labels[j]
-                        yield self.reps[k], self.reps[int(j)]
-
-
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[list[tuple]]:
-    """The rows of each run of equal keys, over the borders of batches."""
-    rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in (*keys, *values)), strict=True))
-    for _, run in itertools.groupby(rows, key=lambda r: r[: len(keys)]):
-        yield [r[len(keys) :] for r in run]
+            rows = iter(signatures(full).astype(np.int64) if full else ())
+            postings = pa.array([next(rows) if len(x) else None for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array([len(x) for x in sets], pa.int64()), nodes_of([set_key(x) for x in sets]), postings]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "node", "postings"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return slim.mapInArrow(run, f"doc_id long, text_key long, n_shingles long, node {NODE}, postings array<long>")
+
+
+def prefixes(classes: DataFrame, least: int) -> DataFrame:
+    """posting, node of the rare postings that a class above the threshold with another must share with it."""
+    each = classes.select("node", F.explode("postings").alias("posting"))
+    shared = each.groupBy("posting").agg(F.count("*").alias("size")).where("size > 1")
+    held = each.join(shared, "posting").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "posting"))).alias("held"))
+    return held.where(F.size("held") >= least).select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - (least - 1))).alias("x")).select("x.posting", "node")
+
+
+def alike(classes: DataFrame, pairs: DataFrame, percent: int, least: int) -> DataFrame:
+    """The pairs (u, v) that share `least` postings and whose sizes allow a link."""
+    of = lambda name: classes.select(F.col("node").alias(name), F.col("postings").alias(f"{name}_postings"), F.col("n_shingles").alias(f"{name}_size"))
+    both = pairs.join(of("v"), "v").join(of("u"), "u")
+    near = 100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size")
+    return both.where(near & (F.size(F.array_intersect("u_postings", "v_postings")) >= least)).select("u", "v")
+
+
+def pivot_pairs(prefix: DataFrame) -> DataFrame:
+    """For each class the TIES pivots, of its postings, that it meets most often; every posting has its own pivot."""
+    pivots = prefix.groupBy("posting").agg(F.min_by("node", F.xxhash64("posting", "node")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    met = prefix.join(pivots, "posting").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "pivot")), asc=False), 1, TIES).alias("best"))
+    return best.select(F.col("node").alias("u"), F.explode("best").alias("x")).select("u", F.col("x.pivot").alias("v"))
+
+
+class Cell:
+    """Classes that meet in one posting, or in two blocks of it; counts the collisions of their postings."""
+
+    def __init__(self, rows: dict[str, np.ndarray], percent: int, least: int):
+        self.postings, self.prefix, self.label, self.block, self.size = (rows[c] for c in ("postings", "prefix", "label", "block", "size"))
+        self.percent, self.least = percent, least
+        flat = self.postings.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        _, starts, place, counts = np.unique(flat[order], return_index=True, return_inverse=True, return_counts=True)
+        self.members = order // self.postings.shape[1]
+        where = np.empty(len(flat), dtype=np.int64)
+        where[order] = place
+        self.starts, self.counts, self.where = starts, counts, where.reshape(self.postings.shape)
+
+    def pairs(self, posting: int, apart: bool) -> Iterator[tuple[int, int]]:
+        """Pairs of different components (and blocks, if `apart`) above the threshold whose first common prefix posting is this one."""
+        for k in range(1, len(self.size)):
+            lists = self.where[k]
+            lengths = self.counts[lists]
+            lists = lists[lengths > 1][np.argsort(lengths[lengths > 1], kind="stable")]
+            if len(lists) < self.least:
+                continue
+            short = lists[: len(lists) - self.least + 1]
+            n = self.counts[short]
+            held = self.members[np.repeat(self.starts[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            found = np.unique(held[held < k])
+            found = found[self.label[found] != self.label[k]]
+            if apart:
+                found = found[self.block[found] != self.block[k]]
+            low, high = np.minimum(self.size[found], self.size[k]), np.maximum(self.size[found], self.size[k])
+            found = found[100 * low >= self.percent * high]
+            if not len(found):
+                continue
+            same = self.postings[found] == self.postings[k]
+            met = same & self.prefix[found] & self.prefix[k]
+            first = self.postings[k][np.argmax(met, axis=1)] == posting
+            for j in found[first & met.any(axis=1) & (same.sum(axis=1) >= self.least)]:
+                yield k, int(j)
+
+
+def cells(open_prefix: DataFrame) -> DataFrame:
+    """posting, low, high and the classes that meet there: a small posting whole, else two blocks of it.
+
+    open_prefix: posting, node, label (its component). Blocks of the pivot's component come last and don't meet each other.
+    """
+    own = F.col("label") == F.col("home")
+    homes = open_prefix.groupBy("posting").agg(F.min_by("label", F.xxhash64("posting", "node")).alias("home"), F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other"))
+    placed = open_prefix.join(homes.where("one <> other").drop("one", "other"), "posting")
+    at_home = placed.where(F.col("n") > BLOCK).groupBy("posting").agg(F.count_if(own).alias("n_home"))
+    cut = placed.join(at_home, "posting", "left")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    cut = cut.withColumns({"rest": F.coalesce(blocks(F.col("n") - F.col("n_home")), F.lit(1)), "homes": F.coalesce(blocks(F.col("n_home")), F.lit(0))})
+    drawn = F.xxhash64("node", "posting")
+    block = F.when(F.col("homes") == 0, 0).when(own, F.col("rest") + F.pmod(drawn, F.greatest("homes", F.lit(1)))).otherwise(F.pmod(drawn, "rest")).cast("int")
+    others = F.when(own & (F.col("homes") > 0), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("homes") - 1))
+    met = cut.withColumn("block", block).withColumn("other", F.explode(others))
+    return met.select("posting", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label")
+
+
+def open_pairs(classes: DataFrame, prefix: DataFrame, labels: DataFrame, percent: int, least: int) -> DataFrame:
+    """Pairs (u, v) of different components above the threshold, counted by merging postings."""
+    labelled = prefix.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("posting", "node", "label")
+    mine = prefix.groupBy("node").agg(F.collect_list("posting").alias("prefix"))
+    told = classes.select("node", "postings", F.col("n_shingles").alias("size")).join(mine, "node")
+    met = cells(labelled).join(told, "node").repartition("posting", "low", "high").sortWithinPartitions("posting", "low", "high")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (posting, low, high), rows in grouped(batches, ["posting", "low", "high"], ["node", "label", "block", "size", "postings", "prefix"]):
+            nodes, labels = [r[0] for r in rows], {}
+            told = {
+                "label": np.array([labels.setdefault((r[1]["a"], r[1]["b"]), len(labels)) for r in rows]), "block": np.array([r[2] for r in rows]), "size": np.array([r[3] for r in rows]),
+                "postings": np.array([r[4] for r in rows], dtype=np.int64),
+            }
+            told["prefix"] = np.array([np.isin(p, r[5]) for p, r in zip(told["postings"], rows, strict=True)])
+            found = list(Cell(told, percent, least).pairs(posting, low != high))
+            if found:
+                u, v = zip(*found, strict=True)
+                key = lambda ks: nodes_of([(nodes[k]["a"], nodes[k]["b"]) for k in ks])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([key(u), key(v)], ["u", "v"])
 
-def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int, agree: int = AGREE) -> DataFrame:
-    """Links (u, v) between classes of one cluster, a spanning forest for each two chunks.
+    columns = ["posting", "low", "high", "node", "label", "block", "size", "postings", "prefix"]
+    return met.select(columns).mapInArrow(run, f"u {NODE}, v {NODE}").distinct()
 
-    members: rep, cluster, n_shingles, key_a, key_b, coordinates. Their sets are made anew from the texts.
-    """
-    sizes = members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("total") / CHUNK).cast("int")
-    dealt = members.join(sizes, "cluster").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(dealt.select("rep", "cluster", "chunks", "chunk", "key_a", "key_b", "coordinates"), "rep")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each run of equal keys with its rows, over the borders of batches."""
+    rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in (*keys, *values)), strict=True))
+    for key, run in itertools.groupby(rows, key=lambda r: r[: len(keys)]):
+        yield key, [r[len(keys) :] for r in run]
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """node and set (its sorted hashes as bytes) of the classes in pairs, made anew from the text of their first document."""
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = classes.join(asked, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    texts = keyed.join(wanted, ["doc_id", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in slices(batches, "text"):
-            found = [shingler.of(x) for x in batch.column("text").to_pylist()]
-            # of rows that share a doc_id only those with the class's own set count
-            own = [set_key(x) == key for x, key in zip(found, zip(batch.column("key_a").to_pylist(), batch.column("key_b").to_pylist(), strict=True), strict=True)]
-            kept = [batch.column(c) for c in ("rep", "cluster", "chunks", "chunk", "coordinates")] + [pa.array([x.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(kept, ["rep", "cluster", "chunks", "chunk", "coordinates", "held"]).filter(pa.array(own))
-
-    made = texts.mapInArrow(sets, "rep long, cluster long, chunks int, chunk int, coordinates array<long>, held binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    met = made.withColumn("other", other).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    met = met.select("cluster", "low", "high", "rep", "held", "coordinates").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "rep")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["cluster", "low", "high"], ["rep", "held", "coordinates"]):
-            found = list(Group(rows).links(percent, agree)) if len(rows) > 1 else []
-            if found:
-                u, v = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            found = [shingler.of(x).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "set"])
+
+    return texts.mapInArrow(run, f"node {NODE}, set binary")
 
-    return met.mapInArrow(join, "u long, v long")
+
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) with 100 * shared >= percent * united; a class with very many partners is cut into parts."""
+    held = written(full_sets(docs, classes, pairs, width), "sets")
+    parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    right = held.join(parts, held["node"] == parts["v"]).select("v", F.col("set").alias("v_set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = dealt.join(right, ["v", "part"]).join(held.select(F.col("node").alias("u"), F.col("set").alias("u_set")), "u").select("u", "v", "u_set", "v_set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for a, b in zip(batch.column("u_set"), batch.column("v_set"), strict=True):
+                x, y = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+    found = written(met.mapInArrow(run, f"u {NODE}, v {NODE}"), "links")
+    dropped(held)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links are sets with 100 * shared >= percent * united."""
-    count = coordinates(percent / 100)
-    rows = written(signed(docs, width, count), "signatures")
-    key = ["key_a", "key_b", "n_shingles"]
-    classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("coordinates").alias("coordinates")), "classes")
-    members = written(classes.join(clusters(classes, count), "rep"), "members")
-    joined = components(written(confirmed(docs, members, width, percent), "links"))
-    named = classes.drop("coordinates").join(joined, classes["rep"] == joined["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where("n_shingles > 0").join(named, key, "left").select("doc_id", "n_shingles", "component_id")
-    result = linked.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return one_node(result)
-
-
-def one_node(result: DataFrame) -> DataFrame:
-    """Rows with one doc_id but different texts are one node: the least of their components is everyone's."""
-    ties = result.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("u"), F.max("component_id").alias("v")).where("u <> v").select("u", "v")
-    moved = components(written(ties, "ties"))
-    final = result.join(moved, result["component_id"] == moved["node"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "component_id")))
-    return final.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    least = threshold(percent / 100)
+    rows = written(signed(docs, width), "signatures")
+    named = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = written(named.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("postings").alias("postings")), "classes")
+    prefix = written(prefixes(classes, least), "prefixes")
+    ties = written(alike(classes, pivot_pairs(prefix), percent, least), "ties")
+    links = confirmed(docs, classes, ties, width, percent)
+    first = components(links)
+    pairs = written(open_pairs(classes, prefix, first, percent, least), "pairs")
+    more = confirmed(docs, classes, pairs, width, percent)
+    same_id = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("one")).where("u <> one").select("doc_id", "u")
+    same_id = named.join(same_id, "doc_id").select("u", F.col("node").alias("v")).where("u <> v").distinct()
+    joined = components(links.union(more).union(same_id))
+    of = classes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "first.doc_id")
+    least_id = of.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    told = written(of.join(least_id, "group").select("node", "component_id"), "components")
+    dropped(classes, prefix, ties, first, pairs, links, more, joined)
+    linked = named.join(told, "node").select("doc_id", "n_shingles", "component_id")
+    empty = rows.where("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles")
+    other = linked.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("own"))
+    alone = empty.join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("component_id"))
+    no_id = rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    result = linked.union(alone).union(no_id)
+    return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of documents that are kept, one for each doc_id; rows without a doc_id stay."""
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    same = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    one = same.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "text"))).where("_place = 1").drop("_place")
-    return one.union(docs.where("doc_id is null"))
+    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("length"), F.xxhash64("text").alias("hash"))
+    same = row.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    one = same.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("length"), "hash"))).where("place = 1")
+    return one.union(row.where("doc_id is null").withColumn("place", F.lit(1))).select("row.*")
+
+
+#: The same rows in DuckDB: all pairs that share a shingle.
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: w[k : k + 2]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS met FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * met >= 85 * (x.n + y.n - met)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, CASE WHEN l.u = r.b THEN l.v ELSE l.u END FROM reached r JOIN links l ON r.b = l.u OR r.b = l.v),
+groups AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN groups g ON g.doc_id = d.doc_id
+"""

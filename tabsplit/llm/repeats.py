@@ -258,7 +258,7 @@ def merged(runs: DataFrame) -> DataFrame:
                 yield key_a, key_b, pos - high, pos - low + LENGTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["range"], ["run"]):
+        for _, rows in grouped(batches, ["range"], ["run"]):
             group: list = []
             out: list[tuple] = []
             for shared, suffix, payload in LoserTree([decoded(r[0]) for r in rows]):

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -69,17 +70,43 @@ def test_near_duplicates_against_all_pairs(documents, odd_rows, width, percent):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in found)
 
 
-def test_chunks_of_a_cluster_lose_no_link(documents, monkeypatch):
-    monkeypatch.setattr(neardup, "CHUNK", 64)
-    rows = copies(2, 6)
+def test_blocks_of_a_posting_lose_no_link(documents, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "TIES", 1)
+    rows = copies(2, 6) + family(3, 30)
     found = neardup.near_duplicates(documents(rows), 3, 85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == near_components(rows, 3, 85)
 
 
-def test_coordinates_miss_at_most_one_in_a_million():
+def family(seed, n, first=5000):
+    """Near copies of one text, of which some are linked with each other and others are not."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(n):
+        changed = list(base)
+        for _ in range(rng.randint(0, 9)):
+            changed[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((first + k, " ".join(changed)))
+    return rows
+
+
+def test_ids_that_share_two_texts_with_near_copies(documents):
+    rng = random.Random(4)
+    rows = []
+    for k in range(0, 200, 10):
+        a, b = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        rows += [(k + 1, " ".join(a)), (k + 1, " ".join(b)), (k + 3, " ".join(a[1:])), (k + 4, " ".join([*b, "more"])), (k + 1, None)]
+    found = neardup.near_duplicates(documents(rows), 5, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == near_components(rows, 5, 80)
+    assert all(r.component_id == r.doc_id // 10 * 10 + 1 for r in found)
+
+
+def test_threshold_misses_at_most_one_in_a_million():
     for similarity in (0.8, 0.85, 0.9):
-        n, p = neardup.coordinates(similarity), similarity**neardup.ROWS
-        assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) <= 1e-6
+        t, p = neardup.threshold(similarity), similarity**neardup.ROWS
+        below = [sum(math.comb(neardup.COORDINATES, k) * p**k * (1 - p) ** (neardup.COORDINATES - k) for k in range(n)) for n in (t, t + 1)]
+        assert below[0] <= neardup.MISSED < below[1]
 
 
 def removed_bytes(rows):
