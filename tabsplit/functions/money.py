@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsplit.functions.rules import BEGIN, END, SYMBOLS
 
+# Currencies before an amount, the largest safe whole number, and below, numeric runs and the tails of names.
 PREFIX = rf"(?i)^(?:Rs\.?|INR|USD|EUR|GBP|[{SYMBOLS}])\s*"
 SAFE = 2**53 - 1
 #: Stand-ins for a corrected zero and one until all neighbours have been looked at.
@@ -14,6 +15,9 @@ ZERO, ONE = "\ue000", "\ue001"
 #: A numeric run of a line without geometry, with the currency before it.
 RUN = r"(?i)(?:Rs\.?|INR|USD|EUR|GBP|[$])?\s*-?[0-9OIL]+(?:[,.']\s*[0-9OIL]+)?"
 
+#: What reading leaves at the ends of a name.
+NAME_TAILS = (r"^[0-9]+\s+", r"\s+\[?[Ii]\s*=?\s*$", r"[\s:;\-=\[\]]+$", r"\s+[Ii](?:\s+[^A-Za-z0-9]+)*$", r"\s+[a-z]$")
+
 
 def corrected(text: Column) -> Column:
     """O and I or l beside a digit, point or comma become 0 and 1."""
@@ -61,22 +65,27 @@ def label_of(text: Column) -> Column:
 def clean_item_name(text: Column) -> Column:
     """A row's text without its numbers and the tails that reading leaves behind."""
     name = F.trim(F.regexp_replace(F.regexp_replace(text, rf"(?:[{SYMBOLS}]\s*)?[0-9]+(?:[.,][0-9]+)?", " "), r"\s+", " "))
-    for tail in (r"^[0-9]+\s+", r"\s+\[?[Ii]\s*=?\s*$", r"[\s:;\-=\[\]]+$", r"\s+[Ii](?:\s+[^A-Za-z0-9]+)*$", r"\s+[a-z]$"):
+    for tail in NAME_TAILS:
         name = F.regexp_replace(name, tail, "")
     return F.trim(name)
 
 
 def merged_tokens(tokens: Column) -> Column:
-    """Token texts with a decimal split over two of them joined: "650." and "00"."""
-    opens = lambda i: F.get(tokens, i).rlike(r"[0-9][.,]$") & F.coalesce(F.get(tokens, i + 1).rlike(r"^[0-9]{2}$"), F.lit(False))
+    """Tokens (text, x, width, confidence) with a decimal split over two of them joined: "650." and "00"; the first one's place stays."""
+    opens = lambda i: F.get(tokens, i)["text"].rlike(r"[0-9][.,]$") & F.coalesce(F.get(tokens, i + 1)["text"].rlike(r"^[0-9]{2}$"), F.lit(False))
     taken = lambda i: (i > 0) & opens(i - 1)
     places = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: ~taken(i))
-    return F.when(F.size(tokens) == 0, tokens).otherwise(F.transform(places, lambda i: F.when(opens(i), F.concat(F.get(tokens, i), F.get(tokens, i + 1))).otherwise(F.get(tokens, i))))
+    text = lambda i: F.when(opens(i), F.concat(F.get(tokens, i)["text"], F.get(tokens, i + 1)["text"])).otherwise(F.get(tokens, i)["text"])
+    right = lambda i: (F.get(tokens, i)["x"] + F.get(tokens, i)["width"]).cast("double")
+    one = lambda i: F.struct(text(i).alias("text"), right(i).alias("right"), F.get(tokens, i)["confidence"].cast("double").alias("confidence"))
+    return F.when(F.size(tokens) > 0, F.transform(places, one)).otherwise(F.array().cast("array<struct<text: string, right: double, confidence: double>>"))
 
 
 def token_amounts(tokens: Column) -> Column:
-    """Amount texts among a line's tokens, in order."""
-    return F.filter(merged_tokens(tokens), lambda t: is_amount_like(t) & ~is_rate_annotation(t) & parse_money(t).isNotNull())
+    """The amounts among a line's tokens, in order: text, cents, right edge and confidence."""
+    like = F.filter(merged_tokens(tokens), lambda t: is_amount_like(t["text"]) & ~is_rate_annotation(t["text"]))
+    priced = F.transform(like, lambda t: F.struct(t["text"].alias("text"), parse_money(t["text"]).alias("cents"), t["right"].alias("right"), t["confidence"].alias("confidence")))
+    return F.filter(priced, lambda t: t["cents"].isNotNull())
 
 
 def text_amounts(text: Column) -> Column:

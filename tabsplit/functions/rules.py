@@ -31,6 +31,7 @@ METADATA = [
     (r"\d{1,4}[-/]\d{1,2}[-/]\d{2,4}", True, True),
     (r"\d{1,2}:\d{2}(?::\d{2})?", True, True),
 ]
+# Fixed values. Words of a header row: the subject with a column, or one of each pair; totals of quantities; payments that are totals.
 SUBJECT, COLUMN = r"items?|descriptions?|particulars?|product", r"qty|quantity|rate|price|amount|amt|value"
 PAIR_FIRST, PAIR_SECOND = r"qty|quantity|oty|qly", r"rate|price|amount|amt|value"
 TOTAL_QTY = r"^\s*total\s+(?:qty|quantity)"
@@ -67,10 +68,9 @@ def looks_like_identifier(text: Column) -> Column:
 
 
 def is_metadata(text: Column) -> Column:
-    found = looks_like_identifier(text)
-    for body, begin, end in METADATA:
-        found = text.rlike(worded(body, begin, end)) | found
-    return found
+    """All patterns in one pass; a mark of case at the head of each would hold for the rest too."""
+    joined = "|".join(worded(*x).removeprefix("(?i)") for x in METADATA)
+    return text.rlike(f"(?i){joined}") | looks_like_identifier(text)
 
 
 def is_item_header(text: Column) -> Column:
@@ -87,19 +87,28 @@ CLASSES = [("header", 86), ("header", 92), *((s, c) for s, _, c in KEYWORDS), ("
 ITEM_HEADER = 1
 
 
-def classify(text: Column, seen_summary: Column) -> Column:
-    """The code of a line's class, by the strict order of the rules."""
-    after = 2 + len(KEYWORDS)
+#: The code of metadata, and of the first class that depends on what came above.
+METADATA_CODE = 2 + len(KEYWORDS)
+OPEN = METADATA_CODE + 1
+
+
+def reading(text: Column) -> Column:
+    """What a line says by itself: the code of its class by the strict order of the rules, OPEN if `seen` decides; whether it
+    could be an item or, by its letters, a footer; and whether it has a word."""
     letters, digits = F.regexp_count(text, F.lit("[A-Za-z]")), F.regexp_count(text, F.lit("[0-9]"))
-    found = F.when(text.rlike(f"(?i){TOTAL_QTY}{END}"), 0).when(is_item_header(text), ITEM_HEADER)
-    for code, (_, body, _) in enumerate(KEYWORDS, 2):
-        found = found.when(text.rlike(worded(body)), code)
-    return (
-        found.when(is_metadata(text), after)
-        .when((letters > 1) & (digits > 0) & has_name_word(text) & ~seen_summary, after + 1)
-        .when(seen_summary & (letters > 3), after + 2)
-        .otherwise(after + 3)
-    )
+    word = F.lit(OPEN)
+    for code, (_, body, _) in reversed(list(enumerate(KEYWORDS, 2))):
+        word = F.when(text.rlike(worded(body)), code).otherwise(word)
+    # most lines have no keyword: one pattern of all tells
+    any_word = text.rlike(worded("|".join(body for _, body, _ in KEYWORDS)))
+    code = F.when(text.rlike(f"(?i){TOTAL_QTY}{END}"), 0).when(is_item_header(text), ITEM_HEADER).when(any_word, word).when(is_metadata(text), METADATA_CODE).otherwise(OPEN)
+    named = has_name_word(text)
+    return F.struct(code.alias("code"), ((letters > 1) & (digits > 0) & named).alias("itemlike"), (letters > 3).alias("wordy"), named.alias("named"))
+
+
+def settled(code: Column, itemlike: Column, wordy: Column, seen_summary: Column) -> Column:
+    """The code of a line's class, knowing whether a summary row came above."""
+    return F.when(code < OPEN, code).when(itemlike & ~seen_summary, OPEN).when(seen_summary & wordy, OPEN + 1).otherwise(OPEN + 2)
 
 
 def section_of(code: Column) -> Column:

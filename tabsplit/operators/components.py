@@ -1,28 +1,54 @@
-"""Connected components by passing the least label to neighbours; every round is checkpointed."""
+"""Connected components of links between identifiers of any orderable type, by alternating large and small stars."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 200
+from tabsplit.shared import dropped, written
+
+MOST_ROUNDS = 60
+
+
+def large_star(links: DataFrame) -> DataFrame:
+    """Each larger neighbour of a node is tied to the least of the node and its neighbours."""
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+
+def small_star(links: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are tied to the least of those."""
+    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def mark(links: DataFrame) -> tuple:
+    """A count and a sum that change with the links; one row reaches the driver."""
+    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], row["s"]
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and component, the least node that it reaches, of links (u, v). Rounds are as many as the longest shortest path;
-    labels jump along their own labels, so about its logarithm."""
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    both = links.union(links.select("v", "u")).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")).checkpoint()
+    """node and component, its component's least node, for every node of the links (u, v); the least has its own row too.
+
+    Each round is written to the shared folder, so that plans stay short and lost executors cost one round; the round before
+    is deleted then. Rows of a hub are two identifiers each, and AQE splits its join where they are too many.
+    """
+    stars = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    before = mark(stars)
     for _ in range(MOST_ROUNDS):
-        seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("around"))
-        own = labels.alias("a").join(seen, F.col("a.node") == F.col("u")).select("a.node", F.least("a.component", "around").alias("component"), F.col("a.component").alias("before"))
-        jumped = own.alias("o").join(own.select(F.col("node").alias("n"), F.col("component").alias("c")), F.col("o.component") == F.col("n")).select("o.node", F.least("o.component", "c").alias("component"), "o.before").checkpoint()
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> before").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+        last, stars = stars, written(small_star(large_star(stars)), "stars")
+        dropped(last)
+        now = mark(stars)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    members = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = written(members.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    dropped(stars)
+    return found

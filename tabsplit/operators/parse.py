@@ -1,139 +1,176 @@
-"""Receipt lines to items and totals: classification with a running summary flag, the item scan, and reconciliation."""
+"""Receipt lines to items and totals: classification with a running summary flag, the item scan, and reconciliation.
 
-from __future__ import annotations
+Lines are (bill_id, line_no, line), and where a reading has geometry also `tokens`, an array of (text, x, width, confidence)
+from left to right. Every line is read once, into one struct; what follows are windows and sums by bill, which share the
+lines' one shuffle.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsplit.functions import money as m
 from tabsplit.functions import rules
+from tabsplit.functions.columns import half_up, let
 
 MOST_QUANTITY, TOLERANCE = 50, 1
-ITEM_SCHEMA = "bill_id long, item_no long, pending array<long>, anchors array<long>"
+#: Confidences without any of the tokens', in ten-thousandths: of an amount, of an item row, without a quantity, without a unit price.
+BASELINE, ROW_BASELINE, NO_QUANTITY, NO_UNIT = 7500, 7000, 2500, 1000
+#: A payment's share of its confidence as a total, and a derived unit price's, in hundredths.
+AS_TOTAL, DERIVED = 72, 82
+#: How far an amount's right edge may lie from the column: pixels, or a share of the image's width.
+NEAR, NEAR_SHARE, WIDTH = 24.0, 0.045, 1000
+AMOUNT = "struct<text: string, cents: bigint, right: double, confidence: double>"
 
 
-def with_amounts(lines: DataFrame) -> DataFrame:
-    """Lines with their amount texts and minor units."""
-    known = lines.withColumn("amounts", m.text_amounts(F.col("line")))
-    return known.withColumn("cents", F.transform("amounts", m.parse_money))
+def confidence(tokens: Column, baseline: int) -> Column:
+    """Mean of the confidences that are known, in percent, as ten-thousandths from 0 to 10000; else the baseline."""
+    known = F.filter(F.transform(tokens, lambda t: t["confidence"]), lambda c: c.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, c: a + c) / F.size(known)
+    return F.coalesce(F.when(F.size(known) > 0, F.least(F.greatest(half_up(mean * 100), F.lit(0)), F.lit(10000))), F.lit(baseline)).cast("long")
 
 
-def seen_summary(lines: DataFrame) -> DataFrame:
-    """Lines with `seen`: whether a summary row with an amount came after the last header row above.
+def amounts_of(line: Column, tokens: Column | None) -> Column:
+    """The amounts of a line: of its tokens where it has several, else of its text."""
+    told = lambda t: F.struct(t.alias("text"), m.parse_money(t).alias("cents"), F.lit(None).cast("double").alias("right"), F.lit(None).cast("double").alias("confidence"))
+    of_text = F.when(line.rlike("[0-9]"), F.transform(m.text_amounts(line), told)).otherwise(F.array().cast(f"array<{AMOUNT}>"))
+    return of_text if tokens is None else F.when(F.size(tokens) > 1, m.token_amounts(tokens)).otherwise(of_text)
 
-    The flag changes only classes that never set it, so one pass without it tells the events.
-    """
-    known = lines.withColumn("_kind", rules.classify(F.col("line"), F.lit(False)))
-    sums = [k for k, (section, _) in enumerate(rules.CLASSES) if section in rules.SUMMARY_SECTIONS]
-    event = F.when(F.col("_kind") == rules.ITEM_HEADER, False).when(F.col("_kind").isin(sums) & (F.size("amounts") > 0), True)
-    above = Window.partitionBy("bill_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return known.withColumn("_event", event).withColumn("seen", F.coalesce(F.last("_event", ignorenulls=True).over(above), F.lit(False))).drop("_kind", "_event")
+
+def in_column(amounts: Column, column: Column, width: Column) -> Column:
+    """Whether an amount ends near the column; so does one without a place, and any where no column is known."""
+    near = F.greatest(F.lit(NEAR), F.coalesce(width, F.lit(WIDTH)) * NEAR_SHARE)
+    return (F.size(amounts) > 0) & (column.isNull() | F.exists(amounts, lambda a: a["right"].isNull() | (F.abs(a["right"] - column) <= near)))
+
+
+def with_amounts(lines: DataFrame) -> DataFrame:
+    """Lines with their amounts: text, minor units, right edge and confidence."""
+    tokens = F.col("tokens") if "tokens" in lines.columns else None
+    return lines.withColumn("amounts", amounts_of(F.col("line"), tokens))
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """Lines with amounts, seen, section, confidence and item_header."""
-    known = seen_summary(with_amounts(lines))
-    kind = F.col("_kind")
-    known = known.withColumn("_kind", rules.classify(F.col("line"), F.col("seen")))
-    return known.withColumns({"section": rules.section_of(kind), "confidence": rules.confidence_of(kind), "item_header": kind == rules.ITEM_HEADER}).drop("_kind")
-
-
-def flagged(known: DataFrame) -> DataFrame:
-    """What the item scan asks of a line."""
-    line = F.col("line")
-    bare = ~rules.has_name_word(line) & (F.size("amounts") > 0)
-    return known.withColumns({"bare": bare, "metadata": rules.is_metadata(line), "named": rules.has_name_word(line)})
-
-
-def scan(rows: list[dict]) -> list[tuple[list[int], list[int]]]:
-    """(pending, anchors) line numbers of each item row of one receipt, in order: a buffer of names that an amount closes."""
-    found, pending, inside = [], [], False
-    has_header = any(r["item_header"] for r in rows)
-    anchored = lambda r: r["section"] == "unknown" and r["bare"]
-    # whether a line is above the flag's last setting as a whole, as the scan looks at the final state
-    seen = rows[-1]["seen"] or (rows[-1]["section"] in rules.SUMMARY_SECTIONS and rows[-1]["amounts"] > 0) if rows else False
-    i = 0
-    while i < len(rows):
-        r = rows[i]
-        i += 1
-        if r["item_header"]:
-            inside, pending = True, []
-        elif r["section"] == "header":
-            pending = []
-        elif r["section"] in rules.SUMMARY_SECTIONS or r["section"] == "footer":
-            inside = False
-        elif (anchored(r) or (r["section"] == "item" and r["amounts"] > 0)) and (inside or not has_header):
-            anchors = [r["line_no"]]
-            while anchored(r) and i < len(rows) and anchored(rows[i]):
-                anchors.append(rows[i]["line_no"])
-                i += 1
-            found.append((pending, anchors))
-            pending = []
-        elif (inside or not seen) and not r["metadata"] and (r["named"] or r["bare"]):
-            pending.append(r["line_no"])
-    return found
+    """Lines with amounts, seen, section, confidence, item_header, named and bare.
 
+    `seen` tells whether a summary row with an amount came after the last header row above. It changes only classes that
+    never set it, so a line's class is read once, but for the choice that depends on `seen`.
+    """
+    tokens = F.col("tokens") if "tokens" in lines.columns else None
+    whole = lines.select(*lines.columns, let(F.col("line"), lambda x: F.struct(amounts_of(x, tokens).alias("amounts"), rules.reading(x).alias("r"))).alias("_read"))
+    read = whole.select(*lines.columns, "_read.amounts", "_read.r.code", "_read.r.itemlike", "_read.r.wordy", "_read.r.named")
+    sums = [k for k, (section, _) in enumerate(rules.CLASSES) if section in rules.SUMMARY_SECTIONS]
+    event = F.when(F.col("code") == rules.ITEM_HEADER, False).when(F.col("code").isin(sums) & (F.size("amounts") > 0), True)
+    order = Window.partitionBy("bill_id").orderBy("line_no")
+    seen = F.coalesce(F.last("_event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    end = F.coalesce(F.last("_event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(False))
+    known = read.withColumn("_event", event).withColumns({"seen": seen, "seen_at_end": end})
+    kind = rules.settled(F.col("code"), F.col("itemlike"), F.col("wordy"), F.col("seen"))
+    known = known.withColumn("_kind", kind).withColumns({"section": rules.section_of(F.col("_kind")), "confidence": rules.confidence_of(F.col("_kind"))})
+    known = known.withColumns({"item_header": F.col("_kind") == rules.ITEM_HEADER, "bare": ~F.col("named") & (F.size("amounts") > 0)})
+    return known.drop("_event", "_kind", "code", "itemlike", "wordy")
 
-def item_rows(known: DataFrame) -> DataFrame:
-    """bill_id, item_no, pending, anchors: the lines of each candidate item, one receipt at a time."""
-    asked = ["line_no", "section", "item_header", "seen", "bare", "metadata", "named", F.size("amounts").alias("amounts")]
-    receipts = flagged(known).groupBy("bill_id").agg(F.array_sort(F.collect_list(F.struct(*asked))).alias("rows"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(bill, k, p, a) for bill, rows in zip(batch.column("bill_id").to_pylist(), batch.column("rows").to_pylist(), strict=True) for k, (p, a) in enumerate(scan(rows), 1)]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bill_id", "item_no", "pending", "anchors"])
+def item_lines(known: DataFrame) -> DataFrame:
+    """The lines of each candidate item, of classified lines: known's columns with item_no and anchor.
 
-    return receipts.mapInArrow(run, ITEM_SCHEMA)
+    Rows that print an amount in the column (anchors) close an item, a run of bare amounts closes one item together. Lines
+    above it that name something, or are bare numbers, belong to it, unless a header line lies between. Where the receipt has a
+    header row of its items, anchors count between it and the next summary only.
+
+    known may have amount_column and image_width beside what classified() gives.
+    """
+    order = Window.partitionBy("bill_id").orderBy("line_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summary = F.col("section").isin(rules.SUMMARY_SECTIONS) | (F.col("section") == "footer")
+    inside = F.coalesce(F.last(F.when(F.col("item_header"), True).when(summary, False), ignorenulls=True).over(upto), F.lit(False))
+    column = F.col("amount_column") if "amount_column" in known.columns else F.lit(None).cast("long")
+    width = F.col("image_width") if "image_width" in known.columns else F.lit(None).cast("long")
+    placed = in_column(F.col("amounts"), column, width)
+    bare_anchor = (F.col("section") == "unknown") & F.col("bare") & placed
+    told = known.withColumns({
+        "_inside": inside, "_gated": F.max("item_header").over(whole), "_bare": bare_anchor, "_item": (F.col("section") == "item") & placed,
+        "_reset": F.count_if(F.col("section") == "header").over(upto),
+    })
+    told = told.withColumn("anchor", (F.col("_bare") | F.col("_item")) & (F.col("_inside") | ~F.col("_gated")))
+    begins = F.col("anchor") & ~(F.col("_bare") & F.coalesce(F.lag("_bare").over(order), F.lit(False)))
+    open_ = ~F.col("anchor") & (F.col("section") != "header") & ~summary & (F.col("_inside") | ~F.col("seen_at_end")) & (F.col("named") | F.col("bare"))
+    told = told.withColumns({"_begins": begins, "_open": open_})
+    told = told.withColumn("item_no", F.count_if("_begins").over(upto) + F.when(F.col("anchor"), 0).otherwise(1))
+    at = F.max(F.when(F.col("_begins"), F.col("_reset"))).over(Window.partitionBy("bill_id", "item_no"))
+    return told.withColumn("_at", at).where((F.col("anchor") | F.col("_open")) & (F.col("_at") == F.col("_reset"))).drop("_inside", "_gated", "_bare", "_item", "_begins", "_open", "_at", "_reset")
 
 
 def resolve(texts: Column, cents: Column) -> Column:
     """qty, unit_cents and whether the price was derived, by the number of an item's amounts and their places."""
     total, rate, second = F.element_at(cents, -1), F.get(cents, F.size(cents) - 2), F.get(cents, F.lit(0))
-    q = m.parse_quantity(F.get(texts, F.lit(0)))
     made = lambda qty, unit, derived: F.struct(qty.cast("long").alias("qty"), unit.cast("long").alias("unit_cents"), F.lit(derived).alias("derived"))
     near = lambda a, b: F.abs(a - b) <= TOLERANCE
     nothing = made(F.lit(None), F.lit(None), True)
-    derived = made(q, F.expr("0") + F.floor(total / q + 0.5), True)
-    several = F.when(q.isNull(), nothing).when(near(q * rate, total) | near(q * rate, total / 100) | near(q * rate, total * 100), made(q, rate, False)).when(total % q == 0, derived).otherwise(nothing)
-    two = F.when(second == total, made(F.lit(1), total, False)).when(q.isNotNull() & (total % q == 0), derived).otherwise(nothing)
-    return F.when(F.size(cents) >= 3, several).when(F.size(cents) == 2, two).otherwise(nothing)
+
+    def chosen(q: Column) -> Column:
+        derived = made(q, F.expr("0") + half_up(total / q), True)
+        several = F.when(q.isNull(), nothing).when(near(q * rate, total) | near(q * rate, total / 100) | near(q * rate, total * 100), made(q, rate, False)).when(total % q == 0, derived).otherwise(nothing)
+        two = F.when(second == total, made(F.lit(1), total, False)).when(q.isNotNull() & (total % q == 0), derived).otherwise(nothing)
+        return F.when(F.size(cents) >= 3, several).when(F.size(cents) == 2, two).otherwise(nothing)
+
+    return let(m.parse_quantity(F.get(texts, F.lit(0))), chosen)
+
+
+def plausible(qty: Column) -> Column:
+    return qty.isNull() | (qty <= MOST_QUANTITY)
+
+
+def item_rows(known: DataFrame) -> DataFrame:
+    """bill_id, item_no, text, amounts, pending and anchors (numbers of lines), and tokens where lines have them: one row a candidate item."""
+    counts = F.col("anchor") | F.col("bare")
+    none = F.array().cast(f"array<{AMOUNT}>")
+    parts = [F.when(F.col("anchor"), 1).otherwise(0).alias("a"), "line_no", "line", F.when(counts, F.col("amounts")).otherwise(none).alias("amounts")]
+    if "tokens" in known.columns:
+        parts.append(F.coalesce("tokens", F.array().cast(dict(known.dtypes)["tokens"])).alias("tokens"))
+    whole = item_lines(known).groupBy("bill_id", "item_no").agg(F.array_sort(F.collect_list(F.struct("line_no", F.struct(*parts).alias("p")))).alias("x"))
+    flat = whole.select("bill_id", "item_no", F.transform("x", lambda x: x["p"]).alias("x"))
+    more = [F.flatten("x.tokens").alias("tokens")] if "tokens" in known.columns else []
+    text = F.trim(F.regexp_replace(F.array_join("x.line", " "), r"\s+", " "))
+    anchors = F.size(F.filter("x", lambda x: x["a"] == 1))
+    return flat.select("bill_id", "item_no", text.alias("text"), F.flatten("x.amounts").alias("amounts"), (F.size("x") - anchors).alias("pending"), anchors.alias("anchors"), *more)
 
 
 def parsed_items(known: DataFrame) -> DataFrame:
-    """bill_id, item_no, name, qty, unit_cents, total_cents, derived: what the scanned rows hold, without those that are none."""
+    """bill_id, item_no, name, qty, unit_cents, total_cents, derived, and confidences in ten-thousandths of the row, the
+    quantity and the unit price: what the scanned rows hold, without those that are none."""
     rows = item_rows(known)
-    used = rows.select("bill_id", "item_no", F.posexplode(F.concat("pending", "anchors")).alias("place", "line_no"), F.size("pending").alias("first"))
-    told = used.join(known.select("bill_id", "line_no", "line", "amounts", "cents", (~rules.has_name_word(F.col("line")) & (F.size("amounts") > 0)).alias("bare")), ["bill_id", "line_no"])
-    counts = (F.col("place") >= F.col("first")) | F.col("bare")
-    none_text, none_cents = F.array().cast("array<string>"), F.array().cast("array<bigint>")
-    whole = told.groupBy("bill_id", "item_no").agg(F.array_sort(F.collect_list(F.struct("place", "line", F.when(counts, F.col("amounts")).otherwise(none_text).alias("texts"), F.when(counts, F.col("cents")).otherwise(none_cents).alias("cents")))).alias("x"))
-    flat = whole.select("bill_id", "item_no", F.trim(F.regexp_replace(F.array_join("x.line", " "), r"\s+", " ")).alias("text"), F.flatten("x.texts").alias("texts"), F.flatten("x.cents").alias("cents"))
-    kept = flat.where(rules.has_name_word(F.col("text")) & ~rules.is_metadata(F.col("text")) & (F.size("cents") > 0)).where(F.element_at("cents", -1) > 0)
-    known_items = kept.withColumn("r", F.get(F.transform(F.array(F.struct("texts", "cents")), lambda x: resolve(x["texts"], x["cents"])), F.lit(0))).withColumn("name", m.clean_item_name(F.col("text")))
-    good = known_items.where((F.col("r.qty").isNull() | (F.col("r.qty") <= MOST_QUANTITY)) & rules.has_name_word(F.col("name")))
-    number = F.row_number().over(Window.partitionBy("bill_id").orderBy("item_no"))
-    return good.select("bill_id", number.cast("long").alias("item_no"), "name", "r.qty", "r.unit_cents", F.element_at("cents", -1).alias("total_cents"), "r.derived")
+    certain = confidence(F.col("tokens"), ROW_BASELINE) if "tokens" in rows.columns else F.lit(ROW_BASELINE).cast("long")
+
+    def told(text: Column, amounts: Column) -> Column:
+        cents = F.transform(amounts, lambda a: a["cents"])
+        good = (F.size(amounts) > 0) & (F.element_at(cents, -1) > 0) & rules.has_name_word(text) & ~rules.is_metadata(text)
+        return F.when(good, F.struct(resolve(F.transform(amounts, lambda a: a["text"]), cents).alias("r"), m.clean_item_name(text).alias("name"), F.element_at(cents, -1).alias("total_cents")))
+
+    read = rows.select("bill_id", "item_no", let(F.struct("text", "amounts"), lambda x: told(x["text"], x["amounts"])).alias("t"), certain.alias("confidence"))
+    flat = read.select("bill_id", "item_no", "t.name", "t.r.qty", "t.r.unit_cents", "t.total_cents", "t.r.derived", "confidence")
+    good = flat.where(F.col("name").isNotNull() & plausible(F.col("qty"))).where(rules.has_name_word(F.col("name")))
+    number = F.row_number().over(Window.partitionBy("bill_id").orderBy("item_no")).cast("long")
+    unit = F.when(F.coalesce("unit_cents", F.lit(0)) == 0, NO_UNIT).when(F.col("derived"), half_up(F.col("confidence") * DERIVED / 100)).otherwise(F.col("confidence"))
+    return good.withColumns({"item_no": number, "qty_confidence": F.when(F.coalesce("qty", F.lit(0)) == 0, NO_QUANTITY).otherwise(F.col("confidence")).cast("long"), "unit_confidence": unit.cast("long")})
 
 
 def summary_rows(known: DataFrame) -> DataFrame:
     """bill_id, line_no, kind, label, amount and confidence in ten-thousandths; a payment may also be a total candidate."""
-    last = F.element_at("cents", -1)
-    rows = known.where(F.col("section").isin(rules.SUMMARY_SECTIONS) & (F.size("cents") > 0))
-    one = lambda kind, amount, confidence: F.struct(F.lit(kind).alias("kind"), amount.alias("amount"), F.lit(confidence).alias("confidence"))
-    kinds = F.array(
-        *(F.when(F.col("section") == s, one(s, last, 7500)) for s in ("subtotal", "tax", "service_charge", "adjustment", "total")),
-        F.when(F.col("section") == "discount", one("discount", -F.abs(last), 7500)),
-        F.when((F.col("section") == "payment") & F.col("line").rlike(rules.worded(rules.PAID)), one("total", last, 5400)),
-    )
-    label = m.label_of(F.col("line"))
-    told = rows.select("bill_id", "line_no", F.when(label == "", F.col("line")).otherwise(label).alias("label"), F.filter(kinds, lambda x: x.isNotNull()).alias("k"))
-    return told.select("bill_id", "line_no", "label", F.inline("k"))
+    rows = known.where(F.col("section").isin(rules.SUMMARY_SECTIONS) & (F.size("amounts") > 0))
+    paid = F.col("line").rlike(rules.worded(rules.PAID))
+    kind = F.when(F.col("section") != "payment", F.col("section")).when(paid, "total")
+    last = F.element_at("amounts", -1)
+    told = rows.select("bill_id", "line_no", "section", "line", kind.alias("kind"), last["cents"].alias("cents"), confidence(F.array(last), BASELINE).alias("sure")).where("kind IS NOT NULL")
+    amount = F.when(F.col("section") == "discount", adjust_to_negative(F.col("cents"))).otherwise(F.col("cents"))
+    sure = F.when(F.col("section") == "payment", half_up(F.col("sure") * AS_TOTAL / 100)).otherwise(F.col("sure"))
+    label = let(m.label_of(F.col("line")), lambda x: F.when(x == "", F.col("line")).otherwise(x))
+    return told.select("bill_id", "line_no", "kind", label.alias("label"), amount.alias("amount"), sure.cast("long").alias("confidence"))
+
+
+def adjust_to_negative(cents: Column) -> Column:
+    return -F.abs(cents)
 
 
 def tax_total(taxes: DataFrame) -> DataFrame:
@@ -149,14 +186,18 @@ def parse_receipts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = classified(lines)
     items = parsed_items(known)
     rows = summary_rows(known)
+    taxes = F.array_sort(F.collect_list(F.when(F.col("kind") == "tax", F.struct("line_no", "amount"))))
     first = lambda kind: F.min_by("amount", F.when(F.col("kind") == kind, F.col("line_no")))
     best = F.min_by("amount", F.when(F.col("kind") == "total", F.struct(-F.col("confidence"), F.col("line_no"))))
     of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("amount"))), F.lit(0))
-    sums = rows.groupBy("bill_id").agg(first("subtotal").alias("printed"), of("service_charge").alias("charge_cents"), of("discount", "adjustment").alias("adjustment_cents"), best.alias("total_cents"))
+    sums = rows.groupBy("bill_id").agg(first("subtotal").alias("printed"), of("tax").alias("all_tax"), taxes.alias("taxes"), of("service_charge").alias("charge_cents"), of("discount", "adjustment").alias("adjustment_cents"), best.alias("total_cents"))
+    aggregate = F.filter("taxes", lambda t: (F.size("taxes") >= 3) & (F.abs(2 * t["amount"] - F.col("all_tax")) <= TOLERANCE))
+    sums = sums.withColumn("tax_cents", F.col("all_tax") - F.coalesce(F.get(aggregate, F.lit(0))["amount"], F.lit(0))).drop("taxes", "all_tax")
     made = items.groupBy("bill_id").agg(F.sum("total_cents").alias("items_cents"), F.count("*").alias("n_items"))
-    currency = lines.groupBy("bill_id").agg(F.when(F.max(F.col("line").contains("₹")), "INR").when(F.max(F.col("line").contains("$")), "USD").alias("currency"))
-    bills = currency.join(sums, "bill_id", "left").join(tax_total(rows.where("kind = 'tax'")), "bill_id", "left").join(made, "bill_id", "left")
-    bills = bills.withColumn("subtotal_cents", F.coalesce("printed", "items_cents")).withColumn("tax_cents", F.coalesce("tax_cents", F.lit(0)))
+    currency = known.groupBy("bill_id").agg(F.when(F.max(F.col("line").contains("₹")), "INR").when(F.max(F.col("line").contains("$")), "USD").alias("currency"))
+    bills = currency.join(sums, "bill_id", "left").join(made, "bill_id", "left")
+    bills = bills.withColumns({"derived_subtotal": F.col("printed").isNull() & F.col("items_cents").isNotNull(), "subtotal_cents": F.coalesce("printed", "items_cents")})
+    bills = bills.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tax_cents", "charge_cents", "adjustment_cents")})
     bills = bills.withColumn("expected_cents", F.col("subtotal_cents") + F.col("tax_cents") + F.col("charge_cents") + F.col("adjustment_cents")).withColumn("difference", F.col("total_cents") - F.col("expected_cents"))
     status = F.when(F.col("difference").isNull(), "insufficient_data").when(F.abs("difference") <= TOLERANCE, "match").otherwise("mismatch")
     return items, bills.withColumn("status", status).drop("printed", "items_cents")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsplit.operators.components import components
+
 
 def clamped(value: Column) -> Column:
     """A byte: halves to even, 0 to 255."""
@@ -70,11 +72,9 @@ def fit_within(width: Column, height: Column, least: int, most: int) -> Column:
     return F.struct(size(width).alias("width"), size(height).alias("height"))
 
 
-def largest_component(cells: DataFrame, width: int) -> DataFrame:
+def largest_component(cells: DataFrame) -> DataFrame:
     """The largest 4-connected component of marked cells (img_id, y, x): its size and box; of equals the first in reading order."""
-    from tabsplit.operators.components import components
-
-    at = cells.select("img_id", (F.col("img_id") * 1_000_000 + F.col("y") * width + F.col("x")).alias("id"), "y", "x")
+    at = cells.select("img_id", F.struct("img_id", "y", "x").alias("id"), "y", "x")
     right = at.select("img_id", "y", (F.col("x") - 1).alias("x"), F.col("id").alias("other"))
     below = at.select("img_id", (F.col("y") - 1).alias("y"), "x", F.col("id").alias("other"))
     ties = at.join(right, ["img_id", "y", "x"]).select("id", "other").union(at.join(below, ["img_id", "y", "x"]).select("id", "other"))

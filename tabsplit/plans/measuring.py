@@ -91,7 +91,7 @@ def detect_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = pixels(spark, sf_dir)
     bright = grid.groupBy("img_id").agg(F.collect_list("value").alias("v")).select("img_id", (0.74 * raster.nearest_percentile(F.col("v"), 0.95)).alias("limit"))
     paper = grid.join(bright, "img_id").where(F.col("value") >= F.greatest(F.col("limit"), F.lit(110.0)))
-    found = raster.largest_component(paper, 8)
+    found = raster.largest_component(paper)
     area = (F.col("right") - F.col("left") + 1) * (F.col("bottom") - F.col("top") + 1)
     return found.withColumn("coverage", F.expr("100 * cells div 64")).withColumn("fill", F.floor(100 * F.col("cells") / area).cast("long"))
 

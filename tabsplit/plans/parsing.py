@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsplit.functions import money as m
 from tabsplit.functions import rules
+from tabsplit.functions.columns import clamped_share
 from tabsplit.operators import parse
 from tabsplit.operators.settle import money
 from tabsplit.sources import receipts, views
@@ -43,7 +44,7 @@ FIRST_SQL = "CASE " + " ".join(f"WHEN {rules.worded_sql('line', body)} THEN '{s}
 CONFIDENCE_SQL = "CASE " + " ".join(f"WHEN {rules.worded_sql('line', body)} THEN {c}" for _, body, c in rules.KEYWORDS) + " END"
 LABEL_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(translate(line, '₹$€£', ''), '[-+]?[0-9.,]+', ' ', 'g'), '[:;|()\[\]{}-]+', ' ', 'g'), '\s+', ' ', 'g'))"
 CLEAN_SQL = r"trim(regexp_replace(regexp_replace(line, '([₹$€£]\s*)?[0-9]+([.,][0-9]+)?', ' ', 'g'), '\s+', ' ', 'g'))"
-for tail in (r"^[0-9]+\s+", r"\s+\[?[Ii]\s*=?\s*$", r"[\s:;\-=\[\]]+$", r"\s+[Ii](\s+[^A-Za-z0-9]+)*$", r"\s+[a-z]$"):
+for tail in m.NAME_TAILS:
     CLEAN_SQL = f"regexp_replace({CLEAN_SQL}, '{tail}', '', 'g')"
 
 line_query("has_name_word", rules.has_name_word, NAMED_SQL)
@@ -99,17 +100,17 @@ found AS (SELECT *, [trim(x[i]) for i in range(2, len(x), 2) if regexp_matches(x
 
 @query(AMOUNTS_SQL + " SELECT bill_id, line_no, array_to_string(amounts, '|') AS amounts FROM found")
 def extract_amounts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.with_amounts(receipts.lines(spark, sf_dir)).select("bill_id", "line_no", F.array_join(F.transform("amounts", lambda x: F.trim(x)), "|").alias("amounts"))
+    return parse.with_amounts(receipts.lines(spark, sf_dir)).select("bill_id", "line_no", F.array_join(F.transform("amounts", lambda x: F.trim(x["text"])), "|").alias("amounts"))
 
 
 @query(AMOUNTS_SQL + " SELECT bill_id, line_no, amounts[-1] AS last_amount FROM found WHERE len(amounts) > 0")
 def last_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.with_amounts(receipts.lines(spark, sf_dir)).where(F.size("amounts") > 0).select("bill_id", "line_no", F.trim(F.element_at("amounts", -1)).alias("last_amount"))
+    return parse.with_amounts(receipts.lines(spark, sf_dir)).where(F.size("amounts") > 0).select("bill_id", "line_no", F.trim(F.element_at("amounts", -1)["text"]).alias("last_amount"))
 
 
 @query(AMOUNTS_SQL + f" SELECT bill_id, line_no, NOT {NAMED_SQL} AND len(amounts) > 0 AS bare FROM found")
 def is_bare_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.flagged(parse.with_amounts(receipts.lines(spark, sf_dir))).select("bill_id", "line_no", "bare")
+    return parse.classified(receipts.lines(spark, sf_dir)).select("bill_id", "line_no", "bare")
 
 
 SECTIONS = ", ".join(f"'{s}'" for s in rules.SUMMARY_SECTIONS)
@@ -124,7 +125,7 @@ classed AS (SELECT *, CASE WHEN total_qty OR header THEN 'header' WHEN rule IS N
 
 @query(SEEN_SQL + " SELECT bill_id, line_no, seen FROM flagged")
 def seen_summary_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.seen_summary(parse.with_amounts(receipts.lines(spark, sf_dir))).select("bill_id", "line_no", "seen")
+    return parse.classified(receipts.lines(spark, sf_dir)).select("bill_id", "line_no", "seen")
 
 
 @query(SEEN_SQL + " SELECT bill_id, line_no, section, confidence FROM classed")
@@ -188,7 +189,7 @@ def parse_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PRINTED_ITEMS + " SELECT bill_id, row_number() OVER (PARTITION BY bill_id ORDER BY item_no) AS item_no, CASE WHEN name LIKE 'Chef%' THEN 1 ELSE 0 END AS pending, 1 AS anchors FROM printed_items")
 def item_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.item_rows(parse.classified(receipts.lines(spark, sf_dir))).select("bill_id", "item_no", F.size("pending").alias("pending"), F.size("anchors").alias("anchors"))
+    return parse.item_rows(parse.classified(receipts.lines(spark, sf_dir))).select("bill_id", "item_no", "pending", "anchors")
 
 
 @query("SELECT bill_id, item_no, qty, unit_cents, false AS derived FROM named")
@@ -205,7 +206,7 @@ BILL_SQL = """ SELECT bill_id, s AS subtotal_cents, 2 * half AS tax_cents, charg
 @query(BILL_SQL)
 def parse_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole receipts read back; the oracle takes the amounts that were printed."""
-    return parse.parse_receipts(receipts.lines(spark, sf_dir))[1]
+    return parse.parse_receipts(receipts.lines(spark, sf_dir))[1].drop("derived_subtotal")
 
 
 @query("SELECT bill_id, s + 2 * half + charge + rounding - off AS expected_cents, t AS total_cents, CASE WHEN bill_id % 13 = 0 THEN 'mismatch' ELSE 'match' END AS status FROM totals")
@@ -216,7 +217,7 @@ def printed_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT bill_id, s AS subtotal_cents FROM totals WHERE bill_id % 9 = 0")
 def derived_subtotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bills without a printed subtotal take their items' sum."""
-    return parse_receipt(spark, sf_dir).where("bill_id % 9 = 0").select("bill_id", "subtotal_cents")
+    return parse.parse_receipts(receipts.lines(spark, sf_dir))[1].where("derived_subtotal").select("bill_id", "subtotal_cents")
 
 
 @query("SELECT doc_id, line_no - 1 AS line_no, trim(line) AS line, 24 * (line_no - 1) AS y, 8 * length(line) AS width FROM texts WHERE trim(line) <> ''", r"WITH texts AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS line_no FROM documents)")
@@ -224,3 +225,43 @@ def text_lines_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of plain text with made-up boxes, counted before blank ones go."""
     texts = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
     return texts.where(F.trim("line") != "").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("line"), (24 * F.col("line_no")).cast("long").alias("y"), (8 * F.length("line")).cast("long").alias("width"))
+
+
+TOKEN_HEAD = f"WITH {views.SQL}, {receipts.SQL}, {receipts.TOKENS_SQL}"
+
+
+@query(" SELECT bill_id, line_no, string_agg(text, ' ' ORDER BY place, part) AS text FROM merged GROUP BY ALL", TOKEN_HEAD)
+def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals that were read as two tokens become one."""
+    return receipts.token_lines(spark, sf_dir).select("bill_id", "line_no", F.array_join(F.transform(m.merged_tokens(F.col("tokens")), lambda t: t["text"]), " ").alias("text"))
+
+
+@query(" SELECT bill_id, line_no, string_agg(text, '|' ORDER BY place, part) AS amounts, sum(cents)::BIGINT AS cents FROM token_amounts GROUP BY ALL", TOKEN_HEAD)
+def extract_amounts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = receipts.token_lines(spark, sf_dir).where("size(tokens) > 1").select("bill_id", "line_no", m.token_amounts(F.col("tokens")).alias("a")).where("size(a) > 0")
+    return rows.select("bill_id", "line_no", F.array_join("a.text", "|").alias("amounts"), F.aggregate("a.cents", F.lit(0).cast("long"), lambda x, y: x + y).alias("cents"))
+
+
+@query(" SELECT bill_id, line_no, bool_or(abs(right_edge - 900) <= 45) AS placed FROM token_amounts GROUP BY ALL", TOKEN_HEAD)
+def amount_in_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether one of a line's amounts ends near the column of amounts, at 900 of 1000 pixels."""
+    rows = receipts.token_lines(spark, sf_dir).where("size(tokens) > 1").select("bill_id", "line_no", m.token_amounts(F.col("tokens")).alias("a")).where("size(a) > 0")
+    return rows.select("bill_id", "line_no", parse.in_column(F.col("a"), F.lit(900), F.lit(1000)).alias("placed"))
+
+
+@query(" SELECT bill_id, line_no, coalesce(floor(avg(confidence) * 100 + 0.5), 7500)::BIGINT AS confidence FROM tokens GROUP BY ALL", TOKEN_HEAD)
+def token_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return receipts.token_lines(spark, sf_dir).select("bill_id", "line_no", parse.confidence(F.col("tokens"), parse.BASELINE).alias("confidence"))
+
+
+@query("SELECT o_orderkey AS bill_id, least(greatest(((o_orderkey % 150) - 20) / 100.0::DOUBLE, 0), 1)::DOUBLE AS sure FROM orders", "")
+def clamp_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentages beyond both ends."""
+    return views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bill_id"), clamped_share((F.col("o_orderkey") % 150 - 20) / 100).alias("sure"))
+
+
+@query(PRINTED_ITEMS + " SELECT bill_id, row_number() OVER (PARTITION BY bill_id ORDER BY item_no) AS item_no, name, qty, unit_cents, total_cents FROM printed_items")
+def parse_item_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items read from tokens with geometry: amounts count by the column that they end in."""
+    known = parse.classified(receipts.token_lines(spark, sf_dir)).withColumns({"amount_column": F.lit(900), "image_width": F.lit(1000)})
+    return parse.parsed_items(known).select("bill_id", "item_no", "name", "qty", "unit_cents", "total_cents")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tabsplit.plans import billing, measuring, parsing, storing
+from tabsplit.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (billing, parsing, storing, measuring)
@@ -19,10 +19,7 @@ def importable(query: Query) -> Query:
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-        if root not in env.get("PYTHONPATH", "").split(":"):
-            env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
-        return query(spark, sf_dir)
+        return query(ship(spark), sf_dir)
 
     return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsplit.operators.settle import money
@@ -43,6 +43,26 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.union(sums.select("bill_id", F.inline(F.filter(rest, lambda x: x.isNotNull()))))
 
 
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as a reading with geometry: `tokens` of (text, x, width, confidence). Amounts end at fixed edges, the last
+    one in the column of amounts; on every third bill decimals are split over two tokens; some confidences are missing."""
+    amount = lambda t: t.rlike(r"^[$]?-?[0-9]+[.][0-9]{2}$")
+    sure = lambda t, i: F.when((F.col("bill_id") + i) % 11 != 0, (50 + (7 * F.length(t) + 3 * i + F.col("bill_id")) % 50).cast("double"))
+    one = lambda t, x, i: F.struct(t.alias("text"), x.cast("double").alias("x"), (8.0 * F.length(t)).alias("width"), sure(t, i).alias("confidence"))
+
+    def told(words: Column) -> Column:
+        edge = lambda i: F.when(i == F.size(words) - 1, 900).otherwise(700)
+
+        def parts(t: Column, i: Column) -> Column:
+            head, tail = F.left(t, F.length(t) - 2), F.right(t, F.lit(2))
+            whole = F.array(one(t, F.when(amount(t), edge(i) - 8 * F.length(t)).otherwise(60 * i + 20), i))
+            return F.when(amount(t) & (F.col("bill_id") % 3 == 0), F.array(one(head, edge(i) - 8 * F.length(head), i), one(tail, edge(i) + 4, i))).otherwise(whole)
+
+        return F.flatten(F.transform(words, parts))
+
+    return lines(spark, sf_dir).withColumn("tokens", told(F.split("line", " ")))
+
+
 def _money(x: str) -> str:
     return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || (abs({x}) // 100) || '.' || lpad((abs({x}) % 100)::VARCHAR, 2, '0'))"
 
@@ -69,3 +89,20 @@ lines AS (
   UNION ALL SELECT bill_id, 900008, 'Cash ' || {_money('t')} FROM totals WHERE bill_id % 7 = 0
   UNION ALL SELECT bill_id, 900009, 'Thank you visit again 24' FROM totals)
 """
+
+#: Tokens of the lines: place counts words from 0, part tells the halves of a split decimal apart.
+TOKENS_SQL = """
+worded AS (SELECT bill_id, line_no, line, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS place, len(string_split(line, ' ')) AS n FROM lines),
+priced AS (SELECT *, regexp_matches(word, '^[$]?-?[0-9]+[.][0-9]{2}$') AS amount, CASE WHEN place = n - 1 THEN 900 ELSE 700 END AS edge FROM worded),
+split AS (
+  SELECT *, 0 AS part, CASE WHEN amount AND bill_id % 3 = 0 THEN word[1:-3] ELSE word END AS text FROM priced
+  UNION ALL SELECT *, 1, word[-2:] FROM priced WHERE amount AND bill_id % 3 = 0),
+tokens AS (SELECT bill_id, line_no, line, place, part, text, (CASE WHEN part = 1 THEN edge + 20 WHEN amount THEN edge ELSE 60 * place + 20 + 8 * length(text) END)::DOUBLE AS right_edge,
+  CASE WHEN (bill_id + place) % 11 <> 0 THEN (50 + (7 * length(text) + 3 * place + bill_id) % 50)::DOUBLE END AS confidence FROM split),
+merged AS (SELECT bill_id, line_no, line, place, part, right_edge, confidence, text || CASE WHEN regexp_matches(text, '[0-9][.,]$') AND regexp_matches(next, '^[0-9]{2}$') THEN next ELSE '' END AS text
+  FROM (SELECT *, lead(text) OVER ahead AS next, lag(text) OVER ahead AS last FROM tokens WINDOW ahead AS (PARTITION BY bill_id, line_no ORDER BY place, part))
+  WHERE NOT coalesce(regexp_matches(last, '[0-9][.,]$') AND regexp_matches(text, '^[0-9]{2}$'), false)),
+counted AS (SELECT bill_id, line_no, count(*) AS n_tokens FROM tokens GROUP BY ALL),
+token_amounts AS (SELECT *, (CASE WHEN contains(text, '-') THEN -1 ELSE 1 END) * regexp_replace(text, '[^0-9]', '', 'g')::BIGINT * CASE WHEN contains(text, '.') THEN 1 ELSE 100 END AS cents
+  FROM merged WHERE regexp_matches(text, '^[$]?-?[0-9]+([.][0-9]+)?$') AND (SELECT n_tokens FROM counted c WHERE c.bill_id = merged.bill_id AND c.line_no = merged.line_no) > 1)
+"""
