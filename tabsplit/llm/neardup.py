@@ -8,14 +8,15 @@ ROWS minimal shingle hashes, and is posted under every (coordinate, value). Two
    The others are ordered from rare to common; of m shared postings a class enters the first m - threshold + 1 (its prefix),
    as two classes above the threshold meet in one of those.
 2. Each prefix posting ties its classes to one of them, its pivot. Ties above the threshold are confirmed on full sets and
-   give first components, so that a family of near copies is joined without its pairs.
+   give first components, so that most of a family of near copies is joined without its pairs.
 3. In postings that still hold several components, collisions are counted by merging the postings of the classes that meet
    there: the short lists are merged, and the longest, which alone cannot reach the threshold, are only probed for what the
-   short ones brought up. Classes of one component are skipped. A large posting is cut into blocks, and each two blocks are a
-   task's work of its own, but for those inside its pivot's component. Pairs above the threshold are confirmed on full sets.
+   short ones brought up. Classes that are joined already are skipped. Components with a pair above the threshold are a family.
+4. The full sets of a family meet, and are merged in the same way: what two sets share is counted exactly, and a pair that
+   reaches the given similarity joins their components.
 
-Components of all confirmed links are the groups. Rows grow with classes, and with pairs only where sets are alike above the
-threshold and yet in no common component.
+A large posting or family is cut into blocks; each two blocks are a task's work of its own, but for those inside the component
+of its pivot. Every step returns a spanning forest, so that rows grow with classes and never with the pairs of a group.
 
 Defined results: with fewer words than a shingle takes, the whole sequence is the one shingle; null, empty and blank texts
 have no shingle and are linked with nothing; rows with a null doc_id get a null component; rows that share a doc_id are one
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ from tabsplit.llm.graph import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 COORDINATES, ROWS, MISSED = 48, 3, 1e-6
-#: Classes of a block, partners of a class in the first round, rows of a confirming task for one class, and words whose hashes a worker remembers.
-BLOCK, TIES, PART, REMEMBERED = 2048, 3, 10_000, 500_000
+#: Classes of a posting's block, shingles of a family's, partners of a class in the first round, rows of a confirming task for
+#: one class, and words whose hashes a worker remembers.
+BLOCK, CHUNK, TIES, PART, REMEMBERED = 2048, 1 << 19, 3, 10_000, 500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 NODE = "struct<a:long,b:long>"
 
@@ -163,87 +165,113 @@ def pivot_pairs(prefix: DataFrame) -> DataFrame:
 
 
 class Cell:
-    """Classes that meet in one posting, or in two blocks of it; counts the collisions of their postings."""
+    """Classes that meet, as sets of numbers: counts what two of them share by merging the lists of classes of each number."""
 
-    def __init__(self, rows: dict[str, np.ndarray], percent: int, least: int):
-        self.postings, self.prefix, self.label, self.block, self.size = (rows[c] for c in ("postings", "prefix", "label", "block", "size"))
-        self.percent, self.least = percent, least
-        flat = self.postings.reshape(-1)
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, blocks: np.ndarray):
+        self.sizes, self.labels, self.blocks = np.array([len(x) for x in sets]), labels, blocks
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
-        _, starts, place, counts = np.unique(flat[order], return_index=True, return_inverse=True, return_counts=True)
-        self.members = order // self.postings.shape[1]
-        where = np.empty(len(flat), dtype=np.int64)
+        _, self.starts, place, self.counts = np.unique(flat[order], return_index=True, return_inverse=True, return_counts=True)
+        self.members, where = owner[order], np.empty(len(flat), dtype=np.int64)
         where[order] = place
-        self.starts, self.counts, self.where = starts, counts, where.reshape(self.postings.shape)
-
-    def pairs(self, posting: int, apart: bool) -> Iterator[tuple[int, int]]:
-        """Pairs of different components (and blocks, if `apart`) above the threshold whose first common prefix posting is this one."""
-        for k in range(1, len(self.size)):
-            lists = self.where[k]
-            lengths = self.counts[lists]
-            lists = lists[lengths > 1][np.argsort(lengths[lengths > 1], kind="stable")]
-            if len(lists) < self.least:
-                continue
-            short = lists[: len(lists) - self.least + 1]
-            n = self.counts[short]
-            held = self.members[np.repeat(self.starts[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            found = np.unique(held[held < k])
-            found = found[self.label[found] != self.label[k]]
+        self.lists = np.split(where, np.cumsum(self.sizes)[:-1])
+
+    def merged(self, lists: np.ndarray, n: int) -> np.ndarray:
+        """How many of the lists hold each of the first n classes."""
+        counts = self.counts[lists]
+        held = self.members[np.repeat(self.starts[lists] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        return np.bincount(held[held < n], minlength=n)
+
+    def probed(self, k: int, j: np.ndarray) -> np.ndarray:
+        """Of list k, which of the classes j it holds."""
+        members = self.members[self.starts[k] : self.starts[k] + self.counts[k]]
+        return members[np.minimum(np.searchsorted(members, j), len(members) - 1)] == j
+
+    def forest(self, least: Callable[[np.ndarray, int], np.ndarray], apart: bool) -> Iterator[tuple[int, int]]:
+        """Pairs that share the least number that their sizes ask for, as far as they join what was not joined yet."""
+        for k in range(1, len(self.sizes)):
+            open_ = self.labels[:k] != self.labels[k]
             if apart:
-                found = found[self.block[found] != self.block[k]]
-            low, high = np.minimum(self.size[found], self.size[k]), np.maximum(self.size[found], self.size[k])
-            found = found[100 * low >= self.percent * high]
-            if not len(found):
+                open_ &= self.blocks[:k] != self.blocks[k]
+            lists = self.lists[k]
+            asked = least(self.sizes[:k], self.sizes[k])
+            open_ &= asked <= np.minimum(self.sizes[:k], self.sizes[k])
+            if not open_.any():
                 continue
-            same = self.postings[found] == self.postings[k]
-            met = same & self.prefix[found] & self.prefix[k]
-            first = self.postings[k][np.argmax(met, axis=1)] == posting
-            for j in found[first & met.any(axis=1) & (same.sum(axis=1) >= self.least)]:
-                yield k, int(j)
-
-
-def cells(open_prefix: DataFrame) -> DataFrame:
-    """posting, low, high and the classes that meet there: a small posting whole, else two blocks of it.
-
-    open_prefix: posting, node, label (its component). Blocks of the pivot's component come last and don't meet each other.
+            lists = lists[self.counts[lists] > 1]
+            lists = lists[np.argsort(self.counts[lists], kind="stable")]
+            # a partner is missing from fewer lists than there are short ones
+            short = max(0, len(lists) - int(asked[open_].min()) + 1)
+            shared = self.merged(lists[:short], k)
+            found = np.flatnonzero(open_ & (shared > 0))
+            shared = shared[found]
+            for n, probe in enumerate(lists[short:]):
+                enough = shared + (len(lists) - short - n) >= asked[found]
+                found, shared = found[enough], shared[enough]
+                if not len(found):
+                    break
+                shared = shared + self.probed(probe, found)
+            for j in found[shared >= asked[found]]:
+                if self.labels[j] != self.labels[k]:
+                    yield k, int(j)
+                    self.labels[self.labels == self.labels[k]] = self.labels[j]
+
+
+def cells(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows (key, node, label, weight, ...) of keys with several labels, as they meet: key, low, high, block and the other columns.
+
+    A group of a weight up to `most` meets as a whole, a larger one block by block. Blocks of the pivot's component come last
+    and don't meet each other.
     """
     own = F.col("label") == F.col("home")
-    homes = open_prefix.groupBy("posting").agg(F.min_by("label", F.xxhash64("posting", "node")).alias("home"), F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other"))
-    placed = open_prefix.join(homes.where("one <> other").drop("one", "other"), "posting")
-    at_home = placed.where(F.col("n") > BLOCK).groupBy("posting").agg(F.count_if(own).alias("n_home"))
-    cut = placed.join(at_home, "posting", "left")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    cut = cut.withColumns({"rest": F.coalesce(blocks(F.col("n") - F.col("n_home")), F.lit(1)), "homes": F.coalesce(blocks(F.col("n_home")), F.lit(0))})
-    drawn = F.xxhash64("node", "posting")
-    block = F.when(F.col("homes") == 0, 0).when(own, F.col("rest") + F.pmod(drawn, F.greatest("homes", F.lit(1)))).otherwise(F.pmod(drawn, "rest")).cast("int")
-    others = F.when(own & (F.col("homes") > 0), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("homes") - 1))
-    met = cut.withColumn("block", block).withColumn("other", F.explode(others))
-    return met.select("posting", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label")
-
-
-def open_pairs(classes: DataFrame, prefix: DataFrame, labels: DataFrame, percent: int, least: int) -> DataFrame:
-    """Pairs (u, v) of different components above the threshold, counted by merging postings."""
-    labelled = prefix.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("posting", "node", "label")
-    mine = prefix.groupBy("node").agg(F.collect_list("posting").alias("prefix"))
-    told = classes.select("node", "postings", F.col("n_shingles").alias("size")).join(mine, "node")
-    met = cells(labelled).join(told, "node").repartition("posting", "low", "high").sortWithinPartitions("posting", "low", "high")
+    groups = rows.groupBy(key).agg(F.min_by("label", F.xxhash64(key, "node")).alias("home"), F.sum("weight").alias("all"), F.min("label").alias("one"), F.max("label").alias("other"))
+    placed = rows.join(groups.where("one <> other").drop("one", "other"), key)
+    at_home = placed.where(F.col("all") > most).groupBy(key).agg(F.sum(F.when(own, F.col("weight")).otherwise(0)).alias("at_home"))
+    blocks = lambda n: F.ceil(n / most).cast("int")
+    cut = placed.join(at_home, key, "left").withColumns({"rest": F.coalesce(blocks(F.col("all") - F.col("at_home")), F.lit(1)), "homes": F.coalesce(blocks(F.col("at_home")), F.lit(0))})
+    drawn, split = F.xxhash64("node", key), F.col("homes") > 0
+    block = F.when(~split, 0).when(own, F.col("rest") + F.pmod(drawn, F.greatest("homes", F.lit(1)))).otherwise(F.pmod(drawn, "rest")).cast("int")
+    others = F.when(own & split, F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("homes") - 1))
+    met = cut.withColumn("block", block).withColumn("meets", F.explode(others))
+    return met.withColumns({"low": F.least("block", "meets"), "high": F.greatest("block", "meets")}).select("low", "high", "block", *rows.columns)
+
+
+def joined_in(met: DataFrame, key: str, least: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(u, v): labels of cells() that a pair joins which shares as many numbers of its sets as `least` asks of their sizes."""
+    columns = ["label", "block", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (posting, low, high), rows in grouped(batches, ["posting", "low", "high"], ["node", "label", "block", "size", "postings", "prefix"]):
-            nodes, labels = [r[0] for r in rows], {}
-            told = {
-                "label": np.array([labels.setdefault((r[1]["a"], r[1]["b"]), len(labels)) for r in rows]), "block": np.array([r[2] for r in rows]), "size": np.array([r[3] for r in rows]),
-                "postings": np.array([r[4] for r in rows], dtype=np.int64),
-            }
-            told["prefix"] = np.array([np.isin(p, r[5]) for p, r in zip(told["postings"], rows, strict=True)])
-            found = list(Cell(told, percent, least).pairs(posting, low != high))
-            if found:
-                u, v = zip(*found, strict=True)
-                key = lambda ks: nodes_of([(nodes[k]["a"], nodes[k]["b"]) for k in ks])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([key(u), key(v)], ["u", "v"])
-
-    columns = ["posting", "low", "high", "node", "label", "block", "size", "postings", "prefix"]
-    return met.select(columns).mapInArrow(run, f"u {NODE}, v {NODE}").distinct()
+        for (_, low, high), rows in grouped(batches, [key, "low", "high"], columns):
+            names = [(r[0]["a"], r[0]["b"]) for r in rows]
+            known = {x: k for k, x in enumerate(dict.fromkeys(names))}
+            if len(known) > 1:
+                cell = Cell([np.frombuffer(r[2], dtype=np.int64) for r in rows], np.array([known[x] for x in names]), np.array([r[1] for r in rows]))
+                found = list(cell.forest(least, low != high))
+                if found:
+                    yield pa.RecordBatch.from_arrays([nodes_of([names[k] for k in side]) for side in zip(*found, strict=True)], ["u", "v"])
+
+    dealt = met.select(key, "low", "high", *columns).repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+    return dealt.mapInArrow(run, f"u {NODE}, v {NODE}").distinct()
+
+
+def families(classes: DataFrame, prefix: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """(u, v): components that are to be compared, as a spanning forest, counted by merging postings."""
+    labelled = prefix.join(labels, "node", "left").select("posting", "node", F.coalesce("component", "node").alias("label"), F.lit(1).alias("weight"))
+    packed = F.unhex(F.array_join(F.transform("postings", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    met = cells(labelled, "posting", BLOCK).join(classes.select("node", packed.alias("set")), "node")
+    return joined_in(met, "posting", lambda sizes, size: np.full(len(sizes), least))
+
+
+def links_in(docs: DataFrame, classes: DataFrame, labels: DataFrame, family: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): components of one family that a link joins; sets are counted in full."""
+    of = classes.select("node", F.col("n_shingles").alias("weight")).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    held = of.join(family.select(F.col("node").alias("label"), F.col("component").alias("family")), "label")
+    sets = written(full_sets(docs, classes, held.select("node"), width), "sets")
+    met = cells(held.select("family", "node", "label", "weight"), "family", CHUNK).join(sets, "node")
+    # 100 * shared >= percent * (a + b - shared)
+    found = written(joined_in(met, "family", lambda sizes, size: -(-percent * (sizes + size) // (100 + percent))), "links")
+    dropped(sets)
+    return found
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -253,10 +281,9 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str
         yield key, [r[len(keys) :] for r in run]
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """node and set (its sorted hashes as bytes) of the classes in pairs, made anew from the text of their first document."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = classes.join(asked, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
+def full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """node and set (its sorted hashes as bytes) of the asked classes, made anew from the text of their first document."""
+    wanted = classes.join(asked.distinct(), "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     texts = keyed.join(wanted, ["doc_id", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
 
@@ -271,7 +298,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * shared >= percent * united; a class with very many partners is cut into parts."""
-    held = written(full_sets(docs, classes, pairs, width), "sets")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+    held = written(full_sets(docs, classes, asked, width), "sets")
     parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = pairs.join(parts, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
     right = held.join(parts, held["node"] == parts["v"]).select("v", F.col("set").alias("v_set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -300,16 +328,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     prefix = written(prefixes(classes, least), "prefixes")
     ties = written(alike(classes, pivot_pairs(prefix), percent, least), "ties")
     links = confirmed(docs, classes, ties, width, percent)
-    first = components(links)
-    pairs = written(open_pairs(classes, prefix, first, percent, least), "pairs")
-    more = confirmed(docs, classes, pairs, width, percent)
+    labels = components(links)
+    family = components(written(families(classes, prefix, labels, least), "families"))
+    more = links_in(docs, classes, labels, family, width, percent)
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("one")).where("u <> one").select("doc_id", "u")
     same_id = named.join(same_id, "doc_id").select("u", F.col("node").alias("v")).where("u <> v").distinct()
     joined = components(links.union(more).union(same_id))
     of = classes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "first.doc_id")
     least_id = of.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     told = written(of.join(least_id, "group").select("node", "component_id"), "components")
-    dropped(classes, prefix, ties, first, pairs, links, more, joined)
+    dropped(classes, prefix, ties, links, labels, family, more, joined)
     linked = named.join(told, "node").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles")
     other = linked.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("own"))

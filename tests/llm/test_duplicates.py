@@ -72,6 +72,7 @@ def test_near_duplicates_against_all_pairs(documents, odd_rows, width, percent):
 
 def test_blocks_of_a_posting_lose_no_link(documents, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "CHUNK", 400)
     monkeypatch.setattr(neardup, "TIES", 1)
     rows = copies(2, 6) + family(3, 30)
     found = neardup.near_duplicates(documents(rows), 3, 85).collect()
