@@ -82,3 +82,117 @@ def largest_component(cells: DataFrame) -> DataFrame:
     sizes = found.groupBy("img_id", "component").agg(F.count("*").alias("cells"), F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"))
     place = F.row_number().over(Window.partitionBy("img_id").orderBy(F.desc("cells"), "component"))
     return sizes.withColumn("place", place).where("place = 1").drop("place", "component")
+
+
+# Fixed values of the image stage: white paper after correction, the darkest background that is divided by, the blur's share of
+# the longest edge, the share of white below which a background counts as shadow; of the search for paper: the brightness that
+# is enough, the share of the white point, the saturation that is too much, covers that are too small and the whole frame, the
+# least fill, the fill of a sheet; the confidence from which an image is cropped.
+WHITE, DARKEST, BLUR_SHARE, SHADOW = 235, 40, 0.07, 0.7
+BRIGHT, WHITE_SHARE, MOST_SATURATION, LEAST_COVER, FULL_COVER, LEAST_FILL, SHEET_FILL = 110, 0.74, 70, 0.04, 0.92, 0.55, 0.72
+CROP_CONFIDENCE, LEAST_SIDE = 0.6, 0.15
+
+
+def illumination(pixels: DataFrame, width: int, height: int, shadow: float | None = SHADOW) -> DataFrame:
+    """Each pixel by what its surroundings let white paper be; with `shadow`, only where they are darker than that share of white."""
+    radius = max(1, int(max(width, height) * BLUR_SHARE + 0.5))
+    rows = box_sum(pixels, "value", radius, "x", "y", width, "_row")
+    both = box_sum(rows, "_row", radius, "y", "x", height, "_all")
+    ground = F.col("_all") / float((2 * radius + 1) ** 2)
+    corrected = clamped(F.col("value") * WHITE / F.greatest(F.lit(float(DARKEST)), ground))
+    fine = ground >= WHITE * shadow if shadow is not None else F.lit(False)
+    return both.withColumn("even", F.when(fine, F.col("value")).otherwise(corrected)).drop("_row", "_all")
+
+
+def luminance(red: Column, green: Column, blue: Column) -> Column:
+    return red * 0.299 + green * 0.587 + blue * 0.114
+
+
+def saturation(red: Column, green: Column, blue: Column) -> Column:
+    return F.greatest(red, green, blue) - F.least(red, green, blue)
+
+
+def paper_cells(cells: DataFrame) -> DataFrame:
+    """The cells (img_id, y, x, lum, sat) that look like paper: as bright as the image's white point allows, and without colour."""
+    white = cells.groupBy("img_id").agg(nearest_percentile(F.collect_list("lum"), 0.95).alias("white"))
+    bright = F.greatest(F.lit(float(BRIGHT)), F.col("white") * WHITE_SHARE)
+    return cells.join(white, "img_id").where((F.col("lum") >= bright) & (F.col("sat") <= MOST_SATURATION)).drop("white")
+
+
+def receipt_region(cells: DataFrame, cell: int, width: int, height: int) -> DataFrame:
+    """Box, confidence and reason of each image's largest sheet of paper, else the full image; every image has a row."""
+    columns, rows = width // cell, height // cell
+    images = cells.select("img_id").distinct()
+    found = images.join(largest_component(paper_cells(cells)), "img_id", "left")
+    cover = F.col("cells") / float(columns * rows)
+    fill = F.col("cells") / ((F.col("right") - F.col("left") + 1) * (F.col("bottom") - F.col("top") + 1))
+    none = F.when(F.col("cells").isNull() | (cover < LEAST_COVER), 0.0).when(cover > FULL_COVER, 0.5).when(fill < LEAST_FILL, 0.3)
+    sure = F.least(F.lit(0.95), 0.28 + fill * 0.5 + F.least(cover, F.lit(0.4)) * 0.5)
+    full = none.isNotNull()
+    low = lambda edge: F.greatest(F.lit(0), (F.col(edge) - 1) * cell)
+    high = lambda edge, size: F.least(F.lit(size), (F.col(edge) + 2) * cell)
+    box = {"x": F.when(full, 0).otherwise(low("left")), "y": F.when(full, 0).otherwise(low("top")), "to_x": F.when(full, width).otherwise(high("right", width)), "to_y": F.when(full, height).otherwise(high("bottom", height))}
+    reason = F.when(full, "full_image").when(fill > SHEET_FILL, "document_boundary").otherwise("text_density")
+    told = found.select("img_id", *(v.cast("long").alias(k) for k, v in box.items()), F.coalesce(none, sure).alias("confidence"), reason.alias("reason"))
+    return told.select("img_id", "x", "y", (F.col("to_x") - F.col("x")).alias("width"), (F.col("to_y") - F.col("y")).alias("height"), "confidence", "reason")
+
+
+def crops(confidence: Column, reason: Column) -> Column:
+    """Whether a region is sure enough to be cut out."""
+    return (confidence >= CROP_CONFIDENCE) & (reason != "full_image")
+
+
+def normalized(pixels: DataFrame, regions: DataFrame) -> DataFrame:
+    """Images cut to their regions where these are sure enough, and enhanced; x and y count from the cut's corner."""
+    cut = regions.where(crops(F.col("confidence"), F.col("reason"))).select("img_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("width").alias("_w"), F.col("height").alias("_h"))
+    placed = pixels.join(cut, "img_id", "left").withColumns({"x": F.col("x") - F.coalesce("_x", F.lit(0)), "y": F.col("y") - F.coalesce("_y", F.lit(0))})
+    inside = F.col("_w").isNull() | (F.col("x").between(0, F.col("_w") - 1) & F.col("y").between(0, F.col("_h") - 1))
+    return placed.where(inside).drop("_x", "_y", "_w", "_h").withColumn("value", contrast(F.col("value")))
+
+
+def resized(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
+    """Area means: each new pixel weighs the old ones by how much of it they cover, in whole numbers."""
+    def spans(at: str, old: int, new: int) -> Column:
+        first, last = F.expr(f"{at} * {new} div {old}"), F.expr(f"(({at} + 1) * {new} - 1) div {old}")
+        part = lambda k: F.struct(k.alias("at"), (F.least((F.col(at) + 1) * new, (k + 1) * old) - F.greatest(F.col(at) * new, k * old)).alias("part"))
+        return F.transform(F.sequence(first, last), part)
+
+    each = pixels.withColumn("_x", F.explode(spans("x", width, new_width))).withColumn("_y", F.explode(spans("y", height, new_height)))
+    weight = F.col("_x.part") * F.col("_y.part")
+    return each.groupBy("img_id", F.col("_y.at").alias("y"), F.col("_x.at").alias("x")).agg(clamped(F.sum(F.col("value") * weight) / F.sum(weight)).alias("value"))
+
+
+def preprocessed(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int, shadows: bool = False, sharp: bool = False) -> DataFrame:
+    """Resized, if asked evened and sharpened, and with more contrast."""
+    found = resized(pixels, width, height, new_width, new_height)
+    if shadows:
+        found = illumination(found, new_width, new_height).withColumn("value", F.col("even")).drop("even")
+    found = found.withColumn("value", contrast(F.col("value")))
+    return unsharp(found, new_width, new_height).withColumn("value", F.col("sharp")).drop("sharp") if sharp else found
+
+
+def distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    return F.hypot(a[0] - b[0], a[1] - b[1])
+
+
+def reliable_quad(xs: list[Column], ys: list[Column], width: Column, height: Column) -> Column:
+    """Whether four corners lie in the image and span more than LEAST_SIDE of each side."""
+    left, right, top, bottom = F.least(*xs), F.greatest(*xs), F.least(*ys), F.greatest(*ys)
+    return (right - left > width * LEAST_SIDE) & (bottom - top > height * LEAST_SIDE) & (left >= 0) & (top >= 0) & (right <= width) & (bottom <= height)
+
+
+def perspective_warp(pixels: DataFrame, quads: DataFrame, width: int, height: int) -> DataFrame:
+    """The quadrilaterals (img_id, x0, y0 to x3, y3, clockwise from the top left) as rectangles, by the nearest pixel; an image
+    whose quadrilateral isn't reliable stays as it is."""
+    at = [(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(4)]
+    good = reliable_quad([a for a, _ in at], [b for _, b in at], F.lit(width), F.lit(height))
+    size = lambda p, q: F.greatest(F.lit(1), F.floor((p + q) / 2 + 0.5)).cast("int")
+    sized = quads.where(good).withColumns({"w": size(distance(at[0], at[1]), distance(at[3], at[2])), "h": size(distance(at[0], at[3]), distance(at[1], at[2]))})
+    grid = sized.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    u, v = F.when(F.col("w") == 1, 0.0).otherwise(F.col("x") / (F.col("w") - 1)), F.when(F.col("h") == 1, 0.0).otherwise(F.col("y") / (F.col("h") - 1))
+    mix = lambda a, b, t: a + (b - a) * t
+    nearest = lambda k, edge: F.greatest(F.lit(0), F.least(F.lit(edge - 1), F.floor(mix(mix(at[0][k], at[1][k], u), mix(at[3][k], at[2][k], u), v) + 0.5))).cast("long")
+    asked = grid.select("img_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), nearest(0, width).alias("_x"), nearest(1, height).alias("_y"))
+    source = pixels.select("img_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "value")
+    left = pixels.select("img_id", "x", "y", "value").join(quads.where(good).select("img_id"), "img_id", "left_anti")
+    return asked.join(source, ["img_id", "_x", "_y"]).select("img_id", "x", "y", "value").union(left)

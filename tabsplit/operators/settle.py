@@ -120,3 +120,8 @@ def unclaimed(items: DataFrame, claims: DataFrame) -> DataFrame:
     joined = items.join(sums, ["bill_id", "item_no"], "left").withColumn("claimed", F.coalesce("claimed", F.lit(0)))
     left = F.when(F.coalesce("named", F.lit(False)), 0).otherwise(F.greatest(F.col("qty") - F.col("claimed"), F.lit(0)))
     return joined.withColumn("remaining", left).where("remaining > 0").select("bill_id", "item_no", "item_id", "name", "qty", "claimed", "remaining")
+
+
+def last_claims(claims: DataFrame, order: str) -> DataFrame:
+    """Of claims of one participant on one item the last."""
+    return claims.groupBy("bill_id", "item_no", "user_id").agg(F.max_by("claimed", order).alias("claimed"))

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsplit.shared import written
+
+# The host of workbooks and how a link names one; rows that a bounded read of a tab gives, with its header.
+HOST, WORKBOOK = "docs.google.com", r"/spreadsheets/d/([A-Za-z0-9_-]+)"
+BOUNDS = {"meta": 20, "users": 1000, "items": 1000, "claims": 5000}
+
 
 def coerce_items(rows: DataFrame) -> DataFrame:
     """Item rows with an id; names default, numbers default to 0."""
@@ -76,3 +82,37 @@ def cap_requested(claims: DataFrame, ask: Column) -> DataFrame:
     """A request cut to what others leave, at least 0."""
     others = F.sum("claimed").over(Window.partitionBy("bill_id", "item_id")) - F.col("claimed")
     return claims.withColumn("granted", F.greatest(F.least(ask, F.col("qty") - others), F.lit(0)))
+
+
+def join_key(*cells: str) -> Column:
+    """Cells as one key, set apart by a character that no cell holds."""
+    return F.concat_ws("\0", *(F.col(c).cast("string") for c in cells))
+
+
+def sink(rows: DataFrame, name: str) -> DataFrame:
+    """The store as a table of its own in the shared folder, read back."""
+    return written(rows, name)
+
+
+def bounded(rows: DataFrame, key: str, order: str | list[str], bound: int) -> DataFrame:
+    """The rows that a read of `bound` rows gives of each key, the first of which is the header."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order)))
+    return rows.withColumn("_place", place).where(F.col("_place") < bound).drop("_place")
+
+
+def schema_check(rows: DataFrame, key: str, tab: Column, required: list[str], version: Column) -> DataFrame:
+    """Per key whether every required tab is there, and whether a row says the version."""
+    have = rows.groupBy(key).agg(F.collect_set(F.when(tab.isin(*required), tab)).alias("_have"), F.bool_or(version).alias("versioned"))
+    return have.select(key, (F.size("_have") == len(required)).alias("complete"), "versioned")
+
+
+def init_action(tabs: Column, versioned: Column) -> Column:
+    """ready for a store that is laid out already, create for a workbook of a single tab, refuse for any other."""
+    return F.when(versioned, "ready").when(F.size(tabs) == 1, "create").otherwise("refuse")
+
+
+def workbook_id(url: Column) -> Column:
+    """The id of the workbook that a link names, if it is a link to the trusted host."""
+    host = F.regexp_extract(url, r"^https?://([^/?#]+)", 1)
+    found = F.regexp_extract(url, r"^https?://[^/?#]+[^?#]*?" + WORKBOOK, 1)
+    return F.when((host == HOST) & (found != ""), found)

@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsplit.plans import billing, measuring, parsing, storing
+from tabsplit.plans import billing, changes, measuring, parsing, storing
 from tabsplit.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (billing, parsing, storing, measuring)
+MODULES = (billing, parsing, storing, changes, measuring)
 
 
 def importable(query: Query) -> Query:

@@ -76,25 +76,6 @@ def meta_parse_receipt_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta(spark, sf_dir).select("bill_id", store.strict_discount(F.col("kind"), F.col("value")).alias("d")).select("bill_id", "d.status")
 
 
-@query(r"SELECT page_id, url, CASE WHEN regexp_extract(url, '^https?://([^/?#]+)', 1) LIKE '%.example.com' THEN regexp_extract(url, '^https?://[^/?#]+/([a-z]+)/([0-9]+)', 2) ELSE '' END AS id FROM pages", "")
-def url_extract_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The id in the path, for one trusted host family only."""
-    trusted = F.regexp_extract("url", "^https?://([^/?#]+)", 1).endswith(".example.com")
-    return views.table(spark, sf_dir, "pages").select("page_id", "url", F.when(trusted, F.regexp_extract("url", "^https?://[^/?#]+/([a-z]+)/([0-9]+)", 2)).otherwise("").alias("id"))
-
-
-@query("SELECT user_id, bool_and(t IN (SELECT DISTINCT event_type FROM events e WHERE e.user_id = u.user_id)) AS complete FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(['click', 'view', 'error']) AS t) GROUP BY ALL", "")
-def scan_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a party has every required kind of row."""
-    kinds = views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
-    return kinds.select("user_id", (F.size(F.array_except(F.array(*map(F.lit, ("click", "view", "error"))), "have")) == 0).alias("complete"))
-
-
-@query("SELECT bill_id, item_no, item_id, name, qty, unit_cents, total_cents FROM items")
-def scan_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.items(spark, sf_dir)
-
-
 @query(STORED + " SELECT * FROM stored")
 def explode_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.explode_claims(claims(spark, sf_dir))
@@ -178,14 +159,14 @@ def claim_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UPSERT = """WITH existing AS (SELECT user_id, event_type, arg_max(props, event_id) AS props, arg_max(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
-wanted AS (SELECT user_id, event_type, arg_max(props, event_id) AS props, arg_max(value, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY ALL)"""
+wanted AS (SELECT user_id, event_type, arg_max(props, event_id) AS props, arg_max(value, event_id) AS value FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 0 GROUP BY ALL)"""
 
 
 @query(UPSERT + """ SELECT user_id, event_type, CASE WHEN w.props IS NULL THEN 'kept' WHEN e.props IS NULL THEN 'append' WHEN e.props = w.props AND e.value = w.value THEN 'same' ELSE 'update' END AS action,
   coalesce(w.props, e.props) AS props, coalesce(w.value, e.value) AS value FROM existing e FULL JOIN wanted w USING (user_id, event_type)""", "")
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "events").withColumnRenamed("event_id", "row_no")
-    wanted = rows.where("row_no % 3 = 0").groupBy("user_id", "event_type").agg(F.max_by("props", "row_no").alias("props"), F.max_by("value", "row_no").alias("value"))
+    wanted = rows.where("row_no % 2 = 1 OR row_no % 3 = 0").groupBy("user_id", "event_type").agg(F.max_by("props", "row_no").alias("props"), F.max_by("value", "row_no").alias("value"))
     return store.upsert(rows.where("row_no % 2 = 0"), wanted, ["user_id", "event_type"], ["props", "value"])
 
 
@@ -201,13 +182,6 @@ def state_to_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.unpivot("bill_id", ["total", "receipt_type", "receipt_value", "group_type", "group_value"], "key", "value")
 
 
-@query("SELECT bill_id, item_id, user_id, claimed FROM claims UNION ALL SELECT bill_id, item_id, 'guest', 0 FROM items")
-def add_participant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new participant has a claim of 0 on every item."""
-    new = views.items(spark, sf_dir).select("bill_id", "item_id", F.lit("guest").alias("user_id"), F.lit(0).cast("long").alias("claimed"))
-    return claims(spark, sf_dir).where("user_id <> 'guest'").select("bill_id", "item_id", "user_id", "claimed").union(new)
-
-
 @query("SELECT bill_id, item_id, user_id, claimed FROM claims WHERE ord <> 0")
 def remove_participant(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = views.participants(spark, sf_dir).where("ord = 0").select("bill_id", "user_id")
@@ -218,52 +192,3 @@ def remove_participant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = views.items(spark, sf_dir).where("item_no = 1").select("bill_id", "item_id")
     return store.cascade(claims(spark, sf_dir), gone, ["bill_id", "item_id"]).select("bill_id", "item_id", "user_id", "claimed")
-
-
-@query("SELECT bill_id, item_id, name, qty, total_cents FROM items UNION ALL SELECT bill_id, 'item-new', 'New item', 1, 0 FROM printed")
-def add_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = views.printed(spark, sf_dir).select("bill_id", F.lit("item-new").alias("item_id"), F.lit("New item").alias("name"), F.lit(1).cast("long").alias("qty"), F.lit(0).cast("long").alias("total_cents"))
-    return views.items(spark, sf_dir).select("bill_id", "item_id", "name", "qty", "total_cents").union(new)
-
-
-@query("SELECT bill_id, item_id, CASE WHEN item_no = 1 THEN 'Edited' ELSE name END AS name, CASE WHEN item_no = 1 THEN 2 * unit_cents ELSE total_cents END AS total_cents FROM items")
-def update_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edit joined in by key; its total is the new quantity times the price."""
-    items = views.items(spark, sf_dir)
-    edits = items.where("item_no = 1").select("bill_id", "item_id", F.lit("Edited").alias("new_name"), (2 * F.col("unit_cents")).alias("new_total"))
-    return items.join(edits, ["bill_id", "item_id"], "left").select("bill_id", "item_id", F.coalesce("new_name", "name").alias("name"), F.coalesce("new_total", "total_cents").alias("total_cents"))
-
-
-@query("SELECT bill_id, CASE WHEN group_type = 'percent' THEN least(group_value, 100) ELSE group_value END AS committed FROM printed WHERE group_value > 0")
-def commit_receipt_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capped = F.when(F.col("group_type") == "percent", F.least("group_value", F.lit(100))).otherwise(F.col("group_value"))
-    return views.printed(spark, sf_dir).where("group_value > 0").select("bill_id", capped.alias("committed"))
-
-
-@query("SELECT bill_id, CASE WHEN group_value > 0 THEN group_value END AS value FROM printed")
-def normalise_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.printed(spark, sf_dir).select("bill_id", F.when(F.col("group_value") > 0, F.col("group_value")).alias("value"))
-
-
-@query("SELECT bill_id, CASE WHEN group_type = 'percent' AND group_value > 100 THEN 'over 100 percent' WHEN group_type = 'amount' AND group_value > total_cents + 1 THEN 'over the subtotal' END AS error FROM printed")
-def discount_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    error = F.when((F.col("group_type") == "percent") & (F.col("group_value") > 100), "over 100 percent").when((F.col("group_type") == "amount") & (F.col("group_value") > F.col("total_cents") + 1), "over the subtotal")
-    return views.printed(spark, sf_dir).select("bill_id", error.alias("error"))
-
-
-@query("SELECT n_nationkey, lower(trim(n_name)) = 'all' OR trim(n_name) = '' AS rejected FROM (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN ' All ' WHEN 1 THEN ' ' ELSE n_name END AS n_name FROM nation)", "")
-def reserved_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.trim(F.expr("CASE n_nationkey % 3 WHEN 0 THEN ' All ' WHEN 1 THEN ' ' ELSE n_name END"))
-    return views.table(spark, sf_dir, "nation").select("n_nationkey", ((F.lower(name) == "all") | (name == "")).alias("rejected"))
-
-
-@query("SELECT bill_id, item_id, CASE WHEN mode = 'shared' AND named THEN 'individual' ELSE mode END AS mode, user_id, CASE WHEN mode = 'shared' AND named THEN 0 ELSE claimed END AS claimed FROM claims")
-def mode_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared names become individual claims of 0."""
-    switched = (F.col("mode") == "shared") & F.col("named")
-    return claims(spark, sf_dir).select("bill_id", "item_id", F.when(switched, "individual").otherwise(F.col("mode")).alias("mode"), "user_id", F.when(switched, 0).otherwise(F.col("claimed")).alias("claimed"))
-
-
-@query("SELECT bill_id, item_id, user_id, CASE WHEN ord = 0 THEN NOT named ELSE named END AS named FROM claims WHERE mode = 'shared'")
-def shared_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims(spark, sf_dir).where("mode = 'shared'").select("bill_id", "item_id", "user_id", F.when(F.col("ord") == 0, ~F.col("named")).otherwise(F.col("named")).alias("named"))

@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Lists of tables that are being made, of made() that are open.
+SCOPES: list = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -48,9 +52,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
+    for tables in SCOPES:
+        tables.append(found)
     return found
 
 
+@contextmanager
+def made() -> Iterator[list[DataFrame]]:
+    """The tables that written() makes meanwhile, for dropped()."""
+    tables: list[DataFrame] = []
+    SCOPES.append(tables)
+    try:
+        yield tables
+    finally:
+        SCOPES.pop()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that written() made, when all that is made of them is written itself."""
     for df in tables:
