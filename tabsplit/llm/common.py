@@ -1,63 +1,24 @@
-"""What the corpus operators share: the session's shared folder, written tables and bounded Arrow batches."""
+"""What the corpus operators share: words, texts and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsplit.shared import ship
+
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-REPO = str(Path(__file__).resolve().parents[2])
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep their Arrow batches small."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", ""):
-        env["PYTHONPATH"] = f"{REPO}:{env.get('PYTHONPATH', '')}".rstrip(":")
+    """Give Python workers this package, and keep their Arrow batches small: a worker holds one beside its own tables."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; in local mode, as in tests, a new temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: evaluated once, and no task depends on an executor's own disk."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.written_to = path
-    return found
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables that written() made, when all that is made of them is written itself."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return ship(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +41,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
             held += n
         if start < len(sizes):
             yield batch.slice(start)
-
-

@@ -1,130 +1,225 @@
-"""Line dedup: fuzzy lines by SimHash, with DataFrame functions only.
-
-Lines are normalised to lower-case letters and single spaces. Equal normalised lines are one class. A class has a 64-bit
-SimHash of its distinct words; two classes are candidates if their SimHashes differ in at most DIFFER bits, which are found by
-posting every class under each choice of two of its four 16-bit blocks (with at most two differing bits, two blocks agree).
-Candidates whose edit similarity is at least SIMILAR are linked, and of each connected group of lines the first occurrence,
-by doc_id and line, stays.
-
-Bit counts are kept in the lanes of whole numbers, so a line's SimHash is a few additions a word, in an aggregate. Postings of one class are
-dropped before any join. In the others every class is first compared with the least, and then only with classes of other
-components, so that a large family gives no pairs.
-
-Defined results: null texts have no lines; lines of fewer than LEAST_WORDS distinct words, blank ones and those without letters are
-left alone; rows that are equal in doc_id and text keep and lose the same lines; a null doc_id comes first; documents with
-nothing to remove keep their text as it is; an empty table gives an empty table; other columns stay.
+"""Line dedup: fuzzy lines by SimHash.
+
+Lines are normalised to lower-case words of letters and numbers; a line without any stands for itself. Equal normalised lines
+are one class, whatever their length. A class of LEAST_WORDS words or more has a SimHash of BLOCKS blocks. A word votes in one
+block only, chosen by its hash, so that a changed word leaves the other blocks as they are: by the pigeonhole principle two
+lines that differ in one word agree in three of the five blocks. Classes are posted under each choice of three blocks, long
+ones under each choice of two; lines that share a posting, and whose lengths allow it, are candidates. Candidates whose edit
+similarity is at least SIMILAR are linked, and of each connected group of lines the first occurrence, by doc_id and line, stays.
+
+Lines are read, normalised and signed in Arrow batches, each in its own row; all that follows are DataFrame functions. Postings
+of one class are dropped before any join. In the others every class is compared with a pivot first, and then only with classes
+of other components, block by block where a posting is large.
+
+Defined results: null texts have no lines; blank lines are left alone; rows that are equal in doc_id and text keep and lose the
+same lines; a null doc_id comes first; documents with nothing to remove keep their text as it is; letters of scripts without
+spaces are words of their own; an empty table gives an empty table; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsplit.llm.common import written
-from tabsplit.llm.graph import components
-from tabsplit.llm.quality import let
-
-LEAST_WORDS, DIFFER, SIMILAR, BLOCKS = 3, 2, 0.8, 4
-#: Bits of a lane that counts a SimHash's bits.
-LANE = 16
-
-
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
-
-
-def lane_columns(hashed: Column, width: int = LANE) -> list[Column]:
-    """The hash's bits in whole numbers to be added up: bit k + width * j lies in lane j of number k."""
-    ones = sum(1 << width * j for j in range(64 // width))
-    return [F.shiftrightunsigned(hashed, k).bitwiseAND(F.lit(ones).cast("long")) for k in range(width)]
-
-
-def majority(sums: list[Column], n: Column, width: int = LANE) -> Column:
-    """The SimHash of summed lanes of n words, fewer than 2 ** (width - 1): the bits that more than half of them have."""
-    ones = F.lit(sum(1 << width * j for j in range(64 // width))).cast("long")
-    # a lane reaches the bit below its highest exactly if its count is over half of the words
-    lift = (F.lit((1 << (width - 2)) - 1).cast("long") - F.floor(n / 2)) * ones
-    bits = [F.shiftleft(F.shiftrightunsigned(s + lift, width - 2).bitwiseAND(ones), k) for k, s in enumerate(sums)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
-
-
-def features(words: Column) -> Column:
-    """The distinct words; where they are too many for a lane's count, the distinct buckets that their hashes fall into."""
-    most = 1 << (LANE - 2)
-    buckets = lambda w: F.array_distinct(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(most)).cast("string")))
-    return let(F.array_distinct(words), lambda w: F.when(F.size(w) < most, w).otherwise(buckets(w)))
+from tabsplit.functions.columns import let
+from tabsplit.llm.common import slices
+from tabsplit.operators.components import components
+from tabsplit.shared import dropped, written
+
+LEAST_WORDS, SIMILAR, BLOCKS = 3, 0.8, 5
+#: Bits of a block that are voted on, and words of a block that its key tells apart.
+BITS, MOST_TOLD = 24, 255
+#: Blocks of a posting, words that they hold together at least, and the fewest and most words of the lines that are posted so.
+POSTED = ((3, 2, LEAST_WORDS, 5), (3, 4, 6, 27), (2, 8, 24, None))
+#: Classes of a block of a large posting; words whose hashes a worker remembers.
+MET, REMEMBERED = 4096, 500_000
+#: A word; scripts that are written without spaces: Thai to Myanmar, and the East Asian ones.
+WORD, UNSPACED = re.compile(r"[^\W_]+"), re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+KEYS = [f"b{j}" for j in range(BLOCKS)]
+OCCURRENCE = "doc_id {}, text_key long, place int, key_a long, key_b long, length int, n_words int, " + ", ".join(f"{b} long" for b in KEYS)
+
+
+def words_of(line: str) -> list[str]:
+    """The words of a line; a line of other signs is one word, a blank one has none."""
+    low = line.lower()
+    if not low.isascii() and UNSPACED.search(low):
+        low = UNSPACED.sub(r" \g<0> ", low)
+    words = WORD.findall(low)
+    if not words and not line.isspace() and line:
+        words = [" ".join(line.split())]
+    return words
+
+
+class Signer:
+    """Block keys of lines; remembers a bounded number of words."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        of = self.known.get
+        found = [of(w) for w in words]
+        if None in found:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            for k, w in enumerate(words):
+                if found[k] is None:
+                    found[k] = self.known[w] = xxhash.xxh64_intdigest(w.encode())
+        return np.array(found, dtype=np.uint64)
+
+    def keys(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """For lines of counts[k] > 0 words each, one after the other: the keys of their blocks, a row a line.
+
+        Distinct words vote, so that the common ones of a language don't outvote the others of a long line.
+        """
+        h, line = self.hashes(words), np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((h, line))
+        h, line = h[order], line[order]
+        first = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
+        h, line = h[first], line[first]
+        block = ((h >> np.uint64(56)) % np.uint64(BLOCKS)).astype(np.int64)
+        bits = np.zeros((len(h), BLOCKS, BITS), dtype=np.uint8)
+        bits[np.arange(len(h)), block] = (h[:, None] >> np.arange(BITS, dtype=np.uint64)).astype(np.uint8) & 1
+        starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        votes = np.add.reduceat(bits.reshape(len(h), -1), starts, axis=0, dtype=np.int32).reshape(len(counts), BLOCKS, BITS)
+        held = np.bincount(line * BLOCKS + block, minlength=len(counts) * BLOCKS).reshape(len(counts), BLOCKS)
+        above = (2 * votes > held[:, :, None]) @ (1 << np.arange(BITS, dtype=np.int64))
+        return np.minimum(held, MOST_TOLD) << BITS | above
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, place, class key, SimHash and length of every line that takes part."""
-    placed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = placed.select("doc_id", "text_key", "place", normalised(F.col("line")).alias("line"))
-    own = ["doc_id", "text_key", "place", "key_a", "key_b", "length"]
-    keyed = lines.select("doc_id", "text_key", "place", F.xxhash64("line").alias("key_a"), F.xxhash64("line", F.lit(1)).alias("key_b"), F.length("line").alias("length"), F.explode(features(F.split("line", " "))).alias("word"))
-    each = keyed.select(*own, F.xxhash64("word").alias("hash"))
-    names = [f"s{k}" for k in range(LANE)]
-    sums = each.groupBy(*own).agg(F.count("*").alias("n"), *(F.sum(x).alias(name) for x, name in zip(lane_columns(F.col("hash")), names, strict=True)))
-    return sums.where(F.col("n") >= LEAST_WORDS).select(*own, majority([F.col(x) for x in names], F.col("n")).alias("sim"))
+    """doc_id, text_key, place, class key, length, number of words and block keys of every line that isn't blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer()
+        for batch in slices(batches, "text", 1_000_000):
+            rows, places, counts, lengths, flat, keys = [], [], [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for place, line in enumerate(text.split("\n") if text is not None else ()):
+                    words = words_of(line)
+                    if words:
+                        whole = " ".join(words)
+                        rows.append(row)
+                        places.append(place)
+                        counts.append(len(words))
+                        lengths.append(len(whole))
+                        keys.append(xxhash.xxh3_128_digest(whole.encode()))
+                        flat += words
+            if rows:
+                at, halves = pa.array(rows, pa.int32()), np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
+                signs = signer.keys(flat, np.array(counts))
+                columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(lengths, pa.int32()), pa.array(counts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(signs[:, j]) for j in range(BLOCKS)], ["doc_id", "text_key", "place", "key_a", "key_b", "length", "n_words", *KEYS])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, OCCURRENCE.format(dict(docs.dtypes)["doc_id"]))
 
 
 def line_classes(found: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "text_key", "place")).alias("first")
-    return found.groupBy("key_a", "key_b").agg(F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("length").alias("length"), first)
+    return found.groupBy("key_a", "key_b").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("length", "n_words", *KEYS)), first)
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """The postings of two or more classes, with their size and least class."""
-    block = lambda k: F.shiftrightunsigned("sim", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    keys = [F.xxhash64(F.lit(64 * i + j), block(i), block(j)) for i, j in combinations(range(BLOCKS), BLOCKS - DIFFER)]
-    each = classes.select("key_a", "sim", "length", F.explode(F.array(*keys)).alias("posting"))
-    shared = each.groupBy("posting").agg(F.count("*").alias("size"), F.min("key_a").alias("least")).where("size > 1")
-    return each.join(shared, "posting")
+    """The postings of two or more classes: posting, key_a, length, and the posting's pivot and size."""
+    words = lambda j: F.shiftright(f"b{j}", BITS)
+    keys = []
+    for blocks, held, least, most in POSTED:
+        size = (F.col("n_words") >= least) & (F.lit(True) if most is None else F.col("n_words") <= most)
+        for chosen in combinations(range(BLOCKS), blocks):
+            keys.append(F.when(size & (sum((words(j) for j in chosen[1:]), words(chosen[0])) >= held), F.xxhash64(F.lit(sum(1 << j for j in chosen)), *(f"b{j}" for j in chosen))))
+    each = classes.where(F.col("n_words") >= LEAST_WORDS).select("key_a", "length", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("posting"))
+    dealt = each.repartition("posting")
+    shared = dealt.groupBy("posting").agg(F.count("*").alias("size"), F.min_by(F.struct("key_a", "length"), F.xxhash64("posting", "key_a")).alias("pivot")).where("size > 1")
+    return dealt.join(shared, "posting")
+
+
+def fitting(a: Column | str, b: Column | str) -> Column:
+    return F.least(a, b) >= SIMILAR * F.greatest(a, b)
+
+
+def pivot_pairs(post: DataFrame) -> DataFrame:
+    """(u, v): each class with the pivots of its postings, as far as their lengths allow a link."""
+    met = post.where((F.col("key_a") != F.col("pivot.key_a")) & fitting("length", "pivot.length"))
+    return met.select(F.greatest("key_a", "pivot.key_a").alias("u"), F.least("key_a", "pivot.key_a").alias("v")).distinct()
+
+
+def open_pairs(post: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v): classes of different components that share a posting, as far as their lengths allow a link.
+
+    A large posting is cut into blocks that meet each other; those of its pivot's component don't meet among themselves.
+    """
+    named = post.join(labels.withColumnRenamed("node", "key_a"), "key_a", "left").withColumn("label", F.coalesce("component", "key_a")).drop("component")
+    groups = named.groupBy("posting").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max(F.when(F.col("key_a") == F.col("pivot.key_a"), F.col("label"))).alias("home")).where("one <> other").select("posting", "home")
+    placed = named.join(groups, "posting").withColumn("own", (F.col("label") == F.col("home")) & (F.col("size") > MET))
+    blocks = F.ceil(F.col("size") / MET).cast("int")
+    block = F.when(F.col("size") <= MET, 0).otherwise(F.pmod(F.xxhash64("key_a", "posting"), blocks) + F.when(F.col("own"), blocks).otherwise(0)).cast("int")
+    last = F.when(F.col("size") <= MET, 0).when(F.col("own"), blocks - 1).otherwise(2 * blocks - 1)
+    met = placed.withColumn("block", block).withColumn("meets", F.explode(F.sequence(F.lit(0), last)))
+    met = met.select("posting", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "block", "key_a", "label", "length")
+    x, y = met.alias("x"), met.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("posting", "low", "high")]
+    apart = (F.col("x.block") != F.col("y.block")) | (F.col("x.low") == F.col("x.high"))
+    pairs = x.join(y, reduce(lambda p, q: p & q, [*same, F.col("x.label") < F.col("y.label"), apart, fitting("x.length", "y.length")]))
+    return pairs.select(F.greatest("x.key_a", "y.key_a").alias("u"), F.least("x.key_a", "y.key_a").alias("v")).distinct()
+
+
+def texts_at(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """key_a and the normalised line of the asked places (doc_id, text_key, place, key_a)."""
+    listed = at.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "key_a")).alias("asked"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    met = keyed.join(listed.withColumnRenamed("doc_id", "asked_id"), (keyed["text_key"] == listed["text_key"]) & keyed["doc_id"].eqNullSafe(F.col("asked_id"))).select("text", "asked")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1_000_000):
+            found = []
+            for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                lines = text.split("\n")
+                found += [(x["key_a"], " ".join(words_of(lines[x["place"]]))) for x in asked]
+            keys, lines = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], ["key_a", "line"])
 
-def near(a: DataFrame, b: DataFrame, *more: Column) -> DataFrame:
-    """Pairs (u, v) of one posting with near SimHashes and lengths."""
-    x, y = a.alias("x"), b.alias("y")
-    fits = [F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= DIFFER, F.least("x.length", "y.length") >= SIMILAR * F.greatest("x.length", "y.length")]
-    met = x.join(y, reduce(lambda p, q: p & q, [F.col("x.posting") == F.col("y.posting"), *fits, *more]))
-    return met.select(F.col("x.key_a").alias("u"), F.col("y.key_a").alias("v")).distinct()
+    return met.mapInArrow(run, "key_a long, line string").groupBy("key_a").agg(F.first("line").alias("line"))
 
 
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose normalised lines have the edit similarity; the lines are looked up at their first occurrences."""
     asked = pairs.select(F.col("u").alias("key_a")).union(pairs.select(F.col("v").alias("key_a"))).distinct()
-    at = classes.join(asked, "key_a").select("key_a", "first.*").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "key_a")).alias("asked"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    same = [keyed["text_key"] == at["text_key"], keyed["doc_id"].eqNullSafe(at["doc_id"])]
-    wanted = keyed.join(at, same).select(let(F.split("text", "\n"), lambda x: F.transform("asked", lambda a: F.struct(a["key_a"].alias("key_a"), normalised(F.get(x, a["place"])).alias("line")))).alias("found"))
-    lines = written(wanted.select(F.inline("found")).dropDuplicates(["key_a"]), "lines")
+    lines = written(texts_at(docs, classes.join(asked, "key_a").select("first.*", "key_a")), "lines")
     u, v = lines.select(F.col("key_a").alias("u"), F.col("line").alias("a")), lines.select(F.col("key_a").alias("v"), F.col("line").alias("b"))
     most = F.floor(F.greatest(F.length("a"), F.length("b")) * (1 - SIMILAR) + 1e-9).cast("int")
-    return pairs.join(u, "u").join(v, "v").withColumn("most", most).where(banded()).select("u", "v")
+    found = written(pairs.join(u, "u").join(v, "v").withColumn("most", most).where(banded()).select("u", "v"), "links")
+    dropped(lines)
+    return found
 
 
 def banded() -> Column:
     """Edit distance of a and b at most `most`; narrow bands, which tell near lines cheaply, come first."""
-    found = F.levenshtein("a", "b") <= F.col("most")
-    for band in (4096, 1024, 512, 256, 128, 64, 32, 16):
-        d = F.levenshtein("a", "b", band)
-        found = F.when(F.col("most") <= band, let(d, lambda x: (x >= 0) & (x <= F.col("most")))).when(d >= 0, True).otherwise(found)
+    within = lambda most: F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0
+    found = within(F.col("most"))
+    for band in (16384, 4096, 1024, 256, 64, 16):
+        found = F.when(within(F.least(F.col("most"), F.lit(band))), True).when(F.col("most") <= band, False).otherwise(found)
     return found
 
 
 def groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """node and component of classes that are linked with others."""
     post = written(posted(classes), "postings")
-    pairs = written(near(post, post.where("key_a = least"), F.col("x.key_a") != F.col("y.key_a")), "pairs")
-    links = written(linked(docs, classes, pairs), "links")
+    pairs = written(pivot_pairs(post), "pairs")
+    links = linked(docs, classes, pairs)
     found = components(links)
-    placed = post.join(found.withColumnRenamed("node", "key_a"), "key_a", "left").withColumn("component", F.coalesce("component", "key_a"))
-    rest = written(near(placed, placed, F.col("x.component") < F.col("y.component")), "pairs")
-    if rest.isEmpty():
-        return found
-    return components(written(links.union(linked(docs, classes, rest)), "links"))
+    rest = written(open_pairs(post, found), "pairs")
+    more = linked(docs, classes, rest)
+    last = components(links.union(more))
+    dropped(post, pairs, rest, links, more, found)
+    return last
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -137,22 +232,29 @@ def removals(docs: DataFrame) -> DataFrame:
     grouped = several.join(firsts, "component").select("key_a", "key_b", "kept")
     alone = classes.where("n > 1").join(joined, classes["key_a"] == joined["node"], "left_anti").select("key_a", "key_b", F.col("first").alias("kept"))
     gone = found.join(grouped.union(alone), ["key_a", "key_b"]).where(~F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("kept")))
-    return gone.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
+    places = written(gone.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "places")
+    dropped(found, classes, joined)
+    return places
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The rows with their texts cut, and n_lines and n_removed of each; `emptied` tells that no line but blanks is left."""
+def cut_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), text (cut), n_lines and n_removed of every row; `emptied` tells that no line but blanks is left."""
     gone = removals(docs)
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    both = keyed.join(gone.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "places"), (F.col("_key") == F.col("_text_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("key"))
+    both = keyed.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "places"), (F.col("key") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     rest = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("places")), lambda k: F.get(x, k)), "\n")
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    cut = both.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size("places"), F.lit(0)).cast("long")).withColumn("text", text)
-    return cut.withColumn("emptied", (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")).select(*docs.columns, "n_lines", "n_removed", "emptied")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    told = both.select("row", text.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
+    return told.withColumn("emptied", (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text (cut), n_lines, n_removed and emptied of every row."""
+    return cut_rows(docs).select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed", "emptied")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows with their texts cut and n_chars told anew; rows of which no line is left go."""
-    cut = without_repeated_lines(docs).where("not emptied")
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """The rows with their texts cut and n_chars, if there is one, told anew; rows of which no line is left go."""
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return cut_rows(docs).where("not emptied").select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns))

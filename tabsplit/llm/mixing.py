@@ -15,15 +15,18 @@ may repeat, each is a document of its own; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsplit.llm.common import WORD, text_of, written
+from tabsplit.llm.common import WORD, text_of
+from tabsplit.shared import written
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Hexadecimal digits of the shuffle key that number a source's buckets, and ranges of virtual time.
-BUCKET_DIGITS, RANGES, SEED = 3, 1024, 42
+#: Rows of a source's bucket and of a range of virtual time, about; both are as many as the rows ask for.
+BUCKET_ROWS, SEED = 20_000, 42
 
 
 def word_count(column: str = "text"):
@@ -69,16 +72,19 @@ def schedule(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     epoch counts from 0; taken is below size only for the copy in service when the budget is spent; mix_offset is the
     number of words that the mix holds before this copy. `start` tells rows with equal doc_id apart; `extra` columns stay.
     """
+    buckets = sized.count() // BUCKET_ROWS
+    digits = max(2, math.ceil(math.log(buckets + 1, 16)))
+    ranges = max(256, most * buckets)
     targets = source_targets(sized, weights, share, most)
     same = sized["source"].eqNullSafe(targets["source"])
     queued = sized.where("size > 0").join(targets, same).drop(targets["source"])
-    queued = queued.withColumn("shuffle", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("shuffle", 1, BUCKET_DIGITS))
+    queued = queued.withColumn("shuffle", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("shuffle", 1, digits))
     queued = running(queued, ["rank"], "bucket", ["shuffle", "doc_id", "size"], "size", "start")
     copies = queued.withColumn("epoch", F.explode(F.array(*map(F.lit, range(most)))))
     begun = F.col("start") + F.col("epoch") * F.col("source_size")
     copies = copies.withColumn("finish", (begun + F.col("size")) / F.col("weight"))
     copies = copies.withColumn("served", F.least(F.col("size"), F.floor("target") - begun)).where("served > 0")
-    time = F.least(F.floor(F.col("finish") / F.col("until") * RANGES), F.lit(RANGES - 1))
+    time = F.least(F.floor(F.col("finish") / F.col("until") * ranges), F.lit(ranges - 1))
     copies = running(copies.withColumn("range", time), [], "range", ["finish", "rank", "epoch", "start"], "served", "mix_offset")
     taken = F.least("served", F.floor("budget") - F.col("mix_offset"))
     return copies.withColumn("taken", taken).where("taken > 0").select("doc_id", "source", "size", "start", "epoch", "taken", "mix_offset", *extra)
@@ -106,14 +112,14 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows as often as the mix takes them; a copy that the budget cuts stays whole if at least half of it is taken.
 
-    Rows that are equal in doc_id, source and text share their number in `_same`, so that each meets its own copies.
+    Rows that are equal in doc_id, source and text are numbered, so that each meets its own copies. Other columns stay.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("text")).withColumn("_same", F.row_number().over(Window.partitionBy("doc_id", "source", "_key").orderBy(F.lit(1))))
-    sized = written(keyed.select("doc_id", "source", F.struct("_key", "_same").alias("row"), word_count().alias("size")), "sizes")
-    copies = schedule(sized, extra=("row",)).where("2 * taken >= size").groupBy("doc_id", "source", "row").agg(F.count("*").cast("int").alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("row._key").alias("_row_key"), F.col("row._same").alias("_row_same"), "_copies")
-    same = (F.col("_key") == F.col("_row_key")) & (F.col("_same") == F.col("_row_same")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"], docs["source"], docs["text"], F.xxhash64(docs["text"]).alias("key"))
+    keyed = row.withColumn("same", F.row_number().over(Window.partitionBy("doc_id", "source", "key").orderBy(F.lit(1))))
+    sized = written(keyed.select("doc_id", "source", F.struct("key", "same").alias("id"), word_count().alias("size")), "sizes")
+    copies = schedule(sized, extra=("id",)).where("2 * taken >= size").groupBy("doc_id", "source", "id").agg(F.count("*").cast("int").alias("copies"))
+    both = [keyed["key"] == copies["id.key"], keyed["same"] == copies["id.same"], *(keyed[c].eqNullSafe(copies[c]) for c in ("doc_id", "source"))]
+    return keyed.join(copies, both).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 REPORT_SQL = r"""

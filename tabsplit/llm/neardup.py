@@ -35,8 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsplit.llm.common import dropped, slices, written
-from tabsplit.llm.graph import components
+from tabsplit.llm.common import slices
+from tabsplit.operators.components import components
+from tabsplit.shared import dropped, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 COORDINATES, ROWS, MISSED = 48, 3, 1e-6
@@ -344,7 +345,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     alone = empty.join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("component_id"))
     no_id = rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     result = linked.union(alone).union(no_id)
-    return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    found = written(result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")
+    dropped(rows, told)
+    return found
 
 
 def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -17,13 +17,14 @@ repeated rows are judged alike; a text of one very long line or word is one row;
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsplit.llm.common import WORD, text_of, written
+from tabsplit.functions.columns import let
+from tabsplit.llm.common import WORD, text_of
+from tabsplit.shared import dropped, written
 
 SYMBOLS, WHITE, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -38,11 +39,6 @@ MEDIAN, CUTOFF = 1.3863, 100.0
 VECTOR = ["z_length", "z_word", "z_symbols", "z_lines", "z_repeats"]
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeated_words(words: Column) -> Column:
     """Words inside 8-word windows that occur twice or more; equal windows are told by their hashes."""
 
@@ -85,16 +81,18 @@ def vectors(counts: DataFrame) -> DataFrame:
     return counts.withColumns({name: F.round(x * UNIT).cast("long") for name, x in zip(VECTOR, raw, strict=True)})
 
 
-def grouped(judged: DataFrame) -> DataFrame:
-    """Each document with the group that judges it: language and source, or the pool of small ones."""
+def group_names(sizes: DataFrame) -> DataFrame:
+    """lang, source and the group that judges them: their own, or the pool of small ones."""
     name = lambda *c: F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in c))
-    sizes = judged.groupBy("lang", "source").count()
     small = F.col("count") < LEAST
     pool = F.sum(F.when(small, F.col("count")).otherwise(0)).over(Window.partitionBy("lang"))
     own = F.when(~small, name("lang", "source")).when(pool >= LEAST, name("lang")).otherwise(F.lit(""))
-    groups = sizes.select("lang", "source", own.alias("group"))
-    same = [judged[c].eqNullSafe(groups[c]) for c in ("lang", "source")]
-    return judged.join(groups, same).select(judged["*"], "group")
+    return sizes.select("lang", "source", own.alias("group"))
+
+
+def in_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    same = [rows[c].eqNullSafe(groups[c]) for c in ("lang", "source")]
+    return rows.join(groups, same).select(rows["*"], "group")
 
 
 def pairs() -> list[tuple[int, int]]:
@@ -156,9 +154,12 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     every = []
     while not moving.isEmpty():
         near = distances(trials, moving)
-        kept = near.join(half_below(near, len(VECTOR) + 1, "limit"), "group").where(F.ceil(F.log1p("distance") * 256) <= F.round(F.log1p("limit") * 256))
+        # a written table's size is known, so that one row a group is broadcast and no group meets in one task
+        limits = written(half_below(near, len(VECTOR) + 1, "limit"), "limits")
+        kept = near.join(limits, "group").where(F.ceil(F.log1p("distance") * 256) <= F.round(F.log1p("limit") * 256))
         before = moving.select("group", F.col("n").alias("all"), F.col("spread").alias("before"))
         every.append(written(estimate(kept).join(before, "group").withColumn("n", F.col("all")), "estimates"))
+        dropped(limits)
         moving = every[-1].where(F.col("spread") < F.col("before") - FALL).select(moving.columns)
     if not every:
         return moving.withColumn("scale", F.lit(1.0))
@@ -169,29 +170,28 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     return written(found.join(middle.select("group", F.greatest(F.col("middle") / MEDIAN, F.lit(1e-3)).alias("scale")), "group"), "estimates")
 
 
+def judged(counts: DataFrame) -> DataFrame:
+    """The rows of counts (lang, source, the vector) that passed the base rule, with n (documents of its group) and distance, scaled."""
+    passed = counts.where("not base_failed")
+    sizes = written(passed.groupBy("lang", "source").count(), "sizes")
+    groups = written(group_names(sizes), "groups")
+    rows = written(in_groups(passed.select("lang", "source", *VECTOR), groups).select("group", *VECTOR), "vectors")
+    found = robust_estimates(rows)
+    near = distances(in_groups(passed, groups), found.drop("scale")).join(found.select("group", "scale"), "group")
+    dropped(rows, sizes)
+    return near.withColumn("distance", F.col("distance") / F.col("scale")).withColumn("kept", (F.col("n") < LEAST) | (F.col("distance") <= CUTOFF))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the scaled squared distance that decided (null if it failed before)."""
     counts = written(vectors(base_statistics(docs)), "statistics")
-    rows = written(grouped(counts.where("not base_failed")).select("group", "lang", "source", *VECTOR), "vectors")
-    found = robust_estimates(rows.select("group", *VECTOR))
-    groups = rows.select("group", "lang", "source").distinct()
-    passed = counts.where("not base_failed")
-    same = [passed[c].eqNullSafe(groups[c]) for c in ("lang", "source")]
-    near = distances(passed.join(groups, same).select(passed["*"], "group"), found.drop("scale")).join(found.select("group", "scale"), "group")
-    outlier = near.withColumn("distance", F.col("distance") / F.col("scale")).withColumn("kept", (F.col("n") < LEAST) | (F.col("distance") <= CUTOFF))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     failed = counts.where("base_failed").withColumn("kept", F.lit(False)).withColumn("distance", F.lit(None).cast("double"))
-    return outlier.select(columns).unionByName(failed.select(columns))
+    return judged(counts).select(columns).unionByName(failed.select(columns))
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, with all their columns."""
-    more = [c for c in docs.columns if c not in ("doc_id", "lang", "source")]
-    counts = vectors(base_statistics(docs, *more)).where("not base_failed")
-    passed = written(counts.select(*docs.columns, *VECTOR), "passed")
-    rows = written(grouped(passed.select("lang", "source", *VECTOR)), "vectors")
-    found = robust_estimates(rows.select("group", *VECTOR))
-    groups = rows.select("group", "lang", "source").distinct()
-    same = [passed[c].eqNullSafe(groups[c]) for c in ("lang", "source")]
-    near = distances(passed.join(groups, same).select(passed["*"], "group"), found.drop("scale")).join(found.select("group", "scale"), "group")
-    return near.where((F.col("n") < LEAST) | (F.col("distance") / F.col("scale") <= CUTOFF)).select(docs.columns)
+    """The rows that are kept, with all their columns, whatever their names."""
+    row = docs.select(docs["doc_id"], docs["lang"], docs["source"], docs["text"], F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    passed = written(vectors(base_statistics(row, "row")).where("not base_failed").select("lang", "source", "base_failed", "row", *VECTOR), "passed")
+    return judged(passed).where("kept").select("row.*")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsplit.llm import lines, media, mixing, neardup, pages, pieces, quality, repeats, tokens, toxicity
-from tabsplit.llm.common import documents, new_path, prepare
+from tabsplit.llm.common import documents, prepare
+from tabsplit.shared import new_path
 
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 512

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsplit.llm.common import slices, text_of, written
+from tabsplit.llm.common import slices, text_of
 from tabsplit.llm.neardup import grouped, mixed
+from tabsplit.shared import dropped, written
 
 LENGTH, K = 200, 32
 #: Positions of a k-gram in a window; bytes before an anchor that a window holding it can begin at.

@@ -10,7 +10,8 @@ import pytest
 import regex
 import xxhash
 
-from tabsplit.llm import graph, lines, neardup, repeats
+from tabsplit.llm import lines, neardup, repeats
+from tabsplit.operators import components as graph
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
@@ -152,27 +153,47 @@ def test_loser_tree_merges_and_tells_common_prefixes():
     assert all(b[0] == repeats.common(a[1], b[1]) for a, b in itertools.pairwise(merged))
 
 
+def norm(line):
+    spaced = re.sub("[\u4e00-\u9fff]", lambda m: f" {m[0]} ", line.lower())
+    return " ".join(x for x in regex.split(r"[^\p{L}\p{N}]+", spaced) if x) or " ".join(line.split())
+
+
+def block_keys(words):
+    hashes = {xxhash.xxh64_intdigest(w.encode()) for w in words}
+    keys = []
+    for j in range(lines.BLOCKS):
+        mine = [h for h in hashes if (h >> 56) % lines.BLOCKS == j]
+        bits = sum(1 << b for b in range(lines.BITS) if 2 * sum(h >> b & 1 for h in mine) > len(mine))
+        keys.append((bits, min(len(mine), lines.MOST_TOLD)))
+    return keys
+
+
+def postings(words):
+    keys, found = block_keys(words), set()
+    for blocks, held, least, most in lines.POSTED:
+        if max(least, lines.LEAST_WORDS) <= len(words) <= (most or len(words)):
+            found |= {(chosen, *(keys[j] for j in chosen)) for chosen in itertools.combinations(range(lines.BLOCKS), blocks) if sum(keys[j][1] for j in chosen) >= held}
+    return found
+
+
+def alike(a, b):
+    longest = max(len(a), len(b))
+    return edits(a, b) <= int(longest * (1 - lines.SIMILAR) + 1e-9)
+
+
 def brute_lines(rows):
-    norm = lambda x: regex.sub(r"[^\p{L}]+", " ", x.lower()).strip(" ")
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
     classes, places = {}, []
     for k in order:
         for n, line in enumerate(rows[k][1].split("\n") if rows[k][1] is not None else []):
-            x = norm(line)
-            if len(set(x.split(" "))) >= lines.LEAST_WORDS:
+            if x := norm(line):
                 classes.setdefault(x, len(classes))
                 places.append((k, n, x))
-    names, signs = list(classes), []
-    for x in names:
-        distinct = set(x.split(" "))
-        if len(distinct) >= (most := 1 << (lines.LANE - 2)):
-            distinct = {str((h - (h >> 63 << 64)) % most) for h in (xxhash.xxh64_intdigest(w.encode(), seed=42) for w in distinct)}
-        hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in distinct]
-        signs.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    names = list(classes)
+    keys = [postings(x.split(" ")) for x in names]
     linked = Sets(range(len(names)))
     for i, j in itertools.combinations(range(len(names)), 2):
-        longest = max(len(names[i]), len(names[j]))
-        if (signs[i] ^ signs[j]).bit_count() <= lines.DIFFER and edits(names[i], names[j]) <= int(longest * (1 - lines.SIMILAR) + 1e-9):
+        if keys[i] & keys[j] and alike(names[i], names[j]):
             linked.join(i, j)
     seen, gone = set(), collections.defaultdict(set)
     for k, n, x in places:
@@ -192,15 +213,48 @@ def edits(a, b):
     return row[-1]
 
 
-def test_lines_against_all_pairs(documents):
+@pytest.mark.parametrize("met", [lines.MET, 2])
+def test_lines_against_all_pairs(documents, monkeypatch, met):
+    monkeypatch.setattr(lines, "MET", met)
     rng = random.Random(11)
-    base = [" ".join(rng.choice(["red", "blue", "green", "deep", "old", "new", "house", "river", "stone"]) + str(rng.randint(0, 9)) * (rng.random() < 0.1) for _ in range(rng.choice([2, 4, 30, 140]))) for _ in range(30)]
+    base = [" ".join(rng.choice(["red", "blue", "green", "deep", "old", "new", "house", "river", "stone"]) + str(rng.randint(0, 9)) * (rng.random() < 0.1) for _ in range(rng.choice([1, 2, 4, 10, 30, 140]))) for _ in range(30)]
     vary = lambda x: rng.choice([x, x.upper(), f"{x}!", f"{x} 77", x + "s", x.replace("red", "rot", 1), f"  {x}"])
-    rows = [(k, "\n".join(vary(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for k in range(60)] + [(100, None), (101, ""), (102, "\n\n"), (103, "1 2 3 4\n1 2 3 4"), (None, base[2])]
+    rows = [(k, "\n".join(vary(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "1 2 3 4\n1 2 3 4"), (None, base[2]), (104, "Read more\n---\n***"), (105, "read more\n---"), (106, "我们今天去公园里散步"), (107, "我们今天去公园里跑步吧\n我们今天去公园里散步。")]
     found = lines.without_repeated_lines(documents(rows)).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in found) == brute_lines(rows)
 
 
+def test_recall_against_edit_similarity_alone():
+    """Of pairs of lines with an edit similarity of 0.8 or more, made by changes of letters or words, how many share a posting."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    met = collections.defaultdict(list)
+    for _ in range(3000):
+        a = [word() for _ in range(rng.randint(4, 60))]
+        b = list(a)
+        changes = rng.randint(1, 3)
+        for _ in range(changes):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[b[k] + "s"], [word()], [b[k], word()], []])
+        if b and alike(" ".join(a), " ".join(b)):
+            met[changes].append(bool(postings(a) & postings(b)) or a == b)
+    share = {n: sum(x) / len(x) for n, x in met.items()}
+    assert share[1] > 0.95 and share[2] > 0.5, share
+
+
+def test_extra_columns_with_clashing_names(documents):
+    rows = [(1, "one line here\nand another line there"), (2, "one line here")]
+    from pyspark.sql import functions as F
+
+    names = ["places", "_doc_id", "gone_id", "row", "emptied", "n_removed", "n_lines", "key", "posting", "node", "label"]
+    docs = documents(rows).withColumns({c: F.lit("mine") for c in names})
+    found = lines.kept_rows(docs)
+    assert found.columns == docs.columns
+    assert [(r.doc_id, r.text, r.row, r.places) for r in found.collect()] == [(1, rows[0][1], "mine", "mine")]
+    assert {r.doc_id: r.n_removed for r in lines.without_repeated_lines(docs).collect()} == {1: 0, 2: 1}
+
+
 def test_line_of_very_many_words(documents):
     text = " ".join("".join(random.Random(k).choices("abcdefghijklmnop", k=6)) for k in range(20_000))
     found = lines.without_repeated_lines(documents([(1, text), (2, text)])).collect()
