@@ -2,6 +2,9 @@
 
 Every stage takes what its predecessor kept, written as Parquet and reread, and returns rows with the columns of documents;
 the last adds ids and the decoded text.
+
+Nulls, empty and very long texts, ties, repeated rows and empty tables have the results that each stage's operator states. Extra
+columns of documents are left out; those of its own may be null.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabsplit import shared
 from tabsplit.llm import common, lines, mixing, neardup, pieces, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -53,15 +57,21 @@ STAGES = [
     ("SentencePiece", sentencepiece),
 ]
 
-#: The stages hash, sign and encode in ways that SQL cannot express; tests hold run() against a brute-force version.
+#: The stages hash, sign and encode in ways that SQL cannot express; the tests hold run() against plain versions of its stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and reread as the next one's input."""
-    docs = common.documents(common.prepare(spark), sf_dir)
+    """All stages over documents, each written to the shared folder and reread as the next one's input.
+
+    What a stage made on its way, and its input, are deleted when its output is written.
+    """
+    docs, before = common.documents(common.prepare(spark), sf_dir), []
     for place, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with shared.made() as tables:
+            docs = stage(spark, docs, sf_dir)
         if place + 1 < len(STAGES):
-            docs = common.written(docs, "stage")
+            docs = shared.written(docs, "stage")
+            shared.dropped(*tables, *before)
+            before = [docs]
     return docs
