@@ -1,6 +1,7 @@
 """Token geometry to lines and columns: greedy clusters by running means, one document at a time.
 
-The clusters depend on the order of tokens, so each document's sorted tokens are folded in one row of a mapInArrow task.
+The clusters depend on the order of tokens, so each document's tokens, which Spark gathers and sorts, are folded in one pass of
+a mapInArrow task; what it returns are the lines or columns themselves.
 """
 
 from __future__ import annotations
@@ -44,83 +45,131 @@ def clusters(places: list[float], tolerance: float) -> list[list[float]]:
     return found
 
 
-def line_numbers(tokens: list[dict]) -> list[int]:
-    """The line of each token (x, y, width, height), counted from the top."""
-    order = sorted(range(len(tokens)), key=lambda k: (tokens[k]["y"] + tokens[k]["height"] / 2, tokens[k]["x"]))
-    tolerance = max(6.0, 0.6 * upper_median([t["height"] for t in tokens], 12.0))
-    rows: list[dict] = []
-    for k in order:
-        centre, target = tokens[k]["y"] + tokens[k]["height"] / 2, None
-        for row in reversed(rows):
-            gap = centre - row["sum"] / len(row["members"])
+def line_numbers(centres: list[float], tops: list[float], heights: list[float]) -> list[int]:
+    """The line of each token, counted from the top, of tokens in the order of their centres."""
+    tolerance = max(6.0, 0.6 * upper_median(heights, 12.0))
+    sums: list[float] = []
+    members: list[list[int]] = []
+    for k, centre in enumerate(centres):
+        target = None
+        for row in range(len(sums) - 1, -1, -1):
+            gap = centre - sums[row] / len(members[row])
             if abs(gap) <= tolerance:
                 target = row
                 break
             if gap > 4 * tolerance:
                 break
         if target is None:
-            rows.append({"sum": centre, "members": [k]})
+            sums.append(centre)
+            members.append([k])
         else:
-            target["sum"] += centre
-            target["members"].append(k)
-    rows.sort(key=lambda row: min(tokens[k]["y"] for k in row["members"]))
-    number = {k: n for n, row in enumerate(rows) for k in row["members"]}
-    return [number[k] for k in range(len(tokens))]
-
-
-def columns_of(tokens: list[dict]) -> tuple[list[tuple[int, int]], int | None]:
-    """(centre, count) of numeric columns, and the centre of the column of amounts, if one stands out."""
-    height = upper_median([t["height"] for t in tokens], 0.0)
-    edge = lambda t: t["x"] + t["width"]
-    centre = lambda c: math.floor(sum(c) / len(c) + 0.5)
-    numeric = [t for t in tokens if t["numeric"]]
-    found = [(centre(c), len(c)) for c in clusters(sorted(map(edge, numeric)), max(18.0, 1.1 * height)) if len(c) >= 2]
-    last: dict[int, dict] = {}
-    for t in sorted(numeric, key=lambda t: (t["line"], t["x"])):
-        last[t["line"]] = t
+            sums[target] += centre
+            members[target].append(k)
+    lines = [0] * len(centres)
+    for n, row in enumerate(sorted(range(len(sums)), key=lambda row: min(tops[k] for k in members[row]))):
+        for k in members[row]:
+            lines[k] = n
+    return lines
+
+
+def rounded(cluster: list[float]) -> int:
+    return math.floor(sum(cluster) / len(cluster) + 0.5)
+
+
+def columns_of(edges: list[float], numeric: list[bool], lines: list[int], xs: list[float], heights: list[float]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int | None]:
+    """(centre, count) of numeric columns, of the lines' last amounts from the largest on, and the centre of the column of
+    amounts, if one stands out; edges are the tokens' right ends."""
+    height = upper_median(heights, 0.0)
+    which = [k for k, x in enumerate(numeric) if x]
+    found = [(rounded(c), len(c)) for c in clusters(sorted(edges[k] for k in which), max(18.0, 1.1 * height)) if len(c) >= 2]
+    last = {lines[k]: edges[k] for k in sorted(which, key=lambda k: (lines[k], xs[k]))}
+    ranked = sorted(clusters(sorted(last.values()), max(20.0, 1.5 * height)), key=len, reverse=True)
+    told = [(rounded(c), len(c)) for c in ranked]
     if len(last) < 3:
-        return found, None
-    ranked = sorted(clusters(sorted(map(edge, last.values())), max(20.0, 1.5 * height)), key=len, reverse=True)
+        return found, told, None
     clear = len(ranked[0]) >= 3 and (len(ranked) == 1 or len(ranked[0]) >= 1.5 * len(ranked[1]))
-    return found, centre(ranked[0]) if clear else None
+    return found, told, told[0][0] if clear else None
 
 
 def documents_of(tokens: DataFrame, *more: str) -> DataFrame:
-    fields = ["token_no", "text", "x", "y", "width", "height", *more]
+    """One row a document: its tokens from top to bottom by their centres, then from left to right."""
+    fields = [(F.col("y") + F.col("height") / 2).alias("centre"), "x", "token_no", "text", "y", "width", "height", *more]
     return tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tokens"))
 
 
+def folded(batch: pa.RecordBatch) -> Iterator[tuple[int, int, dict[str, list], list[int]]]:
+    """Of each document of a batch its place, the columns of its tokens and their lines."""
+    held = batch.column("tokens")
+    told = {field.name: held.flatten().field(field.name).to_pylist() for field in held.type.value_type}
+    offsets = held.offsets.to_pylist()
+    first = offsets[0]
+    for k, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+        tokens = {name: column[a - first : b - first] for name, column in told.items()}
+        yield k, b - a, tokens, line_numbers(tokens["centre"], tokens["y"], tokens["height"])
+
+
+LINE = "line_no long, text string, left double, top double, right double, bottom double"
+
+
 def detect_lines(tokens: DataFrame) -> DataFrame:
     """doc_id, line_no, text, and the box of every line, of tokens (doc_id, token_no, text, x, y, width, height)."""
     clean = tokens.withColumn("text", normalize_token(F.col("text"))).where("text <> ''")
-    known = with_lines(clean)
-    ordered = F.array_sort(F.collect_list(F.struct("x", "token_no", "text")))
-    box = [F.min("x").alias("left"), F.min("y").alias("top"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom")]
-    return known.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(ordered, lambda t: t["text"]), " ").alias("text"), *box)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, out = [], []
+            for k, n, t, lines in folded(batch):
+                parts: dict[int, list[int]] = {}
+                for i in sorted(range(n), key=lambda i: (t["x"][i], t["token_no"][i])):  # noqa: B023
+                    parts.setdefault(lines[i], []).append(i)
+                for line, of in sorted(parts.items()):
+                    places.append(k)
+                    out.append((line, " ".join(t["text"][i] for i in of), t["x"][of[0]], min(t["y"][i] for i in of), max(t["x"][i] + t["width"][i] for i in of), max(t["y"][i] + t["height"][i] for i in of)))
+            if out:
+                kinds = (pa.int64(), pa.string(), *[pa.float64()] * 4)
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int32())), *columns], ["doc_id", "line_no", "text", "left", "top", "right", "bottom"])
+
+    return documents_of(clean).mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, {LINE}")
 
 
 def with_lines(tokens: DataFrame) -> DataFrame:
-    """The tokens with their line_no."""
+    """doc_id, token_no and line_no of the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(doc, t["token_no"], n) for doc, ts in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True) for t, n in zip(ts, line_numbers(ts), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "token_no", "line_no"])
+            places, numbers, lines = [], [], []
+            for k, n, t, found in folded(batch):
+                places += [k] * n
+                numbers += t["token_no"]
+                lines += found
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int32())), pa.array(numbers, pa.int64()), pa.array(lines, pa.int64())], ["doc_id", "token_no", "line_no"])
+
+    return documents_of(tokens).mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, token_no long, line_no long")
 
-    return tokens.join(documents_of(tokens).mapInArrow(run, "doc_id long, token_no long, line_no long"), ["doc_id", "token_no"])
+
+COLUMNS = "array<struct<centre: long, count: long>>"
 
 
 def detect_columns(tokens: DataFrame) -> DataFrame:
-    """doc_id, its numeric columns (centre, count), and the amount column's centre or null."""
-    numeric = F.col("text").rlike("[0-9]") & parse_money(F.col("text")).isNotNull()
-    known = with_lines(tokens).withColumn("numeric", numeric).withColumnRenamed("line_no", "line")
+    """doc_id, its numeric columns (centre, count), the clusters of the lines' last amounts from the largest on, and the amount
+    column's centre or null."""
+    numeric = F.coalesce(F.col("text").rlike("[0-9]") & parse_money(F.col("text")).isNotNull(), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("centre", pa.int64()), ("count", pa.int64())]))
+        listed = lambda x: [{"centre": c, "count": n} for c, n in x]
         for batch in batches:
-            found = [columns_of(ts) for ts in batch.column("tokens").to_pylist()]
-            listed = [[{"centre": c, "count": n} for c, n in columns] for columns, _ in found]
-            kind = pa.list_(pa.struct([("centre", pa.int64()), ("count", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(listed, kind), pa.array([a for _, a in found], pa.int64())], ["doc_id", "columns", "amount_column"])
+            found = [columns_of([x + w for x, w in zip(t["x"], t["width"], strict=True)], t["numeric"], lines, t["x"], t["height"]) for _, _, t, lines in folded(batch)]
+            columns = [pa.array([listed(x[i]) for x in found], kind) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([x[2] for x in found], pa.int64())], ["doc_id", "columns", "ranked", "amount_column"])
+
+    return documents_of(tokens.withColumn("numeric", numeric), "numeric").mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, columns {COLUMNS}, ranked {COLUMNS}, amount_column long")
+
 
-    return documents_of(known, "numeric", "line").mapInArrow(run, "doc_id long, columns array<struct<centre: long, count: long>>, amount_column long")
+def on_level(tokens: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs of a document's tokens whose tops differ by the tolerance at most, by bands: a token meets its own band and the next ones."""
+    band = F.floor(F.col("y") / tolerance)
+    left = tokens.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    right = tokens.select(F.col("doc_id").alias("_doc"), F.col("token_no").alias("other_no"), F.col("y").alias("other_y"), band.alias("_at"))
+    return left.join(right, (F.col("doc_id") == F.col("_doc")) & (F.col("_band") == F.col("_at")) & (F.abs(F.col("y") - F.col("other_y")) <= tolerance)).drop("_band", "_at", "_doc")

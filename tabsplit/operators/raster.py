@@ -72,16 +72,25 @@ def fit_within(width: Column, height: Column, least: int, most: int) -> Column:
     return F.struct(size(width).alias("width"), size(height).alias("height"))
 
 
-def largest_component(cells: DataFrame) -> DataFrame:
-    """The largest 4-connected component of marked cells (img_id, y, x): its size and box; of equals the first in reading order."""
+def labelled(cells: DataFrame) -> DataFrame:
+    """Marked cells (img_id, y, x) with their 4-connected component, named by its first cell in reading order."""
     at = cells.select("img_id", F.struct("img_id", "y", "x").alias("id"), "y", "x")
     right = at.select("img_id", "y", (F.col("x") - 1).alias("x"), F.col("id").alias("other"))
     below = at.select("img_id", (F.col("y") - 1).alias("y"), "x", F.col("id").alias("other"))
     ties = at.join(right, ["img_id", "y", "x"]).select("id", "other").union(at.join(below, ["img_id", "y", "x"]).select("id", "other"))
-    found = at.join(components(ties.toDF("u", "v")), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = found.groupBy("img_id", "component").agg(F.count("*").alias("cells"), F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"))
-    place = F.row_number().over(Window.partitionBy("img_id").orderBy(F.desc("cells"), "component"))
-    return sizes.withColumn("place", place).where("place = 1").drop("place", "component")
+    found = at.join(components(ties.toDF("u", "v")), F.col("id") == F.col("node"), "left")
+    return found.select("img_id", "y", "x", F.coalesce("component", "id").alias("component"))
+
+
+def component_stats(cells: DataFrame) -> DataFrame:
+    """Size and box of every component of marked cells."""
+    return labelled(cells).groupBy("img_id", "component").agg(F.count("*").alias("cells"), F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"))
+
+
+def largest_component(cells: DataFrame) -> DataFrame:
+    """The largest component of each image; of equals the first in reading order."""
+    best = F.max(F.struct("cells", F.struct(-F.col("component.y"), -F.col("component.x")), "left", "top", "right", "bottom")).alias("best")
+    return component_stats(cells).groupBy("img_id").agg(best).select("img_id", *(f"best.{c}" for c in ("cells", "left", "top", "right", "bottom")))
 
 
 # Fixed values of the image stage: white paper after correction, the darkest background that is divided by, the blur's share of

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.operators import layout, raster, score
+from tabsplit.operators import adapters, layout, raster, score
 from tabsplit.operators.settle import money
 from tabsplit.sources import receipts, views
 from tabsplit.streaming import debounce
@@ -85,20 +85,121 @@ def fit_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
 
 
-@query(None)
-def detect_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest bright component of every image, with its share of the image and its fill in hundredths."""
+# cells of a grid: bright inside a frame, with some colour, so that sheets, specks and full frames come about
+CELLS = PIXELS + """, cells AS (SELECT img_id, y, x, least(value + CASE WHEN x BETWEEN img_id % 4 AND 7 - img_id % 3 AND y BETWEEN 1 AND 6 THEN 40 + img_id % 130 ELSE 0 END, 255)::DOUBLE AS lum, ((value * 7 + img_id) % 76)::DOUBLE AS sat FROM pixels),
+paper AS (SELECT * FROM cells JOIN (SELECT img_id, list_sort(list(lum))[floor((count(*) - 1) * 0.95 + 0.5)::BIGINT + 1] AS white FROM cells GROUP BY ALL) USING (img_id) WHERE lum >= greatest(110, white * 0.74::DOUBLE) AND sat <= 70)"""
+LABELS = CELLS.replace("WITH pixels", "WITH RECURSIVE pixels") + """, reached AS (SELECT img_id, y AS y0, x AS x0, y, x FROM paper
+  UNION SELECT r.img_id, r.y0, r.x0, p.y, p.x FROM reached r JOIN paper p ON p.img_id = r.img_id AND abs(p.y - r.y) + abs(p.x - r.x) = 1),
+labels AS (SELECT img_id, y, x, min(y0 * 8 + x0) AS label FROM reached GROUP BY ALL),
+stats AS (SELECT img_id, label, count(*) AS cells, min(x) AS l, min(y) AS t, max(x) AS r, max(y) AS b FROM labels GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY cells DESC, label) AS place FROM stats) WHERE place = 1)"""
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = pixels(spark, sf_dir)
-    bright = grid.groupBy("img_id").agg(F.collect_list("value").alias("v")).select("img_id", (0.74 * raster.nearest_percentile(F.col("v"), 0.95)).alias("limit"))
-    paper = grid.join(bright, "img_id").where(F.col("value") >= F.greatest(F.col("limit"), F.lit(110.0)))
-    found = raster.largest_component(paper)
-    area = (F.col("right") - F.col("left") + 1) * (F.col("bottom") - F.col("top") + 1)
-    return found.withColumn("coverage", F.expr("100 * cells div 64")).withColumn("fill", F.floor(100 * F.col("cells") / area).cast("long"))
+    inside = F.col("x").between(F.col("img_id") % 4, 7 - F.col("img_id") % 3) & F.col("y").between(1, 6)
+    lum = F.least(F.col("value") + F.when(inside, 40 + F.col("img_id") % 130).otherwise(0), F.lit(255)).cast("double")
+    return grid.select("img_id", "y", "x", lum.alias("lum"), ((F.col("value") * 7 + F.col("img_id")) % 76).cast("double").alias("sat"))
+
+
+@query(LABELS + " SELECT img_id, y, x, label FROM labels")
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected cells that look like paper, named by their first cell in reading order."""
+    found = raster.labelled(raster.paper_cells(cells(spark, sf_dir)))
+    return found.select("img_id", "y", "x", (F.col("component.y") * 8 + F.col("component.x")).alias("label"))
+
+
+@query(LABELS + " SELECT img_id, label, cells, l AS left_edge, t AS top_edge, r AS right_edge, b AS bottom_edge FROM stats")
+def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = raster.component_stats(raster.paper_cells(cells(spark, sf_dir)))
+    edges = [F.col(c).alias(f"{c}_edge") for c in ("left", "top", "right", "bottom")]
+    return found.select("img_id", (F.col("component.y") * 8 + F.col("component.x")).alias("label"), "cells", *edges)
+
+
+REGIONS = LABELS + """, told AS (SELECT i.img_id, b.*  EXCLUDE (img_id), b.cells / 64.0::DOUBLE AS cover, b.cells / ((r - l + 1) * (b - t + 1))::DOUBLE AS fill FROM (SELECT DISTINCT img_id FROM cells) i LEFT JOIN best b USING (img_id)),
+judged AS (SELECT *, CASE WHEN cells IS NULL OR cover < 0.04 THEN 0::DOUBLE WHEN cover > 0.92 THEN 0.5::DOUBLE WHEN fill < 0.55 THEN 0.3::DOUBLE END AS off FROM told),
+regions AS (SELECT img_id, CASE WHEN off IS NULL THEN greatest(0, (l - 1) * 10) ELSE 0 END AS x, CASE WHEN off IS NULL THEN greatest(0, (t - 1) * 10) ELSE 0 END AS y,
+  CASE WHEN off IS NULL THEN least(80, (r + 2) * 10) ELSE 80 END AS to_x, CASE WHEN off IS NULL THEN least(80, (b + 2) * 10) ELSE 80 END AS to_y,
+  coalesce(off, least(0.95::DOUBLE, 0.28::DOUBLE + fill * 0.5::DOUBLE + least(cover, 0.4::DOUBLE) * 0.5::DOUBLE)) AS confidence, CASE WHEN off IS NOT NULL THEN 'full_image' WHEN fill > 0.72 THEN 'document_boundary' ELSE 'text_density' END AS reason FROM judged)"""
+
+
+@query(REGIONS + " SELECT img_id, x, y, to_x - x AS width, to_y - y AS height, round(confidence, 6) AS confidence, reason FROM regions")
+def detect_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet of paper in every image, of 8 by 8 cells of 10 pixels."""
+    return raster.receipt_region(cells(spark, sf_dir), 10, 80, 80).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(REGIONS + " SELECT img_id, confidence >= 0.6 AND reason <> 'full_image' AS crops FROM regions")
+def crop_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.receipt_region(cells(spark, sf_dir), 10, 80, 80).select("img_id", raster.crops(F.col("confidence"), F.col("reason")).alias("crops"))
+
+
+@query(REGIONS + """, cut AS (SELECT p.img_id, p.y - CASE WHEN ok THEN g.y // 10 ELSE 0 END AS y, p.x - CASE WHEN ok THEN g.x // 10 ELSE 0 END AS x, p.value, ok, (to_x - g.x) // 10 AS w, (to_y - g.y) // 10 AS h
+  FROM pixels p JOIN (SELECT *, confidence >= 0.6 AND reason <> 'full_image' AS ok FROM regions) g USING (img_id))
+ SELECT img_id, y, x, least(greatest(round_even((value - 128) * 115 / 100 + 128, 0), 0), 255)::BIGINT AS value FROM cut WHERE NOT ok OR (x BETWEEN 0 AND w - 1 AND y BETWEEN 0 AND h - 1)""")
+def normalize_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images cut to their paper and enhanced; a cell is a pixel here."""
+    found = raster.receipt_region(cells(spark, sf_dir), 10, 80, 80)
+    regions = found.select("img_id", *(F.expr(f"{c} div 10").alias(c) for c in ("x", "y", "width", "height")), "confidence", "reason")
+    return raster.normalized(pixels(spark, sf_dir), regions).select("img_id", "y", "x", "value")
+
+
+GROUND = """SELECT p.img_id, p.y, p.x, any_value(p.value) AS value, sum(q.value) / 9.0::DOUBLE AS ground FROM pixels p, range(-1, 2) a(dy), range(-1, 2) b(dx)
+  JOIN pixels q ON q.img_id = p.img_id AND q.y = least(greatest(p.y + dy, 0), 7) AND q.x = least(greatest(p.x + dx, 0), 7) GROUP BY ALL"""
+
 
+@query(PIXELS + f" SELECT img_id, y, x, CASE WHEN ground >= 235 * 0.7::DOUBLE THEN value ELSE least(greatest(round_even(value * 235 / greatest(40::DOUBLE, ground), 0), 0), 255)::BIGINT END AS even FROM ({GROUND.replace(' GROUP BY ALL', ' GROUP BY p.img_id, p.y, p.x')})")
+def illumination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shadows evened out; bright surroundings stay as they are."""
+    return raster.illumination(pixels(spark, sf_dir), 8, 8).select("img_id", "y", "x", "even")
 
-@query(r"SELECT doc_id, trim(regexp_replace(upper(translate(left(text, 200), 'ß', '')), '[^A-Z0-9]+', ' ', 'g')) AS text FROM documents")
+
+@query(PIXELS + """, spread AS (SELECT p.*, unnest(range(p.x * 6 // 8, ((p.x + 1) * 6 - 1) // 8 + 1)) AS nx FROM pixels p), both_ways AS (SELECT s.*, unnest(range(s.y * 6 // 8, ((s.y + 1) * 6 - 1) // 8 + 1)) AS ny FROM spread s),
+weighed AS (SELECT img_id, ny, nx, value, (least((x + 1) * 6, (nx + 1) * 8) - greatest(x * 6, nx * 8)) * (least((y + 1) * 6, (ny + 1) * 8) - greatest(y * 6, ny * 8)) AS part FROM both_ways),
+small AS (SELECT img_id, ny AS y, nx AS x, least(greatest(round_even(sum(value * part) / sum(part), 0), 0), 255)::BIGINT AS value FROM weighed GROUP BY ALL)
+ SELECT img_id, y, x, least(greatest(round_even((value - 128) * 115 / 100 + 128, 0), 0), 255)::BIGINT AS value FROM small""")
+def preprocess_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 8 by 8 resized to 6 by 6, with more contrast."""
+    return raster.preprocessed(pixels(spark, sf_dir), 8, 8, 6, 6).select("img_id", "y", "x", "value")
+
+
+QUADS = "quads AS (SELECT vec_id AS img_id, (vec_id % 3)::DOUBLE AS x0, (vec_id % 2)::DOUBLE AS y0, (6 - vec_id % 2)::DOUBLE AS x1, (vec_id % 3)::DOUBLE AS y1, (7 - vec_id % 3)::DOUBLE AS x2, (7 + vec_id % 4)::DOUBLE AS y2, (vec_id % 2)::DOUBLE AS x3, (6 - vec_id % 3)::DOUBLE AS y3 FROM embeddings)"
+GOOD = "greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3) > 8 * 0.15::DOUBLE AND greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3) > 8 * 0.15::DOUBLE AND least(x0, x1, x2, x3) >= 0 AND least(y0, y1, y2, y3) >= 0 AND greatest(x0, x1, x2, x3) <= 8 AND greatest(y0, y1, y2, y3) <= 8"
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four corners in every image; on half of the images one lies outside."""
+    corners = {"x0": "vec_id % 3", "y0": "vec_id % 2", "x1": "6 - vec_id % 2", "y1": "vec_id % 3", "x2": "7 - vec_id % 3", "y2": "7 + vec_id % 4", "x3": "vec_id % 2", "y3": "6 - vec_id % 3"}
+    return views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), *(F.expr(e).cast("double").alias(c) for c, e in corners.items()))
+
+
+@query(f"WITH {QUADS} SELECT img_id, {GOOD} AS reliable FROM quads")
+def reliable_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xs, ys = ([F.col(f"{c}{k}") for k in range(4)] for c in "xy")
+    return quads(spark, sf_dir).select("img_id", raster.reliable_quad(xs, ys, F.lit(8), F.lit(8)).alias("reliable"))
+
+
+@query(f"WITH {QUADS} SELECT img_id, round(sqrt((x0 - x2) * (x0 - x2) + (y0 - y2) * (y0 - y2)), 9) AS diagonal FROM quads")
+def hypot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: (F.col(f"x{k}"), F.col(f"y{k}"))
+    return quads(spark, sf_dir).select("img_id", F.round(raster.distance(at(0), at(2)), 9).alias("diagonal"))
+
+
+@query(PIXELS + f""", {QUADS}, sized AS (SELECT *, greatest(1, floor((sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)) + sqrt((x3 - x2) * (x3 - x2) + (y3 - y2) * (y3 - y2))) / 2 + 0.5))::BIGINT AS w,
+  greatest(1, floor((sqrt((x0 - x3) * (x0 - x3) + (y0 - y3) * (y0 - y3)) + sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))) / 2 + 0.5))::BIGINT AS h FROM quads WHERE {GOOD}),
+tall AS (SELECT *, unnest(range(h)) AS y FROM sized), grid AS (SELECT *, unnest(range(w)) AS x FROM tall),
+spots AS (SELECT *, CASE WHEN w = 1 THEN 0 ELSE x::DOUBLE / (w - 1) END AS u, CASE WHEN h = 1 THEN 0 ELSE y::DOUBLE / (h - 1) END AS v FROM grid),
+edges AS (SELECT *, x0 + (x1 - x0) * u AS tx, y0 + (y1 - y0) * u AS ty, x3 + (x2 - x3) * u AS bx, y3 + (y2 - y3) * u AS b_y FROM spots)
+ SELECT e.img_id, e.x, e.y, p.value FROM edges e JOIN pixels p ON p.img_id = e.img_id AND p.x = greatest(0, least(7, floor(tx + (bx - tx) * v + 0.5))) AND p.y = greatest(0, least(7, floor(ty + (b_y - ty) * v + 0.5)))
+ UNION ALL SELECT img_id, x, y, value FROM pixels WHERE img_id NOT IN (SELECT img_id FROM sized)""")
+def perspective_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.perspective_warp(pixels(spark, sf_dir), quads(spark, sf_dir), 8, 8)
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(upper(translate(text, 'ßẞ', '')), '[^A-Z0-9]+', ' ', 'g')) AS text FROM documents")
 def normalize_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", score.normalize_upper(F.translate(F.substring("text", 1, 200), "ß", "")).alias("text"))
+    """Whole texts; the sharp s, which has two letters above in one engine only, is left out."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", score.normalize_upper(F.translate("text", "ßẞ", "")).alias("text"))
 
 
 @query("SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part")
@@ -167,22 +268,166 @@ def detect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.detect_lines(tokens(spark, sf_dir)).select("doc_id", "line_no", "text")
 
 
-@query(None)
+# last amounts of lines by their right edge, of tokens() and of what stands in the oracle for it: the edges of one column lie
+# within its tolerance, columns far apart, so that gaps tell clusters
+EDGES = f"""WITH {views.SQL}, {receipts.SQL}, words AS (SELECT bill_id AS doc_id, line_no, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS place, len(string_split(line, ' ')) AS n FROM lines),
+ placed AS (SELECT *, regexp_matches(text, '^[$]?-?[0-9]+[.][0-9]{{2}}$') AS amount FROM words),
+ edges AS (SELECT *, CASE WHEN amount AND place = n - 1 THEN 900 WHEN amount THEN 700 ELSE 60 * place + 20 + 8 * length(text) END AS edge FROM placed WHERE regexp_matches(text, '[0-9]')),
+ last AS (SELECT doc_id, line_no, arg_max(edge, place) AS edge FROM edges GROUP BY ALL)"""
+ISLANDS = """, gaps AS (SELECT *, CASE WHEN edge - lag(edge) OVER w > {0} THEN 1 ELSE 0 END AS new FROM {1} WINDOW w AS (PARTITION BY doc_id ORDER BY edge)),
+ islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY edge) AS island FROM gaps),
+ found AS (SELECT doc_id, floor(avg(edge) + 0.5)::BIGINT AS centre, count(*) AS count FROM islands GROUP BY doc_id, island)"""
+
+
+@query(EDGES + ISLANDS.format(18, "edges") + " SELECT doc_id, centre, count FROM found WHERE count >= 2 AND centre >= 600")
 def cluster_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.detect_columns(tokens(spark, sf_dir)).select("doc_id", F.inline("columns"))
+    """The columns of unit prices and of amounts; what stands left of them is words and counts."""
+    found = layout.detect_columns(tokens(spark, sf_dir)).select("doc_id", F.inline("columns"))
+    return found.where("centre >= 600")
+
+
+@query(EDGES + ISLANDS.format(21, "last") + " SELECT doc_id, centre, count, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, centre) AS place FROM found WHERE centre >= 600")
+def rank_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the lines' last amounts, the largest first."""
+    ranked = layout.detect_columns(tokens(spark, sf_dir)).select("doc_id", F.posexplode("ranked").alias("place", "c"))
+    return ranked.where("c.centre >= 600").select("doc_id", "c.centre", "c.count", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query(EDGES + ISLANDS.format(18, "edges") + " SELECT doc_id, count(*) FILTER (WHERE centre >= 600) AS columns, max(count) FILTER (WHERE centre >= 600) AS most FROM found WHERE count >= 2 GROUP BY ALL HAVING max(centre) >= 600")
+def cluster_mean_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many columns a bill has, and how many numbers the fullest."""
+    return cluster_columns(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("columns"), F.max("count").alias("most"))
 
 
-@query(f"WITH {views.SQL}, {receipts.SQL} SELECT bill_id AS doc_id, 900 AS amount_column FROM named GROUP BY ALL")
+@query(EDGES + " SELECT doc_id, CASE WHEN count(*) >= 3 AND count(*) FILTER (WHERE edge = 900) >= 3 THEN 900 END AS amount_column FROM last GROUP BY ALL")
 def amount_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The column at which amounts were set."""
-    return layout.detect_columns(tokens(spark, sf_dir)).select("doc_id", "amount_column").where("amount_column IS NOT NULL")
+    """The column at which amounts were set; none where too few lines end there."""
+    return layout.detect_columns(tokens(spark, sf_dir)).select("doc_id", "amount_column")
 
 
-@query(f"WITH {views.SQL}, {receipts.SQL} SELECT bill_id AS doc_id, 14.0::DOUBLE AS median FROM lines GROUP BY ALL")
+TOKENS = f"""WITH {views.SQL}, {receipts.SQL}, lined AS (SELECT *, dense_rank() OVER (PARTITION BY bill_id ORDER BY line_no) AS row FROM lines),
+ words AS (SELECT bill_id AS doc_id, row, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS place, len(string_split(line, ' ')) AS n FROM lined),
+ tokens AS (SELECT doc_id, row, row_number() OVER (PARTITION BY doc_id ORDER BY row, place) AS token_no, text, 8.0::DOUBLE * length(text) AS width, (24.0 * row + place % 3)::DOUBLE AS y,
+   CASE WHEN regexp_matches(text, '^[$]?-?[0-9]+[.][0-9]{{2}}$') THEN CASE WHEN place = n - 1 THEN 900 ELSE 700 END - 8.0 * length(text) ELSE 60.0 * place + 20 END::DOUBLE AS x, 10 + (doc_id + length(text)) % 9 AS tall FROM words)"""
+
+
+def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens with heights that differ."""
+    return tokens(spark, sf_dir).withColumn("height", (10 + (F.col("doc_id") + F.length("text")) % 9).cast("double"))
+
+
+@query(TOKENS + " SELECT doc_id, list_sort(list(tall))[count(*) // 2 + 1]::DOUBLE AS median FROM tokens GROUP BY ALL")
 def median_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper median of token heights."""
-    heights = F.array_sort(F.collect_list("height"))
-    return tokens(spark, sf_dir).groupBy("doc_id").agg(heights.alias("h")).select("doc_id", F.get("h", F.expr("size(h) div 2").cast("int")).alias("median"))
+    known = F.array_sort(F.collect_list("height"))
+    return heights(spark, sf_dir).groupBy("doc_id").agg(known.alias("h")).select("doc_id", F.get("h", F.expr("size(h) div 2").cast("int")).alias("median"))
+
+
+@query(TOKENS + " SELECT doc_id, token_no, row_number() OVER (PARTITION BY doc_id ORDER BY y + tall / 2.0, x, token_no) AS place FROM tokens")
+def sort_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens in the order in which lines are made of them."""
+    each = layout.documents_of(heights(spark, sf_dir)).select("doc_id", F.posexplode("tokens").alias("place", "t"))
+    return each.select("doc_id", "t.token_no", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query(TOKENS + " SELECT doc_id, row - 1 AS line_no, string_agg(text, ' ' ORDER BY x, token_no) AS text FROM tokens GROUP BY ALL")
+def sort_within_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.detect_lines(tokens(spark, sf_dir)).select("doc_id", "line_no", "text")
+
+
+@query(TOKENS + " SELECT doc_id, row - 1 AS line_no, min(y) AS top FROM tokens GROUP BY ALL")
+def sort_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines from the top; read from tokens that come from the bottom."""
+    upside = tokens(spark, sf_dir).withColumn("token_no", -F.col("token_no"))
+    return layout.detect_lines(upside).select("doc_id", "line_no", "top")
+
+
+@query(TOKENS + " SELECT doc_id, row - 1 AS line_no, min(x) AS left_edge, min(y) AS top_edge, max(x + width) AS right_edge, max(y + 14)::DOUBLE AS bottom_edge FROM tokens GROUP BY ALL")
+def union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = [F.col(c).alias(f"{c}_edge") for c in ("left", "top", "right", "bottom")]
+    return layout.detect_lines(tokens(spark, sf_dir)).select("doc_id", "line_no", *edges)
+
+
+@query(EDGES + " SELECT doc_id, list_sort(list(edge))::VARCHAR AS edges FROM edges GROUP BY ALL")
+def sort_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right edges of tokens with a digit, ascending."""
+    right = (F.col("x") + F.col("width")).cast("long")
+    found = tokens(spark, sf_dir).where(F.col("text").rlike("[0-9]")).groupBy("doc_id").agg(F.array_sort(F.collect_list(right)).alias("e"))
+    return found.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x.cast("string")), ", "), F.lit("]")).alias("edges"))
+
+
+@query(TOKENS + " SELECT a.doc_id, a.token_no, count(*) AS level FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND abs(a.y - b.y) <= 8 GROUP BY ALL")
+def row_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens lie on a token's level: a band join inside a bill."""
+    t = tokens(spark, sf_dir).select("doc_id", "token_no", "y")
+    return layout.on_level(t, 8.0).groupBy("doc_id", "token_no").agg(F.count("*").alias("level"))
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(p_name, '\s+', ' ', 'g')) || ' 12-3 ABC fi' AS token FROM part")
+def normalize_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide letters, a ligature, a long dash and spaces of many kinds around a name."""
+    odd = F.concat(F.lit(" \u00a0"), F.replace(F.col("p_name"), F.lit(" "), F.lit(" \t\u3000")), F.lit("  １２—３\u2009ＡＢＣ ﬁ "))
+    return views.table(spark, sf_dir, "part").select("p_partkey", layout.normalize_token(odd).alias("token"))
+
+
+@query("""SELECT p_partkey, len([t for t in string_split(upper(p_type), ' ') if abs(length(t) - length(w)) <= CASE WHEN length(w) <= 4 THEN 1 ELSE length(w) // 4 END + 1 AND levenshtein(t, w) <= CASE WHEN length(w) <= 4 THEN 1 ELSE length(w) // 4 END]) > 0 AS found
+  FROM (SELECT p_partkey, p_type, upper(string_split(p_type, ' ')[1][2:]) AS w FROM part)""")
+def word_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of a part's type, less a letter, among its words."""
+    words = F.split(F.upper("p_type"), " ")
+    return views.table(spark, sf_dir, "part").select("p_partkey", score.word_found(F.substr(F.get(words, F.lit(0)), F.lit(2)), words).alias("found"))
+
+
+@query(AMOUNT_FOUND + " SELECT bill_id, item_no, list_sort(list_distinct(joined))::VARCHAR AS runs FROM a")
+def adjacent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digit runs of a reading, and each with the next one."""
+    runs = F.array_sort(score.digit_runs(F.col("seen")))
+    return read_back(spark, sf_dir).select("bill_id", "item_no", F.concat(F.lit("["), F.array_join(runs, ", "), F.lit("]")).alias("runs"))
+
+
+@query(NAME_FOUND + """, s AS (SELECT bill_id, count(*) FILTER (WHERE len(wanted) > 0 AND 2 * hits >= len(wanted)) AS found, count(*) AS total FROM f GROUP BY ALL)
+ SELECT bill_id, rpad('bill-' || bill_id, 24, ' ') || ' ' || rpad('names ' || found || '/' || total, 12, ' ') || ' ' || (floor(found * 1000.0::DOUBLE / total + 0.5)::BIGINT // 10) || '.' || (floor(found * 1000.0::DOUBLE / total + 0.5)::BIGINT % 10) || '%' AS row FROM s""")
+def pad_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's rows at fixed widths."""
+    scores = ocr_score(spark, sf_dir)
+    return scores.select("bill_id", score.report_row(F.concat(F.lit("bill-"), "bill_id"), F.col("found"), F.col("total")).alias("row"))
+
+
+@query(READ + f""", w AS (SELECT *, s.share, [x for x in {WORDS.format('p_name')} if length(x) >= 3] AS wanted, {WORDS.format('seen')} AS there FROM told, (SELECT unnest([1, 2, 3]) AS share) s),
+ f AS (SELECT *, len([x for x in wanted if len([t for t in there if abs(length(t) - length(x)) <= CASE WHEN length(x) <= 4 THEN 1 ELSE length(x) // 4 END + 1 AND levenshtein(t, x) <= CASE WHEN length(x) <= 4 THEN 1 ELSE length(x) // 4 END]) > 0]) AS hits FROM w)
+ SELECT share, (10000 * count(*) FILTER (WHERE len(wanted) > 0 AND share * hits >= len(wanted)) // count(*))::BIGINT AS score FROM f GROUP BY ALL""")
+def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every setting: which share of a name's words must be found."""
+    settings = spark.range(1, 4).select(F.col("id").cast("int").alias("share"))
+    return score.swept(read_back(spark, sf_dir), settings)
+
+
+@query("""WITH words AS (SELECT vec_id, unnest(range(8)) AS k FROM embeddings) SELECT vec_id, k AS word_no, 'w' || k AS text, (k * 10 + vec_id % 7)::BIGINT AS x, (vec_id % 5)::BIGINT AS y, (8 + k)::BIGINT AS width, 12::BIGINT AS height FROM words WHERE vec_id % 4 <> 0""")
+def ocr_words_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with corners become tokens with sizes; a reading without words has no tokens."""
+    word = lambda k: F.struct(F.concat(F.lit("w"), k).alias("text"), F.lit(90.0).alias("confidence"), F.struct((k * 10 + F.col("vec_id") % 7).alias("x0"), (F.col("vec_id") % 5).alias("y0"), (k * 10 + F.col("vec_id") % 7 + 8 + k).alias("x1"), (F.col("vec_id") % 5 + 12).alias("y1")).alias("bbox"))
+    words = F.when(F.col("vec_id") % 4 != 0, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")), word))
+    read = views.table(spark, sf_dir, "embeddings").select("vec_id", adapters.tokens_of(words).alias("t"))
+    return read.select("vec_id", F.posexplode("t").alias("word_no", "t")).select("vec_id", F.col("word_no").cast("long").alias("word_no"), "t.text", "t.x", "t.y", "t.width", "t.height")
+
+
+@query(f"WITH {views.SQL}, {receipts.SQL} SELECT bill_id, 'item-' || item_no AS id, CASE WHEN item_no % 4 = 0 THEN 1 ELSE qty END AS quantity, (CASE WHEN item_no % 3 = 0 THEN row_cents ELSE unit_cents END / 100.0)::DOUBLE AS unit_price, (row_cents / 100.0)::DOUBLE AS total_price FROM named WHERE item_no % 5 <> 0 AND item_no % 7 <> 0")
+def entry_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed items in major units: without a name or total there is no item, without a quantity it is one."""
+    rows = receipts.item_names(spark, sf_dir).select(
+        "bill_id", F.concat(F.lit("item-"), "item_no").alias("id"), F.when(F.col("item_no") % 5 != 0, F.col("p_name")).alias("name"), F.when(F.col("item_no") % 4 != 0, F.col("qty")).alias("qty"),
+        F.when(F.col("item_no") % 3 != 0, F.col("unit_cents")).alias("unit_cents"), F.when(F.col("item_no") % 7 != 0, F.col("row_cents")).alias("total_cents"),
+    )
+    return adapters.legacy_items(rows).select("bill_id", "id", "quantity", "unit_price", "total_price")
+
+
+@query("SELECT user_id AS file, count(*) AS words, min(event_type) AS first FROM events GROUP BY ALL")
+def fixture_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded readings, one JSON file each over many lines: written from the events of a user and read back."""
+    word = F.to_json(F.struct(F.col("event_type").alias("text"), F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(8).alias("x1"), F.lit(12).alias("y1")).alias("bbox")))
+    files = views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.collect_list(word), ",\n  ").alias("w"))
+    text = F.concat(F.lit('{"file": '), F.col("user_id").cast("string"), F.lit(',\n "words": [\n  '), "w", F.lit("]}"))
+    return adapters.captures(adapters.recorded(files.select("user_id", text.alias("value")), "user_id")).select("file", F.size("words").cast("long").alias("words"), F.array_min(F.transform("words", lambda w: w["text"])).alias("first"))
 
 
 DEBOUNCE = """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events),
@@ -198,3 +443,15 @@ def debounce_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS party, max(event_id) AS revision, arg_max(props, event_id) AS payload FROM events GROUP BY ALL")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debounce.latest_state(debounce.changes_of(views.table(spark, sf_dir, "events")))
+
+
+@query("SELECT user_id AS party, event_id AS revision, props AS payload FROM events")
+def change_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes as the stream takes them in."""
+    return debounce.changes_of(views.table(spark, sf_dir, "events")).select("party", "revision", "payload")
+
+
+@query(DEBOUNCE + ", closed AS (SELECT *, max(ts) OVER (PARTITION BY user_id, burst) AS last_ts FROM bursts) SELECT user_id AS party, arg_max(event_id, (ts, event_id)) AS revision FROM closed WHERE last_ts + INTERVAL 30 MINUTES <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY user_id, burst")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the change stream has synced: written by one run, and by a second that finds nothing new."""
+    return debounce.synced(spark, f"{sf_dir}/event[s].parquet")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsplit.shared import new_path
+
 CHANGES = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -40,3 +42,11 @@ def sync_stream(spark: SparkSession, folder: str, store: str, checkpoint: str, g
 def latest_state(synced: DataFrame) -> DataFrame:
     """The store's state: the highest revision of each party."""
     return synced.groupBy("party").agg(F.max_by("payload", "revision").alias("payload"), F.max("revision").alias("revision"))
+
+
+def synced(spark: SparkSession, folder: str) -> DataFrame:
+    """party and revision of the bursts that a run of the stream has synced; a second run over the same files adds nothing."""
+    store, checkpoint = new_path(spark, "synced"), new_path(spark, "stream")
+    for _ in range(2):
+        sync_stream(spark, folder, store, checkpoint).awaitTermination()
+    return spark.read.schema("party long, revision long, start timestamp, end timestamp, changes long, payload string, batch int").parquet(store).select("party", "revision")
