@@ -2,8 +2,9 @@
 
 A document is the set of its hashed lower-case terms. The machine scores it by a bias, a weight a term and, for every pair
 of terms, the inner product of their factors, so that it learns pairs that tell more than their terms do. Terms in fewer than
-`LEAST_DOCS` training texts, or whose presence and label hang together no more than chance allows, have no say; so the
-machine doesn't learn single texts by heart.
+`LEAST_DOCS` training texts have no say, nor have those whose presence and label hang together no more than chance allows, be it
+in all texts or in those that have a telling term; so the machine doesn't learn single texts by heart, but keeps a term that
+matters only together with another.
 
 Labelled rows are joined to their texts in Spark, and the `most` rows with the smallest hashes of their ids are fitted, a
 bound that doesn't grow with the corpus; so small a table is broadcast to the texts. Terms are hashed where the texts are; the fit gets lists of buckets. Scoring reads
@@ -29,8 +30,9 @@ from tabsplit.llm.common import slices
 
 #: Buckets of terms as a power of 2, factors of a term, rounds over the training rows, and rows that are fitted at most.
 BITS, FACTORS, ROUNDS, MOST_ROWS = 16, 4, 40, 20_000
-#: Training texts that a term is in at least, and the least likelihood ratio (G squared) of its presence and the label.
-LEAST_DOCS, LEAST_RATIO = 5, 8.0
+#: Training texts that a term is in at least, and the least likelihood ratio (G squared) of its presence and the label: in all
+#: texts, and, as very many pairs are looked at, among the texts that have a telling term.
+LEAST_DOCS, LEAST_RATIO, PAIR_RATIO = 5, 8.0, 25.0
 BATCH, RATE, SHRINK, SHRINK_FACTORS = 256, 0.2, 2e-5, 1e-4
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 EDGES = b".,;:!?\"'()[]{}*#-_|<>%&$"
@@ -80,18 +82,34 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, lengths)[0], -30, 30)))
 
 
-def telling(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Buckets whose likelihood ratio with the label is LEAST_RATIO or more."""
-    with_it = np.zeros((2, size))
-    for k, row in enumerate(rows):
-        with_it[int(labels[k]), row] += 1
+def ratios(rows: list[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket how many rows have it, and the likelihood ratio of its presence and the label."""
+    flat, each = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
+    with_it = np.stack([np.bincount(flat, 1 - each, minlength=size), np.bincount(flat, each, minlength=size)])
     totals = np.array([[(1 - labels).sum()], [labels.sum()]])
     n = with_it.sum(axis=0)
     ratio = np.zeros(size)
     for part, of in ((with_it, n), (totals - with_it, len(rows) - n)):
         expected = totals * of / len(rows)
         ratio += 2 * np.sum(part * np.log(np.maximum(part, 1e-12) / np.maximum(expected, 1e-12)), axis=0)
-    return (n >= LEAST_DOCS) & (ratio >= LEAST_RATIO)
+    return n, ratio
+
+
+def telling(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """Buckets that tell the label, by themselves or among the rows that have a bucket which does."""
+    n, ratio = ratios(rows, labels, size)
+    found = (n >= LEAST_DOCS) & (ratio >= LEAST_RATIO)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    own = found[flat]
+    order = np.argsort(flat[own], kind="stable")
+    both = found.copy()
+    for held in np.split(owner[own][order], np.flatnonzero(np.diff(flat[own][order])) + 1):
+        some = labels[held]
+        if len(held) >= 2 * LEAST_DOCS and 0 < some.sum() < len(held):
+            n, ratio = ratios([rows[k] for k in held], some, size)
+            both |= (n >= LEAST_DOCS) & (ratio >= PAIR_RATIO)
+    return both
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: int = 7) -> Machine:
@@ -144,7 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Machine:
     """A machine from labels (doc_id, label); `most` rows, those with the smallest hashes of their ids, reach the driver."""
     known = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     bounded = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    told = hashed(docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id")).toPandas()
+    # of texts that share an id one, so that at most `most` rows reach the driver
+    texts = docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    told = hashed(texts).toPandas()
     told = told.sort_values("doc_id", kind="stable")
     return fit([np.asarray(x, dtype=np.int32) for x in told["terms"]], told["label"].to_numpy(dtype=float))
 
@@ -164,5 +184,5 @@ def score(docs: DataFrame, machine: Machine, bits: int = BITS) -> DataFrame:
 
 
 def held_out(column: str = "doc_id"):
-    """Rows whose labels are never learnt."""
-    return F.crc32(F.col(column).cast("string")) % 5 == 0
+    """Rows whose labels are never learnt; a null id is none of them."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))

@@ -110,6 +110,35 @@ def test_machine_learns_a_pair_that_single_terms_do_not_tell():
     assert ((scores >= 0.5) == (labels[3000:] == 1)).mean() > 0.97
 
 
+def test_machine_keeps_a_term_that_matters_only_with_another():
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for _ in range(6000):
+        insult, group = bool(rng.random() < 0.5), bool(rng.random() < 0.3)
+        rows.append(np.unique(np.array([3] * insult + [9] * group + list(rng.integers(100, 400, 8)), dtype=np.int32)))
+        # the group's name alone is as common in toxic as in other texts
+        labels.append(float(rng.random() < (0.95 if group else 0.05) if insult else rng.random() < (0.02 if group else 0.92)))
+    labels = np.array(labels)
+    seen = toxicity.telling(rows[:5000], labels[:5000], 1 << toxicity.BITS)
+    assert seen[3] and seen[9] and seen[100:400].mean() < 0.1
+    machine = toxicity.fit(rows[:5000], labels[:5000])
+    scores = machine.score(np.concatenate(rows[5000:]), np.array([len(r) for r in rows[5000:]]))
+    both = np.array([3 in r and 9 in r for r in rows[5000:]])
+    only = np.array([3 in r and 9 not in r for r in rows[5000:]])
+    assert (scores[both] >= 0.5).mean() > 0.95 and (scores[only] >= 0.5).mean() < 0.05
+
+
+def test_repeated_and_missing_ids_of_labelled_rows(spark, documents):
+    rows = [(k, f"{'vile rotten' if k % 2 else 'calm kind'} words {k}") for k in range(60)] * 20 + [(None, "vile rotten words")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1)], "doc_id long, label int")
+    docs = documents(rows)
+    scored = toxicity.score(docs, toxicity.train(docs, labels, most=60)).withColumn("held_out", toxicity.held_out()).collect()
+    assert len(scored) == len(rows) and all(r.held_out is not None for r in scored)
+    assert all((r.score >= 0.5) == (r.doc_id is None or r.doc_id % 2 == 1) for r in scored)
+    none = toxicity.train(docs, labels.where("false"))
+    assert all(r.score < 0.5 for r in toxicity.score(docs, none).collect())
+
+
 def test_toxic_documents_of_held_out_rows(spark, documents):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
