@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsplit.llm.common import slices
+from tabsplit.shared import written
 
 #: Votes that one page gives, and the least share of its text that a voted path must hold.
 VOTES, LEAST_SHARE = 3, 0.2
@@ -244,7 +245,8 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of pages (page_id, url, html)."""
     named = pages.select("page_id", "url", "html", host_of("url").alias("host"))
-    joined = named.join(winning_paths(named), "host", "left").select("page_id", "url", "html", "path")
+    # a written table's size is known, so that Spark broadcasts it if it is small and shuffles no page then
+    joined = named.join(written(winning_paths(named), "paths"), "host", "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
