@@ -37,7 +37,8 @@ from tabsplit.shared import dropped, written
 LENGTH, K = 200, 32
 #: Positions of a k-gram in a window; bytes before an anchor that a window holding it can begin at.
 PLACES, BEFORE = LENGTH - K + 1, LENGTH - K
-SLICE, RANGES, PAIRWISE, BLOCK = 2_000_000, 256, 6, 32
+#: Bytes of a batch of texts, suffixes of a range, ranges at least, suffixes that are compared pair by pair, and offsets that are hashed together.
+SLICE, RANGE_ROWS, RANGES, PAIRWISE, BLOCK = 2_000_000, 20_000, 64, 6, 32
 ANCHORS = "key_a long, key_b long, pos long, gram long, context long"
 ENTRY = struct.Struct("<HHHqqq")
 
@@ -231,7 +232,7 @@ def shared_windows(group: list[tuple[bytes, bytes]]) -> list[list[tuple[int, int
     return [list(zip(np.flatnonzero(e == 1).tolist(), (np.flatnonzero(e == -1) - 1).tolist(), strict=True)) for e in edges]
 
 
-def suffix_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def suffix_runs(texts: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
     """Sorted, front-coded runs (range, run) of the wanted anchors (key_a, key_b, pos, gram)."""
     listed = wanted.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("pos", "gram")).alias("wanted"))
 
@@ -243,14 +244,14 @@ def suffix_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 for x in places:
                     pos, gram = x["pos"], x["gram"] & (1 << 64) - 1
                     suffix = gram.to_bytes(8, "big") + data[pos : pos + LENGTH]
-                    cut.setdefault(gram * RANGES >> 64, []).append((suffix, data[max(0, pos - BEFORE) : pos], key_a, key_b, pos))
+                    cut.setdefault(gram * ranges >> 64, []).append((suffix, data[max(0, pos - BEFORE) : pos], key_a, key_b, pos))
             if cut:
                 yield pa.RecordBatch.from_arrays([pa.array(list(cut), pa.int32()), pa.array([front_coded(sorted(x)) for x in cut.values()], pa.binary())], ["range", "run"])
 
     return texts.select("key_a", "key_b", "text").join(listed, ["key_a", "key_b"]).mapInArrow(run, "range int, run binary")
 
 
-def merged(runs: DataFrame) -> DataFrame:
+def merged(runs: DataFrame, ranges: int) -> DataFrame:
     """Byte ranges (key_a, key_b, start, end) of windows that suffixes with equal k-grams share."""
 
     def resolved(group: list[tuple[bytes, tuple]]) -> Iterator[tuple]:
@@ -273,7 +274,7 @@ def merged(runs: DataFrame) -> DataFrame:
             for k in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[k : k + 100_000], strict=True)], ["key_a", "key_b", "start", "end"])
 
-    return runs.repartition(RANGES, "range").sortWithinPartitions("range").mapInArrow(run, "key_a long, key_b long, start long, end long")
+    return runs.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(run, "key_a long, key_b long, start long, end long")
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
@@ -285,7 +286,9 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     marked = written(marked.withColumn("open", F.min("copies").over(gram) == 1), "anchors")
     whole = marked.where("copies > 1").select("key_a", "key_b", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
     wanted = marked.where("open and place = 1").select("key_a", "key_b", "pos", "gram")
-    return whole.union(merged(suffix_runs(texts, wanted)))
+    # as many ranges as the suffixes ask for, each in a task of its own
+    ranges = max(RANGES, -(-wanted.count() // RANGE_ROWS))
+    return whole.union(merged(suffix_runs(texts, wanted, ranges), ranges))
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
