@@ -38,7 +38,7 @@ LEAST_WORDS, SIMILAR, BLOCKS = 3, 0.8, 5
 #: Bits of a block that are voted on, and words of a block that its key tells apart.
 BITS, MOST_TOLD = 24, 255
 #: Blocks of a posting, words that they hold together at least, and the fewest and most words of the lines that are posted so.
-POSTED = ((3, 2, LEAST_WORDS, 5), (3, 4, 6, 27), (2, 8, 24, None))
+POSTED = ((3, 2, LEAST_WORDS, 7), (3, 3, 6, 16), (3, 4, 14, 27), (2, 8, 24, None))
 #: Classes of a block of a large posting; words whose hashes a worker remembers.
 MET, REMEMBERED = 4096, 500_000
 #: A word; scripts that are written without spaces: Thai to Myanmar, and the East Asian ones.
@@ -76,23 +76,18 @@ class Signer:
         return np.array(found, dtype=np.uint64)
 
     def keys(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """For lines of counts[k] > 0 words each, one after the other: the keys of their blocks, a row a line.
-
-        Distinct words vote, so that the common ones of a language don't outvote the others of a long line.
-        """
-        h, line = self.hashes(words), np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((h, line))
-        h, line = h[order], line[order]
-        first = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
-        h, line = h[first], line[first]
-        block = ((h >> np.uint64(56)) % np.uint64(BLOCKS)).astype(np.int64)
-        bits = np.zeros((len(h), BLOCKS, BITS), dtype=np.uint8)
-        bits[np.arange(len(h)), block] = (h[:, None] >> np.arange(BITS, dtype=np.uint64)).astype(np.uint8) & 1
-        starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        votes = np.add.reduceat(bits.reshape(len(h), -1), starts, axis=0, dtype=np.int32).reshape(len(counts), BLOCKS, BITS)
-        held = np.bincount(line * BLOCKS + block, minlength=len(counts) * BLOCKS).reshape(len(counts), BLOCKS)
-        above = (2 * votes > held[:, :, None]) @ (1 << np.arange(BITS, dtype=np.int64))
-        return np.minimum(held, MOST_TOLD) << BITS | above
+        """For lines of counts[k] > 0 distinct words each, one after the other: the keys of their blocks, a row a line."""
+        h = self.hashes(words)
+        group = np.repeat(np.arange(len(counts)) * BLOCKS, counts) + ((h >> np.uint64(56)) % np.uint64(BLOCKS)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        h, group = h[order], group[order]
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        held = np.diff(np.append(starts, len(h)))
+        bits = (h[:, None] >> np.arange(BITS, dtype=np.uint64)).astype(np.uint8) & 1
+        above = (2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > held[:, None]) @ (1 << np.arange(BITS, dtype=np.int64))
+        keys = np.zeros(len(counts) * BLOCKS, dtype=np.int64)
+        keys[group[starts]] = np.minimum(held, MOST_TOLD) << BITS | above
+        return keys.reshape(-1, BLOCKS)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -101,7 +96,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
         for batch in slices(batches, "text", 1_000_000):
-            rows, places, counts, lengths, flat, keys = [], [], [], [], [], []
+            rows, places, sizes, counts, lengths, flat, keys = [], [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 for place, line in enumerate(text.split("\n") if text is not None else ()):
                     words = words_of(line)
@@ -109,14 +104,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         whole = " ".join(words)
                         rows.append(row)
                         places.append(place)
-                        counts.append(len(words))
+                        sizes.append(len(words))
                         lengths.append(len(whole))
                         keys.append(xxhash.xxh3_128_digest(whole.encode()))
-                        flat += words
+                        # distinct words vote, so that a language's common ones don't outvote the others of a long line
+                        distinct = set(words)
+                        counts.append(len(distinct))
+                        flat += distinct
             if rows:
                 at, halves = pa.array(rows, pa.int32()), np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
                 signs = signer.keys(flat, np.array(counts))
-                columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(lengths, pa.int32()), pa.array(counts, pa.int32())]
+                columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(lengths, pa.int32()), pa.array(sizes, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(signs[:, j]) for j in range(BLOCKS)], ["doc_id", "text_key", "place", "key_a", "key_b", "length", "n_words", *KEYS])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, OCCURRENCE.format(dict(docs.dtypes)["doc_id"]))
@@ -137,7 +135,7 @@ def posted(classes: DataFrame) -> DataFrame:
             keys.append(F.when(size & (sum((words(j) for j in chosen[1:]), words(chosen[0])) >= held), F.xxhash64(F.lit(sum(1 << j for j in chosen)), *(f"b{j}" for j in chosen))))
     each = classes.where(F.col("n_words") >= LEAST_WORDS).select("key_a", "length", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("posting"))
     dealt = each.repartition("posting")
-    shared = dealt.groupBy("posting").agg(F.count("*").alias("size"), F.min_by(F.struct("key_a", "length"), F.xxhash64("posting", "key_a")).alias("pivot")).where("size > 1")
+    shared = dealt.groupBy("posting").agg(F.count("*").alias("size"), F.min(F.struct("key_a", "length")).alias("pivot")).where("size > 1")
     return dealt.join(shared, "posting")
 
 
@@ -146,9 +144,9 @@ def fitting(a: Column | str, b: Column | str) -> Column:
 
 
 def pivot_pairs(post: DataFrame) -> DataFrame:
-    """(u, v): each class with the pivots of its postings, as far as their lengths allow a link."""
-    met = post.where((F.col("key_a") != F.col("pivot.key_a")) & fitting("length", "pivot.length"))
-    return met.select(F.greatest("key_a", "pivot.key_a").alias("u"), F.least("key_a", "pivot.key_a").alias("v")).distinct()
+    """(u, v): each class with that pivot of its postings that it meets most often, of those whose lengths allow a link."""
+    met = post.where((F.col("key_a") != F.col("pivot.key_a")) & fitting("length", "pivot.length")).groupBy("key_a", F.col("pivot.key_a").alias("v")).agg(F.count("*").alias("n"))
+    return met.groupBy(F.col("key_a").alias("u")).agg(F.max(F.struct("n", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
 
 
 def open_pairs(post: DataFrame, labels: DataFrame) -> DataFrame:
