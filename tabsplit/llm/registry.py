@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.REPORT_SQL, "op4_near_duplicates": neardup.NEAR_SQL}
+    return {"op3_source_mix": mixing.REPORT_SQL, "op4_near_duplicates": neardup.NEAR_SQL, "op9_suffix_repeats": repeats.REPEATS_SQL}

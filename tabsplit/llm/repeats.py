@@ -322,3 +322,18 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     kind = dict(docs.dtypes)["doc_id"]
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+
+
+#: The same rows in DuckDB: all windows of all texts, as hexadecimal digits.
+REPEATS_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+chunks AS (SELECT r, n, c, substring(h, 512 * c + 1, {512 + 2 * LENGTH}) AS part FROM (SELECT *, unnest(range(n // 256 + 1)) AS c FROM texts WHERE n >= {LENGTH})),
+windows AS (SELECT r, 256 * c + k AS k, md5(substring(part, 2 * k + 1, {2 * LENGTH})) AS w FROM (SELECT *, unnest(range(least(256, n - {LENGTH - 1} - 256 * c))) AS k FROM chunks)),
+repeated AS (SELECT r, k FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+marked AS (SELECT r, k, coalesce(k - lag(k) OVER (PARTITION BY r ORDER BY k) > {LENGTH}, true)::INT AS new FROM repeated),
+runs AS (SELECT r, min(k) AS a, max(k) + {LENGTH} AS b FROM (SELECT r, k, sum(new) OVER (PARTITION BY r ORDER BY k) AS run FROM marked) GROUP BY r, run),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM runs),
+cut AS (SELECT r, sum(b - a)::BIGINT AS removed, count(*) AS spans, max(b) AS rest, string_agg(h[2 * last + 1 : 2 * a], '' ORDER BY a) AS kept FROM pieces JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || h[2 * coalesce(rest, 0) + 1 :])) AS kept_sha256
+FROM texts LEFT JOIN cut USING (r)
+"""
