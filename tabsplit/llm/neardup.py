@@ -356,7 +356,7 @@ def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("length"), F.xxhash64("text").alias("hash"))
     same = row.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     one = same.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("length"), "hash"))).where("place = 1")
-    return one.union(row.where("doc_id is null").withColumn("place", F.lit(1))).select("row.*")
+    return one.select("row").union(row.where("doc_id is null").select("row")).select("row.*")
 
 
 #: The same rows in DuckDB: all pairs that share a shingle.
