@@ -22,8 +22,9 @@ def test_quantity(spark, text, quantity):
 
 @pytest.mark.parametrize(("text", "seen", "section"), [("Sub Total 10.00", False, "subtotal"), ("CGST 2.5% 3.00", False, "tax"), ("Cash 5", False, "payment"), ("Masala Dosa 2 60.00", False, "item"), ("Masala Dosa 2 60.00", True, "footer"), ("Table 4", False, "header"), ("Total Qty 5", False, "header"), ("Item Qty Rate", False, "header"), ("a taxé 9", False, "tax"), ("7", False, "unknown")])
 def test_sections(spark, text, seen, section):
-    code = rules.classify(F.col("t"), F.lit(seen))
-    assert spark.createDataFrame([(text,)], "t string").select(rules.section_of(code).alias("s")).first().s == section
+    read = spark.createDataFrame([(text,)], "t string").select(rules.reading(F.col("t")).alias("r")).select("r.*")
+    code = rules.settled(F.col("code"), F.col("itemlike"), F.col("wordy"), F.lit(seen))
+    assert read.select(rules.section_of(code).alias("s")).first().s == section
 
 
 def items_of(spark, *lines):
@@ -44,6 +45,30 @@ def test_rows_check_themselves(spark):
     assert all(name != "Naan" for name, *_ in items)
 
 
+def read_tokens(spark, *lines, column=None):
+    rows = [(1, k, " ".join(t for t, *_ in line), [(t, float(x), 8.0 * len(t), c) for t, x, c in line]) for k, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "bill_id long, line_no long, line string, tokens array<struct<text: string, x: double, width: double, confidence: double>>")
+    return df.withColumns({"amount_column": F.lit(column).cast("long"), "image_width": F.lit(1000)})
+
+
+def test_decimals_split_over_tokens_and_rates(spark):
+    line = [("CGST", 0, 90.0), ("@2.5%", 60, 80.0), ("650.", 300, 70.0), ("00", 340, None)]
+    found = parse.with_amounts(read_tokens(spark, line)).first()
+    assert [(a.text, a.cents, a.right, a.confidence) for a in found.amounts] == [("650.00", 65_000, 332.0, 70.0)]
+
+
+def test_amounts_outside_their_column_close_no_item(spark):
+    lines = [[("Red", 0, 90.0), ("Cotta", 40, 90.0), ("7", 300, 20.0)], [("Pizza", 0, 80.0), ("1", 300, None), ("260.00", 852, 90.0)], [("34K", 0, 50.0), ("Cola", 50, 50.0), ("40.00", 860, 50.0)]]
+    read = parse.parsed_items(parse.classified(read_tokens(spark, *lines, column=900)).withColumns({"amount_column": F.lit(900), "image_width": F.lit(1000)})).orderBy("item_no").collect()
+    assert [(r.name, r.qty, r.unit_cents, r.total_cents) for r in read] == [("Red Cotta 7 Pizza".replace(" 7", ""), 1, 26_000, 26_000), ("K Cola", None, None, 4_000)]
+    assert [r.confidence for r in read] == [7400, 5000] and read[1].qty_confidence == parse.NO_QUANTITY and read[1].unit_confidence == parse.NO_UNIT
+
+
+def test_header_lines_drop_what_is_pending(spark):
+    items, _ = items_of(spark, "Lonely Name", "Table 4", "Tea 10.00", "Sub Total 10.00", "Gift Card 5.00")
+    assert items == [("Tea", None, None, 1_000)]
+
+
 def test_lines_of_jittered_tokens(spark):
     boxes = [("Total", 0, 100.0, 10.0), ("9.50", 1, 300.0, 11.0), ("Dosa", 2, 100.0, 41.0), ("２", 3, 200.0, 40.0), ("8.00", 4, 300.0, 42.0)]
     rows = [(1, n, t, x, y, 8.0 * len(t), 14.0) for t, n, x, y in boxes]
@@ -53,7 +78,7 @@ def test_lines_of_jittered_tokens(spark):
 
 def test_a_bright_sheet_is_found(spark):
     cells = [(1, y, x) for y in range(10) for x in range(10) if 2 <= y <= 7 and 3 <= x <= 6] + [(1, 0, 0), (1, 0, 1)]
-    r = raster.largest_component(spark.createDataFrame(cells, "img_id long, y long, x long"), 10).first()
+    r = raster.largest_component(spark.createDataFrame(cells, "img_id long, y long, x long")).first()
     assert (r.cells, r.left, r.top, r.right, r.bottom) == (24, 3, 2, 6, 7)
 
 
