@@ -133,11 +133,11 @@ def classify_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.classified(receipts.lines(spark, sf_dir)).select("bill_id", "line_no", "section", "confidence")
 
 
-@query(f"SELECT doc_id, line_no, {FIRST_SQL} AS section FROM texts WHERE {FIRST_SQL} IS NOT NULL", "WITH texts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)")
+@query(f"SELECT doc_id, count(*) AS lines, count({FIRST_SQL}) AS taken FROM texts GROUP BY ALL", "WITH texts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)")
 def first_match_rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ordinary prose that a keyword rule takes."""
-    texts = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return texts.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), rules.keyword(F.col("line"))["section"].alias("section")).where("section IS NOT NULL")
+    """How many lines of ordinary prose a keyword rule takes for a receipt's."""
+    texts = views.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return texts.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count(rules.keyword(F.col("line"))["section"]).alias("taken"))
 
 
 AMOUNT_CENTS = r"(CASE WHEN contains(amounts[-1], '-') THEN -1 ELSE 1 END) * regexp_replace(amounts[-1], '[^0-9]', '', 'g')::BIGINT"
@@ -265,10 +265,3 @@ def parse_item_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items read from tokens with geometry: amounts count by the column that they end in."""
     known = parse.classified(receipts.token_lines(spark, sf_dir)).withColumns({"amount_column": F.lit(900), "image_width": F.lit(1000)})
     return parse.parsed_items(known).select("bill_id", "item_no", "name", "qty", "unit_cents", "total_cents")
-
-
-@query(f"SELECT page_id, line_no, {FIRST_SQL} AS section FROM texts WHERE {FIRST_SQL} IS NOT NULL", "WITH texts AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS line_no FROM pages)")
-def first_match_rule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of pages that a keyword rule takes: their comments, terms and the like."""
-    texts = views.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("line_no", "line"))
-    return texts.select("page_id", (F.col("line_no") + 1).cast("long").alias("line_no"), rules.keyword(F.col("line"))["section"].alias("section")).where("section IS NOT NULL")
