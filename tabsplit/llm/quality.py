@@ -4,7 +4,7 @@ Base statistics of each whole text are computed within its row by array function
 statistics become a vector of rounded logarithms and shares. For each language and source a minimum-covariance-determinant
 estimate is fitted by concentration steps: from each of several starts, a step takes the half of the documents with the
 smallest distances, (n + p + 1) / 2 of n with p statistics, and estimates their mean and covariance anew, until the
-determinant of the covariance falls no more. The estimate with the least determinant of all starts counts. Documents whose
+determinant of the covariance falls no more; after two steps only the start with the least determinant goes on. Documents whose
 Mahalanobis distance from it is beyond the cut-off are rejected.
 
 The vectors are whole numbers, so sums over any number of partitions are exact and reruns agree. Every step is an
@@ -28,9 +28,9 @@ from tabsplit.shared import dropped, written
 
 SYMBOLS, WHITE, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Quantiles of the statistics that the starts are centred on, the fall of a determinant's logarithm that another step is taken
-#: for, and the smallest group with its own estimate.
-STARTS, FALL, LEAST = (0.5, 0.25, 0.75), 1e-3, 50
+#: Quantiles of the statistics that the starts are centred on, steps that each takes, the fall of a determinant's logarithm that
+#: another step of the best is taken for, and the smallest group with its own estimate.
+STARTS, FIRST, FALL, LEAST = (0.5, 0.25, 0.75), 2, 0.02, 50
 #: Units of a vector entry: a thousandth. The deviation that an estimate has in each direction at least.
 UNIT, FLOOR = 1000, 250
 #: The median of a chi-squared variable of 2 degrees, which distances are scaled to, as length and word length are all that
@@ -143,29 +143,38 @@ def half_below(near: DataFrame, more: int, name: str) -> DataFrame:
     return counted.where(F.col("upto") >= F.least(F.floor((F.col("all") + more) / 2), F.col("all"))).groupBy("group").agg(F.expm1(F.min("bin") / 256).alias(name))
 
 
+def concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """A concentration step: the estimates of the half of each group's rows that is nearest to the estimates so far."""
+    near = distances(rows, now)
+    # a written table's size is known, so that one row a group is broadcast and no group meets in one task
+    limits = written(half_below(near, len(VECTOR) + 1, "limit"), "limits")
+    kept = near.join(limits, "group").where(F.ceil(F.log1p("distance") * 256) <= F.round(F.log1p("limit") * 256))
+    before = now.select("group", F.col("n").alias("all"), F.col("spread").alias("before"))
+    found = written(estimate(kept).join(before, "group").withColumn("n", F.col("all")), "estimates")
+    dropped(limits)
+    return found
+
+
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """The final estimate of each group with `scale`, the median of its squared distances over the expected one.
 
-    All starts of all groups take their steps together, each under a name of its own; those whose determinant falls go on.
+    All starts take FIRST steps, each under a name of its own; the one with the least determinant in its group goes on.
     """
     named = lambda k: F.concat("group", F.lit(f"\x02{k}"))
     trials = rows.withColumn("group", F.explode(F.array(*(named(k) for k in range(len(STARTS))))))
-    moving = written(reduce(DataFrame.union, (start(rows, share).withColumn("group", named(k)) for k, share in enumerate(STARTS))), "estimates")
-    every = []
+    columns = ["group", "n", "spread", *estimated()]
+    tried = written(reduce(DataFrame.union, (start(rows, share).withColumn("group", named(k)) for k, share in enumerate(STARTS))), "estimates")
+    for _ in range(FIRST):
+        tried = concentrated(trials, tried.select(columns))
+    least = tried.withColumn("trial", F.col("group")).groupBy(F.left("group", F.length("group") - 2).alias("group")).agg(F.min(F.struct("spread", "trial", "n", *estimated())).alias("least"))
+    moving = written(least.select("group", "least.n", "least.spread", *(f"least.{x}" for x in estimated())), "estimates")
+    settled = [moving]
     while not moving.isEmpty():
-        near = distances(trials, moving)
-        # a written table's size is known, so that one row a group is broadcast and no group meets in one task
-        limits = written(half_below(near, len(VECTOR) + 1, "limit"), "limits")
-        kept = near.join(limits, "group").where(F.ceil(F.log1p("distance") * 256) <= F.round(F.log1p("limit") * 256))
-        before = moving.select("group", F.col("n").alias("all"), F.col("spread").alias("before"))
-        every.append(written(estimate(kept).join(before, "group").withColumn("n", F.col("all")), "estimates"))
-        dropped(limits)
-        moving = every[-1].where(F.col("spread") < F.col("before") - FALL).select(moving.columns)
-    if not every:
-        return moving.withColumn("scale", F.lit(1.0))
-    tried = reduce(DataFrame.union, every).withColumn("trial", F.col("group")).withColumn("group", F.left("group", F.length("group") - 2))
-    least = tried.groupBy("group").agg(F.min(F.struct("spread", "trial", "n", *estimated())).alias("least"))
-    found = written(least.select("group", "least.n", "least.spread", *(f"least.{x}" for x in estimated())), "estimates")
+        found = concentrated(rows, moving)
+        settled.append(found.select(columns))
+        moving = found.where(F.col("spread") < F.col("before") - FALL).select(columns)
+    last = reduce(DataFrame.union, settled).groupBy("group").agg(F.min(F.struct("spread", "n", *estimated())).alias("least"))
+    found = written(last.select("group", "least.n", "least.spread", *(f"least.{x}" for x in estimated())), "estimates")
     middle = half_below(distances(rows, found), 1, "middle")
     return written(found.join(middle.select("group", F.greatest(F.col("middle") / MEDIAN, F.lit(1e-3)).alias("scale")), "group"), "estimates")
 
