@@ -2,7 +2,7 @@
 
 Every page is parsed once to score its containers: a container's score is the text of its own paragraphs, less what its
 links hold. Containers are named by their generalised path of tags and classes (numbers in names become one sign), and each
-page votes for its best ones with their share of the page's text. Spark sums the votes by host and path and takes each
+page votes for them with their shares of the page's text. Spark sums the votes by host and path and takes each
 host's winning path; then every page is extracted from the winning path's containers, or the articles these lie in. A page that has none of them is
 extracted from its articles, else its main elements, else its own best container.
 
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from tabsplit.llm.common import slices
 from tabsplit.shared import written
 
-#: Votes that one page gives, and the least share of its text that a voted path must hold.
-VOTES, LEAST_SHARE = 3, 0.2
 # Fixed names of HTML: elements without content, with raw text, that begin a block, and that close an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -173,7 +171,7 @@ def own_text(node: Node) -> tuple[int, int]:
 
 
 def scored(page: str) -> list[tuple[str, float]]:
-    """The page's best container paths, each with its share of the page's text; article and main elements count double."""
+    """The page's container paths from the best on, each with its share of the page's text; article and main elements count double."""
     scores: dict[str, float] = {}
     for node in containers(parse(page)):
         text, links = own_text(node)
@@ -181,8 +179,7 @@ def scored(page: str) -> list[tuple[str, float]]:
         if weight > 0:
             scores[node.path] = scores.get(node.path, 0.0) + weight
     total = sum(scores.values())
-    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
-    return [(path, value / total) for path, value in best if value >= LEAST_SHARE * total]
+    return [(path, value / total) for path, value in sorted(scores.items(), key=lambda x: (-x[1], x[0]))]
 
 
 def widened(root: Node, chosen: list[Node]) -> list[Node]:
