@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import lines, media, mixing, neardup, pages, pieces, quality, repeats, tokens, toxicity
+from tabsplit.llm import lines, media, merkle, mixing, neardup, pages, pieces, quality, repeats, tokens, toxicity
 from tabsplit.llm.common import documents, prepare
 from tabsplit.shared import new_path
 
@@ -66,9 +66,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(prepare(spark), sf_dir)
+    listed = merkle.manifest(docs.withColumn("tampered", merkle.leaf_of(text=merkle.tampered_text())), carry=("tampered",))
+    told = merkle.verified(listed, "tampered").withColumn("proof_sha256", merkle.proof_digest(F.col("witness")))
+    return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op6_line_dedup, op7_html_extraction, op8_quality_rules, op9_suffix_repeats, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op6_line_dedup, op7_html_extraction, op8_quality_rules, op9_suffix_repeats, op10_toxicity, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.REPORT_SQL, "op4_near_duplicates": neardup.NEAR_SQL, "op9_suffix_repeats": repeats.REPEATS_SQL}
+    return {"op3_source_mix": mixing.REPORT_SQL, "op4_near_duplicates": neardup.NEAR_SQL, "op9_suffix_repeats": repeats.REPEATS_SQL, "op11_merkle_manifest": merkle.manifest_sql()}
