@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import lines, media, merkle, mixing, neardup, pages, pieces, quality, repeats, tokens, toxicity
+from tabsplit.llm import lines, media, merkle, mixing, neardup, pages, pieces, quality, repeats, tokens, toxicity, urls
 from tabsplit.llm.common import documents, prepare
 from tabsplit.shared import new_path
 
@@ -73,9 +73,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(urls.labelled_table(spark))
+    return urls.judged(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"), model).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op6_line_dedup, op7_html_extraction, op8_quality_rules, op9_suffix_repeats, op10_toxicity, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op6_line_dedup, op7_html_extraction, op8_quality_rules, op9_suffix_repeats, op10_toxicity, op11_merkle_manifest, op12_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.REPORT_SQL, "op4_near_duplicates": neardup.NEAR_SQL, "op9_suffix_repeats": repeats.REPEATS_SQL, "op11_merkle_manifest": merkle.manifest_sql()}
+    return {"op3_source_mix": mixing.REPORT_SQL, "op4_near_duplicates": neardup.NEAR_SQL, "op9_suffix_repeats": repeats.REPEATS_SQL, "op11_merkle_manifest": merkle.manifest_sql(), "op12_url_filters": urls.filter_sql()}
