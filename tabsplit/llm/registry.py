@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.llm import lines, media, merkle, mixing, neardup, pages, pieces, quality, repeats, tokens, toxicity, urls
+from tabsplit.llm import lines, media, merkle, mixing, neardup, pages, pieces, quality, repeats, tokens, toxicity, urls, whitening
 from tabsplit.llm.common import documents, prepare
 from tabsplit.shared import new_path
 
@@ -78,8 +78,12 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"), model).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op6_line_dedup, op7_html_extraction, op8_quality_rules, op9_suffix_repeats, op10_toxicity, op11_merkle_manifest, op12_url_filters)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_source_mix, op4_near_duplicates, op5_token_counts, op6_line_dedup, op7_html_extraction, op8_quality_rules, op9_suffix_repeats, op10_toxicity, op11_merkle_manifest, op12_url_filters, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
