@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from tabsplit.shared import dropped, written
 
-#: Nodes of a run, levels of a block and the leaves below it.
+#: Nodes of a run, and levels of a block: its leaves are 3^7.
 ARITY, LEVELS = 3, 7
-BLOCK = ARITY**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 WITNESS = "array<struct<left: string, right: string>>"
 WITNESS_ARROW = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
@@ -103,13 +102,13 @@ class OpenTree:
         return found
 
 
-def grown(table: pa.Table) -> tuple[pa.Table, OpenTree, str]:
+def grown(table: pa.Table, levels: int) -> tuple[pa.Table, OpenTree, str]:
     """A block's nodes in order, their tree and its root; a source's only block ends at its root, others at their level."""
     table = table.sort_by("place")
     tree = OpenTree()
     for digest in table.column("digest").to_pylist():
         tree.append(digest)
-    return table, tree, tree.close(None if table.column("n")[0].as_py() <= BLOCK else LEVELS)
+    return table, tree, tree.close(None if table.column("n")[0].as_py() <= ARITY**levels else levels)
 
 
 def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
@@ -131,30 +130,30 @@ def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
     return found
 
 
-def in_blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
+def in_blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("place") / ARITY**levels).cast("long"))
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, levels: int) -> DataFrame:
     """The next tier: a node for every block, its root, numbered by block."""
 
     def run(table: pa.Table) -> pa.Table:
-        table, _, root = grown(table)
-        n = -(-table.column("n")[0].as_py() // BLOCK)
+        table, _, root = grown(table, levels)
+        n = -(-table.column("n")[0].as_py() // ARITY**levels)
         return pa.table({"tree": [table.column("tree")[0].as_py()], "place": [table.column("block")[0].as_py()], "n": [n], "digest": [root]})
 
-    return in_blocks(nodes.select("tree", "place", "n", "digest")).groupBy("tree", "block").applyInArrow(run, "tree string, place long, n long, digest string")
+    return in_blocks(nodes.select("tree", "place", "n", "digest"), levels).groupBy("tree", "block").applyInArrow(run, "tree string, place long, n long, digest string")
 
 
-def climbed(nodes: DataFrame) -> list[DataFrame]:
-    """Tiers of nodes from the leaves up; the last has one node a tree, its root. Each has a 2187th of the one before."""
+def climbed(nodes: DataFrame, levels: int) -> list[DataFrame]:
+    """Tiers of nodes from the leaves up; the last has one node a tree, its root. Each has a block's share of the one before."""
     tiers = [nodes]
     while (tiers[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        tiers.append(written(block_roots(tiers[-1]), "tier"))
+        tiers.append(written(block_roots(tiers[-1], levels), "tier"))
     return tiers
 
 
-def witnessed(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def witnessed(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """Nodes with the witness up to the root, of `above`: the next tier (tree, place, witness, subroot, root)."""
     kept = [f.name for f in nodes.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
@@ -162,7 +161,7 @@ def witnessed(nodes: DataFrame, above: DataFrame) -> DataFrame:
     def run(table: pa.Table, upper: pa.Table) -> pa.Table:
         if not table.num_rows:
             return table.select(kept).append_column("witness", pa.array([], WITNESS_ARROW)).append_column("subroot", pa.array([], pa.string())).append_column("root", pa.array([], pa.string()))
-        table, tree, _ = grown(table)
+        table, tree, _ = grown(table, levels)
         rest = [(x["left"], x["right"]) for x in upper.column("witness")[0].as_py()]
         paths = [tree.witness(k) + rest for k in range(table.num_rows)]
         flat = pa.StructArray.from_arrays([pa.array([x[i] for path in paths for x in path], pa.string()) for i in (0, 1)], ["left", "right"])
@@ -172,19 +171,19 @@ def witnessed(nodes: DataFrame, above: DataFrame) -> DataFrame:
             out = out.append_column(name, pa.array([upper.column(name)[0].as_py()] * table.num_rows, pa.string()))
         return out
 
-    lower = in_blocks(nodes).groupBy("tree", "block")
-    upper = above.select(F.col("tree").alias("tree"), F.col("place").alias("block"), "witness", "subroot", "root").groupBy("tree", "block")
+    lower = in_blocks(nodes, levels).groupBy("tree", "block")
+    upper = above.select("tree", F.col("place").alias("block"), "witness", "subroot", "root").groupBy("tree", "block")
     return lower.cogroup(upper).applyInArrow(run, f"{schema}, witness {WITNESS}, subroot string, root string")
 
 
-def handed_down(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def handed_down(tiers: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """The lowest tier's nodes with their whole witness; `above` has one row a tree, at place 0."""
     for nodes in tiers[-2:0:-1]:
-        above = written(witnessed(nodes, above), "witness")
-    return witnessed(tiers[0], above) if len(tiers) > 1 else tiers[0].join(above.drop("place"), "tree")
+        above = written(witnessed(nodes, above, levels), "witness")
+    return witnessed(tiers[0], above, levels) if len(tiers) > 1 else tiers[0].join(above.drop("place"), "tree")
 
 
-def manifest(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def manifest(docs: DataFrame, carry: tuple[str, ...] = (), levels: int = LEVELS) -> DataFrame:
     """doc_id, source, place, leaf, witness, subroot, root and the carried columns of every row of documents.
 
     `witness` lists, from the leaf's run to the run of its source's subroot, the digests to the left and to the right.
@@ -194,13 +193,13 @@ def manifest(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     leaves = written(read.withColumn("_row", F.monotonically_increasing_id()), "leaves")
     nodes = placed(leaves, ["doc_id", "digest", "_row"])
     dropped(leaves)
-    tiers = climbed(nodes.drop("_row"))
+    tiers = climbed(nodes.drop("_row"), levels)
     subroots = tiers[-1].select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest")
-    top = climbed(placed(subroots, ["source"]))
+    top = climbed(placed(subroots, ["source"]), levels)
     none = F.array().cast(WITNESS)
     root = top[-1].select("tree", F.lit(0).cast("long").alias("place"), none.alias("witness"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    sources = handed_down(top, root).select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("place"), "witness", F.col("digest").alias("subroot"), "root")
-    found = handed_down(tiers, written(sources, "sources"))
+    sources = handed_down(top, root, levels).select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("place"), "witness", F.col("digest").alias("subroot"), "root")
+    found = handed_down(tiers, written(sources, "sources"), levels)
     source = F.when(F.col("tree") != "", F.substring("tree", 2, 2**31 - 1))
     return found.select("doc_id", source.alias("source"), "place", F.col("digest").alias("leaf"), "witness", "subroot", "root", *carry)
 
