@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabsplit.functions.columns import let
 from tabsplit.functions.rules import BEGIN, END, SYMBOLS
 
 # Currencies before an amount, the largest safe whole number, and below, numeric runs and the tails of names.
@@ -27,25 +28,32 @@ def corrected(text: Column) -> Column:
 
 
 def parse_money(text: Column) -> Column:
-    """Minor units, or null. The last point or comma is decimal if one or two characters follow it."""
-    trimmed = F.trim(text)
-    negative = trimmed.rlike(rf"(?i)\(|-|{BEGIN}(?:discount|less){END}")
-    value = F.regexp_replace(corrected(trimmed), r"[^0-9,.]", "")
-    fraction = F.regexp_extract(value, r"[.,]([0-9]{1,2})$", 1)
-    major = F.regexp_replace(F.regexp_replace(value, r"[.,][0-9]{1,2}$", ""), "[.,]", "")
-    # more than 16 digits are beyond a safe whole number anyhow
-    whole = F.expr("0L") + F.when(F.length(major) > 16, F.lit(None)).otherwise(F.when(major == "", F.lit("0")).otherwise(major)).cast("long")
-    cents = F.try_add(F.try_multiply(whole, F.lit(100).cast("long")), F.rpad(fraction, 2, "0").cast("long"))
-    good = trimmed.rlike("[0-9OoIl]") & value.rlike("[0-9]") & (cents <= SAFE)
-    return F.when(good, F.when(negative, -cents).otherwise(cents))
+    """Minor units, or null. The last point or comma is decimal if one or two characters follow it.
+
+    Each step's value is bound once: an expression that is used several times is otherwise copied into every use.
+    """
+
+    def cents(parts: Column) -> Column:
+        # more than 16 digits are beyond a safe whole number anyhow
+        major = parts["major"]
+        whole = F.expr("0L") + F.when(F.length(major) > 16, F.lit(None)).otherwise(F.when(major == "", F.lit("0")).otherwise(major)).cast("long")
+        return F.try_add(F.try_multiply(whole, F.lit(100).cast("long")), F.rpad(parts["fraction"], 2, "0").cast("long"))
+
+    def signed(trimmed: Column, value: Column) -> Column:
+        fraction = F.regexp_extract(value, r"[.,]([0-9]{1,2})$", 1)
+        parts = let(fraction, lambda f: F.struct(f.alias("fraction"), F.translate(F.when(f == "", value).otherwise(F.left(value, F.length(value) - F.length(f))), ",.", "").alias("major")))
+        negative = trimmed.rlike(rf"(?i)\(|-|{BEGIN}(?:discount|less){END}")
+        return let(parts, lambda p: let(cents(p), lambda c: F.when(c <= SAFE, F.when(negative, -c).otherwise(c))))
+
+    read = lambda trimmed: let(F.regexp_replace(corrected(trimmed), r"[^0-9,.]", ""), lambda value: F.when(value.rlike("[0-9]"), signed(trimmed, value)))
+    return let(F.trim(text), lambda trimmed: F.when(trimmed.rlike("[0-9OoIl]"), read(trimmed)))
 
 
 def parse_quantity(text: Column) -> Column:
     """A whole count from 1 to 1000, or null; the first comma counts as a point."""
-    cleaned = F.regexp_replace(F.regexp_replace(F.trim(text), "^([^,]*),", "$1."), "^$", "x")
-    value = F.regexp_extract(cleaned, r"^(\d+)(?:\.0+)?$", 1)
-    number = F.when((value != "") & (F.length(value) < 10), value).cast("long")
-    return F.when((number > 0) & (number <= 1000), number)
+    whole = F.regexp_extract(F.regexp_replace(F.trim(text), "^([^,]*),", "$1."), r"^(\d+)(?:\.0+)?$", 1)
+    number = lambda value: F.when((value != "") & (F.length(value) < 10), value).cast("long")
+    return let(let(whole, number), lambda n: F.when((n > 0) & (n <= 1000), n))
 
 
 def is_rate_annotation(text: Column) -> Column:
@@ -77,23 +85,23 @@ def merged_tokens(tokens: Column) -> Column:
     places = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: ~taken(i))
     text = lambda i: F.when(opens(i), F.concat(F.get(tokens, i)["text"], F.get(tokens, i + 1)["text"])).otherwise(F.get(tokens, i)["text"])
     right = lambda i: (F.get(tokens, i)["x"] + F.get(tokens, i)["width"]).cast("double")
-    one = lambda i: F.struct(text(i).alias("text"), right(i).alias("right"), F.get(tokens, i)["confidence"].cast("double").alias("confidence"))
-    return F.when(F.size(tokens) > 0, F.transform(places, one)).otherwise(F.array().cast("array<struct<text: string, right: double, confidence: double>>"))
+    one = lambda i: F.struct(text(i).alias("text"), right(i).alias("right"), F.get(tokens, i)["confidence"].cast("double").alias("confidence"), i.alias("place"))
+    return F.when(F.size(tokens) > 0, F.transform(places, one)).otherwise(F.array().cast("array<struct<text: string, right: double, confidence: double, place: int>>"))
 
 
 def token_amounts(tokens: Column) -> Column:
-    """The amounts among a line's tokens, in order: text, cents, right edge and confidence."""
+    """The amounts among a line's tokens, in order: text, cents, right edge, confidence and the token's place in the line."""
     like = F.filter(merged_tokens(tokens), lambda t: is_amount_like(t["text"]) & ~is_rate_annotation(t["text"]))
-    priced = F.transform(like, lambda t: F.struct(t["text"].alias("text"), parse_money(t["text"]).alias("cents"), t["right"].alias("right"), t["confidence"].alias("confidence")))
+    priced = F.transform(like, lambda t: F.struct(t["text"].alias("text"), parse_money(t["text"]).alias("cents"), t["right"].alias("right"), t["confidence"].alias("confidence"), t["place"].alias("place")))
     return F.filter(priced, lambda t: t["cents"].isNotNull())
 
 
 def text_amounts(text: Column) -> Column:
-    """Amount texts of a line without geometry: numeric runs with a digit that touch no letter on either side.
+    """The amounts of a line without geometry, text and cents: numeric runs with a digit that touch no letter on either side.
 
     Runs are set off by marks, so that text and runs alternate and each run's neighbours can be seen.
     """
-    parts = F.split(F.regexp_replace(text, f"({RUN})", f"{ZERO}$1{ONE}"), f"[{ZERO}{ONE}]")
+    parts = F.split(F.regexp_replace(text, f"({RUN})", f"{ZERO}$1{ZERO}"), ZERO)
 
     def free(x: Column, i: Column) -> Column:
         before = F.concat(F.coalesce(F.get(x, i - 2), F.lit("")), F.get(x, i - 1))
@@ -102,6 +110,7 @@ def text_amounts(text: Column) -> Column:
 
     def runs(x: Column) -> Column:
         places = F.when(F.size(x) < 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(x) - 2, F.lit(2)))
-        return F.transform(F.filter(places, lambda i: free(x, i)), lambda i: F.get(x, i))
+        found = F.transform(F.filter(places, lambda i: free(x, i)), lambda i: F.get(x, i))
+        return F.filter(F.transform(found, lambda r: F.struct(r.alias("text"), parse_money(r).alias("cents"))), lambda r: r["cents"].isNotNull())
 
-    return F.filter(F.get(F.transform(F.array(parts), runs), F.lit(0)), lambda r: parse_money(r).isNotNull())
+    return let(parts, runs)

@@ -17,11 +17,14 @@ from tabsplit.functions.columns import half_up, let
 MOST_QUANTITY, TOLERANCE = 50, 1
 #: Confidences without any of the tokens', in ten-thousandths: of an amount, of an item row, without a quantity, without a unit price.
 BASELINE, ROW_BASELINE, NO_QUANTITY, NO_UNIT = 7500, 7000, 2500, 1000
+#: The confidence of a subtotal that is the items' sum, and the fixed text of a bill whose total differs.
+DERIVED_SUBTOTAL, DIFFERS = 6500, "Summary values differ from the selected total by %d minor units."
 #: A payment's share of its confidence as a total, and a derived unit price's, in hundredths.
 AS_TOTAL, DERIVED = 72, 82
 #: How far an amount's right edge may lie from the column: pixels, or a share of the image's width.
 NEAR, NEAR_SHARE, WIDTH = 24.0, 0.045, 1000
-AMOUNT = "struct<text: string, cents: bigint, right: double, confidence: double>"
+#: place is the token's in its line; null where there is no geometry.
+AMOUNT = "struct<text: string, cents: bigint, right: double, confidence: double, place: int>"
 
 
 def confidence(tokens: Column, baseline: int) -> Column:
@@ -33,7 +36,7 @@ def confidence(tokens: Column, baseline: int) -> Column:
 
 def amounts_of(line: Column, tokens: Column | None) -> Column:
     """The amounts of a line: of its tokens where it has several, else of its text."""
-    told = lambda t: F.struct(t.alias("text"), m.parse_money(t).alias("cents"), F.lit(None).cast("double").alias("right"), F.lit(None).cast("double").alias("confidence"))
+    told = lambda t: F.struct(t["text"].alias("text"), t["cents"].alias("cents"), F.lit(None).cast("double").alias("right"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("place"))
     of_text = F.when(line.rlike("[0-9]"), F.transform(m.text_amounts(line), told)).otherwise(F.array().cast(f"array<{AMOUNT}>"))
     return of_text if tokens is None else F.when(F.size(tokens) > 1, m.token_amounts(tokens)).otherwise(of_text)
 
@@ -54,8 +57,10 @@ def classified(lines: DataFrame) -> DataFrame:
     """Lines with amounts, seen, section, confidence, item_header, named and bare.
 
     `seen` tells whether a summary row with an amount came after the last header row above. It changes only classes that
-    never set it, so a line's class is read once, but for the choice that depends on `seen`.
+    never set it, so a line's class is read once, but for the choice that depends on `seen`. Lines are dealt by bill before they
+    are read: they are smaller then, reading is the costly part, and all that follows keeps that partitioning.
     """
+    lines = lines.repartition("bill_id")
     tokens = F.col("tokens") if "tokens" in lines.columns else None
     whole = lines.select(*lines.columns, let(F.col("line"), lambda x: F.struct(amounts_of(x, tokens).alias("amounts"), rules.reading(x).alias("r"))).alias("_read"))
     read = whole.select(*lines.columns, "_read.amounts", "_read.r.code", "_read.r.itemlike", "_read.r.wordy", "_read.r.named")
@@ -71,8 +76,8 @@ def classified(lines: DataFrame) -> DataFrame:
     return known.drop("_event", "_kind", "code", "itemlike", "wordy")
 
 
-def item_lines(known: DataFrame) -> DataFrame:
-    """The lines of each candidate item, of classified lines: known's columns with item_no and anchor.
+def scanned(known: DataFrame) -> DataFrame:
+    """Classified lines with item_no, anchor, open, and member: whether the line belongs to the candidate item of that number.
 
     Rows that print an amount in the column (anchors) close an item, a run of bare amounts closes one item together. Lines
     above it that name something, or are bare numbers, belong to it, unless a header line lies between. Where the receipt has a
@@ -96,10 +101,16 @@ def item_lines(known: DataFrame) -> DataFrame:
     told = told.withColumn("anchor", (F.col("_bare") | F.col("_item")) & (F.col("_inside") | ~F.col("_gated")))
     begins = F.col("anchor") & ~(F.col("_bare") & F.coalesce(F.lag("_bare").over(order), F.lit(False)))
     open_ = ~F.col("anchor") & (F.col("section") != "header") & ~summary & (F.col("_inside") | ~F.col("seen_at_end")) & (F.col("named") | F.col("bare"))
-    told = told.withColumns({"_begins": begins, "_open": open_})
+    told = told.withColumns({"_begins": begins, "open": open_})
     told = told.withColumn("item_no", F.count_if("_begins").over(upto) + F.when(F.col("anchor"), 0).otherwise(1))
     at = F.max(F.when(F.col("_begins"), F.col("_reset"))).over(Window.partitionBy("bill_id", "item_no"))
-    return told.withColumn("_at", at).where((F.col("anchor") | F.col("_open")) & (F.col("_at") == F.col("_reset"))).drop("_inside", "_gated", "_bare", "_item", "_begins", "_open", "_at", "_reset")
+    member = F.coalesce((F.col("anchor") | F.col("open")) & (F.col("_at") == F.col("_reset")), F.lit(False))
+    return told.withColumn("_at", at).withColumn("member", member).drop("_inside", "_gated", "_bare", "_item", "_begins", "_at", "_reset")
+
+
+def item_lines(known: DataFrame) -> DataFrame:
+    """The lines of each candidate item, of classified lines: known's columns with item_no and anchor."""
+    return scanned(known).where("member").drop("member", "open")
 
 
 def resolve(texts: Column, cents: Column) -> Column:
@@ -118,6 +129,16 @@ def resolve(texts: Column, cents: Column) -> Column:
     return let(m.parse_quantity(F.get(texts, F.lit(0))), chosen)
 
 
+def row_item(text: Column, amounts: Column) -> Column:
+    """name, total_cents and r (qty, unit_cents, derived) of a row's text and amounts; null where they are no item's."""
+
+    def told(cents: Column) -> Column:
+        good = (F.size(cents) > 0) & (F.element_at(cents, -1) > 0) & rules.has_name_word(text) & ~rules.is_metadata(text)
+        return F.when(good, F.struct(resolve(F.transform(amounts, lambda a: a["text"]), cents).alias("r"), m.clean_item_name(text).alias("name"), F.element_at(cents, -1).alias("total_cents")))
+
+    return let(F.transform(amounts, lambda a: a["cents"]), told)
+
+
 def plausible(qty: Column) -> Column:
     return qty.isNull() | (qty <= MOST_QUANTITY)
 
@@ -143,12 +164,7 @@ def parsed_items(known: DataFrame) -> DataFrame:
     rows = item_rows(known)
     certain = confidence(F.col("tokens"), ROW_BASELINE) if "tokens" in rows.columns else F.lit(ROW_BASELINE).cast("long")
 
-    def told(text: Column, amounts: Column) -> Column:
-        cents = F.transform(amounts, lambda a: a["cents"])
-        good = (F.size(amounts) > 0) & (F.element_at(cents, -1) > 0) & rules.has_name_word(text) & ~rules.is_metadata(text)
-        return F.when(good, F.struct(resolve(F.transform(amounts, lambda a: a["text"]), cents).alias("r"), m.clean_item_name(text).alias("name"), F.element_at(cents, -1).alias("total_cents")))
-
-    read = rows.select("bill_id", "item_no", let(F.struct("text", "amounts"), lambda x: told(x["text"], x["amounts"])).alias("t"), certain.alias("confidence"))
+    read = rows.select("bill_id", "item_no", let(F.struct("text", "amounts"), lambda x: row_item(x["text"], x["amounts"])).alias("t"), certain.alias("confidence"))
     flat = read.select("bill_id", "item_no", "t.name", "t.r.qty", "t.r.unit_cents", "t.total_cents", "t.r.derived", "confidence")
     good = flat.where(F.col("name").isNotNull() & plausible(F.col("qty"))).where(rules.has_name_word(F.col("name")))
     number = F.row_number().over(Window.partitionBy("bill_id").orderBy("item_no")).cast("long")
@@ -181,23 +197,115 @@ def tax_total(taxes: DataFrame) -> DataFrame:
     return known.groupBy("bill_id").agg((F.sum("amount") - F.coalesce(F.min_by("amount", F.when(repeats, F.col("line_no"))), F.lit(0))).alias("tax_cents"))
 
 
+def joined(lines: Column) -> Column:
+    """The text of several lines as one, white space single."""
+    return F.trim(F.regexp_replace(F.array_join(F.transform(lines, lambda x: x["line"]), " "), r"\s+", " "))
+
+
+def in_order(parts: Column) -> Column:
+    """Arrays of structs of several rows as one, by their first field."""
+    return F.array_sort(F.flatten(parts))
+
+
+RECORD = "array<struct<line_no: bigint, kind: string, label: string, amount: bigint, confidence: bigint, place: int, token_no: bigint>>"
+
+
+def summary_records(x: Column) -> Column:
+    """line_no, kind, label, amount, confidence and the token of each line that says something of the whole bill; payments that may be
+    the total are of that kind."""
+    paid = lambda l: l["line"].rlike(rules.worded(rules.PAID))
+    rows = F.filter(x, lambda l: l["section"].isin(rules.SUMMARY_SECTIONS) & (F.size(l["amounts"]) > 0) & ((l["section"] != "payment") | paid(l)))
+
+    def record(l: Column) -> Column:
+        payment = l["section"] == "payment"
+        told = lambda last: F.struct(
+            l["line_no"].alias("line_no"), F.when(payment, "total").otherwise(l["section"]).alias("kind"), let(m.label_of(l["line"]), lambda t: F.when(t == "", l["line"]).otherwise(t)).alias("label"),
+            F.when(l["section"] == "discount", adjust_to_negative(last["cents"])).otherwise(last["cents"]).alias("amount"),
+            let(confidence(F.array(last), BASELINE), lambda c: F.when(payment, half_up(c * AS_TOTAL / 100)).otherwise(c)).alias("confidence"), last["place"].alias("place"), F.get(l["token_nos"], last["place"]).alias("token_no"),
+        )
+        return let(F.element_at(l["amounts"], -1), told)
+
+    return F.transform(rows, record).cast(RECORD)
+
+
+def parsed_bills(lines: DataFrame) -> DataFrame:
+    """One nested row a bill, of lines (bill_id, line_no, line) that may have tokens, amount_column, image_width and columns.
+
+    items, with the numbers of their lines and of the tokens that they were read from; subtotal, total, taxes, charges,
+    adjustments and totals (all that could be the total), each with its line and token; what should add up and whether it
+    does; and what the reading made of every line: `lines`, `ignored` and `warnings`.
+
+    Lines are dealt by bill once, and read once: an item's lines are grouped within a bill's partition, and its items and
+    the rest of its lines again, so that a bill is never joined with itself. A bill is one printed paper, gathered in one row.
+    """
+    known = scanned(classified(lines))
+    tokens = F.col("tokens") if "tokens" in known.columns else F.lit(None).cast("array<struct<token_no: bigint, confidence: double>>")
+    numbered = "tokens" not in known.columns or "token_no" in known.schema["tokens"].dataType.elementType.fieldNames()
+    of_tokens = F.coalesce(F.transform(tokens, lambda t: t["token_no"].cast("long") if numbered else F.lit(None).cast("long")), F.array().cast("array<long>"))
+    sure = F.coalesce(F.transform(tokens, lambda t: F.struct(t["confidence"].cast("double").alias("confidence"))), F.array().cast("array<struct<confidence: double>>"))
+    column = F.col("columns") if "columns" in known.columns else F.array().cast("array<long>")
+    part = F.struct("line_no", "line", "section", "confidence", "item_header", "anchor", "open", "bare", "amounts", of_tokens.alias("token_nos"), sure.alias("sure"))
+    slot = F.when(F.col("member"), F.col("item_no"))
+    rows = known.select("bill_id", slot.alias("slot"), part.alias("p"), column.alias("columns")).groupBy("bill_id", "slot").agg(F.array_sort(F.collect_list("p")).alias("x"), F.first("columns").alias("columns"))
+
+    amounts = F.flatten(F.transform(F.filter("x", lambda l: l["anchor"] | l["bare"]), lambda l: l["amounts"]))
+    item = F.when(F.col("slot").isNotNull(), let(F.struct(joined(F.col("x")).alias("text"), amounts.alias("amounts")), lambda r: row_item(r["text"], r["amounts"])))
+    rows = rows.withColumn("t", item).withColumn("sure", confidence(F.flatten("x.sure"), ROW_BASELINE))
+    good = F.coalesce(F.col("t.name").isNotNull() & plausible(F.col("t.r.qty")) & rules.has_name_word(F.col("t.name")), F.lit(False))
+    unit = F.when(F.coalesce("t.r.unit_cents", F.lit(0)) == 0, NO_UNIT).when(F.col("t.r.derived"), half_up(F.col("sure") * DERIVED / 100)).otherwise(F.col("sure")).cast("long")
+    counted = F.when(F.coalesce("t.r.qty", F.lit(0)) == 0, NO_QUANTITY).otherwise(F.col("sure")).cast("long")
+    told = F.struct(
+        "slot", F.col("t.name").alias("name"), F.col("t.r.qty").alias("qty"), F.col("t.r.unit_cents").alias("unit_cents"), F.col("t.total_cents").alias("total_cents"), F.col("t.r.derived").alias("derived"),
+        F.col("sure").alias("confidence"), counted.alias("qty_confidence"), unit.alias("unit_confidence"), F.col("x.line_no").alias("line_nos"), F.flatten("x.token_nos").alias("token_nos"),
+    )
+    rows = rows.withColumn("good", good)
+    heads = lambda l: (l["section"] == "header") & ~l["item_header"]
+    left = F.filter("x", lambda l: F.when(F.col("slot").isNull(), heads(l) | ((l["section"] == "unknown") & ~l["anchor"] & ~l["open"])).otherwise(l["anchor"] & ~F.col("good")))
+    ignored = F.transform(left, lambda l: F.struct(l["line_no"].alias("line_no"), l["line"].alias("text")))
+    kept = F.transform("x", lambda l: F.struct(l["line_no"].alias("line_no"), l["line"].alias("text"), l["section"].alias("section"), l["confidence"].alias("confidence")))
+    symbol = lambda s: F.exists("x", lambda l: l["line"].contains(s))
+    bills = rows.groupBy("bill_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("good"), told))).alias("items"), F.first(F.when(F.col("slot").isNull(), summary_records(F.col("x"))), ignorenulls=True).alias("rest"),
+        in_order(F.collect_list(kept)).alias("lines"), in_order(F.collect_list(ignored)).alias("ignored"), F.first("columns").alias("columns"),
+        F.when(F.max(symbol("₹")), "INR").when(F.max(symbol("$")), "USD").alias("currency"),
+    )
+    return settled(bills)
+
+
+def settled(bills: DataFrame) -> DataFrame:
+    """The sums of a bill's records and items, and whether what is printed adds up."""
+    rest = F.coalesce("rest", F.array().cast(RECORD))
+    of = lambda *kinds: F.filter("rest", lambda r: r["kind"].isin(*kinds))
+    added = lambda records: F.aggregate(records, F.lit(0).cast("long"), lambda a, r: a + r["amount"])
+    numbered = F.transform("items", lambda i, n: i.dropFields("slot").withField("item_no", (n + 1).cast("long")))
+    bills = bills.withColumn("rest", rest).withColumns({
+        "items": numbered, "taxes": of("tax"), "charges": of("service_charge"), "adjustments": of("discount", "adjustment"), "totals": of("total"), "printed": F.get(of("subtotal"), F.lit(0)),
+    })
+    all_tax = added(F.col("taxes"))
+    aggregate = F.filter("taxes", lambda r: (F.size("taxes") >= 3) & (F.abs(2 * r["amount"] - F.col("_tax")) <= TOLERANCE))
+    summed = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["total_cents"])
+    first_best = F.array_sort(F.transform("totals", lambda r: F.struct((-r["confidence"]).alias("c"), r["line_no"].alias("l"), r.alias("r"))))
+    bills = bills.withColumn("_tax", all_tax).withColumns({
+        "total": F.get(first_best, F.lit(0))["r"], "tax_cents": F.col("_tax") - F.coalesce(F.get(aggregate, F.lit(0))["amount"], F.lit(0)), "charge_cents": added(F.col("charges")), "adjustment_cents": added(F.col("adjustments")),
+        "derived_subtotal": F.col("printed").isNull() & (F.size("items") > 0), "subtotal_cents": F.coalesce(F.col("printed.amount"), F.when(F.size("items") > 0, summed)),
+    })
+    sure = F.when(F.col("derived_subtotal"), DERIVED_SUBTOTAL).otherwise(F.col("printed.confidence"))
+    bills = bills.withColumns({"total_cents": F.col("total.amount"), "subtotal_confidence": sure, "n_items": F.size("items").cast("long"), "expected_cents": F.col("subtotal_cents") + F.col("tax_cents") + F.col("charge_cents") + F.col("adjustment_cents")})
+    bills = bills.withColumn("difference", F.col("total_cents") - F.col("expected_cents"))
+    status = F.when(F.col("difference").isNull(), "insufficient_data").when(F.abs("difference") <= TOLERANCE, "match").otherwise("mismatch")
+    warning = F.when(F.col("difference").isNotNull() & (F.abs("difference") > TOLERANCE), F.array(F.format_string(DIFFERS, "difference"))).otherwise(F.array().cast("array<string>"))
+    return bills.withColumns({"status": status, "warnings": warning}).drop("rest", "_tax").withColumnRenamed("printed", "subtotal")
+
+
+def items_of(bills: DataFrame) -> DataFrame:
+    """One row an item of nested bills."""
+    return bills.select("bill_id", F.inline("items"))
+
+
+SUMS = ("bill_id", "currency", "tax_cents", "charge_cents", "adjustment_cents", "total_cents", "n_items", "derived_subtotal", "subtotal_cents", "expected_cents", "difference", "status")
+
+
 def parse_receipts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items, and one row a bill: subtotal, taxes, charges, adjustments, total, expected total, difference and status."""
-    known = classified(lines)
-    items = parsed_items(known)
-    rows = summary_rows(known)
-    taxes = F.array_sort(F.collect_list(F.when(F.col("kind") == "tax", F.struct("line_no", "amount"))))
-    first = lambda kind: F.min_by("amount", F.when(F.col("kind") == kind, F.col("line_no")))
-    best = F.min_by("amount", F.when(F.col("kind") == "total", F.struct(-F.col("confidence"), F.col("line_no"))))
-    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("amount"))), F.lit(0))
-    sums = rows.groupBy("bill_id").agg(first("subtotal").alias("printed"), of("tax").alias("all_tax"), taxes.alias("taxes"), of("service_charge").alias("charge_cents"), of("discount", "adjustment").alias("adjustment_cents"), best.alias("total_cents"))
-    aggregate = F.filter("taxes", lambda t: (F.size("taxes") >= 3) & (F.abs(2 * t["amount"] - F.col("all_tax")) <= TOLERANCE))
-    sums = sums.withColumn("tax_cents", F.col("all_tax") - F.coalesce(F.get(aggregate, F.lit(0))["amount"], F.lit(0))).drop("taxes", "all_tax")
-    made = items.groupBy("bill_id").agg(F.sum("total_cents").alias("items_cents"), F.count("*").alias("n_items"))
-    currency = known.groupBy("bill_id").agg(F.when(F.max(F.col("line").contains("₹")), "INR").when(F.max(F.col("line").contains("$")), "USD").alias("currency"))
-    bills = currency.join(sums, "bill_id", "left").join(made, "bill_id", "left")
-    bills = bills.withColumns({"derived_subtotal": F.col("printed").isNull() & F.col("items_cents").isNotNull(), "subtotal_cents": F.coalesce("printed", "items_cents")})
-    bills = bills.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tax_cents", "charge_cents", "adjustment_cents")})
-    bills = bills.withColumn("expected_cents", F.col("subtotal_cents") + F.col("tax_cents") + F.col("charge_cents") + F.col("adjustment_cents")).withColumn("difference", F.col("total_cents") - F.col("expected_cents"))
-    status = F.when(F.col("difference").isNull(), "insufficient_data").when(F.abs("difference") <= TOLERANCE, "match").otherwise("mismatch")
-    return items, bills.withColumn("status", status).drop("printed", "items_cents")
+    bills = parsed_bills(lines)
+    return items_of(bills), bills.select(*SUMS)
