@@ -10,6 +10,7 @@ import math
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,66 +30,75 @@ def normalize_token(text: Column) -> Column:
 
 
 def upper_median(values: list[float], fallback: float) -> float:
+    """The upper median of the positive values, or the fallback."""
     kept = sorted(v for v in values if v > 0)
     return kept[len(kept) // 2] if kept else fallback
 
 
-def clusters(places: list[float], tolerance: float) -> list[list[float]]:
-    """Each place joins the first cluster whose running mean is near enough."""
-    found: list[list[float]] = []
-    for place in places:
-        near = next((c for c in found if abs(sum(c) / len(c) - place) <= tolerance), None)
-        if near is None:
-            found.append([place])
-        else:
-            near.append(place)
-    return found
-
-
-def line_numbers(centres: list[float], tops: list[float], heights: list[float]) -> list[int]:
-    """The line of each token, counted from the top, of tokens in the order of their centres."""
-    tolerance = max(6.0, 0.6 * upper_median(heights, 12.0))
-    sums: list[float] = []
-    members: list[list[int]] = []
-    for k, centre in enumerate(centres):
-        target = None
-        for row in range(len(sums) - 1, -1, -1):
-            gap = centre - sums[row] / len(members[row])
-            if abs(gap) <= tolerance:
-                target = row
-                break
-            if gap > 4 * tolerance:
-                break
-        if target is None:
-            sums.append(centre)
-            members.append([k])
+def runs(values: list[float], tolerance: float) -> tuple[list[int], list[tuple[float, int]]]:
+    """The run of each of ascending values, and every run's mean and count.
+
+    A value joins a run whose mean is within the tolerance. As values ascend and a run that one of them did not reach cannot
+    grow any more, that is the last run or none.
+    """
+    numbers: list[int] = []
+    sums: list[list[float]] = []
+    for value in values:
+        if sums and abs(value - sums[-1][0] / sums[-1][1]) <= tolerance:
+            sums[-1][0] += value
+            sums[-1][1] += 1
         else:
-            sums[target] += centre
-            members[target].append(k)
-    lines = [0] * len(centres)
-    for n, row in enumerate(sorted(range(len(sums)), key=lambda row: min(tops[k] for k in members[row]))):
-        for k in members[row]:
-            lines[k] = n
-    return lines
-
-
-def rounded(cluster: list[float]) -> int:
-    return math.floor(sum(cluster) / len(cluster) + 0.5)
-
-
-def columns_of(edges: list[float], numeric: list[bool], lines: list[int], xs: list[float], heights: list[float]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int | None]:
-    """(centre, count) of numeric columns, of the lines' last amounts from the largest on, and the centre of the column of
-    amounts, if one stands out; edges are the tokens' right ends."""
-    height = upper_median(heights, 0.0)
-    which = [k for k, x in enumerate(numeric) if x]
-    found = [(rounded(c), len(c)) for c in clusters(sorted(edges[k] for k in which), max(18.0, 1.1 * height)) if len(c) >= 2]
-    last = {lines[k]: edges[k] for k in sorted(which, key=lambda k: (lines[k], xs[k]))}
-    ranked = sorted(clusters(sorted(last.values()), max(20.0, 1.5 * height)), key=len, reverse=True)
-    told = [(rounded(c), len(c)) for c in ranked]
-    if len(last) < 3:
-        return found, told, None
-    clear = len(ranked[0]) >= 3 and (len(ranked) == 1 or len(ranked[0]) >= 1.5 * len(ranked[1]))
-    return found, told, told[0][0] if clear else None
+            sums.append([value, 1])
+        numbers.append(len(sums) - 1)
+    return numbers, [(total / n, int(n)) for total, n in sums]
+
+
+def rounded(mean: float) -> int:
+    return math.floor(mean + 0.5)
+
+
+class Page:
+    """A document's tokens in the order of their centres: lists by field, and the lines that they form, from the top."""
+
+    def __init__(self, fields: dict[str, list]) -> None:
+        self.fields = fields
+        self.medium = upper_median(fields["height"], 0.0)
+        numbers, means = runs(fields["centre"], max(6.0, 0.6 * (self.medium or 12.0)))
+        parts: list[list[int]] = [[] for _ in means]
+        for k, n in enumerate(numbers):
+            parts[n].append(k)
+        x, number, y = fields["x"], fields["token_no"], fields["y"]
+        for part in parts:
+            part.sort(key=lambda k: (x[k], number[k]))
+        self.lines = sorted(parts, key=lambda part: min(y[k] for k in part))
+
+    def rights(self) -> list[float]:
+        return [x + w for x, w in zip(self.fields["x"], self.fields["width"], strict=True)]
+
+    def box(self, line: list[int]) -> tuple[float, float, float, float]:
+        """left, top, right and bottom of what encloses a line."""
+        x, y, w, h = (self.fields[c] for c in ("x", "y", "width", "height"))
+        return min(x[k] for k in line), min(y[k] for k in line), max(x[k] + w[k] for k in line), max(y[k] + h[k] for k in line)
+
+    def columns(self) -> list[tuple[int, int]]:
+        """Centre and count of the columns of numbers: right edges that lie together, two at least."""
+        edges = sorted(e for e, numeric in zip(self.rights(), self.fields["numeric"], strict=True) if numeric)
+        return [(rounded(mean), n) for mean, n in runs(edges, max(18.0, 1.1 * self.medium))[1] if n >= 2]
+
+    def ranked(self) -> list[tuple[int, int]]:
+        """Centre and count of where lines put their last number, the largest first."""
+        rights, numeric = self.rights(), self.fields["numeric"]
+        last = [rights[numbers[-1]] for line in self.lines if (numbers := [k for k in line if numeric[k]])]
+        found = runs(sorted(last), max(20.0, 1.5 * self.medium))[1]
+        return [(rounded(mean), n) for mean, n in sorted(found, key=lambda c: -c[1])]
+
+    def amount_column(self, ranked: list[tuple[int, int]]) -> int | None:
+        """The largest of them, where it has three lines and half as many again as the next; else no column is better."""
+        most, following = (ranked[0][1], ranked[1][1] if len(ranked) > 1 else 0) if ranked else (0, 0)
+        return ranked[0][0] if most >= 3 and most >= 1.5 * following else None
+
+
+TOKEN = "struct<token_no: bigint, text: string, x: double, width: double, confidence: double>"
 
 
 def documents_of(tokens: DataFrame, *more: str) -> DataFrame:
@@ -97,40 +107,97 @@ def documents_of(tokens: DataFrame, *more: str) -> DataFrame:
     return tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tokens"))
 
 
-def folded(batch: pa.RecordBatch) -> Iterator[tuple[int, int, dict[str, list], list[int]]]:
-    """Of each document of a batch its place, the columns of its tokens and their lines."""
+def numeric_tokens(tokens: DataFrame) -> DataFrame:
+    """Tokens with `numeric`: whether they hold a digit and an amount."""
+    return tokens.withColumn("numeric", F.coalesce(F.col("text").rlike("[0-9]") & parse_money(F.col("text")).isNotNull(), F.lit(False)))
+
+
+def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Page]]:
+    """Of each document of a batch its place and page."""
     held = batch.column("tokens")
     told = {field.name: held.flatten().field(field.name).to_pylist() for field in held.type.value_type}
     offsets = held.offsets.to_pylist()
     first = offsets[0]
     for k, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
-        tokens = {name: column[a - first : b - first] for name, column in told.items()}
-        yield k, b - a, tokens, line_numbers(tokens["centre"], tokens["y"], tokens["height"])
+        yield k, Page({name: column[a - first : b - first] for name, column in told.items()})
+
+
+def listed(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    """values cut into lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
 
 LINE = "line_no long, text string, left double, top double, right double, bottom double"
 
 
-def detect_lines(tokens: DataFrame) -> DataFrame:
-    """doc_id, line_no, text, and the box of every line, of tokens (doc_id, token_no, text, x, y, width, height)."""
-    clean = tokens.withColumn("text", normalize_token(F.col("text"))).where("text <> ''")
+def folded(tokens: DataFrame, geometry: bool) -> DataFrame:
+    """The lines of clean tokens: doc_id, number, text and box; with geometry their tokens and the document's columns as well."""
+    numbers = pa.struct([("token_no", pa.int64()), ("text", pa.string()), ("x", pa.float64()), ("width", pa.float64()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, out = [], []
-            for k, n, t, lines in folded(batch):
-                parts: dict[int, list[int]] = {}
-                for i in sorted(range(n), key=lambda i: (t["x"][i], t["token_no"][i])):  # noqa: B023
-                    parts.setdefault(lines[i], []).append(i)
-                for line, of in sorted(parts.items()):
+            places, out, sizes, flat, found = [], [], [], [[] for _ in numbers], []
+            for k, page in pages_of(batch):
+                f, told = page.fields, None
+                for n, line in enumerate(page.lines):
                     places.append(k)
-                    out.append((line, " ".join(t["text"][i] for i in of), t["x"][of[0]], min(t["y"][i] for i in of), max(t["x"][i] + t["width"][i] for i in of), max(t["y"][i] + t["height"][i] for i in of)))
+                    out.append((n, " ".join(f["text"][i] for i in line), *page.box(line)))
+                    if geometry:
+                        told = told or (page.amount_column(page.ranked()), [c for c, _ in page.columns()])
+                        found.append(told)
+                        sizes.append(len(line))
+                        for values, field in zip(flat, numbers, strict=True):
+                            values += [f[field.name][i] for i in line]
             if out:
-                kinds = (pa.int64(), pa.string(), *[pa.float64()] * 4)
-                columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int32())), *columns], ["doc_id", "line_no", "text", "left", "top", "right", "bottom"])
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.string(), *[pa.float64()] * 4), strict=True)]
+                names = ["doc_id", "line_no", "text", "left", "top", "right", "bottom"]
+                if geometry:
+                    held = pa.StructArray.from_arrays([pa.array(v, field.type) for v, field in zip(flat, numbers, strict=True)], fields=list(numbers))
+                    columns += [listed(sizes, held), pa.array([c for c, _ in found], pa.int64()), pa.array([c for _, c in found], pa.list_(pa.int64()))]
+                    names += ["tokens", "amount_column", "columns"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int32())), *columns], names)
+
+    more = ("numeric", F.col("confidence").cast("double").alias("confidence")) if geometry else ()
+    schema = f"doc_id {dict(tokens.dtypes)['doc_id']}, {LINE}" + (f", tokens array<{TOKEN}>, amount_column long, columns array<long>" if geometry else "")
+    return documents_of(tokens, *more).mapInArrow(run, schema)
+
+
+def clean_tokens(tokens: DataFrame) -> DataFrame:
+    return tokens.withColumn("text", normalize_token(F.col("text"))).where("text <> ''")
+
+
+def detect_lines(tokens: DataFrame) -> DataFrame:
+    """doc_id, line_no, text, and the box of every line, of tokens (doc_id, token_no, text, x, y, width, height)."""
+    return folded(clean_tokens(tokens), geometry=False)
 
-    return documents_of(clean).mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, {LINE}")
+
+def read_lines(tokens: DataFrame) -> DataFrame:
+    """detect_lines' rows with each line's tokens (token_no, text, x, width, confidence), and on every line of a document the
+    column of its amounts, or null, and the centres of its columns of numbers. tokens also have a confidence.
+
+    Tokens without a box (x is null) have no line.
+    """
+    placed = tokens.where("x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
+    return folded(numeric_tokens(clean_tokens(placed)), geometry=True)
+
+
+def text_lines(readings: DataFrame) -> DataFrame:
+    """The lines of plain text (doc_id, text), for readings without boxes: blank ones count, but are left out."""
+    each = readings.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+    return each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("text")).where("text <> ''")
+
+
+def lines_of_readings(readings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Lines for receipts.parsed_bills: of the tokens where a reading has any with a box, else of its text.
+
+    readings are (doc_id, text, image_width), one row a reading; image_width may be null. A reading without either has no line.
+    """
+    drawn = read_lines(tokens)
+    plain = text_lines(readings.join(drawn.select("doc_id").distinct(), "doc_id", "left_anti"))
+    nothing = {"tokens": f"array<{TOKEN}>", "amount_column": "long", "columns": "array<long>"}
+    plain = plain.select("doc_id", "line_no", "text", *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()])
+    whole = drawn.select("doc_id", "line_no", "text", *nothing).unionByName(plain)
+    return whole.join(readings.select("doc_id", "image_width"), "doc_id", "left").select(F.col("doc_id").alias("bill_id"), "line_no", F.col("text").alias("line"), *nothing, "image_width")
 
 
 def with_lines(tokens: DataFrame) -> DataFrame:
@@ -138,12 +205,10 @@ def with_lines(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, numbers, lines = [], [], []
-            for k, n, t, found in folded(batch):
-                places += [k] * n
-                numbers += t["token_no"]
-                lines += found
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int32())), pa.array(numbers, pa.int64()), pa.array(lines, pa.int64())], ["doc_id", "token_no", "line_no"])
+            rows = [(k, page.fields["token_no"][i], n) for k, page in pages_of(batch) for n, line in enumerate(page.lines) for i in line]
+            if rows:
+                places, numbers, lines = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int32())), pa.array(numbers, pa.int64()), pa.array(lines, pa.int64())], ["doc_id", "token_no", "line_no"])
 
     return documents_of(tokens).mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, token_no long, line_no long")
 
@@ -152,19 +217,21 @@ COLUMNS = "array<struct<centre: long, count: long>>"
 
 
 def detect_columns(tokens: DataFrame) -> DataFrame:
-    """doc_id, its numeric columns (centre, count), the clusters of the lines' last amounts from the largest on, and the amount
-    column's centre or null."""
-    numeric = F.coalesce(F.col("text").rlike("[0-9]") & parse_money(F.col("text")).isNotNull(), F.lit(False))
+    """doc_id, its numeric columns (centre, count), the clusters of the lines' last amounts from the largest on, the amount
+    column's centre or null, the upper median of token heights and the ascending right edges of the numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("centre", pa.int64()), ("count", pa.int64())]))
-        listed = lambda x: [{"centre": c, "count": n} for c, n in x]
         for batch in batches:
-            found = [columns_of([x + w for x, w in zip(t["x"], t["width"], strict=True)], t["numeric"], lines, t["x"], t["height"]) for _, _, t, lines in folded(batch)]
-            columns = [pa.array([listed(x[i]) for x in found], kind) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([x[2] for x in found], pa.int64())], ["doc_id", "columns", "ranked", "amount_column"])
-
-    return documents_of(tokens.withColumn("numeric", numeric), "numeric").mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, columns {COLUMNS}, ranked {COLUMNS}, amount_column long")
+            pages = [page for _, page in pages_of(batch)]
+            ranked = [page.ranked() for page in pages]
+            columns = [pa.array([[{"centre": c, "count": n} for c, n in x] for x in found], kind) for found in ([page.columns() for page in pages], ranked)]
+            best = pa.array([page.amount_column(r) for page, r in zip(pages, ranked, strict=True)], pa.int64())
+            edges = pa.array([sorted(e for e, numeric in zip(page.rights(), page.fields["numeric"], strict=True) if numeric) for page in pages], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, best, pa.array([page.medium for page in pages], pa.float64()), edges], ["doc_id", "columns", "ranked", "amount_column", "medium", "edges"])
+
+    schema = f"doc_id {dict(tokens.dtypes)['doc_id']}, columns {COLUMNS}, ranked {COLUMNS}, amount_column long, medium double, edges array<double>"
+    return documents_of(numeric_tokens(tokens), "numeric").mapInArrow(run, schema)
 
 
 def on_level(tokens: DataFrame, tolerance: float) -> DataFrame:

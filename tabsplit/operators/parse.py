@@ -35,8 +35,10 @@ def confidence(tokens: Column, baseline: int) -> Column:
 
 
 def amounts_of(line: Column, tokens: Column | None) -> Column:
-    """The amounts of a line: of its tokens where it has several, else of its text."""
-    told = lambda t: F.struct(t["text"].alias("text"), t["cents"].alias("cents"), F.lit(None).cast("double").alias("right"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("place"))
+    """The amounts of a line: of its tokens where it has several, else of its text; a line's only token is then their place."""
+    only = F.get(tokens, F.lit(0)) if tokens is not None else None
+    right, sure, place = ((only["x"] + only["width"]).cast("double"), only["confidence"].cast("double"), F.when(only.isNotNull(), 0)) if tokens is not None else (F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("int"))
+    told = lambda t: F.struct(t["text"].alias("text"), t["cents"].alias("cents"), right.alias("right"), sure.alias("confidence"), place.alias("place"))
     of_text = F.when(line.rlike("[0-9]"), F.transform(m.text_amounts(line), told)).otherwise(F.array().cast(f"array<{AMOUNT}>"))
     return of_text if tokens is None else F.when(F.size(tokens) > 1, m.token_amounts(tokens)).otherwise(of_text)
 
