@@ -6,6 +6,8 @@ item and participant, bills (bill_id, subtotal_cents, total_cents, discounts).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,23 @@ def default_claims(items: DataFrame, participants: DataFrame) -> DataFrame:
     return both.select(*ITEM, "user_id", F.lit("individual").alias("mode"), F.lit(0).cast("long").alias("claimed"), F.lit(False).alias("named"))
 
 
-def set_items(items: DataFrame, claims: DataFrame, participants: DataFrame) -> DataFrame:
-    """The claims after a bill's items are replaced: those of items that stay, and default ones of new items."""
-    kept = claims.join(items.select(*ITEM), ITEM, "left_semi")
-    new = items.join(claims.select(*ITEM).distinct(), ITEM, "left_anti")
-    return kept.unionByName(default_claims(new, participants))
+class State(NamedTuple):
+    """What a party's members see of their bills; a change of state gives all four tables anew."""
+
+    items: DataFrame
+    participants: DataFrame
+    claims: DataFrame
+    bills: DataFrame
+
+
+def set_items(state: State, items: DataFrame, totals: DataFrame) -> State:
+    """The state after bills' items are replaced: claims of items that stay, default ones of new items, the totals given with the
+    items (bill_id, subtotal_cents, total_cents; none where there are none), and no discount on the receipt."""
+    kept = state.claims.join(items.select(*ITEM), ITEM, "left_semi")
+    new = items.join(state.claims.select(*ITEM).distinct(), ITEM, "left_anti")
+    bills = state.bills.drop("subtotal_cents", "total_cents").join(totals, "bill_id", "left")
+    bills = bills.withColumns({c: F.lit(None).cast(kind) for c, kind in bills.dtypes if c.startswith("receipt_")})
+    return State(items, state.participants, kept.unionByName(default_claims(new, state.participants)), bills.select(state.bills.columns))
 
 
 def replaced(rows: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,9 +47,17 @@ def replaced(rows: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(new, keys, "left").select(*keys, *pick)
 
 
-def add_participant(claims: DataFrame, items: DataFrame, new: DataFrame) -> DataFrame:
-    """A new participant (bill_id, user_id) has a claim of 0 on every item; one that is there already starts anew."""
-    return claims.join(new, ["bill_id", "user_id"], "left_anti").unionByName(default_claims(items, new))
+def add_participant(state: State, new: DataFrame) -> State:
+    """New participants (bill_id, user_id, user_name) claim nothing yet: each claimed item gets a quantity of 0 of theirs and keeps
+    its mode and its names. One who is there already keeps the name, and starts anew at 0."""
+    key = ["bill_id", "user_id"]
+    people = state.participants.unionByName(new.join(state.participants.select(*key), key, "left_anti"), allowMissingColumns=True)
+    mine = state.claims.join(new.select(*key, F.lit(True).alias("_new")), key, "left")
+    cleared = mine.withColumn("claimed", F.when(F.col("_new"), F.lit(0)).otherwise(F.col("claimed")).cast("long")).select(state.claims.columns)
+    modes = state.claims.groupBy(*ITEM).agg(F.first("mode").alias("mode"))
+    added = modes.join(new.select(*key), "bill_id").join(state.claims.select(*ITEM, "user_id"), [*ITEM, "user_id"], "left_anti")
+    added = added.select(*ITEM, "user_id", "mode", F.lit(0).cast("long").alias("claimed"), F.lit(False).alias("named"))
+    return State(state.items, people, cleared.unionByName(added, allowMissingColumns=True), state.bills)
 
 
 def set_participants(claims: DataFrame, participants: DataFrame) -> DataFrame:
@@ -43,9 +65,12 @@ def set_participants(claims: DataFrame, participants: DataFrame) -> DataFrame:
     return claims.join(participants.select("bill_id", "user_id"), ["bill_id", "user_id"], "left_semi")
 
 
-def add_item(items: DataFrame, bills: DataFrame, item_id: str = "item-new") -> DataFrame:
-    new = {"item_id": F.lit(item_id), "name": F.lit("New item"), "qty": F.lit(1).cast("long"), "unit_cents": F.lit(0).cast("long"), "total_cents": F.lit(0).cast("long")}
-    return items.select("bill_id", *new).unionByName(bills.select("bill_id", *(v.alias(k) for k, v in new.items())))
+def add_item(state: State, asked: DataFrame) -> State:
+    """A new item (bill_id, item_id) of no price, and a claim of 0 on it of everyone."""
+    told = {"name": F.lit("New item"), "qty": F.lit(1).cast("long"), "unit_cents": F.lit(0).cast("long"), "total_cents": F.lit(0).cast("long")}
+    new = asked.select(*ITEM).withColumns(told)
+    items, claims = state.items.unionByName(new, allowMissingColumns=True), state.claims.unionByName(default_claims(new, state.participants), allowMissingColumns=True)
+    return State(items, state.participants, claims, state.bills)
 
 
 def whole_number(text: Column) -> Column:
@@ -100,10 +125,11 @@ def reserved(name: Column) -> Column:
     return F.lower(F.trim(name)) == "all"
 
 
-def switch_to_individual(claims: DataFrame) -> DataFrame:
-    """Shared names become individual claims of 0."""
-    switched = (F.col("mode") == "shared") & F.col("named")
-    return claims.withColumns({"mode": F.when(switched, "individual").otherwise(F.col("mode")), "claimed": F.when(switched, 0).otherwise(F.col("claimed"))})
+def switch_mode(claims: DataFrame, asked: Column) -> DataFrame:
+    """Claims with the mode asked for an item, or as they are where it is null: an item is claimed in one mode, so all its rows
+    change. Going back to individual claims, those who shared start at 0; their names are kept."""
+    back = (asked == "individual") & F.col("named")
+    return claims.withColumns({"mode": F.coalesce(asked, F.col("mode")), "claimed": F.when(back, 0).otherwise(F.col("claimed")).cast("long")})
 
 
 def toggle_shared(claims: DataFrame, asked: Column) -> DataFrame:
@@ -116,9 +142,10 @@ def toggle_all(claims: DataFrame, checked: Column) -> DataFrame:
     return claims.where("mode = 'shared'").withColumn("named", checked)
 
 
-def restored(state: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
-    """The state with every column of a stored bill overwritten by the store's, nulls too."""
-    return state.join(store.select(*keys), keys, "left_anti").unionByName(store.select(state.columns))
+def restored(state: State, store: State) -> State:
+    """The state with every bill of the store overwritten, all four tables together: rows that the store lacks go, nulls come."""
+    bills = store.bills.select("bill_id")
+    return State(*(mine.join(bills, "bill_id", "left_anti").unionByName(theirs.select(mine.columns)) for mine, theirs in zip(state, store, strict=True)))
 
 
 def display_summary(settled: DataFrame) -> DataFrame:

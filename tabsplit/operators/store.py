@@ -9,6 +9,8 @@ from tabsplit.shared import written
 
 # The host of workbooks and how a link names one; rows that a bounded read of a tab gives, with its header.
 HOST, WORKBOOK = "docs.google.com", r"/spreadsheets/d/([A-Za-z0-9_-]+)"
+#: The only tab of a workbook that nobody has used, and the tab that tells a store.
+FRESH, META = "Sheet1", "META"
 BOUNDS = {"meta": 20, "users": 1000, "items": 1000, "claims": 5000}
 
 
@@ -106,13 +108,20 @@ def schema_check(rows: DataFrame, key: str, tab: Column, required: list[str], ve
     return have.select(key, (F.size("_have") == len(required)).alias("complete"), "versioned")
 
 
-def init_action(tabs: Column, versioned: Column) -> Column:
-    """ready for a store that is laid out already, create for a workbook of a single tab, refuse for any other."""
-    return F.when(versioned, "ready").when(F.size(tabs) == 1, "create").otherwise("refuse")
+def init_action(tabs: Column, versioned: Column, filled: Column) -> Column:
+    """ready for a store of our version, create for a fresh workbook, whose one tab has its first name and no filled cell, and
+    refuse for any other: content that is there is never replaced."""
+    fresh = (F.size(tabs) == 1) & (F.get(tabs, F.lit(0)) == FRESH) & ~filled
+    return F.when(F.array_contains(tabs, META), F.when(versioned, "ready").otherwise("refuse")).when(fresh, "create").otherwise("refuse")
 
 
 def workbook_id(url: Column) -> Column:
-    """The id of the workbook that a link names, if it is a link to the trusted host."""
-    host = F.regexp_extract(url, r"^https?://([^/?#]+)", 1)
-    found = F.regexp_extract(url, r"^https?://[^/?#]+[^?#]*?" + WORKBOOK, 1)
-    return F.when((host == HOST) & (found != ""), found)
+    """The id of the workbook that a link names, if it is a link to the trusted host, whatever its port, case and blanks around."""
+    link = rf"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?i:{HOST.replace('.', '[.]')})(?::[0-9]*)?{WORKBOOK}"
+    found = F.regexp_extract(url, link, 1)
+    return F.when(found != "", found)
+
+
+def bounded_tabs(tabs: dict[str, DataFrame], key: str, bounds: dict[str, int]) -> dict[str, DataFrame]:
+    """The rows of every tab that a bounded read of each gives."""
+    return {name: bounded(rows, key, "row_no", bounds[name]) for name, rows in tabs.items()}

@@ -27,13 +27,33 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.claims(views.items(spark, sf_dir))
 
 
+def whole(spark: SparkSession, sf_dir: str) -> state.State:
+    """The state of all bills."""
+    items = views.items(spark, sf_dir)
+    told = items.select("bill_id", "item_id", "name", "qty", "unit_cents", "total_cents")
+    bills = views.printed(spark, sf_dir).select("bill_id", F.col("total_cents").alias("subtotal_cents"), (F.col("total_cents") + 500).alias("total_cents"), "receipt_type", "receipt_value", "group_type", "group_value")
+    return state.State(told, views.participants(spark, sf_dir).select("bill_id", "user_id", "user_name"), views.claims(items).select(*CLAIM, "named"), bills)
+
+
+def replaced_items(spark: SparkSession, sf_dir: str) -> state.State:
+    """Every second item is kept, the others are replaced by new ones; two of three bills come with totals."""
+    now = whole(spark, sf_dir)
+    number = F.regexp_extract("item_id", "([0-9]+)$", 1).cast("long")
+    items = now.items.withColumn("item_id", F.when(number % 2 == 0, F.col("item_id")).otherwise(F.concat(F.lit("new-"), "item_id")))
+    totals = now.bills.where("bill_id % 3 > 0").select("bill_id", F.when(F.col("bill_id") % 3 == 1, 1000).cast("long").alias("subtotal_cents"), F.lit(2000).cast("long").alias("total_cents"))
+    return state.set_items(now, items, totals)
+
+
 @query("""SELECT bill_id, item_id, user_id, mode, claimed FROM claims WHERE item_no % 2 = 0
   UNION ALL SELECT bill_id, 'new-' || i.item_id, p.user_id, 'individual', 0 FROM items i JOIN participants p USING (bill_id) WHERE i.item_no % 2 = 1""")
 def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second item is kept, the others are replaced by new ones."""
-    items = views.items(spark, sf_dir)
-    new_id = F.when(F.col("item_no") % 2 == 0, F.col("item_id")).otherwise(F.concat(F.lit("new-"), "item_id"))
-    return state.set_items(items.withColumn("item_id", new_id), views.claims(items).select(*CLAIM, "named"), views.participants(spark, sf_dir)).select(CLAIM)
+    return replaced_items(spark, sf_dir).claims.select(CLAIM)
+
+
+@query("SELECT bill_id, CASE WHEN bill_id % 3 = 1 THEN 1000 END AS subtotal_cents, CASE WHEN bill_id % 3 > 0 THEN 2000 END AS total_cents, NULL::VARCHAR AS receipt_type, NULL::BIGINT AS receipt_value, group_type, group_value FROM printed")
+def set_items_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New items bring their totals, or none, and clear the receipt's discount; the group's stays."""
+    return replaced_items(spark, sf_dir).bills
 
 
 @query("SELECT bill_id, item_id, user_id, CASE WHEN item_no = 1 THEN 'individual' ELSE mode END AS mode, CASE WHEN item_no = 1 THEN qty ELSE claimed END AS claimed FROM claims")
@@ -63,13 +83,36 @@ def update_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.update_totals(bills, subtotal, F.expr("CASE bill_id % 3 WHEN 1 THEN '' WHEN 2 THEN '9.9' END"))
 
 
-@query("""SELECT bill_id, CASE WHEN bill_id % 2 = 0 THEN total_cents + 1 ELSE total_cents END AS total_cents, CASE WHEN bill_id % 2 = 1 THEN receipt_type END AS receipt_type,
-  CASE WHEN bill_id % 2 = 1 THEN receipt_value END AS receipt_value, CASE WHEN bill_id % 2 = 0 THEN 'amount' ELSE group_type END AS group_type, CASE WHEN bill_id % 2 = 0 THEN 5 ELSE group_value END AS group_value FROM printed""")
+LISTED = """SELECT bill_id, 'items' AS tab, item_id AS key, concat_ws('|', name, qty, unit_cents, total_cents) AS cells FROM ({items})
+  UNION ALL SELECT bill_id, 'users', user_id, user_name FROM ({users})
+  UNION ALL SELECT bill_id, 'claims', item_id || ' ' || user_id, concat_ws('|', mode, claimed, named) FROM ({claims})
+  UNION ALL SELECT bill_id, 'bill', '', concat_ws('|', coalesce(subtotal_cents::VARCHAR, '-'), coalesce(total_cents::VARCHAR, '-'), coalesce(receipt_type, '-'), coalesce(receipt_value::VARCHAR, '-'), coalesce(group_type, '-'), coalesce(group_value::VARCHAR, '-')) FROM ({bills})"""
+
+
+def listed(now: state.State) -> DataFrame:
+    """All tables of a state as rows of one: bill_id, tab, key and cells."""
+    row = lambda df, tab, key, *cells: df.select("bill_id", F.lit(tab).alias("tab"), key.alias("key"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cells]).alias("cells"))
+    found = row(now.items, "items", F.col("item_id"), "name", "qty", "unit_cents", "total_cents").union(row(now.participants, "users", F.col("user_id"), "user_name"))
+    found = found.union(row(now.claims, "claims", F.concat_ws(" ", "item_id", "user_id"), "mode", "claimed", "named"))
+    return found.union(row(now.bills, "bill", F.lit(""), "subtotal_cents", "total_cents", "receipt_type", "receipt_value", "group_type", "group_value"))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> state.State:
+    """What the store holds of every second bill: fewer items and people, other totals, and a discount of the group's."""
+    now = whole(spark, sf_dir)
+    odd = lambda df: df.where("bill_id % 2 = 0")
+    bills = now.bills.select("bill_id", F.lit(None).cast("long").alias("subtotal_cents"), (F.col("total_cents") + 1).alias("total_cents"), F.lit(None).cast("string").alias("receipt_type"), F.lit(None).cast("long").alias("receipt_value"), F.lit("amount").alias("group_type"), F.lit(5).cast("long").alias("group_value"))
+    first = F.regexp_extract("item_id", "([0-9]+)$", 1).cast("long") <= 2
+    return state.State(odd(now.items.where(first)).withColumn("qty", F.lit(7).cast("long")), odd(now.participants.where("user_id <> 'user-1'")), odd(now.claims.where(first & (F.col("user_id") != "user-1"))), odd(bills))
+
+
+@query(LISTED.format(
+    items="SELECT bill_id, item_id, name, CASE WHEN bill_id % 2 = 0 THEN 7 ELSE qty END AS qty, unit_cents, total_cents FROM items WHERE bill_id % 2 = 1 OR item_no <= 2", users="SELECT * FROM participants WHERE bill_id % 2 = 1 OR ord <> 1",
+    claims="SELECT * FROM claims WHERE bill_id % 2 = 1 OR (item_no <= 2 AND ord <> 1)",
+    bills="SELECT bill_id, CASE WHEN bill_id % 2 = 1 THEN total_cents END AS subtotal_cents, total_cents + 500 + CASE WHEN bill_id % 2 = 0 THEN 1 ELSE 0 END AS total_cents, CASE WHEN bill_id % 2 = 1 THEN receipt_type END AS receipt_type, CASE WHEN bill_id % 2 = 1 THEN receipt_value END AS receipt_value, CASE WHEN bill_id % 2 = 0 THEN 'amount' ELSE group_type END AS group_type, CASE WHEN bill_id % 2 = 0 THEN 5 ELSE group_value END AS group_value FROM printed"))
 def restore_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second bill is in the store, which overwrites all of it."""
-    now = views.printed(spark, sf_dir).select("bill_id", "total_cents", "receipt_type", "receipt_value", "group_type", "group_value")
-    stored = now.where("bill_id % 2 = 0").select("bill_id", (F.col("total_cents") + 1).alias("total_cents"), F.lit(None).cast("string").alias("receipt_type"), F.lit(None).cast("long").alias("receipt_value"), F.lit("amount").alias("group_type"), F.lit(5).cast("long").alias("group_value"))
-    return state.restored(now, stored, ["bill_id"])
+    """Every second bill is in the store, which overwrites all tables of it."""
+    return listed(state.restored(whole(spark, sf_dir), stored(spark, sf_dir)))
 
 
 @query("SELECT bill_id, item_id, user_id, bill_id % 2 = 0 AS named FROM claims WHERE mode = 'shared'")
@@ -116,9 +159,13 @@ def normalise_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.printed(spark, sf_dir).select("bill_id", state.positive(F.col("group_value")).alias("value"))
 
 
-@query("SELECT bill_id, item_id, CASE WHEN mode = 'shared' AND named THEN 'individual' ELSE mode END AS mode, user_id, CASE WHEN mode = 'shared' AND named THEN 0 ELSE claimed END AS claimed FROM claims")
+@query("""SELECT bill_id, item_id, user_id, coalesce(asked, mode) AS mode, CASE WHEN asked = 'individual' AND named THEN 0 ELSE claimed END AS claimed, named
+  FROM (SELECT *, CASE WHEN item_no % 6 = 3 THEN 'individual' WHEN item_no % 6 = 4 THEN 'shared' END AS asked FROM (SELECT * REPLACE (claimed + ord AS claimed) FROM claims))""")
 def mode_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.switch_to_individual(claims(spark, sf_dir)).select("bill_id", "item_id", "mode", "user_id", "claimed")
+    """Shared items back to individual claims, others to shared: whole items change, and quantities of those not named stay."""
+    asked = F.when(F.col("item_no") % 6 == 3, "individual").when(F.col("item_no") % 6 == 4, "shared")
+    now = claims(spark, sf_dir).withColumn("claimed", F.col("claimed") + F.col("ord"))
+    return state.switch_mode(now, asked).select("bill_id", "item_id", "user_id", "mode", "claimed", "named")
 
 
 @query("SELECT bill_id, item_id, user_id, CASE WHEN ord = 0 THEN NOT named ELSE named END AS named FROM claims WHERE mode = 'shared'")
@@ -126,17 +173,27 @@ def shared_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.toggle_shared(claims(spark, sf_dir), F.col("ord") == 0).select("bill_id", "item_id", "user_id", "named")
 
 
-@query("SELECT bill_id, item_id, user_id, claimed FROM claims UNION ALL SELECT bill_id, item_id, 'guest', 0 FROM items")
+@query("""SELECT bill_id, item_id, user_id, mode, CASE WHEN user_id = 'user-0' AND bill_id % 2 = 0 THEN 0 ELSE claimed END AS claimed, named FROM claims
+  UNION ALL SELECT bill_id, item_id, 'guest', CASE WHEN item_no % 3 = 0 THEN 'shared' ELSE 'individual' END, 0, false FROM items""")
 def add_participant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new participant has a claim of 0 on every item."""
-    items = views.items(spark, sf_dir)
-    new = views.printed(spark, sf_dir).select("bill_id", F.lit("guest").alias("user_id"))
-    return state.add_participant(views.claims(items).select(*CLAIM, "named"), items, new).select("bill_id", "item_id", "user_id", "claimed")
+    """A guest joins every bill and claims nothing, whatever the items' mode; on half of the bills one joins who is there."""
+    now = whole(spark, sf_dir)
+    guest = now.bills.select("bill_id", F.lit("guest").alias("user_id"), F.lit("Guest").alias("user_name"))
+    again = now.bills.where("bill_id % 2 = 0").select("bill_id", F.lit("user-0").alias("user_id"), F.lit("Other").alias("user_name"))
+    return state.add_participant(now, guest.union(again)).claims.select(*CLAIM, "named")
 
 
 @query("SELECT bill_id, item_id, name, qty, total_cents FROM items UNION ALL SELECT bill_id, 'item-new', 'New item', 1, 0 FROM printed")
 def add_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.add_item(views.items(spark, sf_dir), views.printed(spark, sf_dir)).select("bill_id", "item_id", "name", "qty", "total_cents")
+    now = whole(spark, sf_dir)
+    return state.add_item(now, now.bills.select("bill_id", F.lit("item-new").alias("item_id"))).items.select("bill_id", "item_id", "name", "qty", "total_cents")
+
+
+@query("SELECT bill_id, item_id, user_id, mode, claimed FROM claims UNION ALL SELECT bill_id, 'item-new', user_id, 'individual', 0 FROM participants")
+def add_item_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new item comes with everyone's claim of 0."""
+    now = whole(spark, sf_dir)
+    return state.add_item(now, now.bills.select("bill_id", F.lit("item-new").alias("item_id"))).claims.select(CLAIM)
 
 
 @query("SELECT bill_id, item_id, CASE WHEN item_no = 1 THEN 'Edited' ELSE name END AS name, CASE WHEN item_no = 1 THEN 2 * unit_cents ELSE total_cents END AS total_cents FROM items")
@@ -265,18 +322,22 @@ def plausible_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.items(spark, sf_dir).select("bill_id", "item_id", parse.plausible(read).alias("plausible"))
 
 
-@query("""WITH stored AS (SELECT 'meta' AS tab, bill_id, 1 AS n FROM printed UNION ALL SELECT 'users', bill_id, count(*) FROM participants GROUP BY ALL UNION ALL SELECT 'items', bill_id, count(*) FROM items GROUP BY ALL UNION ALL SELECT 'claims', bill_id, count(*) FROM claims WHERE mode = 'individual' OR named GROUP BY ALL)
- SELECT tab, bill_id, least(n, CASE tab WHEN 'meta' THEN 19 WHEN 'claims' THEN 4 ELSE 3 END)::BIGINT AS rows FROM stored""")
+@query("""WITH stored AS (SELECT 'meta' AS tab, bill_id, 1 AS row_no, 'total' AS key, total_cents::VARCHAR AS cells FROM printed UNION ALL SELECT 'users', bill_id, ord, user_id, user_name FROM participants UNION ALL SELECT 'items', bill_id, item_no, item_id, name FROM items
+   UNION ALL SELECT 'claims', bill_id, 10 * item_no + ord, item_id || ' ' || user_id, mode || '|' || claimed FROM claims WHERE mode = 'individual' OR named)
+ SELECT tab, bill_id, key, cells FROM (SELECT *, row_number() OVER (PARTITION BY tab, bill_id ORDER BY row_no) AS n FROM stored) WHERE n < CASE tab WHEN 'meta' THEN 20 WHEN 'claims' THEN 5 ELSE 4 END""")
 def scan_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four tabs of every bill, read up to their bounds; two of the bounds are small here so that they cut."""
+    """The rows of the four tabs of every bill, read up to their bounds; three of the bounds are small here so that they cut."""
     items = views.items(spark, sf_dir)
-    rows = {
-        "meta": views.printed(spark, sf_dir).select("bill_id", F.lit(1).cast("long").alias("row_no")), "users": views.participants(spark, sf_dir).select("bill_id", F.col("ord").alias("row_no")),
-        "items": items.select("bill_id", F.col("item_no").alias("row_no")), "claims": store.explode_claims(views.claims(items)).select("bill_id", F.xxhash64("item_id", "user_id").alias("row_no")),
+    kept = views.claims(items).where("mode = 'individual' OR named")
+    tabs = {
+        "meta": views.printed(spark, sf_dir).select("bill_id", F.lit(1).cast("long").alias("row_no"), F.lit("total").alias("key"), F.col("total_cents").cast("string").alias("cells")),
+        "users": views.participants(spark, sf_dir).select("bill_id", F.col("ord").alias("row_no"), F.col("user_id").alias("key"), F.col("user_name").alias("cells")),
+        "items": items.select("bill_id", F.col("item_no").alias("row_no"), F.col("item_id").alias("key"), F.col("name").alias("cells")),
+        "claims": kept.select("bill_id", (10 * F.col("item_no") + F.col("ord")).alias("row_no"), F.concat_ws(" ", "item_id", "user_id").alias("key"), F.concat_ws("|", "mode", "claimed").alias("cells")),
     }
-    bounds = {**store.BOUNDS, "users": 4, "items": 4, "claims": 5}
-    counts = [store.bounded(df, "bill_id", "row_no", bounds[tab]).groupBy("bill_id").agg(F.count("*").alias("rows")).select(F.lit(tab).alias("tab"), "bill_id", "rows") for tab, df in rows.items()]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    read = store.bounded_tabs(tabs, "bill_id", {**store.BOUNDS, "users": 4, "items": 4, "claims": 5})
+    found = [df.select(F.lit(tab).alias("tab"), "bill_id", "key", "cells") for tab, df in read.items()]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n < 1000", "")
@@ -293,17 +354,21 @@ def scan_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.schema_check(rows, "user_id", F.col("event_type"), ["click", "view", "error"], (F.col("event_type") == "view") & (F.col("value") > 90))
 
 
-@query("""WITH tabs AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ['Sheet1'] WHEN 1 THEN ['Sheet1', 'Notes'] WHEN 2 THEN ['META', 'USERS', 'ITEMS', 'CLAIMS'] ELSE ['Other'] END AS tabs, c_custkey % 8 = 2 AS versioned FROM customer)
- SELECT c_custkey, CASE WHEN versioned THEN 'ready' WHEN len(tabs) = 1 THEN 'create' ELSE 'refuse' END AS action FROM tabs""", "")
+@query("""WITH books AS (SELECT c_custkey, c_custkey % 6 AS kind, c_custkey % 12 < 6 AS upper_half, c_custkey % 5 = 0 AS filled FROM customer)
+ SELECT c_custkey, CASE kind WHEN 0 THEN CASE WHEN filled THEN 'refuse' ELSE 'create' END WHEN 3 THEN CASE WHEN upper_half THEN 'ready' ELSE 'refuse' END WHEN 4 THEN CASE WHEN upper_half THEN 'ready' ELSE 'refuse' END ELSE 'refuse' END AS action FROM books""", "")
 def store_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What opening a workbook does: leave a versioned store, lay out tabs in one with a single tab, refuse any other."""
-    tabs = F.expr("CASE c_custkey % 4 WHEN 0 THEN array('Sheet1') WHEN 1 THEN array('Sheet1', 'Notes') WHEN 2 THEN array('META', 'USERS', 'ITEMS', 'CLAIMS') ELSE array('Other') END")
-    return views.table(spark, sf_dir, "customer").select("c_custkey", store.init_action(tabs, F.col("c_custkey") % 8 == 2).alias("action"))
+    """What opening a workbook does: leave a store of our version, lay out tabs in a fresh workbook, refuse any other: one with a
+    second tab, a renamed or filled one, and a store of another version, alone or among other tabs."""
+    tabs = F.expr("CASE c_custkey % 6 WHEN 0 THEN array('Sheet1') WHEN 1 THEN array('Sheet1', 'Notes') WHEN 2 THEN array('Other') WHEN 3 THEN array('META', 'USERS', 'ITEMS', 'CLAIMS') WHEN 4 THEN array('META') ELSE array('sheet1') END")
+    return views.table(spark, sf_dir, "customer").select("c_custkey", store.init_action(tabs, F.col("c_custkey") % 12 < 6, F.col("c_custkey") % 5 == 0).alias("action"))
+
+
+LINKS = """CASE page_id % 8 WHEN 0 THEN 'https://docs.google.com/spreadsheets/d/id' || page_id || '_-x/edit#gid=0' WHEN 1 THEN 'https://docs.google.com.evil.example/spreadsheets/d/abc' || page_id WHEN 2 THEN url
+  WHEN 3 THEN 'not a url ' || page_id WHEN 4 THEN 'https://docs.google.com/x/spreadsheets/d/id' || page_id WHEN 5 THEN '  HTTPS://Docs.Google.COM:443/spreadsheets/d/id' || page_id || '?usp=sharing  '
+  WHEN 6 THEN 'https://docs.google.com/open?to=/spreadsheets/d/id' || page_id ELSE 'http://me@docs.google.com/spreadsheets/d/' END"""
 
 
-@query("""WITH typed AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://docs.google.com/spreadsheets/d/id' || page_id || '_-x/edit#gid=0' WHEN 1 THEN 'https://docs.google.com.evil.example/spreadsheets/d/abc' || page_id WHEN 2 THEN url ELSE 'not a url ' || page_id END AS url FROM pages)
- SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN 'id' || page_id || '_-x' END AS id FROM typed""", "")
+@query(f"SELECT page_id, url, CASE page_id % 8 WHEN 0 THEN 'id' || page_id || '_-x' WHEN 5 THEN 'id' || page_id END AS id FROM (SELECT page_id, {LINKS} AS url FROM pages)", "")
 def url_extract_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The workbook's id in a link to the one trusted host; nothing from any other."""
-    url = F.expr("CASE page_id % 4 WHEN 0 THEN concat('https://docs.google.com/spreadsheets/d/id', page_id, '_-x/edit#gid=0') WHEN 1 THEN concat('https://docs.google.com.evil.example/spreadsheets/d/abc', page_id) WHEN 2 THEN url ELSE concat('not a url ', page_id) END")
-    return views.table(spark, sf_dir, "pages").select("page_id", url.alias("url")).withColumn("id", store.workbook_id(F.col("url")))
+    """The workbook's id where a link's path begins with it, on the one trusted host; nothing from any other."""
+    return views.table(spark, sf_dir, "pages").select("page_id", F.expr(LINKS).alias("url")).withColumn("id", store.workbook_id(F.col("url")))
