@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsplit.shared import written
-
 # The host of workbooks and how a link names one; rows that a bounded read of a tab gives, with its header.
 HOST, WORKBOOK = "docs.google.com", r"/spreadsheets/d/([A-Za-z0-9_-]+)"
 #: The only tab of a workbook that nobody has used, and the tab that tells a store.
@@ -91,11 +89,6 @@ def join_key(*cells: str) -> Column:
     return F.concat_ws("\0", *(F.col(c).cast("string") for c in cells))
 
 
-def sink(rows: DataFrame, name: str) -> DataFrame:
-    """The store as a table of its own in the shared folder, read back."""
-    return written(rows, name)
-
-
 def bounded(rows: DataFrame, key: str, order: str | list[str], bound: int) -> DataFrame:
     """The rows that a read of `bound` rows gives of each key, the first of which is the header."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsplit.operators import settle, state, store
+from tabsplit.operators import committed, settle, state, store
 from tabsplit.plans.billing import BILLS, SETTLED, SHARES, Views
+from tabsplit.shared import new_path
 from tabsplit.sources import views
 
 QUERIES: dict = {}
@@ -261,10 +262,26 @@ wanted AS (SELECT user_id, event_type, arg_max(props, event_id) AS props FROM ev
 
 @query(SINK + " SELECT user_id, event_type, coalesce(w.props, o.props) AS props FROM old o FULL JOIN wanted w USING (user_id, event_type)", "")
 def sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store as a written table after an upsert, read back."""
-    rows = views.table(spark, sf_dir, "events").withColumnRenamed("event_id", "row_no")
-    wanted = rows.where("event_type <> 'view'").groupBy("user_id", "event_type").agg(F.max_by("props", "row_no").alias("props"))
-    return store.sink(store.upsert(rows.where("event_type <> 'error'"), wanted, ["user_id", "event_type"], ["props"]).drop("action"), "store")
+    """A store after two upserts, and the second one again, which makes no version."""
+    rows = views.table(spark, sf_dir, "events")
+    last = lambda kind: rows.where(f"event_type <> '{kind}'").groupBy("user_id", "event_type").agg(F.max_by("props", "event_id").alias("props"))
+    held = committed.Store(spark, new_path(spark, "store"), {"rows": committed.Table("user_id long, event_type string, props string", ("user_id", "event_type"))})
+    for kind in ("error", "view", "view"):
+        held.upsert({"rows": last(kind)})
+    return held.read("rows")
+
+
+@query("""SELECT 'items' AS tab, bill_id, item_id AS key, CASE WHEN item_no <= 2 AND bill_id % 2 = 0 THEN 7 ELSE qty END::VARCHAR AS cell FROM items
+  UNION ALL SELECT 'users', bill_id, user_id, user_name FROM participants""")
+def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables that change together: all bills are stored, then half of them with other quantities; a snapshot reads one version."""
+    now, told = whole(spark, sf_dir), stored(spark, sf_dir)
+    tables = {"items": committed.Table("bill_id long, item_id string, qty long", ("bill_id", "item_id")), "users": committed.Table("bill_id long, user_id string, user_name string", ("bill_id", "user_id"))}
+    held = committed.Store(spark, new_path(spark, "store"), tables)
+    for state_ in (now, told):
+        held.upsert({"items": state_.items.select("bill_id", "item_id", "qty"), "users": state_.participants})
+    found = held.snapshot()
+    return found["items"].select(F.lit("items").alias("tab"), "bill_id", F.col("item_id").alias("key"), F.col("qty").cast("string").alias("cell")).union(found["users"].select(F.lit("users"), "bill_id", "user_id", "user_name"))
 
 
 @query(SINK + " SELECT user_id || chr(0) || event_type AS key, o.props = w.props AS same FROM old o JOIN wanted w USING (user_id, event_type)", "")

@@ -457,3 +457,26 @@ def change_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the change stream has synced: written by one run, and by a second that finds nothing new."""
     return debounce.synced(spark, f"{sf_dir}/event[s].parquet")
+
+
+SETTLED = """WITH later AS (SELECT user_id AS party, event_id AS revision, props AS payload, ts, min(ts) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS next FROM events),
+settled AS (SELECT party, revision, payload, ts FROM later WHERE next IS NULL OR next >= ts + INTERVAL 30 MINUTES),
+passed AS (SELECT * FROM settled WHERE ts + INTERVAL 30 MINUTES <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))"""
+
+
+@query(SETTLED + " SELECT party, revision, payload FROM settled")
+def settled_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes that no later revision overtakes within half an hour."""
+    return debounce.settled_revisions(debounce.changes_of(views.table(spark, sf_dir, "events")), 1_800_000)
+
+
+@query(SETTLED + " SELECT party, revision, payload FROM passed")
+def settled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, as far as its watermark has come."""
+    return debounce.settled(spark, f"{sf_dir}/event[s].parquet")
+
+
+@query(SETTLED + " SELECT party, max(revision) AS revision, arg_max(payload, revision) AS payload FROM passed GROUP BY ALL")
+def store_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The committed store that the stream feeds: the highest settled revision of each party."""
+    return debounce.store_synced(spark, f"{sf_dir}/event[s].parquet")
