@@ -117,10 +117,6 @@ def luminance(red: Column, green: Column, blue: Column) -> Column:
     return red * 0.299 + green * 0.587 + blue * 0.114
 
 
-def saturation(red: Column, green: Column, blue: Column) -> Column:
-    return F.greatest(red, green, blue) - F.least(red, green, blue)
-
-
 def paper_cells(cells: DataFrame) -> DataFrame:
     """The cells (img_id, y, x, lum, sat) that look like paper: as bright as the image's white point allows, and without colour."""
     white = cells.groupBy("img_id").agg(nearest_percentile(F.collect_list("lum"), 0.95).alias("white"))
@@ -130,16 +126,22 @@ def paper_cells(cells: DataFrame) -> DataFrame:
 
 def receipt_region(cells: DataFrame, cell: int, width: int, height: int) -> DataFrame:
     """Box, confidence and reason of each image's largest sheet of paper, else the full image; every image has a row."""
-    columns, rows = width // cell, height // cell
     images = cells.select("img_id").distinct()
     found = images.join(largest_component(paper_cells(cells)), "img_id", "left")
-    cover = F.col("cells") / float(columns * rows)
+    return judged_region(found.withColumns({"image_width": F.lit(width), "image_height": F.lit(height), "cell": F.lit(cell)}))
+
+
+def judged_region(found: DataFrame) -> DataFrame:
+    """What the largest components (img_id, image_width, image_height, cell, cells, left, top, right, bottom; null where there is none)
+    are: a sheet, its box with a margin of one cell, or nothing to cut, the full image."""
+    cell, width, height = F.col("cell"), F.col("image_width"), F.col("image_height")
+    cover = F.col("cells") / (F.floor(width / cell) * F.floor(height / cell)).cast("double")
     fill = F.col("cells") / ((F.col("right") - F.col("left") + 1) * (F.col("bottom") - F.col("top") + 1))
     none = F.when(F.col("cells").isNull() | (cover < LEAST_COVER), 0.0).when(cover > FULL_COVER, 0.5).when(fill < LEAST_FILL, 0.3)
     sure = F.least(F.lit(0.95), 0.28 + fill * 0.5 + F.least(cover, F.lit(0.4)) * 0.5)
     full = none.isNotNull()
     low = lambda edge: F.greatest(F.lit(0), (F.col(edge) - 1) * cell)
-    high = lambda edge, size: F.least(F.lit(size), (F.col(edge) + 2) * cell)
+    high = lambda edge, size: F.least(size, (F.col(edge) + 2) * cell)
     box = {"x": F.when(full, 0).otherwise(low("left")), "y": F.when(full, 0).otherwise(low("top")), "to_x": F.when(full, width).otherwise(high("right", width)), "to_y": F.when(full, height).otherwise(high("bottom", height))}
     reason = F.when(full, "full_image").when(fill > SHEET_FILL, "document_boundary").otherwise("text_density")
     told = found.select("img_id", *(v.cast("long").alias(k) for k, v in box.items()), F.coalesce(none, sure).alias("confidence"), reason.alias("reason"))
@@ -151,33 +153,65 @@ def crops(confidence: Column, reason: Column) -> Column:
     return (confidence >= CROP_CONFIDENCE) & (reason != "full_image")
 
 
-def normalized(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Images cut to their regions where these are sure enough, and enhanced; x and y count from the cut's corner."""
-    cut = regions.where(crops(F.col("confidence"), F.col("reason"))).select("img_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("width").alias("_w"), F.col("height").alias("_h"))
-    placed = pixels.join(cut, "img_id", "left").withColumns({"x": F.col("x") - F.coalesce("_x", F.lit(0)), "y": F.col("y") - F.coalesce("_y", F.lit(0))})
-    inside = F.col("_w").isNull() | (F.col("x").between(0, F.col("_w") - 1) & F.col("y").between(0, F.col("_h") - 1))
-    return placed.where(inside).drop("_x", "_y", "_w", "_h").withColumn("value", contrast(F.col("value")))
+def cut(pixels: DataFrame, regions: DataFrame) -> DataFrame:
+    """Images (with image_width, image_height) cut to their regions where these are sure enough, with the sizes that are left."""
+    sure = regions.where(crops(F.col("confidence"), F.col("reason"))).select("img_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("width").alias("_w"), F.col("height").alias("_h"))
+    placed = pixels.join(sure, "img_id", "left").withColumns({"x": F.col("x") - F.coalesce("_x", F.lit(0)), "y": F.col("y") - F.coalesce("_y", F.lit(0)), "image_width": F.coalesce("_w", "image_width"), "image_height": F.coalesce("_h", "image_height")})
+    return placed.where(F.col("x").between(0, F.col("image_width") - 1) & F.col("y").between(0, F.col("image_height") - 1)).drop("_x", "_y", "_w", "_h")
+
+
+def resized(pixels: DataFrame, channels: list[str], new: Column) -> DataFrame:
+    """Images (img_id, y, x, channels, image_width, image_height) at the sizes `new` (width, height): each new pixel is the mean of all old
+    ones that it touches, as a byte; an image of its own size stays as it is."""
+
+    def targets(at: str, old: str, size: Column) -> Column:
+        ratio = F.col(old) / size
+        first = F.floor(F.col(at) / ratio).cast("int")
+        near = F.sequence(F.greatest(F.lit(0), first - 1), F.least(size.cast("int") - 1, F.floor((F.col(at) + 1) / ratio).cast("int") + 1))
+        start = lambda t: F.floor(t * ratio)
+        return F.filter(near, lambda t: (F.col(at) >= start(t)) & (F.col(at) < F.greatest(start(t) + 1, F.ceil((t + 1) * ratio))))
+
+    sized = pixels.withColumn("_new", new)
+    each = sized.withColumn("_x", F.explode(targets("x", "image_width", F.col("_new.width")))).withColumn("_y", F.explode(targets("y", "image_height", F.col("_new.height"))))
+    key = ["img_id", F.col("_y").cast("long").alias("y"), F.col("_x").cast("long").alias("x")]
+    return each.groupBy(*key).agg(*(clamped(F.sum(c) / F.count("*")).alias(c) for c in channels), F.first("_new.width").alias("image_width"), F.first("_new.height").alias("image_height"))
 
 
-def resized(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
-    """Area means: each new pixel weighs the old ones by how much of it they cover, in whole numbers."""
-    def spans(at: str, old: int, new: int) -> Column:
-        first, last = F.expr(f"{at} * {new} div {old}"), F.expr(f"(({at} + 1) * {new} - 1) div {old}")
-        part = lambda k: F.struct(k.alias("at"), (F.least((F.col(at) + 1) * new, (k + 1) * old) - F.greatest(F.col(at) * new, k * old)).alias("part"))
-        return F.transform(F.sequence(first, last), part)
+def grayed(red: Column, green: Column, blue: Column, hundredths: int = 115) -> Column:
+    """A colour as a byte of grey with contrast, rounded once."""
+    return clamped((luminance(red, green, blue) - 128) * (hundredths / 100) + 128)
 
-    each = pixels.withColumn("_x", F.explode(spans("x", width, new_width))).withColumn("_y", F.explode(spans("y", height, new_height)))
-    weight = F.col("_x.part") * F.col("_y.part")
-    return each.groupBy("img_id", F.col("_y.at").alias("y"), F.col("_x.at").alias("x")).agg(clamped(F.sum(F.col("value") * weight) / F.sum(weight)).alias("value"))
 
+def preprocessed(pixels: DataFrame, least: int = 1900, most: int = 2400, shadows: bool = False, sharp: bool = False) -> DataFrame:
+    """Colour images (img_id, y, x, r, g, b, image_width, image_height) resized so that the longest edge lies in [least, most], grey, with
+    shadows evened out and sharpened if asked, and with contrast: img_id, y, x, value and the new sizes.
 
-def preprocessed(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int, shadows: bool = False, sharp: bool = False) -> DataFrame:
-    """Resized, if asked evened and sharpened, and with more contrast."""
-    found = resized(pixels, width, height, new_width, new_height)
+    Evening and sharpening run on images of one size.
+    """
+    found = resized(pixels, ["r", "g", "b"], fit_within(F.col("image_width"), F.col("image_height"), least, most))
+    colours = [F.col(c) for c in ("r", "g", "b")]
     if shadows:
-        found = illumination(found, new_width, new_height).withColumn("value", F.col("even")).drop("even")
-    found = found.withColumn("value", contrast(F.col("value")))
-    return unsharp(found, new_width, new_height).withColumn("value", F.col("sharp")).drop("sharp") if sharp else found
+        size = found.select("image_width", "image_height").distinct().collect()
+        if len(size) > 1:
+            raise ValueError("images of several sizes")
+        grey = found.withColumn("value", clamped(luminance(*colours)))
+        found = illumination(grey, *size[0]).withColumn("value", contrast(F.col("even"))).drop("even") if size else grey
+    else:
+        found = found.withColumn("value", grayed(*colours))
+    found = found.drop("r", "g", "b")
+    if sharp:
+        size = found.select("image_width", "image_height").distinct().collect()
+        if len(size) > 1:
+            raise ValueError("images of several sizes")
+        found = unsharp(found, *size[0]).withColumn("value", F.col("sharp")).drop("sharp") if size else found
+    return found
+
+
+def normalized(pixels: DataFrame, regions: DataFrame, least: int = 1900, most: int = 2400) -> tuple[DataFrame, DataFrame]:
+    """Colour images cut to their regions where these are sure, and preprocessed; and the regions as they were taken: content_region
+    where an image was cut, else full_image."""
+    told = regions.withColumn("reason", F.when(crops(F.col("confidence"), F.col("reason")), "content_region").otherwise("full_image"))
+    return preprocessed(cut(pixels, regions), least, most), told
 
 
 def distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:

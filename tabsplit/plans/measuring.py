@@ -134,16 +134,6 @@ def crop_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.receipt_region(cells(spark, sf_dir), 10, 80, 80).select("img_id", raster.crops(F.col("confidence"), F.col("reason")).alias("crops"))
 
 
-@query(REGIONS + """, cut AS (SELECT p.img_id, p.y - CASE WHEN ok THEN g.y // 10 ELSE 0 END AS y, p.x - CASE WHEN ok THEN g.x // 10 ELSE 0 END AS x, p.value, ok, (to_x - g.x) // 10 AS w, (to_y - g.y) // 10 AS h
-  FROM pixels p JOIN (SELECT *, confidence >= 0.6 AND reason <> 'full_image' AS ok FROM regions) g USING (img_id))
- SELECT img_id, y, x, least(greatest(round_even((value - 128) * 115 / 100 + 128, 0), 0), 255)::BIGINT AS value FROM cut WHERE NOT ok OR (x BETWEEN 0 AND w - 1 AND y BETWEEN 0 AND h - 1)""")
-def normalize_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images cut to their paper and enhanced; a cell is a pixel here."""
-    found = raster.receipt_region(cells(spark, sf_dir), 10, 80, 80)
-    regions = found.select("img_id", *(F.expr(f"{c} div 10").alias(c) for c in ("x", "y", "width", "height")), "confidence", "reason")
-    return raster.normalized(pixels(spark, sf_dir), regions).select("img_id", "y", "x", "value")
-
-
 GROUND = """SELECT p.img_id, p.y, p.x, any_value(p.value) AS value, sum(q.value) / 9.0::DOUBLE AS ground FROM pixels p, range(-1, 2) a(dy), range(-1, 2) b(dx)
   JOIN pixels q ON q.img_id = p.img_id AND q.y = least(greatest(p.y + dy, 0), 7) AND q.x = least(greatest(p.x + dx, 0), 7) GROUP BY ALL"""
 
@@ -154,15 +144,6 @@ def illumination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.illumination(pixels(spark, sf_dir), 8, 8).select("img_id", "y", "x", "even")
 
 
-@query(PIXELS + """, spread AS (SELECT p.*, unnest(range(p.x * 6 // 8, ((p.x + 1) * 6 - 1) // 8 + 1)) AS nx FROM pixels p), both_ways AS (SELECT s.*, unnest(range(s.y * 6 // 8, ((s.y + 1) * 6 - 1) // 8 + 1)) AS ny FROM spread s),
-weighed AS (SELECT img_id, ny, nx, value, (least((x + 1) * 6, (nx + 1) * 8) - greatest(x * 6, nx * 8)) * (least((y + 1) * 6, (ny + 1) * 8) - greatest(y * 6, ny * 8)) AS part FROM both_ways),
-small AS (SELECT img_id, ny AS y, nx AS x, least(greatest(round_even(sum(value * part) / sum(part), 0), 0), 255)::BIGINT AS value FROM weighed GROUP BY ALL)
- SELECT img_id, y, x, least(greatest(round_even((value - 128) * 115 / 100 + 128, 0), 0), 255)::BIGINT AS value FROM small""")
-def preprocess_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of 8 by 8 resized to 6 by 6, with more contrast."""
-    return raster.preprocessed(pixels(spark, sf_dir), 8, 8, 6, 6).select("img_id", "y", "x", "value")
-
-
 QUADS = "quads AS (SELECT vec_id AS img_id, (vec_id % 3)::DOUBLE AS x0, (vec_id % 2)::DOUBLE AS y0, (6 - vec_id % 2)::DOUBLE AS x1, (vec_id % 3)::DOUBLE AS y1, (7 - vec_id % 3)::DOUBLE AS x2, (7 + vec_id % 4)::DOUBLE AS y2, (vec_id % 2)::DOUBLE AS x3, (6 - vec_id % 3)::DOUBLE AS y3 FROM embeddings)"
 GOOD = "greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3) > 8 * 0.15::DOUBLE AND greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3) > 8 * 0.15::DOUBLE AND least(x0, x1, x2, x3) >= 0 AND least(y0, y1, y2, y3) >= 0 AND greatest(x0, x1, x2, x3) <= 8 AND greatest(y0, y1, y2, y3) <= 8"
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsplit.plans import billing, changes, measuring, parsing, scanning, storing
+from tabsplit.plans import billing, changes, measuring, parsing, photos, scanning, storing
 from tabsplit.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (billing, parsing, storing, changes, measuring, scanning)
+MODULES = (billing, parsing, storing, changes, measuring, scanning, photos)
 
 
 def importable(query: Query) -> Query:
