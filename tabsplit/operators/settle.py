@@ -86,8 +86,32 @@ def money(c: Column | str) -> Column:
     return F.concat(F.when(value < 0, "-").otherwise(""), F.floor(whole / 100).cast("long").cast("string"), F.lit("."), F.lpad((whole % 100).cast("string"), 2, "0"))
 
 
+# What each check asks, and what it says of a bill that fails.
+LABELS = {
+    "shares-add-up": "Participant shares add up to the total bill",
+    "no-negative-shares": "No participant owes a negative amount",
+    "has-participants": "The bill has at least one participant",
+    "receipt-discount-in-full": "The receipt discount was applied in full",
+    "discount-in-full": "The discount was applied in full",
+    "items-match-receipt": "Item prices match the receipt",
+    "no-over-claimed-items": "No item is claimed more than it exists",
+    "all-items-claimed": "Every item is fully claimed",
+}
+DETAILS = {
+    "shares-add-up": "Shares sum to ₹%s but the total bill is ₹%s (off by ₹%s).",
+    "no-negative-shares": "Negative share for %s.",
+    "has-participants": "Add participants before settling.",
+    "receipt-discount-in-full": "The receipt discount resolves to ₹%s but only ₹%s could be applied — it exceeds what participants owe, so check the receipt discount value.",
+    "discount-in-full": "Requested ₹%s but only ₹%s could be applied — the discount was capped at the amount owed.",
+    "items-match-receipt": "Items total ₹%s differs from the receipt %s (₹%s).",
+    "no-over-claimed-items": "Over-claimed: %s. Shares are capped so they still add up, but fix the claim in Item Claims.",
+    "all-items-claimed": "Unclaimed: %s. Assign the remaining quantity in Item Claims.",
+}
+BELOW = "Receipt total is below the receipt subtotal — one of them was likely misread."
+
+
 def review_checks(items: DataFrame, claims: DataFrame, participants: DataFrame, printed: DataFrame) -> DataFrame:
-    """bill_id, check_id, status and detail: up to eight rows a bill."""
+    """bill_id, check_id, label, status and detail: up to eight rows a bill."""
     settled = settle_bills(items, claims, participants, printed)
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("share_cents") < -1, F.struct("ord", "user_name")))), lambda x: x["user_name"]), ", ")
     same = ["bill_cents", "printed_subtotal", "total_cents", "item_cents", "receipt_type", "receipt_value", "receipt_applied", "group_type", "group_value", "group_applied"]
@@ -100,16 +124,18 @@ def review_checks(items: DataFrame, claims: DataFrame, participants: DataFrame,
     base = F.coalesce("printed_subtotal", "item_cents")
     receipt = F.when(F.col("receipt_type") == "percent", F.least("receipt_value", F.lit(100)) * base / 100).otherwise(F.col("receipt_value"))
     group = F.when(F.col("group_type") == "percent", F.col("group_value") * base / 100).otherwise(F.col("group_value"))
-    check = lambda name, bad, how, detail: F.struct(F.lit(name).alias("check_id"), F.when(bad, how).otherwise("pass").alias("status"), F.when(bad, detail).alias("detail"))
+    check = lambda name, bad, how, detail: F.struct(F.lit(name).alias("check_id"), F.lit(LABELS[name]).alias("label"), F.when(bad, how).otherwise("pass").alias("status"), F.when(bad, detail).alias("detail"))
+    told = lambda name, *values: F.format_string(DETAILS[name], *values)
+    amount = lambda value: money(F.floor(value + 0.5).cast("long"))
     rows = F.array(
-        check("shares-add-up", F.abs("gap") > 1, "fail", F.concat(F.lit("shares "), money("share_sum"), F.lit(", bill "), money("bill_cents"), F.lit(", gap "), money(F.abs("gap")))),
-        check("no-negative-shares", F.col("negative") != "", "fail", F.col("negative")),
-        check("has-participants", F.col("people") == 0, "fail", F.lit("no participants")),
-        F.when(F.col("receipt_value") > 0, check("receipt-discount-in-full", receipt - F.col("receipt_applied") > 1, "warn", F.concat(F.lit("applied "), money("receipt_applied")))),
-        F.when(F.col("group_value") > 0, check("discount-in-full", group - F.col("group_applied") > 1, "warn", F.concat(F.lit("applied "), money("group_applied")))),
-        check("items-match-receipt", F.col("total_below_subtotal") | (F.col("status") == "mismatch"), "warn", F.when(F.col("total_below_subtotal"), F.lit("total below subtotal")).otherwise(F.concat(F.lit("items "), money("item_cents"), F.lit(" against "), F.col("reference")))),
-        check("no-over-claimed-items", F.col("over").isNotNull(), "warn", F.col("over")),
-        check("all-items-claimed", F.col("open").isNotNull(), "fail", F.col("open")),
+        check("shares-add-up", F.abs("gap") > 1, "fail", told("shares-add-up", money("share_sum"), money("bill_cents"), money(F.abs("gap")))),
+        check("no-negative-shares", F.col("negative") != "", "fail", told("no-negative-shares", F.col("negative"))),
+        check("has-participants", F.col("people") == 0, "fail", F.lit(DETAILS["has-participants"])),
+        F.when(F.col("receipt_value") > 0, check("receipt-discount-in-full", receipt - F.col("receipt_applied") > 1, "warn", told("receipt-discount-in-full", amount(receipt), money("receipt_applied")))),
+        F.when(F.col("group_value") > 0, check("discount-in-full", group - F.col("group_applied") > 1, "warn", told("discount-in-full", amount(group), money("group_applied")))),
+        check("items-match-receipt", F.col("total_below_subtotal") | (F.col("status") == "mismatch"), "warn", F.when(F.col("total_below_subtotal"), F.lit(BELOW)).otherwise(told("items-match-receipt", money("item_cents"), F.col("reference"), money(F.coalesce("printed_subtotal", "total_cents"))))),
+        check("no-over-claimed-items", F.col("over").isNotNull(), "warn", told("no-over-claimed-items", F.col("over"))),
+        check("all-items-claimed", F.col("open").isNotNull(), "fail", told("all-items-claimed", F.col("open"))),
     )
     return known.select("bill_id", F.inline(F.filter(rows, lambda x: x.isNotNull())))
 

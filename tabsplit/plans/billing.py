@@ -175,7 +175,7 @@ MONEY = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || (abs({0}) // 100) || '.' || l
 money_sql = partial(str.format, MONEY)
 
 
-@query(SETTLED + UNCLAIMED + f""",
+REVIEW = SETTLED + UNCLAIMED + f""",
 b AS (SELECT bill_id, sum(share_cents)::BIGINT AS share_sum, count(*) AS people, any_value(bill_cents) AS bill_cents, any_value(printed_subtotal) AS printed_subtotal, any_value(total_cents) AS total_cents,
   any_value(item_cents) AS item_cents, any_value(receipt_type) AS receipt_type, any_value(receipt_value) AS receipt_value, any_value(receipt_applied) AS receipt_applied, any_value(group_type) AS group_type,
   any_value(group_value) AS group_value, any_value(group_applied) AS group_applied, string_agg(user_name, ', ' ORDER BY ord) FILTER (WHERE share_cents < -1) AS negative FROM settled GROUP BY ALL),
@@ -184,15 +184,28 @@ op AS (SELECT bill_id, string_agg(CASE WHEN claimed > 0 THEN name || ' (' || rem
 k AS (SELECT *, share_sum - bill_cents AS gap, coalesce(total_cents + greatest(receipt_applied, 0) < printed_subtotal - 1, false) AS below, abs(item_cents - coalesce(printed_subtotal, total_cents)) > 1 AS mismatch,
   CASE WHEN printed_subtotal IS NOT NULL THEN 'subtotal' ELSE 'total' END AS reference, coalesce(printed_subtotal, item_cents) AS basis FROM b LEFT JOIN ov USING (bill_id) LEFT JOIN op USING (bill_id)),
 c AS (
-  SELECT bill_id, 'shares-add-up' AS check_id, abs(gap) > 1 AS bad, 'fail' AS how, 'shares ' || {money_sql('share_sum')} || ', bill ' || {money_sql('bill_cents')} || ', gap ' || {money_sql('abs(gap)')} AS detail FROM k
-  UNION ALL SELECT bill_id, 'no-negative-shares', negative IS NOT NULL, 'fail', negative FROM k
-  UNION ALL SELECT bill_id, 'has-participants', people = 0, 'fail', 'no participants' FROM k
-  UNION ALL SELECT bill_id, 'receipt-discount-in-full', CASE WHEN receipt_type = 'percent' THEN least(receipt_value, 100) * basis / 100 ELSE receipt_value END - receipt_applied > 1, 'warn', 'applied ' || {money_sql('receipt_applied')} FROM k WHERE receipt_value > 0
-  UNION ALL SELECT bill_id, 'discount-in-full', CASE WHEN group_type = 'percent' THEN group_value * basis / 100 ELSE group_value END - group_applied > 1, 'warn', 'applied ' || {money_sql('group_applied')} FROM k WHERE group_value > 0
-  UNION ALL SELECT bill_id, 'items-match-receipt', below OR mismatch, 'warn', CASE WHEN below THEN 'total below subtotal' ELSE 'items ' || {money_sql('item_cents')} || ' against ' || reference END FROM k
-  UNION ALL SELECT bill_id, 'no-over-claimed-items', over_names IS NOT NULL, 'warn', over_names FROM k
-  UNION ALL SELECT bill_id, 'all-items-claimed', open_names IS NOT NULL, 'fail', open_names FROM k)
-SELECT bill_id, check_id, CASE WHEN bad THEN how ELSE 'pass' END AS status, CASE WHEN bad THEN detail END AS detail FROM c""")
+  SELECT bill_id, 'shares-add-up' AS check_id, 'Participant shares add up to the total bill' AS label, abs(gap) > 1 AS bad, 'fail' AS how, 'Shares sum to ₹' || {money_sql('share_sum')} || ' but the total bill is ₹' || {money_sql('bill_cents')} || ' (off by ₹' || {money_sql('abs(gap)')} || ').' AS detail FROM k
+  UNION ALL SELECT bill_id, 'no-negative-shares', 'No participant owes a negative amount', negative IS NOT NULL, 'fail', 'Negative share for ' || negative || '.' FROM k
+  UNION ALL SELECT bill_id, 'has-participants', 'The bill has at least one participant', people = 0, 'fail', 'Add participants before settling.' FROM k
+  UNION ALL SELECT bill_id, 'receipt-discount-in-full', 'The receipt discount was applied in full', asked - receipt_applied > 1, 'warn', 'The receipt discount resolves to ₹' || {money_sql('floor(asked + 0.5)::BIGINT')} || ' but only ₹' || {money_sql('receipt_applied')} || ' could be applied — it exceeds what participants owe, so check the receipt discount value.'
+    FROM (SELECT *, CASE WHEN receipt_type = 'percent' THEN least(receipt_value, 100) * basis / 100 ELSE receipt_value END AS asked FROM k WHERE receipt_value > 0)
+  UNION ALL SELECT bill_id, 'discount-in-full', 'The discount was applied in full', asked - group_applied > 1, 'warn', 'Requested ₹' || {money_sql('floor(asked + 0.5)::BIGINT')} || ' but only ₹' || {money_sql('group_applied')} || ' could be applied — the discount was capped at the amount owed.'
+    FROM (SELECT *, CASE WHEN group_type = 'percent' THEN group_value * basis / 100 ELSE group_value END AS asked FROM k WHERE group_value > 0)
+  UNION ALL SELECT bill_id, 'items-match-receipt', 'Item prices match the receipt', below OR mismatch, 'warn', CASE WHEN below THEN 'Receipt total is below the receipt subtotal — one of them was likely misread.'
+    ELSE 'Items total ₹' || {money_sql('item_cents')} || ' differs from the receipt ' || reference || ' (₹' || {money_sql('coalesce(printed_subtotal, total_cents)')} || ').' END FROM k
+  UNION ALL SELECT bill_id, 'no-over-claimed-items', 'No item is claimed more than it exists', over_names IS NOT NULL, 'warn', 'Over-claimed: ' || over_names || '. Shares are capped so they still add up, but fix the claim in Item Claims.' FROM k
+  UNION ALL SELECT bill_id, 'all-items-claimed', 'Every item is fully claimed', open_names IS NOT NULL, 'fail', 'Unclaimed: ' || open_names || '. Assign the remaining quantity in Item Claims.' FROM k)"""
+
+
+@query(REVIEW + " SELECT bill_id, check_id, CASE WHEN bad THEN how ELSE 'pass' END AS status, CASE WHEN bad THEN detail END AS detail FROM c")
 def review_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    return settle.review_checks(v.items, v.claims, v.participants, v.printed)
+    return settle.review_checks(v.items, v.claims, v.participants, v.printed).drop("label")
+
+
+@query(REVIEW + " SELECT check_id, label, detail, count(*) AS bills FROM c WHERE bad GROUP BY ALL")
+def detail_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that bills which fail a check get, and how many bills get each."""
+    v = Views(spark, sf_dir)
+    failed = settle.review_checks(v.items, v.claims, v.participants, v.printed).where("status <> 'pass'")
+    return failed.groupBy("check_id", "label", "detail").agg(F.count("*").alias("bills"))
