@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsplit.shared import new_path
@@ -16,17 +16,20 @@ def tokens_of(words: Column) -> Column:
     return F.transform(words, box)
 
 
-def recorded(texts: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """Texts (key, value) written as one file each to the shared folder."""
+def recorded(texts: DataFrame, key: str) -> str:
+    """Texts (key, value) packed into files of lines in a new shared folder: a line is a capture's name and its text."""
     path = new_path(texts.sparkSession, "captures")
-    texts.write.partitionBy(key).text(path)
-    return texts, path
+    texts.select(F.col(key).cast("string").alias("capture"), F.col("value").alias("reading")).write.json(path)
+    return path
 
 
-def captures(written: tuple[DataFrame, str]) -> DataFrame:
-    """Recorded readings of a folder, each a JSON document over many lines."""
-    df, path = written
-    return df.sparkSession.read.schema(WORDS).option("multiLine", True).json(path)
+def captures(spark: SparkSession, path: str) -> DataFrame:
+    """capture, file, words and damaged of the recorded readings of a folder. Files are read in ranges of bytes, many captures a
+    file. A reading that is no whole JSON document has null words and its text in `damaged`; so has a line that is none, without a name."""
+    packed = spark.read.schema("capture string, reading string, _line string").option("columnNameOfCorruptRecord", "_line").json(path)
+    told = packed.select("capture", F.coalesce("reading", "_line", F.lit("")).alias("reading"), F.from_json("reading", f"{WORDS}, _damaged string", {"columnNameOfCorruptRecord": "_damaged"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._damaged").isNotNull()
+    return told.select("capture", F.when(~bad, F.col("r.file")).alias("file"), F.when(~bad, F.col("r.words")).alias("words"), F.when(bad, F.col("reading")).alias("damaged"))
 
 
 def legacy_items(items: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def box_blur(pixels: DataFrame, radius: int, width: int, height: int) -> DataFra
     return both.withColumn("blur", F.expr(f"_all div {(2 * radius + 1) ** 2}")).drop("_row", "_all")
 
 
-def unsharp(pixels: DataFrame, width: int, height: int) -> DataFrame:
+def unsharp(pixels: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
     """1.5 times the pixel less an eighth of its four neighbours, inside the image."""
     row, column = Window.partitionBy("img_id", "y").orderBy("x"), Window.partitionBy("img_id", "x").orderBy("y")
     around = sum((f("value").over(w) for w in (row, column) for f in (F.lag, F.lead)), F.lit(0))
@@ -184,27 +184,18 @@ def grayed(red: Column, green: Column, blue: Column, hundredths: int = 115) -> C
 
 def preprocessed(pixels: DataFrame, least: int = 1900, most: int = 2400, shadows: bool = False, sharp: bool = False) -> DataFrame:
     """Colour images (img_id, y, x, r, g, b, image_width, image_height) resized so that the longest edge lies in [least, most], grey, with
-    shadows evened out and sharpened if asked, and with contrast: img_id, y, x, value and the new sizes.
-
-    Evening and sharpening run on images of one size.
-    """
+    shadows evened out and sharpened if asked, and with contrast: img_id, y, x, value and the new sizes."""
     found = resized(pixels, ["r", "g", "b"], fit_within(F.col("image_width"), F.col("image_height"), least, most))
     colours = [F.col(c) for c in ("r", "g", "b")]
     if shadows:
-        size = found.select("image_width", "image_height").distinct().collect()
-        if len(size) > 1:
-            raise ValueError("images of several sizes")
+        from tabsplit.operators import photo  # which builds on this module
+
         grey = found.withColumn("value", clamped(luminance(*colours)))
-        found = illumination(grey, *size[0]).withColumn("value", contrast(F.col("even"))).drop("even") if size else grey
+        sizes = grey.select("img_id", "image_width", "image_height").distinct()
+        found = photo.pixels_of(photo.evened(photo.grey_strips(grey))).join(sizes, "img_id").withColumn("value", contrast(F.col("value")))
     else:
-        found = found.withColumn("value", grayed(*colours))
-    found = found.drop("r", "g", "b")
-    if sharp:
-        size = found.select("image_width", "image_height").distinct().collect()
-        if len(size) > 1:
-            raise ValueError("images of several sizes")
-        found = unsharp(found, *size[0]).withColumn("value", F.col("sharp")).drop("sharp") if size else found
-    return found
+        found = found.withColumn("value", grayed(*colours)).drop("r", "g", "b")
+    return unsharp(found, F.col("image_width"), F.col("image_height")).withColumn("value", F.col("sharp")).drop("sharp") if sharp else found
 
 
 def normalized(pixels: DataFrame, regions: DataFrame, least: int = 1900, most: int = 2400) -> tuple[DataFrame, DataFrame]:

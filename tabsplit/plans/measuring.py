@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsplit.operators import adapters, layout, raster, score
+from tabsplit.operators import adapters, layout, photo, raster, score
 from tabsplit.operators.settle import money
 from tabsplit.sources import receipts, views
 from tabsplit.streaming import debounce
@@ -144,6 +144,13 @@ def illumination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.illumination(pixels(spark, sf_dir), 8, 8).select("img_id", "y", "x", "even")
 
 
+@query(PIXELS + f" SELECT img_id, y, x, CASE WHEN ground >= 235 * 0.7::DOUBLE THEN value ELSE least(greatest(round_even(value * 235 / greatest(40::DOUBLE, ground), 0), 0), 255)::BIGINT END AS even FROM ({GROUND.replace(' GROUP BY ALL', ' GROUP BY p.img_id, p.y, p.x')})")
+def illumination_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shadows evened out tile by tile, as photos are: strips of three rows to tiles of five."""
+    strips = photo.grey_strips(pixels(spark, sf_dir).withColumns({"image_width": F.lit(8), "image_height": F.lit(8)}), rows=3)
+    return photo.pixels_of(photo.evened(strips, rows=5)).withColumnRenamed("value", "even")
+
+
 QUADS = "quads AS (SELECT vec_id AS img_id, (vec_id % 3)::DOUBLE AS x0, (vec_id % 2)::DOUBLE AS y0, (6 - vec_id % 2)::DOUBLE AS x1, (vec_id % 3)::DOUBLE AS y1, (7 - vec_id % 3)::DOUBLE AS x2, (7 + vec_id % 4)::DOUBLE AS y2, (vec_id % 2)::DOUBLE AS x3, (6 - vec_id % 3)::DOUBLE AS y3 FROM embeddings)"
 GOOD = "greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3) > 8 * 0.15::DOUBLE AND greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3) > 8 * 0.15::DOUBLE AND least(x0, x1, x2, x3) >= 0 AND least(y0, y1, y2, y3) >= 0 AND greatest(x0, x1, x2, x3) <= 8 AND greatest(y0, y1, y2, y3) <= 8"
 
@@ -436,13 +443,18 @@ def entry_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.legacy_items(rows).select("bill_id", "id", "quantity", "unit_price", "total_price")
 
 
-@query("SELECT user_id AS file, count(*) AS words, min(event_type) AS first FROM events GROUP BY ALL")
+@query("""SELECT user_id || '/' || (event_id // 20) AS capture, CASE WHEN event_id // 20 % 7 = 3 THEN NULL ELSE count(*) END AS words, CASE WHEN event_id // 20 % 7 = 3 THEN NULL ELSE arg_min(event_type, event_id) END AS first, event_id // 20 % 7 = 3 AS damaged
+  FROM events GROUP BY user_id, event_id // 20""")
 def fixture_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded readings, one JSON file each over many lines: written from the events of a user and read back."""
+    """Recorded readings over many lines, packed many to a file, of which some were cut off: written from events and read back."""
     word = F.to_json(F.struct(F.col("event_type").alias("text"), F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(8).alias("x1"), F.lit(12).alias("y1")).alias("bbox")))
-    files = views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.collect_list(word), ",\n  ").alias("w"))
+    each = views.table(spark, sf_dir, "events").select("user_id", F.expr("event_id div 20").alias("part"), F.struct("event_id", word.alias("w")).alias("w"))
+    texts = each.groupBy("user_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["w"]), ",\n  ").alias("w"))
     text = F.concat(F.lit('{"file": '), F.col("user_id").cast("string"), F.lit(',\n "words": [\n  '), "w", F.lit("]}"))
-    return adapters.captures(adapters.recorded(files.select("user_id", text.alias("value")), "user_id")).select("file", F.size("words").cast("long").alias("words"), F.array_min(F.transform("words", lambda w: w["text"])).alias("first"))
+    cut_off = F.when(F.col("part") % 7 == 3, F.left(text, F.length(text) - 9)).otherwise(text)
+    told = texts.select(F.concat_ws("/", "user_id", "part").alias("capture"), cut_off.alias("value"))
+    read = adapters.captures(spark, adapters.recorded(told, "capture"))
+    return read.select("capture", F.size("words").cast("long").alias("words"), F.get("words", F.lit(0))["text"].alias("first"), F.col("damaged").isNotNull().alias("damaged"))
 
 
 DEBOUNCE = """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events),

@@ -72,3 +72,21 @@ def test_running_means_drift():
     values = [0.0, 5.0, 10.0, 15.0, 30.0, 31.0]
     assert layout.runs(values, 10.0) == ([0, 0, 0, 0, 1, 1], [(7.5, 4), (30.5, 2)])
     assert layout.runs([], 1.0) == ([], [])
+
+
+def test_damaged_captures_become_rows(spark, tmp_path):
+    from tabsplit.operators import adapters
+
+    good = '{"file": 3,\n "words": [\n {"text": "Tea", "bbox": {"x0": 1, "y0": 2, "x1": 30, "y1": 14}}]}'
+    texts = spark.createDataFrame([("a", good), ("b", good[:-4]), ("c", ""), ("d", None)], "capture string, value string")
+    path = adapters.recorded(texts.coalesce(1), "capture")
+    with open(f"{tmp_path}/extra.json", "w") as out:
+        out.write('{"capture": "e", "read')
+    spark.read.text(path).union(spark.read.text(f"{tmp_path}/extra.json")).coalesce(1).write.text(f"{tmp_path}/all")
+    found = {r.capture: r for r in adapters.captures(spark, f"{tmp_path}/all").collect()}
+    assert found["a"].file == 3 and found["a"].damaged is None and adapters_words(found["a"]) == [("Tea", 1, 2, 30, 14)]
+    assert {k: r.damaged for k, r in found.items() if k != "a"} == {"b": good[:-4], "c": "", "d": "", None: '{"capture": "e", "read'}
+
+
+def adapters_words(row):
+    return [(w.text, *w.bbox) for w in row.words]
