@@ -8,17 +8,22 @@ extracted from its articles, else its main elements, else its own best container
 
 Blocks of the article are its block elements' texts: character references decoded, white space inside a block one space,
 trimmed, joined by a newline in page order. Navigation, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out, by their tag or by a word of their class, id or role.
+scripts, styles and reader comments are left out, by their tag or role, or by a class or id of which every word is one of such
+parts or says nothing (`cookie-bar` goes, `menu-review` stays).
 
 Defined results: null, empty and text-free pages give an empty text; pages without containers give the text of their body;
-unclosed tags end with their parent; pages of one host may be any share of all rows, as votes are summed before they are
+unclosed tags end with their parent; tags that never end are text; broken, deep and very long markup costs no more than its
+length; pages of one host may be any share of all rows, as votes are summed before they are
 shuffled; a page without a host forms the host "". Extra columns are ignored, repeated rows repeat their result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +48,16 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article section div main".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+# Words that say nothing by themselves: a class that joins them to noise words is noise, any other word makes it content.
+HELPERS = frozenset(
+    "site main page global top bottom left right box boxes block blocks bar bars list lists item items link links button buttons btn wrap wrapper container area section slot unit inner outer content"
+    " col column row primary secondary small large mobile desktop sticky fixed js the in and icon icons widget widgets js posts post stories articles news form field fields text body head".split()
+)
+
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.DOTALL)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+PLAIN_END = re.compile(r"[^>\"']*>")
+SPECIAL = re.compile(r"[>\"']")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -51,12 +65,51 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    """An element with its path, what it holds in order (text or nodes), and whether it is noise."""
+    """An element with its path, what it holds in order (text or nodes), whether it is noise, and whether it is an article's."""
+
+    __slots__ = ("tag", "path", "parts", "noise", "block", "inside")
+
+    def __init__(self, tag: str, path: str, noise: bool, inside: bool):
+        self.tag, self.path, self.noise, self.block, self.inside, self.parts = tag, path, noise, tag in BLOCK, inside, []
+
+
+class Ends:
+    """Where the tags of a page end: at the first `>` outside quotes.
+
+    Most tags have no quoted `>`, which one look tells. Else the page's quotes and `>` are gone through once from the end, and
+    each is told where a tag ends that reaches it outside quotes, so that a page of tags that never end costs no more.
+    """
 
-    __slots__ = ("tag", "path", "parts", "noise", "block")
+    def __init__(self, page: str) -> None:
+        self.page, self.at, self.ends = page, None, []
 
-    def __init__(self, tag: str, path: str, noise: bool):
-        self.tag, self.path, self.noise, self.block, self.parts = tag, path, noise, tag in BLOCK, []
+    def of(self, start: int) -> int:
+        """The place of the `>` that ends a tag whose name ends at start; -1 if none does."""
+        if m := PLAIN_END.match(self.page, start) if self.at is None else None:
+            return m.end() - 1
+        if self.at is None:
+            self.at = [m.start() for m in SPECIAL.finditer(self.page)]
+            self.ends = [-1] * (len(self.at) + 1)
+            inside = {'"': -1, "'": -1}
+            for k in range(len(self.at) - 1, -1, -1):
+                c, after = self.page[self.at[k]], self.ends[k + 1]
+                if c == ">":
+                    self.ends[k] = self.at[k]
+                else:
+                    # a quote opens here for tags that come outside quotes, and closes for those inside
+                    self.ends[k], inside[c] = inside[c], after
+        return self.ends[bisect_left(self.at, start)]
+
+
+def digested(path: str) -> str:
+    """A path, with what is far above told by a digest: nesting costs no more the deeper it is."""
+    return path if len(path) <= 1000 else "/" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def is_noise(name: str) -> bool:
+    """Whether all words of a class or id are noise words or say nothing, and one is a noise word."""
+    words = set(WORDS.findall(CAMEL.sub(" ", name).lower()))
+    return bool(words & NOISE_WORDS) and words <= NOISE_WORDS | HELPERS
 
 
 def described(tag: str, told: str) -> tuple[str, bool]:
@@ -64,54 +117,69 @@ def described(tag: str, told: str) -> tuple[str, bool]:
     if not told or told.isspace():
         return tag, tag in NOISE_TAGS
     names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(told)}
-    words = {w for x in (names.get("class", ""), names.get("id", "")) for w in WORDS.findall(CAMEL.sub(" ", x).lower())}
     noise = tag in NOISE_TAGS or "hidden" in names or names.get("aria-hidden", "").lower() == "true" or names.get("role", "").lower() in NOISE_ROLES
     if tag not in ("html", "body", "article", "main"):
-        noise = noise or bool(words & NOISE_WORDS)
+        noise = noise or any(map(is_noise, [*names.get("class", "").split(), names.get("id", "")]))
     general = ".".join(sorted(re.sub(r"\d+", "#", x) for x in names.get("class", "").split()))
     return f"{tag}.{general}" if general else tag, noise
 
 
 def parse(page: str) -> Node:
-    """The page's tree; end tags without a start are passed over, open ones end with their parent."""
-    root = Node("", "", False)
-    stack, at = [root], 0
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    """The page's tree; end tags without a start are passed over, open ones end with their parent; a tag that never ends is text."""
+    root = Node("", "", False, False)
+    stack, at, ends = [root], 0, Ends(page)
+    open_: Counter[str] = Counter()
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            open_[node.tag] -= 1
+        del stack[k:]
+
+    seen = 0
+    while (start := page.find("<", seen)) >= 0:
+        m = MARKUP.match(page, start)
+        name = None if m else NAME.match(page, start)
+        end = m.end() if m else ends.of(name.end()) + 1 if name else 0
+        if not end:
+            seen = start + 1
+            continue
+        if start > at:
+            stack[-1].parts.append(page[at:start])
+        at = seen = end
+        if m:
             if m[0].startswith("<![CDATA["):
                 stack[-1].parts.append(m[0][9:].removesuffix("]]>"))
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        tag, told = name[2].lower(), page[name.end() : end - 1]
+        if name[1]:
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in SCOPES and tag not in BLOCK:
                     break
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and open_["p"]:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in SCOPES), 0)
             if k and stack[k].tag == "p":
-                del stack[k:]
-        if tag in CLOSED_BY:
+                cut(k)
+        if any(open_[x] for x in CLOSED_BY.get(tag, ())):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSED_BY[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
-        name, noise = described(tag, m[3])
-        node = Node(tag, f"{stack[-1].path}/{name}", noise or (tag == "header" and not any(x.tag in ("article", "main") for x in stack)))
+        general, noise = described(tag, told)
+        inside = open_["article"] + open_["main"] > 0
+        node = Node(tag, digested(f"{stack[-1].path}/{general}"), noise or (tag == "header" and not inside), inside or tag in ("article", "main"))
         stack[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+            at = seen = close.end() if close else len(page)
+        elif tag not in VOID and not told.endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     if at < len(page):
         stack[-1].parts.append(page[at:])
     return root
@@ -175,7 +243,7 @@ def scored(page: str) -> list[tuple[str, float]]:
     scores: dict[str, float] = {}
     for node in containers(parse(page)):
         text, links = own_text(node)
-        weight = (text - 2 * links) * (2.0 if node.tag in ("article", "main") or "/article" in node.path or "/main" in node.path else 1.0)
+        weight = (text - 2 * links) * (2.0 if node.inside else 1.0)
         if weight > 0:
             scores[node.path] = scores.get(node.path, 0.0) + weight
     total = sum(scores.values())
@@ -183,16 +251,30 @@ def scored(page: str) -> list[tuple[str, float]]:
 
 
 def widened(root: Node, chosen: list[Node]) -> list[Node]:
-    """The chosen containers in page order, each as the article that it lies in, so that an article's other parts are not lost."""
-    wanted, found, todo = {id(x) for x in chosen}, [], [(root, None)]
+    """The chosen containers in page order, each as the article that it lies in, so that an article's other parts are not lost;
+    where there is none and it has no heading of its own, as the least element around it that has the first one."""
+    wanted, found, todo, above = {id(x) for x in chosen}, [], [(root, None)], {}
+    headed: set[int] = set()
     while todo:
         x, article = todo.pop()
         if isinstance(x, Node):
             article = x if x.tag == "article" else article
+            if x.tag == "h1" and not x.noise:
+                up = x
+                while up is not None and id(up) not in headed:
+                    headed.add(id(up))
+                    up = above.get(id(up))
             if id(x) in wanted:
-                found.append(article or x)
+                found.append((x, article))
             todo.extend((y, article) for y in reversed(x.parts))
-    return found
+            above.update((id(y), x) for y in x.parts if isinstance(y, Node) and not x.noise)
+    out = []
+    for x, article in found:
+        up = x
+        while article is None and up is not None and id(up) not in headed:
+            up = above.get(id(up))
+        out.append(article or (up if up is not None and up.tag not in ("", "html", "body") else x))
+    return out
 
 
 def extract(page: str, path: str | None) -> str:

@@ -203,3 +203,45 @@ def test_no_pages(spark):
 def test_deep_and_unclosed_markup():
     assert pages.extract("<article>" + "<div>" * 5000 + "deep" + "</b>" * 10, None) == "deep"
     assert pages.extract("<article><p>a < b and c > d<!-- <p>no --><p>x", None) == "a < b and c > d\nx"
+
+
+@pytest.mark.parametrize("page", ["<a b " * 200_000, '<a href="' * 100_000, "<a href='\"" * 100_000, "<div>" * 100_000 + "x", "<b>" * 50_000 + "<hr>" * 50_000, "<div><b>" * 30_000 + "</i>" * 30_000, "<" * 500_000])
+def test_broken_and_deep_pages_cost_their_length(page):
+    import time
+
+    began = time.perf_counter()
+    pages.extract(page, None)
+    assert pages.scored(page[:1000]) is not None and time.perf_counter() - began < 20
+
+
+def test_ends_of_tags_are_those_of_a_plain_scan():
+    import random
+
+    def plain(page, start):
+        quote = ""
+        for k in range(start, len(page)):
+            if quote:
+                quote = "" if page[k] == quote else quote
+            elif page[k] == ">":
+                return k
+            elif page[k] in "\"'":
+                quote = page[k]
+        return -1
+
+    chance = random.Random(2)
+    for _ in range(300):
+        page = "".join(chance.choice("ab >\"'") for _ in range(chance.randrange(40)))
+        ends = pages.Ends(page)
+        assert [ends.of(k) for k in range(len(page))] == [plain(page, k) for k in range(len(page))]
+
+
+def test_words_in_names_alone_remove_no_text():
+    page = '<article><p>Intro.</p><div class="share-price-table"><p>Price</p></div><h2 class="tags-title">Tags</h2><div class="cookie-bar">C</div><div id="siteFooter">F</div><p>End.</p></article>'
+    assert pages.extract(page, None) == "Intro.\nPrice\nTags\nEnd."
+    assert pages.extract('<div class="story-menu-review">text</div>', None) == "text"
+
+
+def test_headings_and_parts_beside_the_winning_path_are_kept():
+    page = '<body><div class="nav-bar">N</div><div class="wrap"><h1>Headline</h1><div class="story">Body one.</div><div class="story-more">Body two.</div></div><div class="footer">F</div></body>'
+    assert pages.extract(page, "/body/div.wrap/div.story") == "Headline\nBody one.\nBody two."
+    assert pages.extract(page.replace("h1", "h4"), "/body/div.wrap/div.story") == "Body one."
