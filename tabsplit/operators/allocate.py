@@ -36,7 +36,7 @@ def distribute(rows: DataFrame, keys: list[str], pool: str, weight: str, total_w
 
 def resolve_discount(kind: str, value: str, subtotal: str) -> Column:
     """Cents of a discount: a percentage, at most 100, of the subtotal, or an amount; nothing unless it is positive."""
-    return F.expr(f"CASE WHEN {value} IS NULL OR {value} <= 0 THEN 0 WHEN {kind} = 'percent' THEN (2 * least({value}, 100) * {subtotal} + 100) div 200 ELSE {value} END")
+    return F.expr(f"CASE WHEN {kind} IS NULL OR {value} IS NULL OR {value} <= 0 THEN 0 WHEN {kind} = 'percent' THEN (2 * least({value}, 100) * {subtotal} + 100) div 200 ELSE {value} END")
 
 
 def clamp(requested: str, cap: str) -> Column:

@@ -111,6 +111,18 @@ def resolve_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle.derive_tax(settle.bill_frame(v.items, v.printed)).select("bill_id", "receipt_cents")
 
 
+DECIMALS = "CASE bill_id % 4 WHEN 0 THEN 'percent' WHEN 1 THEN 'amount' WHEN 2 THEN 'percent' END AS kind, CAST(CASE bill_id % 4 WHEN 0 THEN bill_id * 37 % 13000 ELSE bill_id % 900 - 100 END AS DECIMAL(18, 4)) / CAST(100 AS DECIMAL(3, 0)) AS value"
+
+
+@query("SELECT bill_id, (CASE WHEN kind IS NULL OR value <= 0 THEN 0 WHEN kind = 'percent' THEN floor(least(value::DECIMAL(18, 4), 100) * item_cents / 100 + 0.5) ELSE value * 100 END)::BIGINT AS cents FROM (SELECT bill_id, item_cents, "
+  + DECIMALS.replace("DECIMAL(18, 4)) / CAST(100 AS DECIMAL(3, 0))", "DOUBLE) / 100") + " FROM (SELECT bill_id, sum(total_cents)::BIGINT AS item_cents FROM items GROUP BY ALL))")
+def resolve_discount_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentages and amounts with decimals, as typed: a percentage of the items' sum, halves upwards, or major units."""
+    sums = item_subtotal(spark, sf_dir).selectExpr("bill_id", "item_cents", *DECIMALS.split(", CAST", 1)[:1], "CAST" + DECIMALS.split(", CAST", 1)[1])
+    cents = F.when(F.col("kind") == "amount", F.col("value") * 100).otherwise(F.col("value")).cast("decimal(18,4)")
+    return sums.withColumn("value", cents).select("bill_id", allocate.resolve_discount("kind", "value", "item_cents").cast("long").alias("cents"))
+
+
 @query(BILLS + " SELECT bill_id, gross_cents, subtotal_cents, tax_cents FROM taxes")
 def derive_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
