@@ -274,6 +274,12 @@ def parsed_bills(lines: DataFrame) -> DataFrame:
     return settled(bills)
 
 
+def ranked_totals(totals: Column) -> Column:
+    """Candidate totals, the surest first, of equals the one above."""
+    ordered = F.array_sort(F.transform(totals, lambda r: F.struct((-r["confidence"]).alias("c"), r["line_no"].alias("l"), r.alias("r"))))
+    return F.transform(ordered, lambda x: x["r"])
+
+
 def settled(bills: DataFrame) -> DataFrame:
     """The sums of a bill's records and items, and whether what is printed adds up."""
     rest = F.coalesce("rest", F.array().cast(RECORD))
@@ -286,9 +292,8 @@ def settled(bills: DataFrame) -> DataFrame:
     all_tax = added(F.col("taxes"))
     aggregate = F.filter("taxes", lambda r: (F.size("taxes") >= 3) & (F.abs(2 * r["amount"] - F.col("_tax")) <= TOLERANCE))
     summed = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["total_cents"])
-    first_best = F.array_sort(F.transform("totals", lambda r: F.struct((-r["confidence"]).alias("c"), r["line_no"].alias("l"), r.alias("r"))))
     bills = bills.withColumn("_tax", all_tax).withColumns({
-        "total": F.get(first_best, F.lit(0))["r"], "tax_cents": F.col("_tax") - F.coalesce(F.get(aggregate, F.lit(0))["amount"], F.lit(0)), "charge_cents": added(F.col("charges")), "adjustment_cents": added(F.col("adjustments")),
+        "total": F.get(ranked_totals(F.col("totals")), F.lit(0)), "tax_cents": F.col("_tax") - F.coalesce(F.get(aggregate, F.lit(0))["amount"], F.lit(0)), "charge_cents": added(F.col("charges")), "adjustment_cents": added(F.col("adjustments")),
         "derived_subtotal": F.col("printed").isNull() & (F.size("items") > 0), "subtotal_cents": F.coalesce(F.col("printed.amount"), F.when(F.size("items") > 0, summed)),
     })
     sure = F.when(F.col("derived_subtotal"), DERIVED_SUBTOTAL).otherwise(F.col("printed.confidence"))

@@ -214,15 +214,10 @@ def share_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled.groupBy("bill_id").agg((F.sum("share_cents") - F.first("bill_cents")).alias("gap"))
 
 
-@query(SHARES + " SELECT bill_id, item_no, ord, place < total_cents % n AS first_k FROM (SELECT *, count(*) OVER (PARTITION BY bill_id, item_no) AS n, row_number() OVER (PARTITION BY bill_id, item_no ORDER BY ord) - 1 AS place FROM claims WHERE named)")
+@query(SHARES + " SELECT bill_id, item_no, ord, total_cents // n + CASE WHEN place < total_cents % n THEN 1 ELSE 0 END AS share_cents FROM (SELECT *, count(*) OVER (PARTITION BY bill_id, item_no) AS n, row_number() OVER (PARTITION BY bill_id, item_no ORDER BY ord) - 1 AS place FROM claims WHERE named)")
 def remainder_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who gets a cent more of an even split."""
-    from pyspark.sql import Window
-
-    shares = settle.shared_shares(Views(spark, sf_dir).claims)
-    least = F.min("share_cents").over(Window.partitionBy("bill_id", "item_no"))
-    even = F.expr("total_cents div n")
-    return shares.withColumn("n", F.count("*").over(Window.partitionBy("bill_id", "item_no"))).withColumn("least", least).select("bill_id", "item_no", "ord", (F.col("share_cents") > even).alias("first_k"))
+    """Even splits, of which the first in order get a cent more."""
+    return settle.shared_shares(Views(spark, sf_dir).claims).select("bill_id", "item_no", "ord", "share_cents")
 
 
 @query(SETTLED + " SELECT bill_id, (tax_share - CASE WHEN tax_cents > 0 AND item_cents > 0 THEN (2 * base_cents * tax_cents + item_cents) // (2 * item_cents) ELSE 0 END)::BIGINT AS remainder FROM settled WHERE ord = 1 + bill_id % 3")

@@ -156,19 +156,24 @@ def first_subtotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_rows(spark, sf_dir).where("kind = 'subtotal'").groupBy("bill_id").agg(F.min_by("amount", "line_no").alias("subtotal_cents"))
 
 
-@query(SUMMARY_SQL + " SELECT bill_id, amount AS total_cents, confidence FROM (SELECT *, row_number() OVER (PARTITION BY bill_id ORDER BY confidence DESC, line_no) AS place FROM summary WHERE kind = 'total') WHERE place = 1")
+TOKEN_HEAD = f"WITH {views.SQL}, {receipts.SQL}, {receipts.TOKENS_SQL}"
+#: All that may be a total, with the confidence of the token that says it; a payment's counts 72 hundredths.
+READ_TOTALS = """, ends AS (SELECT bill_id, line_no, line, (list(cents ORDER BY place, part))[-1] AS amount, coalesce(100 * (list(confidence ORDER BY place, part))[-1], 7500) AS sure FROM token_amounts WHERE regexp_matches(line, '^(Grand Total|Total Rs|Cash)') GROUP BY ALL),
+read_totals AS (SELECT bill_id, line_no, amount, CASE WHEN line LIKE 'Cash%' THEN floor(sure * 72 / 100.0::DOUBLE + 0.5) ELSE sure END::BIGINT AS confidence FROM ends),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bill_id ORDER BY confidence DESC, line_no) AS place FROM read_totals)"""
+
+
+@query(READ_TOTALS + " SELECT bill_id, amount AS total_cents, confidence FROM ranked WHERE place = 1", TOKEN_HEAD)
 def best_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = summary_rows(spark, sf_dir).where("kind = 'total'")
-    order = F.struct(-F.col("confidence"), F.col("line_no"))
-    return totals.groupBy("bill_id").agg(F.min_by("amount", order).alias("total_cents"), F.max("confidence").alias("confidence"))
+    """The total that was read best: tokens' confidences differ, so a payment can win."""
+    return parse.parsed_bills(receipts.token_lines(spark, sf_dir)).select("bill_id", "total_cents", F.col("total.confidence").alias("confidence"))
 
 
-@query(SUMMARY_SQL + " SELECT bill_id, line_no, amount, row_number() OVER (PARTITION BY bill_id ORDER BY confidence DESC, line_no) AS place FROM summary WHERE kind = 'total'")
+@query(READ_TOTALS + " SELECT bill_id, line_no, amount, confidence, place FROM ranked", TOKEN_HEAD)
 def rank_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("bill_id").orderBy(F.desc("confidence"), "line_no")
-    return summary_rows(spark, sf_dir).where("kind = 'total'").select("bill_id", "line_no", "amount", F.row_number().over(order).cast("long").alias("place"))
+    """All totals that were read, the best first."""
+    told = F.posexplode(parse.ranked_totals(F.col("totals"))).alias("place", "r")
+    return parse.parsed_bills(receipts.token_lines(spark, sf_dir)).select("bill_id", told).select("bill_id", "r.line_no", "r.amount", "r.confidence", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query("SELECT bill_id, 2 * half AS tax_cents FROM totals")
@@ -227,9 +232,6 @@ def text_lines_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.where(F.trim("line") != "").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("line"), (24 * F.col("line_no")).cast("long").alias("y"), (8 * F.length("line")).cast("long").alias("width"))
 
 
-TOKEN_HEAD = f"WITH {views.SQL}, {receipts.SQL}, {receipts.TOKENS_SQL}"
-
-
 @query(" SELECT bill_id, line_no, string_agg(text, ' ' ORDER BY place, part) AS text FROM merged GROUP BY ALL", TOKEN_HEAD)
 def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decimals that were read as two tokens become one."""
