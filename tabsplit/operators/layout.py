@@ -104,7 +104,8 @@ TOKEN = "struct<token_no: bigint, text: string, x: double, width: double, confid
 def documents_of(tokens: DataFrame, *more: str) -> DataFrame:
     """One row a document: its tokens from top to bottom by their centres, then from left to right."""
     fields = [(F.col("y") + F.col("height") / 2).alias("centre"), "x", "token_no", "text", "y", "width", "height", *more]
-    return tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tokens"))
+    own = [F.first(c).alias(c) for c in ("image_width",) if c in tokens.columns]
+    return tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tokens"), *own)
 
 
 def numeric_tokens(tokens: DataFrame) -> DataFrame:
@@ -131,7 +132,9 @@ LINE = "line_no long, text string, left double, top double, right double, bottom
 
 
 def folded(tokens: DataFrame, geometry: bool) -> DataFrame:
-    """The lines of clean tokens: doc_id, number, text and box; with geometry their tokens and the document's columns as well."""
+    """The lines of clean tokens: doc_id, number, text and box; with geometry their tokens and the document's columns as well, and its
+    image_width if the tokens have that."""
+    sized = geometry and "image_width" in tokens.columns
     numbers = pa.struct([("token_no", pa.int64()), ("text", pa.string()), ("x", pa.float64()), ("width", pa.float64()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +158,14 @@ def folded(tokens: DataFrame, geometry: bool) -> DataFrame:
                     held = pa.StructArray.from_arrays([pa.array(v, field.type) for v, field in zip(flat, numbers, strict=True)], fields=list(numbers))
                     columns += [listed(sizes, held), pa.array([c for c, _ in found], pa.int64()), pa.array([c for _, c in found], pa.list_(pa.int64()))]
                     names += ["tokens", "amount_column", "columns"]
+                    if sized:
+                        columns.append(batch.column("image_width").take(pa.array(places, pa.int32())))
+                        names.append("image_width")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int32())), *columns], names)
 
     more = ("numeric", F.col("confidence").cast("double").alias("confidence")) if geometry else ()
     schema = f"doc_id {dict(tokens.dtypes)['doc_id']}, {LINE}" + (f", tokens array<{TOKEN}>, amount_column long, columns array<long>" if geometry else "")
+    schema += f", image_width {dict(tokens.dtypes)['image_width']}" if sized else ""
     return documents_of(tokens, *more).mapInArrow(run, schema)
 
 
@@ -166,6 +173,10 @@ def clean_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("text", normalize_token(F.col("text"))).where("text <> ''")
 
 
+def boxed(tokens: DataFrame) -> DataFrame:
+    return tokens.where("x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
+
+
 def detect_lines(tokens: DataFrame) -> DataFrame:
     """doc_id, line_no, text, and the box of every line, of tokens (doc_id, token_no, text, x, y, width, height)."""
     return folded(clean_tokens(tokens), geometry=False)
@@ -177,27 +188,29 @@ def read_lines(tokens: DataFrame) -> DataFrame:
 
     Tokens without a box (x is null) have no line.
     """
-    placed = tokens.where("x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
-    return folded(numeric_tokens(clean_tokens(placed)), geometry=True)
+    return folded(numeric_tokens(clean_tokens(boxed(tokens))), geometry=True)
 
 
 def text_lines(readings: DataFrame) -> DataFrame:
-    """The lines of plain text (doc_id, text), for readings without boxes: blank ones count, but are left out."""
-    each = readings.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
-    return each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("text")).where("text <> ''")
+    """The lines of plain text, of readings without boxes (doc_id, text and more): blank ones count, but are left out."""
+    kept = [c for c in readings.columns if c != "text"]
+    each = readings.select(*kept, F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+    return each.select(*kept, F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
 
 
 def lines_of_readings(readings: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Lines for receipts.parsed_bills: of the tokens where a reading has any with a box, else of its text.
+    """Lines for parse.parsed_bills: of the tokens where a reading has any with a box, else of its text.
 
     readings are (doc_id, text, image_width), one row a reading; image_width may be null. A reading without either has no line.
+    Tokens meet their reading's width in the shuffle that gathers them by document, so lines are not joined with anything.
     """
-    drawn = read_lines(tokens)
-    plain = text_lines(readings.join(drawn.select("doc_id").distinct(), "doc_id", "left_anti"))
+    clean = clean_tokens(boxed(tokens))
+    drawn = folded(numeric_tokens(clean.join(readings.select("doc_id", "image_width"), "doc_id", "left")), geometry=True)
+    plain = text_lines(readings.select("doc_id", "text", "image_width").join(clean.select("doc_id").distinct(), "doc_id", "left_anti"))
     nothing = {"tokens": f"array<{TOKEN}>", "amount_column": "long", "columns": "array<long>"}
-    plain = plain.select("doc_id", "line_no", "text", *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()])
-    whole = drawn.select("doc_id", "line_no", "text", *nothing).unionByName(plain)
-    return whole.join(readings.select("doc_id", "image_width"), "doc_id", "left").select(F.col("doc_id").alias("bill_id"), "line_no", F.col("text").alias("line"), *nothing, "image_width")
+    kept = [F.col("doc_id").alias("bill_id"), "line_no", F.col("text").alias("line")]
+    plain = plain.select(*kept, *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()], "image_width")
+    return drawn.select(*kept, *nothing, "image_width").unionByName(plain)
 
 
 def with_lines(tokens: DataFrame) -> DataFrame:
