@@ -4,7 +4,9 @@ Suffixes are taken at anchors: of each window of LENGTH bytes the k-gram with th
 at the same place, so a repeated window is always seen at two anchors with equal k-grams and equal bytes around them.
 
 1. Anchors of all texts are keyed by the hash of their k-gram and of their whole context (all windows that may have chosen
-   them). Anchors whose k-gram is unique end here. Equal contexts prove all of their windows repeated.
+   them). Anchors whose k-gram is unique end here. Equal contexts prove all of their windows repeated. K-grams that one in
+   `CROWDED` anchors shares are counted by aggregates with partial sums, so that no task holds all of their anchors; windows
+   over the k-gram count the others.
 2. For k-grams with different contexts, one suffix for each context is sorted: tasks write sorted, front-coded runs, cut by
    range of the leading hash, and each range's runs are merged by a loser tree that carries common-prefix lengths and never
    compares a known prefix again. Neighbours that share the k-gram are compared to the left and right of it, which gives the
@@ -39,6 +41,8 @@ LENGTH, K = 200, 32
 PLACES, BEFORE = LENGTH - K + 1, LENGTH - K
 #: Bytes of a batch of texts, suffixes of a range, ranges at least, suffixes that are compared pair by pair, and offsets that are hashed together.
 SLICE, RANGE_ROWS, RANGES, PAIRWISE, BLOCK = 2_000_000, 20_000, 64, 6, 32
+#: A key is crowded if it holds at least one in so many rows; so there are at most so many crowded keys, which are broadcast.
+CROWDED = 1000
 ANCHORS = "key_a long, key_b long, pos long, gram long, context long"
 ENTRY = struct.Struct("<HHHqqq")
 
@@ -277,15 +281,36 @@ def merged(runs: DataFrame, ranges: int) -> DataFrame:
     return runs.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(run, "key_a long, key_b long, start long, end long")
 
 
+def by_windows(found: DataFrame) -> DataFrame:
+    """Anchors of k-grams that are not alone: copies and place among equal contexts, and whether a context of the k-gram is single."""
+    gram, same = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
+    marked = found.withColumn("grams", F.count("*").over(gram)).where("grams > 1")
+    marked = marked.withColumn("copies", F.count("*").over(same)).withColumn("place", F.row_number().over(same.orderBy("key_a", "key_b", "pos")))
+    return marked.withColumn("open", F.min("copies").over(gram) == 1)
+
+
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """Byte ranges (key_a, key_b, start, end), overlapping, of all repeated windows; `end` may lie beyond a text's end."""
-    gram = Window.partitionBy("gram")
-    same = Window.partitionBy("gram", "context")
-    marked = anchored(texts).withColumn("grams", F.count("*").over(gram)).where("grams > 1")
-    marked = marked.withColumn("copies", F.count("*").over(same)).withColumn("place", F.row_number().over(same.orderBy("key_a", "key_b", "pos")))
-    marked = written(marked.withColumn("open", F.min("copies").over(gram) == 1), "anchors")
-    whole = marked.where("copies > 1").select("key_a", "key_b", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    wanted = marked.where("open and place = 1").select("key_a", "key_b", "pos", "gram")
+    found = written(anchored(texts), "anchors")
+    rows = found.count()
+    many = lambda c: F.col(c) * CROWDED >= F.lit(rows)
+    crowded = written(found.groupBy("gram").count().where(many("count") & (F.col("count") > 1)).select("gram"), "crowded")
+    marked = written(by_windows(found.join(F.broadcast(crowded), "gram", "left_anti")), "marked")
+    whole, wanted = marked.where("copies > 1"), marked.where("open and place = 1").select("key_a", "key_b", "pos", "gram")
+    # k-grams that many rows share: counted by context with partial sums, and no join meets a crowded key but by broadcast
+    hot = found.join(F.broadcast(crowded), "gram", "left_semi")
+    contexts = hot.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b", "pos")).alias("first"))
+    contexts = written(contexts, "contexts")
+    opened = contexts.groupBy("gram").agg(F.min("copies").alias("least")).where("least = 1").select("gram")
+    wanted = wanted.union(contexts.join(F.broadcast(opened), "gram", "left_semi").select("first.*", "gram"))
+    common_ones = F.broadcast(contexts.where(many("copies") & (F.col("copies") > 1)).select("gram", "context"))
+    others = contexts.where(~many("copies") & (F.col("copies") > 1)).select("gram", "context")
+    both = ["gram", "context"]
+    repeated = hot.join(common_ones, both, "left_semi").union(hot.join(common_ones, both, "left_anti").join(others, both, "left_semi"))
+    repeated = written(repeated.select("key_a", "key_b", "pos"), "repeated")
+    dropped(found)
+    placed = ["key_a", "key_b", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end")]
+    whole = whole.select(placed).union(repeated.select(placed))
     # as many ranges as the suffixes ask for, each in a task of its own
     ranges = max(RANGES, -(-wanted.count() // RANGE_ROWS))
     return whole.union(merged(suffix_runs(texts, wanted, ranges), ranges))

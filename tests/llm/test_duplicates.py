@@ -136,6 +136,15 @@ def test_repeats_against_all_windows(documents, odd_rows):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == removed_bytes(rows)
 
 
+@pytest.mark.parametrize("crowded", [1, 30])
+def test_repeats_are_the_same_for_any_bound_of_crowded_keys(documents, monkeypatch, crowded):
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
+    rows = copies(8, 10)
+    rows += [(1000 + k, rows[4][1]) for k in range(30)] + [(2000 + k, f"{k} " * 40 + rows[9][1]) for k in range(30)]
+    found = repeats.without_repeats(documents(rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == removed_bytes(rows)
+
+
 def test_many_contexts_of_one_passage(documents):
     rng = random.Random(5)
     passage = "".join(rng.choice("abcdefghij ") for _ in range(260))
