@@ -303,10 +303,14 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     contexts = written(contexts, "contexts")
     opened = contexts.groupBy("gram").agg(F.min("copies").alias("least")).where("least = 1").select("gram")
     wanted = wanted.union(contexts.join(F.broadcast(opened), "gram", "left_semi").select("first.*", "gram"))
-    common_ones = F.broadcast(contexts.where(many("copies") & (F.col("copies") > 1)).select("gram", "context"))
-    others = contexts.where(~many("copies") & (F.col("copies") > 1)).select("gram", "context")
-    both = ["gram", "context"]
-    repeated = hot.join(common_ones, both, "left_semi").union(hot.join(common_ones, both, "left_anti").join(others, both, "left_semi"))
+    # every hot anchor meets the broadcast common contexts and then, shuffled, the others; one that is known already is dealt by itself
+    doubled = contexts.where("copies > 1")
+    common_ones = doubled.where(many("copies")).select("gram", "context", F.lit(True).alias("known"))
+    others = doubled.where(~many("copies")).select(F.col("gram").alias("key"), F.col("context").alias("of"), F.lit(True).alias("copied"))
+    met = hot.join(F.broadcast(common_ones), ["gram", "context"], "left")
+    met = met.withColumn("key", F.when(F.col("known"), F.xxhash64("key_a", "key_b", "pos")).otherwise(F.col("gram")))
+    met = met.withColumn("of", F.when(F.col("known"), F.col("pos")).otherwise(F.col("context"))).join(others, ["key", "of"], "left")
+    repeated = met.where(F.coalesce("known", F.lit(False)) | F.coalesce("copied", F.lit(False)))
     repeated = written(repeated.select("key_a", "key_b", "pos"), "repeated")
     dropped(found)
     placed = ["key_a", "key_b", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end")]
