@@ -57,7 +57,7 @@ STAGES = [
     ("SentencePiece", sentencepiece),
 ]
 
-#: The stages hash, sign and encode in ways that SQL cannot express; the tests hold run() against plain versions of its stages.
+#: The stages hash, sign and encode in ways that SQL cannot express; the tests hold run() to its own stages and to planted copies and junk.
 ORACLE_SQL = None
 
 
