@@ -7,9 +7,10 @@ lines that differ in one word agree in three of the five blocks. Classes are pos
 ones under each choice of two; lines that share a posting, and whose lengths allow it, are candidates. Candidates whose edit
 similarity is at least SIMILAR are linked, and of each connected group of lines the first occurrence, by doc_id and line, stays.
 
-Lines are read, normalised and signed in Arrow batches, each in its own row; all that follows are DataFrame functions. Postings
-of one class are dropped before any join. In the others every class is compared with a pivot first, and then only with classes
-of other components, block by block where a posting is large.
+All steps are DataFrame functions. The words of a class are exploded where the class was gathered, so that its votes are summed
+without a further shuffle. Postings of one class are dropped before any join. In the others every class is compared with a pivot
+first, in rounds: those that are still apart from the pivot's component meet the pivot of the next round. What is apart after the
+rounds is compared with the classes of all other components, block by block where a posting is large.
 
 Defined results: null texts have no lines; blank lines are left alone; rows that are equal in doc_id and text keep and lose the
 same lines; a null doc_id comes first; documents with nothing to remove keep their text as it is; letters of scripts without
@@ -18,19 +19,13 @@ spaces are words of their own; an empty table gives an empty table; other column
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsplit.functions.columns import let
-from tabsplit.llm.common import slices
 from tabsplit.operators.components import components
 from tabsplit.shared import dropped, written
 
@@ -39,104 +34,72 @@ LEAST_WORDS, SIMILAR, BLOCKS = 3, 0.8, 5
 BITS, MOST_TOLD = 24, 255
 #: Blocks of a posting, words that they hold together at least, and the fewest and most words of the lines that are posted so.
 POSTED = ((3, 2, LEAST_WORDS, 7), (3, 3, 6, 16), (3, 4, 14, 27), (2, 8, 24, None))
-#: Classes of a block of a large posting; words whose hashes a worker remembers.
-MET, REMEMBERED = 4096, 500_000
-#: A word; scripts that are written without spaces: Thai to Myanmar, and the East Asian ones.
-WORD, UNSPACED = re.compile(r"[^\W_]+"), re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Classes of a block of a large posting; rounds of pivots at most, and the share of the first comparison's links that is few.
+MET, ROUNDS, FEW = 4096, 4, 2
+#: What is between words; scripts that are written without spaces: Thai to Myanmar, and the East Asian ones; a sign that isn't white space.
+BETWEEN, UNSPACED = r"[^\p{L}\p{N}]+", r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
+BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 KEYS = [f"b{j}" for j in range(BLOCKS)]
-OCCURRENCE = "doc_id {}, text_key long, place int, key_a long, key_b long, length int, n_words int, " + ", ".join(f"{b} long" for b in KEYS)
-
-
-def words_of(line: str) -> list[str]:
-    """The words of a line; a line of other signs is one word, a blank one has none."""
-    low = line.lower()
-    if not low.isascii() and UNSPACED.search(low):
-        low = UNSPACED.sub(r" \g<0> ", low)
-    words = WORD.findall(low)
-    if not words and not line.isspace() and line:
-        words = [" ".join(line.split())]
-    return words
-
-
-class Signer:
-    """Block keys of lines; remembers a bounded number of words."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        of = self.known.get
-        found = [of(w) for w in words]
-        if None in found:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for k, w in enumerate(words):
-                if found[k] is None:
-                    found[k] = self.known[w] = xxhash.xxh64_intdigest(w.encode())
-        return np.array(found, dtype=np.uint64)
-
-    def keys(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """For lines of counts[k] > 0 distinct words each, one after the other: the keys of their blocks, a row a line."""
-        h = self.hashes(words)
-        group = np.repeat(np.arange(len(counts)) * BLOCKS, counts) + ((h >> np.uint64(56)) % np.uint64(BLOCKS)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        h, group = h[order], group[order]
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        held = np.diff(np.append(starts, len(h)))
-        bits = (h[:, None] >> np.arange(BITS, dtype=np.uint64)).astype(np.uint8) & 1
-        above = (2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > held[:, None]) @ (1 << np.arange(BITS, dtype=np.int64))
-        keys = np.zeros(len(counts) * BLOCKS, dtype=np.int64)
-        keys[group[starts]] = np.minimum(held, MOST_TOLD) << BITS | above
-        return keys.reshape(-1, BLOCKS)
+CLASS = ["key_a", "key_b"]
+#: Its xxhash64 is 0, so that xxhash64(UNSEEDED, word) is the word's XXH64 with seed 0.
+UNSEEDED = -365884300664092260
+
+
+def words_of(line: Column) -> Column:
+    """The words of a line that isn't blank; one of other signs is one word."""
+    low = F.lower(line)
+    spaced = F.when(F.octet_length(low) > F.length(low), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(low)
+    whole = F.trim(F.regexp_replace(line, f"[{BLANK}]+", " "))
+    return let(F.array_remove(F.split(spaced, BETWEEN), ""), lambda words: F.when(F.size(words) > 0, words).otherwise(F.array(whole)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, place, class key, length, number of words and block keys of every line that isn't blank."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer()
-        for batch in slices(batches, "text", 1_000_000):
-            rows, places, sizes, counts, lengths, flat, keys = [], [], [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                for place, line in enumerate(text.split("\n") if text is not None else ()):
-                    words = words_of(line)
-                    if words:
-                        whole = " ".join(words)
-                        rows.append(row)
-                        places.append(place)
-                        sizes.append(len(words))
-                        lengths.append(len(whole))
-                        keys.append(xxhash.xxh3_128_digest(whole.encode()))
-                        # distinct words vote, so that a language's common ones don't outvote the others of a long line
-                        distinct = set(words)
-                        counts.append(len(distinct))
-                        flat += distinct
-            if rows:
-                at, halves = pa.array(rows, pa.int32()), np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-                signs = signer.keys(flat, np.array(counts))
-                columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(lengths, pa.int32()), pa.array(sizes, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(signs[:, j]) for j in range(BLOCKS)], ["doc_id", "text_key", "place", "key_a", "key_b", "length", "n_words", *KEYS])
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, OCCURRENCE.format(dict(docs.dtypes)["doc_id"]))
+    """doc_id, text_key, place, class key, normalised line and number of words of every line that isn't blank."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    told = each.where(F.col("raw").rlike(f"[^{BLANK}]")).withColumn("words", words_of(F.col("raw")))
+    told = told.select("doc_id", "text_key", "place", F.array_join("words", " ").alias("line"), F.size("words").alias("n_words"))
+    return told.select("doc_id", "text_key", "place", F.xxhash64("line").alias("key_a"), F.xxhash64(F.lit(1), "line").alias("key_b"), "line", "n_words")
 
 
 def line_classes(found: DataFrame) -> DataFrame:
-    first = F.min(F.struct("doc_id", "text_key", "place")).alias("first")
-    return found.groupBy("key_a", "key_b").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("length", "n_words", *KEYS)), first)
+    """Class key, occurrences, first of them, length, number of words and block keys of every class.
+
+    The words of a class are exploded in the task that gathered it; distinct words vote, so that a language's common ones don't
+    outvote the others of a long line. Sums hold two votes each, in their lower and upper halves.
+    """
+    half = BITS // 2
+    gathered = found.groupBy(CLASS).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first"), F.first("line").alias("line"), F.first("n_words").alias("n_words"))
+    kept = ["n", "doc_id", "text_key", "place", "length", "n_words"]
+    flat = gathered.select(*CLASS, "n", "first.*", F.length("line").alias("length"), "n_words", F.explode_outer(F.when(F.col("n_words") >= LEAST_WORDS, F.array_distinct(F.split("line", " ")))).alias("word"))
+    hashed = flat.withColumn("h", F.when(F.col("word").isNotNull(), F.xxhash64(F.lit(UNSEEDED), "word")))
+    low = lambda x: x.bitwiseAND((1 << half) - 1)
+    votes = hashed.select(*CLASS, *kept, (F.shiftrightunsigned("h", 56) % BLOCKS).alias("block"), (low(F.col("h")) + F.shiftleft(low(F.shiftrightunsigned("h", half)), 32)).alias("bits"))
+    pair = (1 << 32) + 1
+    sums = [F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(pair))).alias(f"v{k}") for k in range(half)]
+    firsts = [F.first(c).alias(c) for c in kept]
+    told = votes.groupBy(*CLASS, "block").agg(F.count("*").alias("held"), *sums, *firsts)
+    above = [F.when(2 * x > F.col("held"), 1 << k).otherwise(0) for k in range(BITS) for x in [F.col(f"v{k % half}").bitwiseAND((1 << 32) - 1) if k < half else F.shiftrightunsigned(f"v{k % half}", 32)]]
+    key = F.least("held", F.lit(MOST_TOLD)) * (1 << BITS) + reduce(lambda p, q: p + q, above)
+    keyed = told.select(*CLASS, *kept, "block", key.alias("key"))
+    blocks = [F.coalesce(F.max(F.when(F.col("block") == j, F.col("key"))), F.lit(0)).cast("long").alias(b) for j, b in enumerate(KEYS)]
+    told = keyed.groupBy(CLASS).agg(*blocks, *firsts)
+    return told.select(*CLASS, "n", F.struct("doc_id", "text_key", "place").alias("first"), "length", "n_words", *KEYS)
 
 
 def posted(classes: DataFrame) -> DataFrame:
     """The postings of two or more classes: posting, key_a, length, and the posting's pivot and size."""
     words = lambda j: F.shiftright(f"b{j}", BITS)
     keys = []
-    for blocks, held, least, most in POSTED:
-        size = (F.col("n_words") >= least) & (F.lit(True) if most is None else F.col("n_words") <= most)
+    for blocks in sorted({x[0] for x in POSTED}):
         for chosen in combinations(range(BLOCKS), blocks):
-            keys.append(F.when(size & (sum((words(j) for j in chosen[1:]), words(chosen[0])) >= held), F.xxhash64(F.lit(sum(1 << j for j in chosen)), *(f"b{j}" for j in chosen))))
-    each = classes.where(F.col("n_words") >= LEAST_WORDS).select("key_a", "length", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("posting"))
+            held = sum((words(j) for j in chosen[1:]), words(chosen[0]))
+            fits = [(F.col("n_words") >= least) & (F.lit(True) if most is None else F.col("n_words") <= most) & (held >= least_held) for n, least_held, least, most in POSTED if n == blocks]
+            keys.append(F.when(reduce(lambda p, q: p | q, fits), F.xxhash64(F.lit(sum(1 << j for j in chosen)), *(f"b{j}" for j in chosen))))
+    each = classes.where(F.col("n_words") >= LEAST_WORDS).select("key_a", "length", F.explode(F.array(*keys)).alias("posting")).where("posting is not null")
     dealt = each.repartition("posting")
-    shared = dealt.groupBy("posting").agg(F.count("*").alias("size"), F.min(F.struct("key_a", "length")).alias("pivot")).where("size > 1")
-    return dealt.join(shared, "posting")
+    # the greatest length is asked for so that both sides can read one shuffle
+    shared = dealt.groupBy("posting").agg(F.count("*").alias("size"), F.min("key_a").alias("pivot"), F.max("length").alias("longest")).where("size > 1 and longest > 0").drop("longest")
+    return dealt.join(shared.hint("shuffle_hash"), "posting")
 
 
 def fitting(a: Column | str, b: Column | str) -> Column:
@@ -145,17 +108,41 @@ def fitting(a: Column | str, b: Column | str) -> Column:
 
 def pivot_pairs(post: DataFrame) -> DataFrame:
     """(u, v): each class with that pivot of its postings that it meets most often, of those whose lengths allow a link."""
-    met = post.where((F.col("key_a") != F.col("pivot.key_a")) & fitting("length", "pivot.length")).groupBy("key_a", F.col("pivot.key_a").alias("v")).agg(F.count("*").alias("n"))
+    met = post.where("key_a <> pivot").groupBy("key_a", F.col("pivot").alias("v")).agg(F.count("*").alias("n"), F.first("length").alias("length"))
+    pivots = post.where("key_a = pivot").groupBy(F.col("key_a").alias("v")).agg(F.first("length").alias("of"))
+    return most_met(met.join(pivots, "v").where(fitting("length", "of")))
+
+
+def most_met(met: DataFrame) -> DataFrame:
     return met.groupBy(F.col("key_a").alias("u")).agg(F.max(F.struct("n", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
 
 
+def labelled(post: DataFrame, labels: DataFrame) -> DataFrame:
+    return post.join(labels.withColumnRenamed("node", "key_a"), "key_a", "left").withColumn("label", F.coalesce("component", "key_a")).drop("component")
+
+
+def next_pairs(post: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """(u, v): each class with the pivot of another component that it meets most often; pivots are the least of the least component."""
+    named = labelled(post, labels)
+    pivots = named.groupBy("posting").agg(F.max("label").alias("other"), F.min(F.struct("label", "key_a", "length")).alias("to")).where("to.label <> other").select("posting", "to")
+    met = named.join(pivots, "posting").where((F.col("label") != F.col("to.label")) & fitting("length", "to.length"))
+    met = met.groupBy("key_a", F.col("to.key_a").alias("v")).agg(F.count("*").alias("n"))
+    return most_met(untested(met, "key_a", tested))
+
+
+def untested(pairs: DataFrame, u: str, tested: DataFrame) -> DataFrame:
+    """The pairs (u, v) that were not compared yet, in either order."""
+    both = tested.select("u", "v").union(tested.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    return pairs.join(both.select(F.col("u").alias(u), "v"), [u, "v"], "left_anti")
+
+
 def open_pairs(post: DataFrame, labels: DataFrame) -> DataFrame:
     """(u, v): classes of different components that share a posting, as far as their lengths allow a link.
 
     A large posting is cut into blocks that meet each other; those of its pivot's component don't meet among themselves.
     """
-    named = post.join(labels.withColumnRenamed("node", "key_a"), "key_a", "left").withColumn("label", F.coalesce("component", "key_a")).drop("component")
-    groups = named.groupBy("posting").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max(F.when(F.col("key_a") == F.col("pivot.key_a"), F.col("label"))).alias("home")).where("one <> other").select("posting", "home")
+    named = labelled(post, labels)
+    groups = named.groupBy("posting").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max(F.when(F.col("key_a") == F.col("pivot"), F.col("label"))).alias("home")).where("one <> other").select("posting", "home")
     placed = named.join(groups, "posting").withColumn("own", (F.col("label") == F.col("home")) & (F.col("size") > MET))
     blocks = F.ceil(F.col("size") / MET).cast("int")
     block = F.when(F.col("size") <= MET, 0).otherwise(F.pmod(F.xxhash64("key_a", "posting"), blocks) + F.when(F.col("own"), blocks).otherwise(0)).cast("int")
@@ -169,54 +156,79 @@ def open_pairs(post: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x.key_a", "y.key_a").alias("u"), F.least("x.key_a", "y.key_a").alias("v")).distinct()
 
 
-def texts_at(docs: DataFrame, at: DataFrame) -> DataFrame:
-    """key_a and the normalised line of the asked places (doc_id, text_key, place, key_a)."""
-    listed = at.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "key_a")).alias("asked"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    met = keyed.join(listed.withColumnRenamed("doc_id", "asked_id"), (keyed["text_key"] == listed["text_key"]) & keyed["doc_id"].eqNullSafe(F.col("asked_id"))).select("text", "asked")
+def linked(found: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs, told whether their normalised lines have the edit similarity; the lines are looked up at their first occurrences."""
+    asked = pairs.select(F.col("u").alias("key_a")).union(pairs.select(F.col("v").alias("key_a"))).distinct()
+    at = classes.join(asked, "key_a").select("first", *CLASS)
+    lines = found.join(at, CLASS).where(F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))).groupBy("key_a").agg(F.first("line").alias("line"))
+    lines = written(lines, "lines")
+    u, v = lines.select(F.col("key_a").alias("u"), F.col("line").alias("a")), lines.select(F.col("key_a").alias("v"), F.col("line").alias("b"))
+    told = written(pairs.join(u, "u").join(v, "v").repartition("u", "v").select("u", "v", alike("a", "b").alias("alike")), "links")
+    dropped(lines)
+    return told
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1_000_000):
-            found = []
-            for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                lines = text.split("\n")
-                found += [(x["key_a"], " ".join(words_of(lines[x["place"]]))) for x in asked]
-            keys, lines = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], ["key_a", "line"])
 
-    return met.mapInArrow(run, "key_a long, line string").groupBy("key_a").agg(F.first("line").alias("line"))
+def alike(a: str, b: str) -> Column:
+    """Whether the edit distance of two lines, of words with one space between, is at most that of SIMILAR.
 
+    Words that they begin and end with alike don't count. What remains is near enough if it is short, or if its words that
+    differ, place by place, are; else its distance tells.
+    """
+    most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - SIMILAR) + 1e-9).cast("int")
+    differ = lambda x, y: F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q))
+    equal = lambda x, y: F.greatest(F.array_position(differ(x, y), F.lit(True)) - 1, F.lit(0)).cast("int")
 
-def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose normalised lines have the edit similarity; the lines are looked up at their first occurrences."""
-    asked = pairs.select(F.col("u").alias("key_a")).union(pairs.select(F.col("v").alias("key_a"))).distinct()
-    lines = written(texts_at(docs, classes.join(asked, "key_a").select("first.*", "key_a")), "lines")
-    u, v = lines.select(F.col("key_a").alias("u"), F.col("line").alias("a")), lines.select(F.col("key_a").alias("v"), F.col("line").alias("b"))
-    most = F.floor(F.greatest(F.length("a"), F.length("b")) * (1 - SIMILAR) + 1e-9).cast("int")
-    found = written(pairs.join(u, "u").join(v, "v").withColumn("most", most).where(banded()).select("u", "v"), "links")
-    dropped(lines)
-    return found
+    def cut(w: Column) -> Column:
+        n = F.least(F.size(w["x"]), F.size(w["y"]))
+        return let(F.struct(w["x"].alias("x"), w["y"].alias("y"), equal(w["x"], w["y"]).alias("head"), equal(F.reverse(w["x"]), F.reverse(w["y"])).alias("tail"), n.alias("n")), middles)
+
+    def middles(w: Column) -> Column:
+        tail = F.least(w["tail"], w["n"] - w["head"])
+        part = lambda x: F.slice(x, w["head"] + 1, F.size(x) - w["head"] - tail)
+        return let(F.struct(part(w["x"]).alias("x"), part(w["y"]).alias("y")), compared)
+
+    def compared(w: Column) -> Column:
+        # every word with a space behind it, so that a part without words is empty
+        text = lambda x: F.when(F.size(x) > 0, F.concat(F.array_join(x, " "), F.lit(" "))).otherwise("")
+        changed = F.aggregate(F.zip_with(w["x"], w["y"], lambda p, q: F.when(p.eqNullSafe(q), 0).otherwise(F.greatest(F.length(p), F.length(q)) + (p.isNull() | q.isNull()).cast("int"))), F.lit(0), lambda s, n: s + n)
+        return let(F.struct(text(w["x"]).alias("a"), text(w["y"]).alias("b"), most.alias("most")), lambda t: F.when(F.greatest(F.length(t["a"]), F.length(t["b"])) <= t["most"], True).when(changed <= t["most"], True).otherwise(banded(t["a"], t["b"], t["most"])))
 
+    return let(F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y")), cut)
 
-def banded() -> Column:
+
+def banded(a: Column, b: Column, most: Column) -> Column:
     """Edit distance of a and b at most `most`; narrow bands, which tell near lines cheaply, come first."""
-    within = lambda most: F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0
-    found = within(F.col("most"))
+    within = lambda most: F.call_function("levenshtein", a, b, most) >= 0
+    found = within(most)
     for band in (16384, 4096, 1024, 256, 64, 16):
-        found = F.when(within(F.least(F.col("most"), F.lit(band))), True).when(F.col("most") <= band, False).otherwise(found)
+        found = F.when(within(F.least(most, F.lit(band))), True).when(most <= band, False).otherwise(found)
     return found
 
 
-def groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """node and component of classes that are linked with others."""
+def groups(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and component of classes that are linked with others.
+
+    Rounds of pivots end when one links few; the last comparison takes all that is apart then, however much it is.
+    """
     post = written(posted(classes), "postings")
     pairs = written(pivot_pairs(post), "pairs")
-    links = linked(docs, classes, pairs)
-    found = components(links)
-    rest = written(open_pairs(post, found), "pairs")
-    more = linked(docs, classes, rest)
-    last = components(links.union(more))
-    dropped(post, pairs, rest, links, more, found)
+    tested = linked(found, classes, pairs)
+    tables, most = [post, pairs, tested], tested.where("alike").count()
+    for _ in range(ROUNDS):
+        labels = components(tested.where("alike"))
+        pairs = written(next_pairs(post, labels, tested), "pairs")
+        told = linked(found, classes, pairs)
+        near = told.where("alike").count()
+        tested = tested.union(told)
+        dropped(labels)
+        tables += [pairs, told]
+        if FEW * near <= most:
+            break
+    labels = components(tested.where("alike"))
+    rest = written(untested(open_pairs(post, labels), "u", tested), "pairs")
+    more = linked(found, classes, rest)
+    last = components(tested.union(more).where("alike"))
+    dropped(*tables, labels, rest, more)
     return last
 
 
@@ -224,12 +236,12 @@ def removals(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and the places of the lines that go."""
     found = written(occurrences(docs), "occurrences")
     classes = written(line_classes(found), "classes")
-    joined = groups(docs, classes)
+    joined = groups(found, classes)
     several = classes.join(joined, classes["key_a"] == joined["node"])
     firsts = several.groupBy("component").agg(F.min("first").alias("kept"))
     grouped = several.join(firsts, "component").select("key_a", "key_b", "kept")
     alone = classes.where("n > 1").join(joined, classes["key_a"] == joined["node"], "left_anti").select("key_a", "key_b", F.col("first").alias("kept"))
-    gone = found.join(grouped.union(alone), ["key_a", "key_b"]).where(~F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("kept")))
+    gone = found.select("doc_id", "text_key", "place", *CLASS).join(grouped.union(alone), ["key_a", "key_b"]).where(~F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("kept")))
     places = written(gone.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "places")
     dropped(found, classes, joined)
     return places

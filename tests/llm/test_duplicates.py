@@ -281,3 +281,52 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(30)] + [(300, 300)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert found == {k: 0 for k in range(61)} | {100: 100} | {200 + k: 100 for k in range(30)}
+
+
+def line_family(n):
+    """One line of 30 words with three or four of them changed, n times."""
+    rng = random.Random(21)
+    base = [f"word{k}" for k in range(30)]
+    rows = []
+    for k in range(n):
+        changed = list(base)
+        for _ in range(rng.randint(3, 4)):
+            changed[rng.randrange(30)] = f"other{rng.randrange(10**6)}"
+        rows.append((k, " ".join(changed)))
+    return rows
+
+
+def test_near_lines_of_a_large_family_are_not_compared_in_all_pairs(documents, monkeypatch):
+    rows, compared, link = line_family(150), [], lines.linked
+    monkeypatch.setattr(lines, "linked", lambda *x: compared.append(x[-1].count()) or link(*x))
+    found = lines.without_repeated_lines(documents(rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in found) == brute_lines(rows)
+    assert sum(compared) <= 3 * len(rows), compared
+
+
+def test_line_dedup_runs_no_python(spark, documents, monkeypatch):
+    plans, write = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or write(df, name))
+    found = lines.without_repeated_lines(documents(copies(5, 3)))
+    assert not [x for x in [*plans, found._jdf.queryExecution().toString()] if "Arrow" in x or "Python" in x]
+
+
+def test_edit_similarity_of_lines_against_all_of_their_letters(spark):
+    rng, pairs = random.Random(22), []
+    for _ in range(400):
+        a = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))] * rng.randint(0, 1)
+        pairs.append((" ".join(a), " ".join(b or ["x"])))
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.alike("a", "b").alias("near")).collect()
+    assert [r.near for r in found] == [alike(r.a, r.b) for r in found] and {r.near for r in found} == {True, False}
+
+
+def test_words_are_hashed_without_a_seed(spark):
+    from pyspark.sql import functions as F
+
+    words = ["a", "word", "longer than thirty-two bytes of a word, and more", "é日"]
+    found = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64(F.lit(lines.UNSEEDED), "w").alias("h")).collect()
+    assert {r.w: r.h & (1 << 64) - 1 for r in found} == {w: xxhash.xxh64_intdigest(w.encode()) for w in words}
