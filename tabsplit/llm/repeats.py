@@ -5,8 +5,8 @@ at the same place, so a repeated window is always seen at two anchors with equal
 
 1. Anchors of all texts are keyed by the hash of their k-gram and of their whole context (all windows that may have chosen
    them). Anchors whose k-gram is unique end here. Equal contexts prove all of their windows repeated. K-grams that one in
-   `CROWDED` anchors shares are counted by aggregates with partial sums, so that no task holds all of their anchors; windows
-   over the k-gram count the others.
+   `CROWDED` anchors shares are counted by aggregates with partial sums and their anchors dealt into slices, so that no task
+   holds all of them; windows over the k-gram count the others.
 2. For k-grams with different contexts, one suffix for each context is sorted: tasks write sorted, front-coded runs, cut by
    range of the leading hash, and each range's runs are merged by a loser tree that carries common-prefix lengths and never
    compares a known prefix again. Neighbours that share the k-gram are compared to the left and right of it, which gives the
@@ -41,8 +41,10 @@ LENGTH, K = 200, 32
 PLACES, BEFORE = LENGTH - K + 1, LENGTH - K
 #: Bytes of a batch of texts, suffixes of a range, ranges at least, suffixes that are compared pair by pair, and offsets that are hashed together.
 SLICE, RANGE_ROWS, RANGES, PAIRWISE, BLOCK = 2_000_000, 20_000, 64, 6, 32
-#: A key is crowded if it holds at least one in so many rows; so there are at most so many crowded keys, which are broadcast.
+#: A key is crowded if it holds at least one in so many rows; so there are at most so many crowded keys, whose list is part of the plan.
 CROWDED = 1000
+#: Anchors of a slice of a crowded k-gram, about.
+SLICED = 10_000
 ANCHORS = "key_a long, key_b long, pos long, gram long, context long"
 ENTRY = struct.Struct("<HHHqqq")
 
@@ -293,25 +295,24 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     """Byte ranges (key_a, key_b, start, end), overlapping, of all repeated windows; `end` may lie beyond a text's end."""
     found = written(anchored(texts), "anchors")
     rows = found.count()
-    many = lambda c: F.col(c) * CROWDED >= F.lit(rows)
-    crowded = written(found.groupBy("gram").count().where(many("count") & (F.col("count") > 1)).select("gram"), "crowded")
-    marked = written(by_windows(found.join(F.broadcast(crowded), "gram", "left_anti")), "marked")
+    # k-grams that many rows share, at most CROWDED of them; the others are counted by windows over the k-gram
+    crowded = found.groupBy("gram").count().where((F.col("count") * CROWDED >= F.lit(rows)) & (F.col("count") > 1)).collect()
+    is_hot = F.col("gram").isin([r["gram"] for r in crowded])
+    marked = written(by_windows(found.where(~is_hot)), "marked")
     whole, wanted = marked.where("copies > 1"), marked.where("open and place = 1").select("key_a", "key_b", "pos", "gram")
-    # k-grams that many rows share: counted by context with partial sums, and no join meets a crowded key but by broadcast
-    hot = found.join(F.broadcast(crowded), "gram", "left_semi")
+    # crowded ones are counted by context with partial sums
+    hot = found.where(is_hot)
     contexts = hot.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b", "pos")).alias("first"))
     contexts = written(contexts, "contexts")
-    opened = contexts.groupBy("gram").agg(F.min("copies").alias("least")).where("least = 1").select("gram")
-    wanted = wanted.union(contexts.join(F.broadcast(opened), "gram", "left_semi").select("first.*", "gram"))
-    # every hot anchor meets the broadcast common contexts and then, shuffled, the others; one that is known already is dealt by itself
-    doubled = contexts.where("copies > 1")
-    common_ones = doubled.where(many("copies")).select("gram", "context", F.lit(True).alias("known"))
-    others = doubled.where(~many("copies")).select(F.col("gram").alias("key"), F.col("context").alias("of"), F.lit(True).alias("copied"))
-    met = hot.join(F.broadcast(common_ones), ["gram", "context"], "left")
-    met = met.withColumn("key", F.when(F.col("known"), F.xxhash64("key_a", "key_b", "pos")).otherwise(F.col("gram")))
-    met = met.withColumn("of", F.when(F.col("known"), F.col("pos")).otherwise(F.col("context"))).join(others, ["key", "of"], "left")
-    repeated = met.where(F.coalesce("known", F.lit(False)) | F.coalesce("copied", F.lit(False)))
-    repeated = written(repeated.select("key_a", "key_b", "pos"), "repeated")
+    opened = contexts.where("copies = 1").select("gram").distinct().collect()
+    wanted = wanted.union(contexts.where(F.col("gram").isin([r["gram"] for r in opened])).select("first.*", "gram"))
+    # anchors of a context are dealt into slices of bounded size; one with another in its slice is repeated, and only those that are
+    # alone there, at most one a slice, meet the counted contexts
+    slices_ = -(-max((r["count"] for r in crowded), default=1) // SLICED)
+    sliced = hot.withColumn("slice", F.pmod(F.xxhash64("key_a", "key_b", "pos"), F.lit(slices_)))
+    sliced = written(sliced.withColumn("here", F.count("*").over(Window.partitionBy("gram", "context", "slice"))), "sliced")
+    alone = sliced.where("here = 1").join(contexts.where("copies > 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    repeated = sliced.where("here > 1").select("key_a", "key_b", "pos").union(alone.select("key_a", "key_b", "pos"))
     dropped(found)
     placed = ["key_a", "key_b", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end")]
     whole = whole.select(placed).union(repeated.select(placed))

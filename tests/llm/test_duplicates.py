@@ -330,3 +330,17 @@ def test_words_are_hashed_without_a_seed(spark):
     words = ["a", "word", "longer than thirty-two bytes of a word, and more", "é日"]
     found = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64(F.lit(lines.UNSEEDED), "w").alias("h")).collect()
     assert {r.w: r.h & (1 << 64) - 1 for r in found} == {w: xxhash.xxh64_intdigest(w.encode()) for w in words}
+
+
+@pytest.mark.parametrize("sliced", [1, 7, 10_000])
+def test_hot_anchors_that_have_another_in_their_slice_meet_no_join(documents, monkeypatch, sliced):
+    monkeypatch.setattr(repeats, "CROWDED", 30)
+    monkeypatch.setattr(repeats, "SLICED", sliced)
+    kept, write = {}, repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    rows = copies(8, 6)
+    rows += [(1000 + k, rows[4][1]) for k in range(30)] + [(2000 + k, f"{k} " * 40 + rows[9][1]) for k in range(30)]
+    found = repeats.without_repeats(documents(rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == removed_bytes(rows)
+    sizes = {r.here: r["count"] for r in kept["sliced"].groupBy("here").count().collect()}
+    assert sum(sizes.values()) > 100 and (sliced < 10_000 or sizes.get(1, 0) < 0.5 * sum(sizes.values())), sizes
