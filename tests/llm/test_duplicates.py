@@ -284,14 +284,13 @@ def test_components_of_chains_and_stars(spark):
 
 
 def line_family(n):
-    """One line of 30 words with three or four of them changed, n times."""
+    """One line of 30 words n times with one word changed; every other one has three more words changed, the same in all."""
     rng = random.Random(21)
     base = [f"word{k}" for k in range(30)]
     rows = []
     for k in range(n):
-        changed = list(base)
-        for _ in range(rng.randint(3, 4)):
-            changed[rng.randrange(30)] = f"other{rng.randrange(10**6)}"
+        changed = [f"second{j}" if k % 2 and j < 3 else w for j, w in enumerate(base)]
+        changed[rng.randrange(3, 30)] = f"other{rng.randrange(10**6)}"
         rows.append((k, " ".join(changed)))
     return rows
 
