@@ -9,7 +9,7 @@ similarity is at least SIMILAR are linked, and of each connected group of lines
 
 All steps are DataFrame functions. The words of a class are exploded where the class was gathered, so that its votes are summed
 without a further shuffle. Postings of one class are dropped before any join. In the others every class is compared with a pivot
-first, in rounds: those that are still apart from the pivot's component meet the pivot of the next round. What is apart after the
+first, in rounds: those whose label differs from the pivot's meet the pivot of the next round. What is apart after the
 rounds is compared with the classes of all other components, block by block where a posting is large.
 
 Defined results: null texts have no lines; blank lines are left alone; rows that are equal in doc_id and text keep and lose the
@@ -113,26 +113,45 @@ def pivot_pairs(post: DataFrame) -> DataFrame:
     return most_met(met.join(pivots, "v").where(fitting("length", "of")))
 
 
-def most_met(met: DataFrame) -> DataFrame:
-    return met.groupBy(F.col("key_a").alias("u")).agg(F.max(F.struct("n", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+def most_met(met: DataFrame, *more: str) -> DataFrame:
+    return met.groupBy(F.col("key_a").alias("u")).agg(F.max(F.struct("n", "v", *more)).alias("x")).select("u", F.col("x.v").alias("v"), *(f"x.{c}" for c in more))
 
 
 def labelled(post: DataFrame, labels: DataFrame) -> DataFrame:
-    return post.join(labels.withColumnRenamed("node", "key_a"), "key_a", "left").withColumn("label", F.coalesce("component", "key_a")).drop("component")
+    named = post.join(labels.select(F.col("node").alias("key_a"), F.col("label").alias("known")), "key_a", "left")
+    return named.withColumn("label", F.coalesce("known", "key_a")).drop("known")
 
 
-def next_pairs(post: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """(u, v): each class with the pivot of another component that it meets most often; pivots are the least of the least component."""
-    named = labelled(post, labels)
-    pivots = named.groupBy("posting").agg(F.max("label").alias("other"), F.min(F.struct("label", "key_a", "length")).alias("to")).where("to.label <> other").select("posting", "to")
-    met = named.join(pivots, "posting").where((F.col("label") != F.col("to.label")) & fitting("length", "to.length"))
-    met = met.groupBy("key_a", F.col("to.key_a").alias("v")).agg(F.count("*").alias("n"))
-    return most_met(untested(met, "key_a", tested))
+def shortened(labels: DataFrame) -> DataFrame:
+    """node and label, of each node's label its own label where it has one."""
+    on = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return labels.join(on, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+
+
+def still_open(post: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings whose classes have several labels, with label and `to`, the least class of the least label."""
+    named = labelled(post.drop("label", "to"), labels)
+    several = named.groupBy("posting").agg(F.max("label").alias("other"), F.min(F.struct("label", "key_a", "length")).alias("to")).where("to.label <> other").select("posting", "to")
+    return named.join(several, "posting")
+
+
+def next_pairs(post: DataFrame, tested: DataFrame) -> DataFrame:
+    """(u, v): each class of open postings with the `to` of another label that it meets most often; of_u and of_v are their labels."""
+    met = post.where((F.col("label") != F.col("to.label")) & fitting("length", "to.length"))
+    met = met.groupBy("key_a", F.col("to.key_a").alias("v")).agg(F.count("*").alias("n"), F.first("label").alias("of_u"), F.first("to.label").alias("of_v"))
+    return most_met(untested(met, "key_a", tested), "of_u", "of_v")
+
+
+def hooked(labels: DataFrame, told: DataFrame) -> DataFrame:
+    """The labels where those that a link ties to lesser ones give way to the least of these."""
+    hooks = told.where("alike").groupBy(F.col("of_u").alias("label")).agg(F.min("of_v").alias("least"))
+    moved = labels.join(hooks, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return shortened(moved.union(hooks.select(F.col("label").alias("node"), F.col("least").alias("label"))).groupBy("node").agg(F.min("label").alias("label")))
 
 
 def untested(pairs: DataFrame, u: str, tested: DataFrame) -> DataFrame:
     """The pairs (u, v) that were not compared yet, in either order."""
-    both = tested.select("u", "v").union(tested.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    both = tested.select("u", "v").union(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
     return pairs.join(both.select(F.col("u").alias(u), "v"), [u, "v"], "left_anti")
 
 
@@ -141,7 +160,7 @@ def open_pairs(post: DataFrame, labels: DataFrame) -> DataFrame:
 
     A large posting is cut into blocks that meet each other; those of its pivot's component don't meet among themselves.
     """
-    named = labelled(post, labels)
+    named = labelled(post.drop("label", "to"), labels)
     groups = named.groupBy("posting").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max(F.when(F.col("key_a") == F.col("pivot"), F.col("label"))).alias("home")).where("one <> other").select("posting", "home")
     placed = named.join(groups, "posting").withColumn("own", (F.col("label") == F.col("home")) & (F.col("size") > MET))
     blocks = F.ceil(F.col("size") / MET).cast("int")
@@ -156,16 +175,16 @@ def open_pairs(post: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x.key_a", "y.key_a").alias("u"), F.least("x.key_a", "y.key_a").alias("v")).distinct()
 
 
-def linked(found: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs, told whether their normalised lines have the edit similarity; the lines are looked up at their first occurrences."""
-    asked = pairs.select(F.col("u").alias("key_a")).union(pairs.select(F.col("v").alias("key_a"))).distinct()
-    at = classes.join(asked, "key_a").select("first", *CLASS)
-    lines = found.join(at, CLASS).where(F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))).groupBy("key_a").agg(F.first("line").alias("line"))
-    lines = written(lines, "lines")
+def shared_lines(found: DataFrame, classes: DataFrame, post: DataFrame) -> DataFrame:
+    """key_a and line of the classes that share postings, looked up at their first occurrences."""
+    at = classes.join(post.select("key_a").distinct(), "key_a").select("first", *CLASS)
+    return found.join(at, CLASS).where(F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))).groupBy("key_a").agg(F.first("line").alias("line"))
+
+
+def linked(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs, told whether their normalised lines have the edit similarity. What many share is met first, so that pairs end dealt by u."""
     u, v = lines.select(F.col("key_a").alias("u"), F.col("line").alias("a")), lines.select(F.col("key_a").alias("v"), F.col("line").alias("b"))
-    told = written(pairs.join(u, "u").join(v, "v").repartition("u", "v").select("u", "v", alike("a", "b").alias("alike")), "links")
-    dropped(lines)
-    return told
+    return written(pairs.join(v, "v").join(u, "u").select(*pairs.columns, alike("a", "b").alias("alike")), "links")
 
 
 def alike(a: str, b: str) -> Column:
@@ -208,27 +227,32 @@ def banded(a: Column, b: Column, most: Column) -> Column:
 def groups(found: DataFrame, classes: DataFrame) -> DataFrame:
     """node and component of classes that are linked with others.
 
-    Rounds of pivots end when one links few; the last comparison takes all that is apart then, however much it is.
+    Rounds of pivots end when one links few; the last comparison takes all that is apart then, however much it is. Labels of the
+    rounds are classes of one's own component, but not always its least: what they leave apart is compared once more.
     """
     post = written(posted(classes), "postings")
+    lines = written(shared_lines(found, classes, post), "lines")
     pairs = written(pivot_pairs(post), "pairs")
-    tested = linked(found, classes, pairs)
-    tables, most = [post, pairs, tested], tested.where("alike").count()
+    tested = linked(lines, pairs)
+    tables, most = [lines, pairs, tested], tested.where("alike").count()
+    # a class has one pivot, less than itself, so that links are steps towards labels
+    labels = written(shortened(shortened(tested.where("alike").select(F.col("u").alias("node"), F.col("v").alias("label")))), "labels")
     for _ in range(ROUNDS):
-        labels = components(tested.where("alike"))
-        pairs = written(next_pairs(post, labels, tested), "pairs")
-        told = linked(found, classes, pairs)
+        last, post = post, written(still_open(post, labels), "postings")
+        dropped(last)
+        pairs = written(next_pairs(post, tested), "pairs")
+        told = linked(lines, pairs)
         near = told.where("alike").count()
-        tested = tested.union(told)
-        dropped(labels)
+        last, labels = labels, written(hooked(labels, told), "labels")
+        dropped(last)
+        tested = tested.union(told.select("u", "v", "alike"))
         tables += [pairs, told]
         if FEW * near <= most:
             break
-    labels = components(tested.where("alike"))
     rest = written(untested(open_pairs(post, labels), "u", tested), "pairs")
-    more = linked(found, classes, rest)
+    more = linked(lines, rest)
     last = components(tested.union(more).where("alike"))
-    dropped(*tables, labels, rest, more)
+    dropped(*tables, post, labels, rest, more)
     return last
 
 

@@ -303,6 +303,21 @@ def test_near_lines_of_a_large_family_are_not_compared_in_all_pairs(documents, m
     assert sum(compared) <= 3 * len(rows), compared
 
 
+def test_lines_of_pairs_are_looked_up_once(documents, monkeypatch):
+    rows, names, write = line_family(60), [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: names.append(name) or write(df, name))
+    found = lines.without_repeated_lines(documents(rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in found) == brute_lines(rows)
+    assert names.count("lines") == 1 and names.count("links") > 2, names
+
+
+def test_components_without_links_take_no_round(spark, monkeypatch):
+    names, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or write(df, name))
+    assert graph.components(spark.createDataFrame([(7, 7)], "u long, v long")).count() == 0
+    assert names == ["stars", "components"]
+
+
 def test_line_dedup_runs_no_python(spark, documents, monkeypatch):
     plans, write = [], lines.written
     monkeypatch.setattr(lines, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or write(df, name))
