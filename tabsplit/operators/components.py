@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabsplit.shared import dropped, written
@@ -11,24 +11,24 @@ MOST_ROUNDS = 60
 
 
 def large_star(links: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node is tied to the least of the node and its neighbours."""
+    """Each larger neighbour of a node is tied to the least of the node and its neighbours; so u > v here and in what follows."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(links: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are tied to the least of those."""
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    """A node and its smaller neighbours, of links with u > v, are tied to the least of those."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    tied = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def mark(links: DataFrame) -> tuple:
-    """A count and a sum that change with the links; one row reaches the driver."""
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def marked(links: DataFrame, name: str) -> tuple:
+    """The links, written, with a count and a sum that change with them, observed while they were."""
+    seen = Observation()
+    found = written(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), name)
+    return found, (seen.get["n"], seen.get["s"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,12 +37,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so that plans stay short and lost executors cost one round; the round before
     is deleted then. Rows of a hub are two identifiers each, and AQE splits its join where they are too many.
     """
-    stars = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    before = mark(stars)
+    stars, before = marked(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     for _ in range(MOST_ROUNDS):
-        last, stars = stars, written(small_star(large_star(stars)), "stars")
+        if not before[0]:
+            break
+        last = stars
+        stars, now = marked(small_star(large_star(stars)), "stars")
         dropped(last)
-        now = mark(stars)
         if now == before:
             break
         before = now
