@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabsplit.functions.columns import let
 from tabsplit.operators.components import components
-from tabsplit.shared import dropped, written
+from tabsplit.shared import dropped, swept, written
 
 LEAST_WORDS, SIMILAR, BLOCKS = 3, 0.8, 5
 #: Bits of a block that are voted on, and words of a block that its key tells apart.
@@ -36,8 +36,10 @@ BITS, MOST_TOLD = 24, 255
 POSTED = ((3, 2, LEAST_WORDS, 7), (3, 3, 6, 16), (3, 4, 14, 27), (2, 8, 24, None))
 #: Classes of a block of a large posting; rounds of pivots at most, and the share of the first comparison's links that is few.
 MET, ROUNDS, FEW = 4096, 4, 2
-#: What is between words; scripts that are written without spaces: Thai to Myanmar, and the East Asian ones; a sign that isn't white space.
-BETWEEN, UNSPACED = r"[^\p{L}\p{N}]+", r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
+#: What is between words of a line, but for a single space; scripts that are written without spaces: Thai to Myanmar, and the East Asian ones;
+#: signs from the first of these on; white space.
+BETWEEN, UNSPACED = r"[^\p{L}\p{N}\n ][^\p{L}\p{N}\n]*| [^\p{L}\p{N}\n]+", r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
+HIGH = r"[\u0e00-\x{10ffff}]"
 BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 KEYS = [f"b{j}" for j in range(BLOCKS)]
 CLASS = ["key_a", "key_b"]
@@ -45,58 +47,74 @@ CLASS = ["key_a", "key_b"]
 UNSEEDED = -365884300664092260
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line that isn't blank; one of other signs is one word."""
-    low = F.lower(line)
-    spaced = F.when(F.octet_length(low) > F.length(low), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(low)
-    whole = F.trim(F.regexp_replace(line, f"[{BLANK}]+", " "))
-    return let(F.array_remove(F.split(spaced, BETWEEN), ""), lambda words: F.when(F.size(words) > 0, words).otherwise(F.array(whole)))
+def normal(text: DataFrame) -> DataFrame:
+    """The table with `line`, its texts in lower case with one space for what is between words of a line; breaks of lines stay.
+
+    Steps are columns of their own, so that each is computed once a text.
+    """
+    low = text.withColumn("line", F.lower("text"))
+    spaced = F.when((F.octet_length("line") > F.length("line")) & F.col("line").rlike(HIGH), F.regexp_replace("line", UNSPACED, " $0 ")).otherwise(F.col("line"))
+    return low.withColumn("line", spaced).withColumn("line", F.regexp_replace("line", BETWEEN, " "))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, place, class key, normalised line and number of words of every line that isn't blank."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    told = each.where(F.col("raw").rlike(f"[^{BLANK}]")).withColumn("words", words_of(F.col("raw")))
-    told = told.select("doc_id", "text_key", "place", F.array_join("words", " ").alias("line"), F.size("words").alias("n_words"))
-    return told.select("doc_id", "text_key", "place", F.xxhash64("line").alias("key_a"), F.xxhash64(F.lit(1), "line").alias("key_b"), "line", "n_words")
+    """doc_id, text_key, place, class key, normalised line of every line that isn't blank, and whether it has signs only, which are one word.
+
+    Texts are normalised whole; raw lines are looked at where a normalised one is empty. Of those, lines of signs stand behind a break.
+    """
+    texts = normal(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"))
+    signs = lambda raw: F.when(raw.rlike(f"[^{BLANK}]"), F.concat(F.lit("\n"), F.trim(F.regexp_replace(raw, f"[{BLANK}]+", " ")))).otherwise("")
+    broken = F.concat(F.lit("\n"), F.col("line"), F.lit("\n"))
+    empty = F.contains(broken, F.lit("\n\n")) | F.contains(broken, F.lit("\n \n"))
+    both = F.zip_with(F.split("line", "\n"), F.split("text", "\n"), lambda line, raw: F.when(F.trim(line) == "", signs(raw)).otherwise(line))
+    each = texts.select("doc_id", "text_key", F.posexplode(F.when(empty, both).otherwise(F.split("line", "\n"))).alias("place", "line"))
+    told = each.select("doc_id", "text_key", "place", F.trim("line").alias("line"), F.startswith("line", F.lit("\n")).alias("signs")).where("line <> ''")
+    told = told.withColumn("line", F.when(F.col("signs"), F.substr("line", F.lit(2))).otherwise(F.col("line")))
+    return told.select("doc_id", "text_key", "place", F.xxhash64("line").alias("key_a"), F.xxhash64(F.lit(1), "line").alias("key_b"), "line", "signs")
 
 
 def line_classes(found: DataFrame) -> DataFrame:
     """Class key, occurrences, first of them, length, number of words and block keys of every class.
 
     The words of a class are exploded in the task that gathered it; distinct words vote, so that a language's common ones don't
-    outvote the others of a long line. Sums hold two votes each, in their lower and upper halves.
+    outvote the others of a long line. Sums hold three votes each, of 21 bits: enough for any line whose words fit in a task's memory.
     """
-    half = BITS // 2
-    gathered = found.groupBy(CLASS).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first"), F.first("line").alias("line"), F.first("n_words").alias("n_words"))
+    third = BITS // 3
+    gathered = found.groupBy(CLASS).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first"), F.first("line").alias("line"), F.first("signs").alias("signs"))
     kept = ["n", "doc_id", "text_key", "place", "length", "n_words"]
-    flat = gathered.select(*CLASS, "n", "first.*", F.length("line").alias("length"), "n_words", F.explode_outer(F.when(F.col("n_words") >= LEAST_WORDS, F.array_distinct(F.split("line", " ")))).alias("word"))
+    split = gathered.select(*CLASS, "n", "first.*", F.length("line").alias("length"), F.split("line", " ").alias("words"), "signs")
+    split = split.withColumn("n_words", F.when(F.col("signs"), 1).otherwise(F.size("words")))
+    flat = split.select(*CLASS, *kept, F.explode_outer(F.when(F.col("n_words") >= LEAST_WORDS, F.array_distinct("words"))).alias("word"))
     hashed = flat.withColumn("h", F.when(F.col("word").isNotNull(), F.xxhash64(F.lit(UNSEEDED), "word")))
-    low = lambda x: x.bitwiseAND((1 << half) - 1)
-    votes = hashed.select(*CLASS, *kept, (F.shiftrightunsigned("h", 56) % BLOCKS).alias("block"), (low(F.col("h")) + F.shiftleft(low(F.shiftrightunsigned("h", half)), 32)).alias("bits"))
-    pair = (1 << 32) + 1
-    sums = [F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(pair))).alias(f"v{k}") for k in range(half)]
-    firsts = [F.first(c).alias(c) for c in kept]
-    told = votes.groupBy(*CLASS, "block").agg(F.count("*").alias("held"), *sums, *firsts)
-    above = [F.when(2 * x > F.col("held"), 1 << k).otherwise(0) for k in range(BITS) for x in [F.col(f"v{k % half}").bitwiseAND((1 << 32) - 1) if k < half else F.shiftrightunsigned(f"v{k % half}", 32)]]
+    part = lambda x, k, n: F.shiftrightunsigned(x, k).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    bits = reduce(lambda p, q: p + q, (F.shiftleft(part("h", third * k, third), 21 * k) for k in range(3)))
+    votes = hashed.select(*CLASS, *kept, (F.shiftrightunsigned("h", 56) % BLOCKS).alias("block"), bits.alias("bits"))
+    sums = [F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1 + (1 << 21) + (1 << 42)))).alias(f"v{k}") for k in range(third)]
+    same = [F.max(c).alias(c) for c in kept]
+    told = votes.groupBy(*CLASS, "block").agg(F.count("*").alias("held"), *sums, *same)
+    above = [F.when(2 * part(f"v{k % third}", 21 * (k // third), 21) > F.col("held"), 1 << k).otherwise(0) for k in range(BITS)]
     key = F.least("held", F.lit(MOST_TOLD)) * (1 << BITS) + reduce(lambda p, q: p + q, above)
     keyed = told.select(*CLASS, *kept, "block", key.alias("key"))
     blocks = [F.coalesce(F.max(F.when(F.col("block") == j, F.col("key"))), F.lit(0)).cast("long").alias(b) for j, b in enumerate(KEYS)]
-    told = keyed.groupBy(CLASS).agg(*blocks, *firsts)
+    told = keyed.groupBy(CLASS).agg(*blocks, *same)
     return told.select(*CLASS, "n", F.struct("doc_id", "text_key", "place").alias("first"), "length", "n_words", *KEYS)
 
 
+def posted_by(classes: DataFrame, blocks: int) -> DataFrame:
+    """key_a, length and posting of the classes under each choice of so many blocks.
+
+    Each number of blocks is a step of its own: the code of all in one is too large for the JVM to compile.
+    """
+    held = F.coalesce(*(F.when((F.col("n_words") >= least) & (F.lit(True) if most is None else F.col("n_words") <= most), least_held) for n, least_held, least, most in sorted(POSTED, key=lambda x: x[1]) if n == blocks))
+    told = classes.where(F.col("n_words") >= LEAST_WORDS).select("key_a", "length", *KEYS, held.alias("held")).where("held is not null")
+    words = lambda j: F.shiftright(f"b{j}", BITS)
+    keys = [F.when(reduce(lambda p, q: p + q, map(words, chosen)) >= F.col("held"), F.xxhash64(F.lit(sum(1 << j for j in chosen)), *(f"b{j}" for j in chosen))) for chosen in combinations(range(BLOCKS), blocks)]
+    return told.select("key_a", "length", F.explode(F.array(*keys)).alias("posting")).where("posting is not null")
+
+
 def posted(classes: DataFrame) -> DataFrame:
     """The postings of two or more classes: posting, key_a, length, and the posting's pivot and size."""
-    words = lambda j: F.shiftright(f"b{j}", BITS)
-    keys = []
-    for blocks in sorted({x[0] for x in POSTED}):
-        for chosen in combinations(range(BLOCKS), blocks):
-            held = sum((words(j) for j in chosen[1:]), words(chosen[0]))
-            fits = [(F.col("n_words") >= least) & (F.lit(True) if most is None else F.col("n_words") <= most) & (held >= least_held) for n, least_held, least, most in POSTED if n == blocks]
-            keys.append(F.when(reduce(lambda p, q: p | q, fits), F.xxhash64(F.lit(sum(1 << j for j in chosen)), *(f"b{j}" for j in chosen))))
-    each = classes.where(F.col("n_words") >= LEAST_WORDS).select("key_a", "length", F.explode(F.array(*keys)).alias("posting")).where("posting is not null")
-    dealt = each.repartition("posting")
+    dealt = reduce(DataFrame.union, (posted_by(classes, n) for n in sorted({x[0] for x in POSTED}))).repartition("posting")
     # the greatest length is asked for so that both sides can read one shuffle
     shared = dealt.groupBy("posting").agg(F.count("*").alias("size"), F.min("key_a").alias("pivot"), F.max("length").alias("longest")).where("size > 1 and longest > 0").drop("longest")
     return dealt.join(shared.hint("shuffle_hash"), "posting")
@@ -176,9 +194,12 @@ def open_pairs(post: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def shared_lines(found: DataFrame, classes: DataFrame, post: DataFrame) -> DataFrame:
-    """key_a and line of the classes that share postings, looked up at their first occurrences."""
-    at = classes.join(post.select("key_a").distinct(), "key_a").select("first", *CLASS)
-    return found.join(at, CLASS).where(F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))).groupBy("key_a").agg(F.first("line").alias("line"))
+    """key_a and line of the classes that share postings, looked up at their first occurrences.
+
+    Classes are what is hashed, so that lines are not sorted, and a very common one can be split: what follows is dealt by key_a alone.
+    """
+    at = classes.select("first", *CLASS).join(post.select("key_a").distinct().hint("shuffle_hash"), "key_a")
+    return found.join(at.hint("shuffle_hash"), CLASS).where(F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("first"))).groupBy("key_a").agg(F.first("line").alias("line"))
 
 
 def linked(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -216,11 +237,11 @@ def alike(a: str, b: str) -> Column:
 
 
 def banded(a: Column, b: Column, most: Column) -> Column:
-    """Edit distance of a and b at most `most`; narrow bands, which tell near lines cheaply, come first."""
+    """Edit distance of a and b at most `most`; bands far narrower than that, which tell near lines cheaply, come first."""
     within = lambda most: F.call_function("levenshtein", a, b, most) >= 0
     found = within(most)
     for band in (16384, 4096, 1024, 256, 64, 16):
-        found = F.when(within(F.least(most, F.lit(band))), True).when(most <= band, False).otherwise(found)
+        found = F.when(most <= 4 * band, within(most)).when(within(F.lit(band)), True).otherwise(found)
     return found
 
 
@@ -257,17 +278,23 @@ def groups(found: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and the places of the lines that go."""
-    found = written(occurrences(docs), "occurrences")
-    classes = written(line_classes(found), "classes")
-    joined = groups(found, classes)
-    several = classes.join(joined, classes["key_a"] == joined["node"])
-    firsts = several.groupBy("component").agg(F.min("first").alias("kept"))
-    grouped = several.join(firsts, "component").select("key_a", "key_b", "kept")
-    alone = classes.where("n > 1").join(joined, classes["key_a"] == joined["node"], "left_anti").select("key_a", "key_b", F.col("first").alias("kept"))
-    gone = found.select("doc_id", "text_key", "place", *CLASS).join(grouped.union(alone), ["key_a", "key_b"]).where(~F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("kept")))
-    places = written(gone.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "places")
-    dropped(found, classes, joined)
+    """doc_id, text_key and the places of the lines that go.
+
+    Sides with a row a class are hashed, so that lines and classes are not sorted.
+    """
+    with swept(docs.sparkSession):
+        found = written(occurrences(docs), "occurrences")
+        classes = written(line_classes(found), "classes")
+        joined = groups(found, classes)
+        hashed = joined.hint("shuffle_hash")
+        several = classes.select(*CLASS, "first").join(hashed, classes["key_a"] == joined["node"])
+        firsts = several.groupBy("component").agg(F.min("first").alias("kept"))
+        grouped = several.join(firsts, "component").select("key_a", "key_b", "kept")
+        alone = classes.where("n > 1").join(hashed, classes["key_a"] == joined["node"], "left_anti").select("key_a", "key_b", F.col("first").alias("kept"))
+        kept = grouped.union(alone).hint("shuffle_hash")
+        gone = found.select("doc_id", "text_key", "place", *CLASS).join(kept, ["key_a", "key_b"]).where(~F.struct("doc_id", "text_key", "place").eqNullSafe(F.col("kept")))
+        places = written(gone.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "places")
+        dropped(found, classes, joined)
     return places
 
 
@@ -278,7 +305,7 @@ def cut_rows(docs: DataFrame) -> DataFrame:
     both = keyed.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "places"), (F.col("key") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     rest = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("places")), lambda k: F.get(x, k)), "\n")
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     told = both.select("row", text.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
     return told.withColumn("emptied", (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
 

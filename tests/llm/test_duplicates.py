@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -346,6 +347,51 @@ def test_words_are_hashed_without_a_seed(spark):
     assert {r.w: r.h & (1 << 64) - 1 for r in found} == {w: xxhash.xxh64_intdigest(w.encode()) for w in words}
 
 
+def test_normalised_texts_have_the_lines_of_each_line(documents):
+    signs = ["---", "- - -", "\u00a0*\u2003 *", "", " ", "\u00a0", "\t", "\r", "…", "=\x1c="]
+    words = ["(a)b", " a", "a ", "-a-b-", "a  b", "a - b", "ΣΑΣ. Σ", "İstanbul ÉTÉ", "naïve—x", "1,000", "我们 走a走", "ไทย", "x\ry", "𝒜𝒷 c", "a_b", "한 글"]
+    rows = list(enumerate(["\n".join(words), "\n".join(signs), "\n".join(x for pair in zip(words, signs, strict=False) for x in pair), "\n", "", None, "\n---\n", "only one", *words, *signs]))
+
+    def told(raw):
+        low = re.sub("[\u0e00-\u0eff\u4e00-\u9fff]", lambda m: f" {m[0]} ", raw.lower())
+        found = [x for x in regex.split(r"[^\p{L}\p{N}]+", low) if x]
+        whole = regex.sub(r"[\s\x1c-\x1f\x85\p{Z}]+", " ", raw).strip(" ")
+        return (" ".join(found), False) if found else (whole, True)
+
+    expected = sorted((k, n, *x) for k, text in rows if text is not None for n, raw in enumerate(text.split("\n")) if (x := told(raw))[0])
+    assert sorted((r.doc_id, r.place, r.line, r.signs) for r in lines.occurrences(documents(rows)).collect()) == expected
+
+
+def test_code_of_postings_is_small_enough_to_be_compiled(spark, documents):
+    classes = lines.written(lines.line_classes(lines.occurrences(documents(copies(6, 2)))), "classes")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = lines.posted(classes)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # the JVM leaves methods beyond 8000 bytes to its interpreter
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark, documents):
+    key, disk = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, rows = spark.conf.get(key, None), documents(line_family(20))
+
+    def left():
+        files = disk.getAllFiles()
+        return {x for x in (files.apply(k).getName() for k in range(files.size())) if x.startswith("shuffle_")}
+
+    kept = left()
+    found = lines.removals(rows)
+    until = time.monotonic() + 20
+    while left() - kept and time.monotonic() < until:
+        time.sleep(0.2)
+    # lines of even and of odd documents are groups of their own
+    assert not left() - kept and found.count() == 18
+    assert spark.conf.get(key, None) == before
+
+
 @pytest.mark.parametrize("sliced", [1, 7, 10_000])
 def test_hot_anchors_that_have_another_in_their_slice_meet_no_join(documents, monkeypatch, sliced):
     monkeypatch.setattr(repeats, "CROWDED", 30)
