@@ -57,3 +57,38 @@ def test_amounts_of_text(spark):
     lines = [a + b + c + d for a in parts for b in parts for c in parts for d in parts[::2]]
     df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.transform(m.text_amounts(F.col("line")), lambda a: F.trim(a["text"])).alias("a"))
     assert [(r.line, r.a) for r in df.collect() if r.a != free_runs(r.line)] == []
+
+
+def test_amounts_of_lines_are_read_together_as_one_by_one(spark):
+    runs = ["1", " 12", "-3", "0.50", " -0.50", "Rs. 7.25", "$1.00", "Rs 4", "1,5", "1O.5O", "1.5", "1'000.00", "0", "0000000000000", " $ 5"]
+    lists = [[a, b] for a in runs for b in runs] + [[a] for a in runs] + [[]]
+    df = spark.createDataFrame([(x,) for x in lists], "runs array<string>").select("runs", m.run_cents(F.col("runs")).alias("c"), F.transform("runs", m.parse_money).alias("each"))
+    assert [r for r in df.collect() if r.c != r.each] == []
+
+
+@pytest.mark.parametrize("text", ["KASH 5", "PAİD 5", "Cash 5", "CASH é 5", "éCASH 5", "Item ÉQTY RATE", "TOTAL QTY 3", "ABC-12345Z", "a_cash 5"])
+def test_rules_ignore_the_case_of_ascii_letters_only(spark, text):
+    from tabsplit.functions import rules
+
+    x = F.col("t")
+    kept = F.when(x.rlike(f"(?i){rules.TOTAL_QTY}{rules.END}"), 0).when(rules.is_item_header(x), 1).otherwise(-1)
+    found = spark.createDataFrame([(text,)], "t string").select(rules.reading(x)["code"].alias("code"), rules.keyword(x)["section"].alias("section"), rules.is_metadata(x).alias("meta"), kept.alias("kept")).first()
+    expected = found.kept if found.kept >= 0 else 2 + [s for s, *_ in rules.KEYWORDS].index(found.section) if found.section else rules.METADATA_CODE if found.meta else rules.OPEN
+    assert found.code == expected
+
+
+def test_a_receipt_is_dealt_once(spark):
+    """Items are dealt by bill; lines, windows and groups keep that. Bills are not read again for their sums."""
+    for name in ("classify_line", "parse_item", "parse_item_tokens", "item_scan", "parse_receipt", "rank_totals"):
+        found = re.findall(r"Exchange (?:hash|range)partitioning\((\w+)#", plan(spark, name, physical=True))
+        assert [x for x in found if x != "p_partkey"] == ["bill_id"], name
+
+
+def test_identifiers_and_amounts_too_large(spark):
+    from tabsplit.functions import rules
+
+    texts = ["abc123", "abc12", "1234567", "abcdefg", "a,bcde1", "x-1-abcdef", "é1abcdef", "no (AB12CD)", "12 abcdef"]
+    read = spark.createDataFrame([(x,) for x in texts], "t string").where(rules.looks_like_identifier(F.col("t")))
+    assert {r.t for r in read.collect()} == {"abc123", "x-1-abcdef", "é1abcdef", "no (AB12CD)"}
+    large = spark.createDataFrame([("Tea 9999999999999999999 5 99999999999999.5",)], "t string").select(m.text_amounts(F.col("t"))["cents"].alias("c")).first().c
+    assert large == [500]
