@@ -92,3 +92,41 @@ def test_identifiers_and_amounts_too_large(spark):
     assert {r.t for r in read.collect()} == {"abc123", "x-1-abcdef", "é1abcdef", "no (AB12CD)"}
     large = spark.createDataFrame([("Tea 9999999999999999999 5 99999999999999.5",)], "t string").select(m.text_amounts(F.col("t"))["cents"].alias("c")).first().c
     assert large == [500]
+
+
+@pytest.mark.parametrize(("name", "keys"), [("row_membership", {"bill_id"}), ("cluster_mean_count", {"bill_id", "doc_id"}), ("candidate_totals", {"bill_id"}), ("parse_item_readings", {"bill_id"}), ("field_sources", {"bill_id"})])
+def test_tokens_are_not_dealt_again(spark, name, keys):
+    """Tokens stay where their bills were dealt; after the fold only lines, or counts, are dealt."""
+    found = re.findall(r"Exchange (?:hash|range)partitioning\(([^)]*?), \d+\)", plan(spark, name, physical=True))
+    assert {re.sub(r"#\w+", "", x) for x in found if not x.startswith("p_partkey")} <= keys
+
+
+ODD = ["２", "１２.５０", "Ｔｏｔａｌ", "　", "é1", "１O.５O", "a—b", "ﬁ 2", "９" * 14, "９９９９９９９９９９９９９.9", "９" * 20, "Ⅻ", "５,Ｏ", "①.50", "x  y"]
+
+
+def test_odd_texts_are_cleaned_in_the_fold_as_in_columns(spark):
+    from tabsplit.operators import layout
+
+    df = spark.createDataFrame([(x,) for x in ODD], "raw string").withColumn("text", layout.normalize_token(F.col("raw")))
+    for r in layout.numeric_tokens(df).collect():
+        assert (layout.normalized(r.raw), layout.is_numeric(layout.normalized(r.raw))) == (r.text, r.numeric), r.raw
+
+
+def test_readings_of_either_kind_meet_by_document(spark):
+    from tabsplit.operators import layout
+
+    rows = [(1, 0, "　", 0.0, 10.0, 8.0, 14.0, 90.0), (2, 0, "Tea", 0.0, 10.0, 24.0, 14.0, None), (2, 1, "４５.00", 90.0, 11.0, 40.0, 14.0, 80.0), (3, 0, "Tea", None, 10.0, 24.0, 14.0, 90.0), (5, 0, "Soup", 0.0, 10.0, 24.0, 14.0, 90.0)]
+    tokens = spark.createDataFrame(rows, "doc_id long, token_no long, text string, x double, y double, width double, height double, confidence double")
+    readings = spark.createDataFrame([(1, "\n Rice 5 \r\n", 800), (2, "not read", 900), (3, "Idli 7", None), (4, None, 700)], "doc_id long, text string, image_width int")
+    found = {(r.bill_id, r.line_no): r for r in layout.lines_of_readings(readings, tokens).collect()}
+    assert {k: (r.line, r.image_width) for k, r in found.items()} == {(1, 1): ("Rice 5", 800), (2, 0): ("Tea 45.00", 900), (3, 0): ("Idli 7", None), (5, 0): ("Soup", None)}
+    assert [(t.text, t.token_no, t.confidence) for t in found[2, 0].tokens] == [("Tea", 0, None), ("45.00", 1, 80.0)] and found[1, 1].tokens is None
+
+
+def test_levels_are_counted_as_paired(spark):
+    from tabsplit.operators import layout
+
+    tops = [0.0, 8.0, 8.0, 16.5, 24.5, -3.0, None, 100.0, float("nan")]
+    tokens = spark.createDataFrame([(d, k, y) for d in (1, 2) for k, y in enumerate(tops[d - 1 :])], "doc_id long, token_no long, y double")
+    pairs = layout.on_level(tokens, 8.0).groupBy("doc_id", "token_no").agg(F.count("*").alias("level"))
+    assert sorted(map(tuple, layout.level_counts(tokens, 8.0).collect())) == sorted(map(tuple, pairs.collect()))
